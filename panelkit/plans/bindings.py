@@ -47,7 +47,6 @@ def cust_year(spark: SparkSession, sf_dir: str) -> DataFrame:
         _mark("4-NOT SPECIFIED").alias("ips"),
         (F.count_if(F.col("o_orderstatus") == "O") - F.count_if(F.col("o_orderstatus") == "F"))
         .cast("int").alias("defasagem"),
-        F.min("ano_base").alias("_first_year_cell"),
     )
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     panel = cells.join(customer, cells.o_custkey == customer.c_custkey, "inner")
@@ -234,3 +233,64 @@ def dup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_ctes(*ctes: str) -> str:
     """Join CTE bodies into one WITH clause (each body starts with 'name AS (')."""
     return "WITH " + ",".join(c.strip().lstrip(",") for c in ctes)
+
+
+# ---------------------------------------------------------------- raw period sheet (conformance input)
+def raw_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A messy 'year sheet' derived from orders: padded ids, phase labels in several spellings, gender and stone
+    words with accents and case noise, marks as text (some with decimal commas or junk), day-first birth dates,
+    fractional birth years. Every order yields one row, so the conformance work grows with the table."""
+    o = table(spark, sf_dir, "orders")
+    k, ck = F.col("o_orderkey"), F.col("o_custkey")
+    price = F.col("o_totalprice").cast("decimal(12,2)").cast("string")
+
+    def pick(key, *values):
+        expr = None
+        for i, v in enumerate(values):
+            v = v if isinstance(v, Column) else F.lit(v)
+            expr = F.when(key == i, v) if expr is None else expr.when(key == i, v)
+        return expr
+
+    return o.select(
+        F.concat(F.lit("  "), k.cast("string"), F.lit(" ")).alias("ra_raw"),
+        F.year("o_orderdate").cast("int").alias("ano_base"),
+        pick(k % 8, "ALFA", F.concat(F.lit("FASE "), (ck % 10).cast("string")), (ck % 10).cast("string"),
+             F.concat((ck % 10).cast("string"), F.lit("A")), ((ck % 13) + 5).cast("string"), None,
+             F.concat(F.lit("Fase_"), (ck % 12).cast("string")), F.col("o_orderpriority")).alias("fase_raw"),
+        pick(ck % 7, "  feminino  ", "Menino", "M", "f", "MASCULINO", "outro", None).alias("genero_raw"),
+        pick(k % 7, "Quartzo", "AMETISTA ", "Topázio", "Ágata", "INCLUIR", "xx", None).alias("pedra_raw"),
+        pick(k % 4, F.concat(F.lit("  "), F.col("o_orderstatus"), F.lit(" ")), "nan", "", "NAN").alias("turma_raw"),
+        pick(k % 5, price, F.regexp_replace(price, r"\.", ","), F.concat(F.lit(" "), price, F.lit(" ")),
+             F.concat(price, F.lit("d")), "n/a").alias("matem_raw"),
+        F.when(k % 6 == 5, F.concat(F.lit("31/02/"), F.year("o_orderdate").cast("string")))
+        .otherwise(F.date_format("o_orderdate", "dd/MM/yyyy")).alias("data_nasc"),
+        ((F.year("o_orderdate") - 20 - (ck % 5)).cast("double") + F.when(k % 2 == 1, F.lit(0.5)).otherwise(0.0))
+        .alias("ano_nasc_raw"),
+        F.when(k % 3 == 0, F.lit(None).cast("double")).otherwise((ck % 30).cast("double")).alias("idade_raw"),
+    )
+
+
+RAW_SQL = """
+raw_sheet AS (
+  SELECT '  ' || CAST(o_orderkey AS VARCHAR) || ' ' AS ra_raw, CAST(year(o_orderdate) AS INTEGER) AS ano_base,
+    CASE o_orderkey % 8 WHEN 0 THEN 'ALFA' WHEN 1 THEN 'FASE ' || CAST(o_custkey % 10 AS VARCHAR)
+      WHEN 2 THEN CAST(o_custkey % 10 AS VARCHAR) WHEN 3 THEN CAST(o_custkey % 10 AS VARCHAR) || 'A'
+      WHEN 4 THEN CAST(o_custkey % 13 + 5 AS VARCHAR) WHEN 5 THEN NULL
+      WHEN 6 THEN 'Fase_' || CAST(o_custkey % 12 AS VARCHAR) ELSE o_orderpriority END AS fase_raw,
+    CASE o_custkey % 7 WHEN 0 THEN '  feminino  ' WHEN 1 THEN 'Menino' WHEN 2 THEN 'M' WHEN 3 THEN 'f'
+      WHEN 4 THEN 'MASCULINO' WHEN 5 THEN 'outro' END AS genero_raw,
+    CASE o_orderkey % 7 WHEN 0 THEN 'Quartzo' WHEN 1 THEN 'AMETISTA ' WHEN 2 THEN 'Topázio' WHEN 3 THEN 'Ágata'
+      WHEN 4 THEN 'INCLUIR' WHEN 5 THEN 'xx' END AS pedra_raw,
+    CASE o_orderkey % 4 WHEN 0 THEN '  ' || o_orderstatus || ' ' WHEN 1 THEN 'nan' WHEN 2 THEN '' ELSE 'NAN' END
+      AS turma_raw,
+    CASE o_orderkey % 5 WHEN 0 THEN CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR)
+      WHEN 1 THEN replace(CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR), '.', ',')
+      WHEN 2 THEN ' ' || CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR) || ' '
+      WHEN 3 THEN CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR) || 'd' ELSE 'n/a' END AS matem_raw,
+    CASE WHEN o_orderkey % 6 = 5 THEN '31/02/' || CAST(year(o_orderdate) AS VARCHAR)
+      ELSE strftime(o_orderdate, '%d/%m/%Y') END AS data_nasc,
+    CAST(year(o_orderdate) - 20 - o_custkey % 5 AS DOUBLE) + CASE WHEN o_orderkey % 2 = 1 THEN 0.5 ELSE 0.0 END
+      AS ano_nasc_raw,
+    CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_custkey % 30 AS DOUBLE) END AS idade_raw
+  FROM orders
+)"""
