@@ -297,3 +297,18 @@ raw_sheet AS (
     CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_custkey % 30 AS DOUBLE) END AS idade_raw
   FROM orders
 )"""
+
+
+def scored_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B3 with holes: a null stratum on every 11th order key and a null score on every 13th."""
+    s = scored(spark, sf_dir)
+    return s.select(
+        "ra", F.when(F.col("ra") % 11 == 0, F.lit(None)).otherwise(F.col("fase")).alias("fase"), "turma", "ano_base",
+        F.when(F.col("ra") % 13 == 0, F.lit(None)).otherwise(F.col("score")).alias("score"), "target")
+
+
+B3N_SQL = B3_SQL + """,
+scored_nulls AS (
+  SELECT ra, CASE WHEN ra % 11 = 0 THEN NULL ELSE fase END AS fase, turma, ano_base,
+         CASE WHEN ra % 13 = 0 THEN NULL ELSE score END AS score, target FROM scored
+)"""
