@@ -41,6 +41,7 @@ def load_all() -> dict[str, Registered]:
         q_drift,
         q_features,
         q_functions,
+        q_monitor,
         q_pairs,
         q_topk,
     )
