@@ -36,21 +36,23 @@ def parse_log(lines: DataFrame, col: str = "value") -> DataFrame:
     )
 
 
-def log_kpis(lines: DataFrame, col: str = "value", by: list[Column] | None = None, approx: bool = False) -> DataFrame:
-    """Requests, errors and p95 latency (rounded to 1 decimal, 0 when there is no latency), overall or per
-    ``by`` (e.g. a daily window)."""
+def log_kpis(lines: DataFrame, col: str = "value", by: list[Column] | None = None, approx: bool = False,
+             digits: int | None = 1) -> DataFrame:
+    """Requests, errors and p95 latency (rounded half-to-even to ``digits``, 0 when there is no latency),
+    overall or per ``by`` (e.g. a daily window). digits=None keeps the exact percentile."""
     p = parse_log(lines, col)
     q = (F.percentile_approx("latency_ms", 0.95, 10000) if approx else F.percentile("latency_ms", F.lit(0.95)))
     aggs = [F.count_if("is_request").alias("n_requests"), F.count_if("is_error").alias("n_errors"), q.alias("_p95")]
     g = p.groupBy(*by).agg(*aggs) if by else p.agg(*aggs)
     keys = [c for c in g.columns if c not in ("n_requests", "n_errors", "_p95")]
+    p95 = F.coalesce(F.col("_p95").cast("double"), F.lit(0.0))
     return g.select(*keys, "n_requests", "n_errors",
-                    F.bround(F.coalesce(F.col("_p95").cast("double"), F.lit(0.0)), 1).alias("p95_latency_ms"))
+                    (F.bround(p95, digits) if digits is not None else p95).alias("p95_latency_ms"))
 
 
-def daily_kpis(lines: DataFrame, ts: str = "ts", col: str = "value") -> DataFrame:
+def daily_kpis(lines: DataFrame, ts: str = "ts", col: str = "value", digits: int | None = 1) -> DataFrame:
     """T5: the KPIs per UTC day (tumbling 1-day event-time windows)."""
-    out = log_kpis(lines, col, by=[F.window(ts, "1 day").alias("w")])
+    out = log_kpis(lines, col, by=[F.window(ts, "1 day").alias("w")], digits=digits)
     return out.select(F.to_date(F.col("w.start")).alias("day"), "n_requests", "n_errors", "p95_latency_ms")
 
 

@@ -29,19 +29,21 @@ cls AS (
 @query("log_kpis", B.with_ctes(B.B5_SQL + LOG_CLASS_SQL) + """
 SELECT CAST(count(*) FILTER (WHERE is_request) AS BIGINT) AS n_requests,
        CAST(count(*) FILTER (WHERE is_error) AS BIGINT) AS n_errors,
-       round_even(coalesce(quantile_cont(CAST(lat AS DOUBLE), 0.95) FILTER (WHERE is_request), 0.0), 1) AS p95_latency_ms
+       round(coalesce(quantile_cont(CAST(lat AS DOUBLE), 0.95) FILTER (WHERE is_request), 0.0), 9) AS p95_latency_ms
 FROM cls""", ids=("F32", "A23"))
 def log_kpis(spark, sf_dir):
-    return MO.log_kpis(B.log_lines(spark, sf_dir))
+    # exact p95 (the 1-decimal display rounding is left to the caller: engines round halves differently)
+    return round_doubles(MO.log_kpis(B.log_lines(spark, sf_dir), digits=None))
 
 
 @query("daily_log_kpis", B.with_ctes(B.B5_SQL + LOG_CLASS_SQL) + """
 SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(count(*) FILTER (WHERE is_request) AS BIGINT) AS n_requests,
        CAST(count(*) FILTER (WHERE is_error) AS BIGINT) AS n_errors,
-       round_even(coalesce(quantile_cont(CAST(lat AS DOUBLE), 0.95) FILTER (WHERE is_request), 0.0), 1) AS p95_latency_ms
+       round(coalesce(quantile_cont(CAST(lat AS DOUBLE), 0.95) FILTER (WHERE is_request), 0.0), 9) AS p95_latency_ms
 FROM cls GROUP BY CAST(ts AS DATE)""", ids=("T5", "A23"))
 def daily_log_kpis(spark, sf_dir):
-    return MO.daily_kpis(B.log_lines(spark, sf_dir)).withColumn("day", F.col("day").cast("string"))
+    out = MO.daily_kpis(B.log_lines(spark, sf_dir), digits=None).withColumn("day", F.col("day").cast("string"))
+    return round_doubles(out)
 
 
 @query("log_tail", B.with_ctes(B.B5_SQL) + """

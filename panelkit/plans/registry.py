@@ -43,6 +43,7 @@ def load_all() -> dict[str, Registered]:
         q_functions,
         q_monitor,
         q_pairs,
+        q_quality,
         q_topk,
     )
 
