@@ -93,8 +93,7 @@ def monitoring_panel(metrics: DataFrame, k: int = 15) -> DataFrame:
         F.when(prec < 0.65, F.lit(ACTION_PRECISION))), lambda x: x.isNotNull())
     suggestion = F.when(
         prec.isNotNull() & rec.isNotNull(),
-        F.format_string("Com K=%d%%, Precision≈%.0f%% e Recall≈%.0f%%. ", F.lit(k), prec * 100, rec * 100)
-        + F.lit(""))
+        F.format_string("Com K=%d%%, Precision≈%.0f%% e Recall≈%.0f%%. ", F.lit(k), prec * 100, rec * 100))
     tail = F.when(rec < 0.30, F.lit("Para maior cobertura, considere K=20%.")).otherwise(F.lit("Bom equilíbrio."))
     return metrics.select(
         "*",

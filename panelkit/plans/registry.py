@@ -44,6 +44,7 @@ def load_all() -> dict[str, Registered]:
         q_monitor,
         q_pairs,
         q_quality,
+        q_report,
         q_topk,
     )
 
