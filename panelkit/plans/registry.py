@@ -38,6 +38,7 @@ def query(name: str, sql: str | None = None, ids: tuple[str, ...] = ()):
 
 def load_all() -> dict[str, Registered]:
     from panelkit.plans import (  # noqa: F401  (imports register the queries)
+        q_conform,
         q_drift,
         q_features,
         q_functions,
