@@ -89,9 +89,10 @@ class Lookup:
     keys: dict[str, list[str]]
     all_null_cols: list[str] = field(default_factory=list)
     medians: dict[str, float] = field(default_factory=dict)
+    combined: DataFrame | None = None
 
 
-def _level_stats(df: DataFrame, keys: list[str], level: str, approx: bool) -> DataFrame:
+def _level_stats(df: DataFrame, keys: list[str] | None, level: str, approx: bool, grouping=None) -> DataFrame:
     aggs = []
     for v in GROUP_VARS:
         c = F.col(v)
@@ -102,7 +103,12 @@ def _level_stats(df: DataFrame, keys: list[str], level: str, approx: bool) -> Da
         aggs += [F.avg(c).alias(stat_name(level, "mean", v)),
                  F.stddev_samp(c).alias(stat_name(level, "std", v)),
                  q.alias(f"_q_{v}")]
-    grouped = df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
+    if grouping is not None:
+        sets, all_keys = grouping
+        grouped = df.groupingSets(sets, *all_keys).agg(*aggs, F.grouping_id().alias("_gid"))
+        keys = all_keys + ["_gid"]
+    else:
+        grouped = df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
     out = []
     for v in GROUP_VARS:
         out += [stat_name(level, "mean", v), stat_name(level, "std", v),
@@ -112,13 +118,15 @@ def _level_stats(df: DataFrame, keys: list[str], level: str, approx: bool) -> Da
 
 
 def fit_lookup(base_train: DataFrame, schema: PanelSchema = DEFAULT, keys_mode: str = "period",
-               approx: bool = False) -> Lookup:
+               approx: bool = False, one_pass: bool = True) -> Lookup:
     """A1: statistics per (period, group), (period, stratum) and (period).
 
     keys_mode="period" keeps the period in the keys (parity: rows of a later period then match nothing, D3).
     keys_mode="latest" fits on the last training period only and drops the period from the keys, so later periods
     inherit the most recent statistics.
     approx=True uses mergeable quantile sketches instead of exact percentiles (for very large groups).
+    one_pass=True computes the three levels in ONE grouping-sets aggregate (one scan, one shuffle); the levels are
+    told apart by grouping_id, so a real null group key stays distinct from "not grouped by this key".
     """
     p = schema.period
     df = base_train
@@ -129,8 +137,26 @@ def fit_lookup(base_train: DataFrame, schema: PanelSchema = DEFAULT, keys_mode:
     else:
         pk = [p]
     keys = {"turma": pk + [schema.group], "fase": pk + [schema.stratum], "global": list(pk)}
-    tables = {lvl: _level_stats(df, keys[lvl], lvl, approx) for lvl in LEVELS}
-    return Lookup(tables=tables, keys=keys)
+    if not one_pass:
+        tables = {lvl: _level_stats(df, keys[lvl], lvl, approx) for lvl in LEVELS}
+        return Lookup(tables=tables, keys=keys)
+    all_keys = list(dict.fromkeys(pk + [schema.group, schema.stratum]))
+    sets = [keys[lvl] for lvl in LEVELS]
+    stats = _level_stats(df, None, "_lvl", approx, grouping=(sets, all_keys))
+    tables = {}
+    for lvl in LEVELS:
+        gid = _grouping_id(all_keys, keys[lvl])
+        cols = [F.col(stat_name("_lvl", st, v)).alias(stat_name(lvl, st, v)) for v in GROUP_VARS for st in STATS]
+        tables[lvl] = stats.filter(F.col("_gid") == gid).select(*keys[lvl], *cols)
+    return Lookup(tables=tables, keys=keys, combined=stats)
+
+
+def _grouping_id(all_keys: list[str], present: list[str]) -> int:
+    """Spark's grouping_id: one bit per grouping column (first column = most significant), 1 = not grouped."""
+    gid = 0
+    for k in all_keys:
+        gid = (gid << 1) | (0 if k in present else 1)
+    return gid
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -195,13 +221,18 @@ def numeric_columns(df: DataFrame, schema: PanelSchema = DEFAULT) -> list[str]:
     return [c for c, t in df.dtypes if (t in numeric or t.startswith("decimal")) and c != schema.target]
 
 
-def fit_fill(features_train: DataFrame, lookup: Lookup, schema: PanelSchema = DEFAULT) -> Lookup:
-    """P15 + A4 in one aggregate pass: which columns are entirely null in training, and the exact training median
-    of every numeric column (0 when undefined). The result is one row per fit — driver-sized metadata."""
+def fit_fill(features_train: DataFrame, lookup: Lookup, schema: PanelSchema = DEFAULT, approx: bool = False) -> Lookup:
+    """P15 + A4 in one aggregate pass: which columns are entirely null in training, and the training median of every
+    numeric column (0 when undefined). The result is one row per fit — driver-sized metadata.
+
+    An exact median merges every distinct value of a column in the final task of a global aggregate, so above the
+    caller's size limit ``approx=True`` switches to mergeable quantile sketches (bounded memory per task)."""
     cols = features_train.columns
     nums = numeric_columns(features_train, schema)
     aggs = [F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)]
-    aggs += [F.median(F.col(c)).alias(f"m{i}") for i, c in enumerate(nums)]
+    med = (lambda c: F.percentile_approx(F.col(c).cast("double"), 0.5, 100000)) if approx else (
+        lambda c: F.median(F.col(c)))
+    aggs += [med(c).alias(f"m{i}") for i, c in enumerate(nums)]
     row = features_train.agg(*aggs).first()
     lookup.all_null_cols = [c for i, c in enumerate(cols) if row[f"n{i}"] == 0]
     lookup.medians = {c: (float(row[f"m{i}"]) if row[f"m{i}"] is not None else 0.0) for i, c in enumerate(nums)}
@@ -227,18 +258,35 @@ def finalize(features: DataFrame, lookup: Lookup, is_train: bool, schema: PanelS
     return features.select(*out)
 
 
+EXACT_LIMIT = 20_000_000
+
+
 def build_features(train_pairs: DataFrame, other_pairs: DataFrame | None = None, schema: PanelSchema = DEFAULT,
-                   keys_mode: str = "period", approx: bool = False, materialize_lookup: bool = True):
+                   keys_mode: str = "period", approx: bool | None = None, materialize_lookup: bool = True,
+                   exact_limit: int = EXACT_LIMIT):
     """Fit on the training pairs, apply to training and (optionally) to another pair set.
-    Returns (train_features, other_features_or_None, lookup)."""
+    Returns (train_features, other_features_or_None, lookup).
+
+    approx=None decides from the measured size of the (checkpointed) training base: exact percentiles and medians
+    up to ``exact_limit`` rows (results identical to any exact engine), quantile sketches above it, so that no task
+    has to hold every distinct value of a whole period."""
+    from panelkit.session import materialize
+
+    # the training base is read by the statistics pass, the feature joins and the fill statistics: cut its lineage once
     base_train = base_columns(train_pairs, schema)
+    if materialize_lookup:
+        base_train = materialize(base_train)
+    if approx is None:
+        approx = base_train.count() > exact_limit
     lookup = fit_lookup(base_train, schema, keys_mode=keys_mode, approx=approx)
     if materialize_lookup:
-        from panelkit.session import materialize
-
-        lookup.tables = {k: materialize(v) for k, v in lookup.tables.items()}
+        if lookup.combined is not None:
+            combined = materialize(lookup.combined)
+            lookup = _split_combined(combined, lookup)
+        else:
+            lookup.tables = {k: materialize(v) for k, v in lookup.tables.items()}
     feats_train = apply_lookup(base_train, lookup, schema)
-    fit_fill(feats_train, lookup, schema)
+    fit_fill(feats_train, lookup, schema, approx=approx)
     train_out = finalize(feats_train, lookup, True, schema)
     other_out = None
     if other_pairs is not None:
@@ -246,6 +294,18 @@ def build_features(train_pairs: DataFrame, other_pairs: DataFrame | None = None,
     return train_out, other_out, lookup
 
 
+def _split_combined(combined: DataFrame, lookup: Lookup) -> Lookup:
+    """Re-derive the three level tables from the materialised grouping-sets result."""
+    all_keys = [c for c in combined.columns if not c.startswith("_lvl_") and c != "_gid"]
+    tables = {}
+    for lvl in LEVELS:
+        gid = _grouping_id(all_keys, lookup.keys[lvl])
+        cols = [F.col(stat_name("_lvl", st, v)).alias(stat_name(lvl, st, v)) for v in GROUP_VARS for st in STATS]
+        tables[lvl] = combined.filter(F.col("_gid") == gid).select(*lookup.keys[lvl], *cols)
+    lookup.tables, lookup.combined = tables, combined
+    return lookup
+
+
 def feature_columns(df: DataFrame, schema: PanelSchema = DEFAULT) -> tuple[list[str], list[str]]:
     """(numeric features, categorical features); identifiers, target and next state are excluded."""
     exclude = {schema.entity, schema.period, schema.pair_label, schema.target, schema.state_t1}
