@@ -47,6 +47,7 @@ def load_all() -> dict[str, Registered]:
         q_pairs,
         q_quality,
         q_report,
+        q_stream,
         q_topk,
     )
 
