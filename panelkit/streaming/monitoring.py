@@ -53,9 +53,11 @@ def trailing_psi(daily: DataFrame, baseline_hist: DataFrame, now: str, days: int
     (stratum, bin, n). Proportions are bin count / all rows of the side, clipped at 1e-6."""
     cutoff = F.date_sub(F.lit(now).cast("date"), days - 1)
     cur = (daily.filter((F.col("day") >= cutoff) & (F.col("day") <= F.lit(now).cast("date")))
-           .groupBy("stratum").agg(*[F.sum(F.when(F.col("bin") == i, F.col("n")).otherwise(0)).alias(f"c_h{i}")
+           .groupBy(F.col("stratum").alias("stratum"))
+           .agg(*[F.sum(F.when(F.col("bin") == i, F.col("n")).otherwise(0)).alias(f"c_h{i}")
                                       for i in range(BINS)], F.sum("n").alias("c_n")))
-    base = baseline_hist.groupBy("stratum").agg(
+    # grouping on fresh aliases gives each side its own attribute ids (both sides may come from one in-memory table)
+    base = baseline_hist.groupBy(F.col("stratum").alias("stratum")).agg(
         *[F.sum(F.when(F.col("bin") == i, F.col("n")).otherwise(0)).alias(f"b_h{i}") for i in range(BINS)],
         F.sum("n").alias("b_n"))
     j = base.join(cur, "stratum")
