@@ -42,7 +42,7 @@ def class_weights(spark, sf_dir):
     return round_doubles(ML.class_weights(train))
 
 
-@query("gbt_valid_scores", None, ids=("M1", "M2", "M3", "F34"))
+@query("gbt_valid_scores", None, ids=("M1", "M2", "M3", "F34", "P13"))
 def gbt_valid_scores(spark, sf_dir):
     tr, va, num, cat = _feature_sets(spark, sf_dir)
     model = ML.fit(ML.gbt_pipeline(num, cat, **SMALL_GBT), tr, num, cat)
@@ -93,7 +93,7 @@ def linear_attributions(spark, sf_dir):
     return ML.linear_attributions(model, va, num, cat, "ra").drop("contributions")
 
 
-@query("attribution_by_stratum", None, ids=("M10", "A27", "W5", "W10"))
+@query("attribution_by_stratum", None, ids=("M10", "A27", "W5", "W10", "F36"))
 def attribution_by_stratum(spark, sf_dir):
     tr, va, num, cat = _feature_sets(spark, sf_dir)
     model = ML.fit(ML.lr_pipeline(num, cat), tr, num, cat)
@@ -102,7 +102,13 @@ def attribution_by_stratum(spark, sf_dir):
     sample = sample_per_stratum(va, "fase", "ra", 500, seed=42)
     attr = ML.linear_attributions(model, sample, num, cat, "ra")
     long = ML.attribution_by_stratum(attr, num)
-    return top_n_per_group(long, "fase", "mean_abs_contrib", 20, tiebreak="feature")
+    top = top_n_per_group(long, "fase", "mean_abs_contrib", 20, tiebreak="feature")
+    # F36 report columns: direction by sign (>= 0 raises risk), values to 6 decimals, share in percent to 1 decimal
+    return top.select("fase", "feature", "n", F.round("mean_contrib", 6).alias("mean_contrib"),
+                      F.round("mean_abs_contrib", 6).alias("mean_abs_contrib"),
+                      F.round(F.col("pct_positive") * 100, 1).alias("pct_positive"),
+                      F.when(F.col("mean_contrib") >= 0, F.lit("↑ risco")).otherwise(F.lit("↓ risco"))
+                      .alias("direction"))
 
 
 @query("permutation_importance", None, ids=("M9", "A26"))

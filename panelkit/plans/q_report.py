@@ -211,3 +211,20 @@ SELECT s.fase, CAST(CASE WHEN r.hi - r.lo > 0 THEN least(floor((s.score - r.lo)
 FROM scored s JOIN r USING (fase) WHERE s.score IS NOT NULL GROUP BY ALL""", ids=("A25", "R8"))
 def stratum_score_histogram(spark, sf_dir):
     return RP.stratum_histogram(B.scored(spark, sf_dir))
+
+
+@query("monitoring_report_document", None, ids=("R4", "S14"))
+def monitoring_report_document(spark, sf_dir):
+    """The monitoring report as one JSON document: filters, policy metrics, panel statuses and counts."""
+    panel = RP.monitoring_panel(_metrics_row(spark, sf_dir))
+    counts = B.scored(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_rows"),
+                                         F.countDistinct("fase").alias("n_strata")).first()
+    doc = panel.select(F.to_json(F.struct(
+        F.struct(F.lit(15).alias("k_pct"), F.lit(None).cast("int").alias("ano_base")).alias("filters"),
+        F.struct("psi", "auc", "precision", "recall", "lift").alias("metrics"),
+        F.struct("drift_axis", "coherence_axis", "psi_status", "auc_status", "precision_status", "recall_status",
+                 "lift_status").alias("status"),
+        F.col("actions"), F.col("k_suggestion"),
+        F.struct(F.lit(int(counts["n_rows"])).alias("n_rows"),
+                 F.lit(int(counts["n_strata"])).alias("n_strata")).alias("counts"))).alias("report"))
+    return doc

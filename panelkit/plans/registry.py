@@ -42,6 +42,7 @@ def load_all() -> dict[str, Registered]:
         q_drift,
         q_features,
         q_functions,
+        q_io,
         q_ml,
         q_monitor,
         q_pairs,
