@@ -98,8 +98,11 @@ def global_topk_metrics(df: DataFrame, ks=DEFAULT_KS, score: str = "_s", target:
     by entity; positives among those slots need the tie group ranked, which only touches the boundary rows.
     """
     per_score = df.groupBy(score).agg(F.count(F.lit(1)).alias("_c"), F.sum(F.col(target)).alias("_p"))
-    run = Window.orderBy(F.col(score).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    tot = Window.partitionBy()
+    # one ordered pass over the per-score table (bounded by distinct scores): running counts before each score and
+    # the totals share the same ordering, so they are evaluated by a single Window operator
+    order = F.col(score).desc_nulls_last()
+    run = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    tot = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     cum = per_score.select(
         score, "_c", "_p",
         F.coalesce(F.sum("_c").over(run), F.lit(0)).alias("_before"),
@@ -107,16 +110,13 @@ def global_topk_metrics(df: DataFrame, ks=DEFAULT_KS, score: str = "_s", target:
         F.sum("_c").over(tot).alias("_n"),
         F.sum("_p").over(tot).alias("_npos"),
     )
-    rows = []
-    for k in ks:
-        kk = k_of(F.col("_n"), k)
-        b = cum.filter((F.col("_before") < kk) & (F.col("_before") + F.col("_c") >= kk)).select(
-            F.lit(float(k)).alias("k_pct"), F.col(score).alias("_bscore"), (kk - F.col("_before")).alias("_slots"),
-            F.col("_c").alias("_bc"), F.col("_pos_before"), F.col("_p").alias("_bp"), "_n", "_npos", kk.alias("_k"))
-        rows.append(b)
-    bounds = rows[0]
-    for r in rows[1:]:
-        bounds = bounds.unionByName(r)
+    # every K cut from the same rows: each score row is paired with the (few) K values by an explode, not a join
+    cuts = F.explode(F.array(*[F.struct(F.lit(float(k)).alias("k_pct"), k_of(F.col("_n"), k).alias("_k"))
+                               for k in ks])).alias("_cut")
+    exploded = cum.select("*", cuts).select("*", "_cut.k_pct", "_cut._k").drop("_cut")
+    bounds = exploded.filter((F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_c") >= F.col("_k"))).select(
+        "k_pct", F.col(score).alias("_bscore"), (F.col("_k") - F.col("_before")).alias("_slots"),
+        F.col("_c").alias("_bc"), "_pos_before", F.col("_p").alias("_bp"), "_n", "_npos", "_k")
     # positives among the boundary slots: rank the boundary rows by entity (only those rows are touched)
     tie = df.join(F.broadcast(bounds.select("k_pct", "_bscore", "_slots", "_bc")),
                   F.col(score).eqNullSafe(F.col("_bscore")))  # ≤ len(ks) rows, bounded by construction
