@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelkit.operators.ranking import running_sums, should_distribute
 from panelkit.operators.topk import k_of, topk_flags
 from panelkit.schema import DEFAULT, PanelSchema
 
@@ -22,18 +23,26 @@ def _ratio(num: Column, den: Column, empty) -> Column:
 
 
 def auc_table(df: DataFrame, score: str = "score", target: str = "target", by: list[str] | None = None,
-              one_class: float | None = 0.5) -> DataFrame:
+              one_class: float | None = 0.5, distribute: bool | None = False) -> DataFrame:
     """A10: tie-aware ROC AUC (Mann–Whitney with half credit for ties), optionally per group.
 
     One class only → ``one_class`` (0.5 in the evaluation module, None in the dashboard dialect).
+    The per-score table is bounded by the distinct scores (≤ 1,000,001 per group for 4-decimal scores on 0..100)
+    and its running sum is a window; for unrounded continuous scores pass ``distribute=True`` (or None to decide
+    from the table's size) to compute the running sum with range partitioning instead.
     """
     by = by or []
     y = F.col(target)
     per_score = df.groupBy(*by, score).agg(
         F.count_if(y == 1).alias("_pos"), F.count_if(y != 1).alias("_neg"))
-    below = Window.partitionBy(*by).orderBy(F.col(score).asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, -1)
-    scored = per_score.withColumn("_neg_below", F.coalesce(F.sum("_neg").over(below), F.lit(0)))
+    if distribute is None:
+        distribute = should_distribute(per_score)
+    if distribute:
+        scored = running_sums(per_score, [F.col(score).asc_nulls_first()], {"_neg_below": F.col("_neg")}, by=by)
+    else:
+        below = Window.partitionBy(*by).orderBy(F.col(score).asc_nulls_first()).rowsBetween(
+            Window.unboundedPreceding, -1)
+        scored = per_score.withColumn("_neg_below", F.coalesce(F.sum("_neg").over(below), F.lit(0)))
     agg = scored.groupBy(*by).agg(
         F.sum(F.col("_pos") * (F.col("_neg_below") + F.col("_neg") * 0.5)).alias("_u"),
         F.sum("_pos").alias("n_pos"),

@@ -20,8 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelkit.operators.ranking import row_numbers
 from panelkit.schema import DEFAULT, PanelSchema
 
+# strata whose boundary rows are read back to the driver (one row each); rows tied on a boundary score are ranked
+# with a plain window up to TIE_WINDOW_LIMIT rows per stratum and with range-partitioned ranking above it
+MAX_STRATA_ON_DRIVER = 100_000
+TIE_WINDOW_LIMIT = 2_000_000
+
 
 def k_of(n: Column, k_pct: float) -> Column:
     """W1 k = max(1, ceil(n · K / 100)) in double arithmetic (as a float multiply, not a decimal one)."""
@@ -94,12 +100,21 @@ def _threshold_flags(work: DataFrame, k_pct: float, score: str, keys: list[str],
         F.col("_pos").alias("_bpos"),
         (F.col("_k") - F.col("_before")).alias("_slots"),
         (F.col("_c") == F.col("_k") - F.col("_before")).alias("_whole"),
+        F.col("_c").alias("_tie_rows"),
     )
+    # One boundary row per stratum: read it back (driver-sized) so the per-score aggregate runs exactly once and the
+    # size of the tie groups is known before choosing how to rank them.
+    rows = bounds.collect()
+    if len(rows) <= MAX_STRATA_ON_DRIVER:
+        bounds = work.sparkSession.createDataFrame(rows, bounds.schema) if rows else bounds.limit(0)
+        largest_tie = max([r["_tie_rows"] for r in rows if not r["_whole"]] or [0])
+    else:
+        largest_tie = None
     cond = None
     for k in keys:
         e = F.col(k).eqNullSafe(F.col(f"_b_{k}"))
         cond = e if cond is None else cond & e
-    marked = work.join(bounds, cond, "left")
+    marked = work.join(F.broadcast(bounds) if largest_tie is not None else bounds, cond, "left")
     s = F.col(score)
     bs = F.col("_bscore")
     above = F.when(bs.isNull(), s.isNotNull()).otherwise(s > bs)
@@ -115,9 +130,14 @@ def _threshold_flags(work: DataFrame, k_pct: float, score: str, keys: list[str],
     flagged = marked.withColumn(alert, pre)
     settled = flagged.filter(F.col(alert).isNotNull())
     tie_rows = flagged.filter(F.col(alert).isNull())
-    w = Window.partitionBy(*keys).orderBy(F.col(entity).asc())
-    tie_rows = tie_rows.withColumn(alert, F.row_number().over(w) <= F.col("_slots"))
-    drop = [f"_b_{k}" for k in keys] + ["_bscore", "_bpos", "_slots", "_whole"]
+    if largest_tie is None or largest_tie > TIE_WINDOW_LIMIT:
+        # a hot score value on the boundary: rank its rows by entity with range partitioning, not in one task
+        ranked = row_numbers(tie_rows, [F.col(entity).asc()], "_rn", by=keys)
+        tie_rows = ranked.withColumn(alert, F.col("_rn") <= F.col("_slots")).drop("_rn")
+    else:
+        w = Window.partitionBy(*keys).orderBy(F.col(entity).asc())
+        tie_rows = tie_rows.withColumn(alert, F.row_number().over(w) <= F.col("_slots"))
+    drop = [f"_b_{k}" for k in keys] + ["_bscore", "_bpos", "_slots", "_whole", "_tie_rows"]
     return settled.unionByName(tie_rows).drop(*drop)
 
 

@@ -13,6 +13,7 @@ from panelkit.operators import pairs as P
 from panelkit.plans import bindings as B
 from panelkit.plans.common import DIGITS, round_doubles
 from panelkit.plans.registry import query
+from panelkit.session import materialize
 
 GV = FE.GROUP_VARS
 SQL_STAT = {"mean": "avg({v})", "std": "stddev_samp({v})", "_p25": "quantile_cont({v}, 0.25)",
@@ -20,8 +21,9 @@ SQL_STAT = {"mean": "avg({v})", "std": "stddev_samp({v})", "_p25": "quantile_con
 
 
 def _split(spark, sf_dir):
+    """Train / valid pairs. The pair table feeds both sides and several passes, so its lineage is cut once."""
     panel = B.cust_year(spark, sf_dir)
-    return P.temporal_split(P.build_pairs(panel), panel)
+    return P.temporal_split(materialize(P.build_pairs(panel)), panel)
 
 
 BASE_SQL = B.B2_SQL + """,

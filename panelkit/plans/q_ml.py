@@ -22,7 +22,7 @@ SMALL_GBT = {"max_iter": 30, "depth": 4}
 
 def _feature_sets(spark, sf_dir):
     panel = B.cust_year(spark, sf_dir)
-    train, valid = P.temporal_split(P.build_pairs(panel), panel)
+    train, valid = P.temporal_split(materialize(P.build_pairs(panel)), panel)
     tr, va, _ = FE.build_features(train, valid, keys_mode="latest")
     # training iterates over its input many times: cut the feature lineage once (reliable checkpoint)
     tr, va = materialize(tr), materialize(va)

@@ -103,3 +103,35 @@ def test_sampler_is_deterministic_and_bounded(spark):
     a = sorted(r.ra for r in K.sample_per_stratum(df, "fase", "ra", 25).collect())
     b = sorted(r.ra for r in K.sample_per_stratum(df, "fase", "ra", 25).collect())
     assert a == b and len(a) == 75
+
+
+def test_distributed_tie_ranking_equals_window(spark, monkeypatch):
+    from panelkit.operators import topk as KK
+
+    rnd = random.Random(5)
+    rows = [(i, f"S{i % 2}", float(rnd.choice([1, 2, 2, 2, 3])), i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "ra long, fase string, score double, target int")
+    want = {r.ra: r.alerta for r in KK.stratified_alerts(df, 30.0, method="row_number").collect()}
+    monkeypatch.setattr(KK, "TIE_WINDOW_LIMIT", 0)
+    got = {r.ra: r.alerta for r in KK.stratified_alerts(df, 30.0).collect()}
+    assert got == want
+
+
+def test_running_sums_match_window(spark):
+    from pyspark.sql import Window
+
+    from panelkit.operators.ranking import running_sums
+
+    rows = [(i, f"G{i % 3}", float(i % 7)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, g string, v double")
+    got = {r.id: r.cum for r in running_sums(df, [F.col("id")], {"cum": F.col("v")}, by=["g"], partitions=7).collect()}
+    w = Window.partitionBy("g").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    want = {r.id: r.cum for r in df.select("id", F.coalesce(F.sum("v").over(w), F.lit(0.0)).alias("cum")).collect()}
+    assert got == want
+
+
+def test_distributed_auc_equals_window(spark):
+    df = _scored(spark, 300, 3, seed=9, pos_hi=False)
+    a = {r.fase: r.auc for r in M.auc_table(df, by=["fase"]).collect()}
+    b = {r.fase: r.auc for r in M.auc_table(df, by=["fase"], distribute=True).collect()}
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
