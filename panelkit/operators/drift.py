@@ -165,3 +165,27 @@ def baseline_snapshot(baseline: DataFrame, score: str = "score", stratum: str =
 def with_scale(df: DataFrame, score: str = "score", factor: float = 0.01) -> DataFrame:
     """Scores on 0..100 → 0..1 (the drift functions work on probabilities)."""
     return df.withColumn(score, F.col(score).cast("double") * factor)
+
+
+def drift_report(mode: str, valid: DataFrame | None = None, train: DataFrame | None = None,
+                 baseline: DataFrame | None = None, current: DataFrame | None = None, score: str = "score",
+                 stratum: str | None = "fase", threshold: float = 0.2) -> tuple[DataFrame | None, DataFrame | None]:
+    """T4: one entry point for the three drift modes; returns (summary, per-stratum) or (None, None) when there is no
+    current data ('no_current_data').
+
+    internal: the validation scores against themselves; oot: training scores (baseline) against validation scores;
+    prod: a frozen baseline against production scores already restricted to the trailing window (S6)."""
+    if mode == "internal":
+        base, cur = valid, valid
+    elif mode == "oot":
+        base, cur = train, valid
+    elif mode == "prod":
+        base, cur = baseline, current
+    else:
+        raise ValueError(f"unknown drift mode {mode!r}")
+    if cur is None or base is None or cur.filter(F.col(score).isNotNull()).limit(1).count() == 0:
+        return None, None
+    b = base.filter(F.col(score).isNotNull())
+    c = cur.filter(F.col(score).isNotNull())
+    per = stratum_drift(b, c, score, stratum, threshold) if stratum else None
+    return drift_summary(b, c, score, None, threshold), per

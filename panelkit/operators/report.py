@@ -160,13 +160,31 @@ def latest_record(df: DataFrame, entity: str, period: str) -> DataFrame:
 
 def trajectory(df: DataFrame, entity: str, period: str, value: str) -> DataFrame:
     """Per entity, the (period, value) history in period order and the change since the previous period.
-    The history of one entity is bounded by the number of periods."""
-    hist = df.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(period, value))).alias("history"))
+
+    Rows are first reduced to one per (entity, period) with a map-side-combined aggregate, so an entity's history is
+    bounded by the number of periods even when an id is duplicated across a large share of the rows."""
+    one = df.groupBy(entity, period).agg(F.min(F.col(value)).alias(value))
+    hist = one.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(period, value))).alias("history"))
     w = Window.partitionBy(entity).orderBy(period)
-    change = df.select(entity, period, value, (F.col(value) - F.lag(value).over(w)).alias("change"))
+    change = one.select(entity, period, value, (F.col(value) - F.lag(value).over(w)).alias("change"))
     return hist, change
 
 
+def explain_entities(scored: DataFrame, entity: str = "ra", period: str = "ano_base",
+                     factor_values: list[str] | None = None) -> DataFrame:
+    """P17 in batch form: for every entity its latest scored row (W8) with the (feature, attribution, own value)
+    triples of its top factors; entities without a row simply do not appear (the point lookup's 'not found')."""
+    latest = latest_record(scored, entity, period)
+    cols = factor_values or []
+    own = F.map_from_arrays(F.array(*[F.lit(c) for c in cols]), F.array(*[F.col(c).cast("double") for c in cols])) \
+        if cols else F.create_map().cast("map<string,double>")
+    triples = F.transform(F.arrays_zip(F.col("top3_factors").alias("f"), F.col("top3_values").alias("v")),
+                          lambda e: F.struct(e["f"].alias("feature"), e["v"].alias("shap_value"),
+                                             F.try_element_at(own, e["f"]).alias("student_value")))
+    return latest.select(entity, period, "score", *[c for c in ("alerta", "fase") if c in latest.columns],
+                         triples.alias("top_factors"))
+
+
 def filter_vocabularies(df: DataFrame, period: str = "ano_base", stratum: str = "fase",
                         group: str = "turma") -> DataFrame:
     """Distinct non-null periods, strata (ordered by the stratum sort key, then text) and groups as one long

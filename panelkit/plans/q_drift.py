@@ -143,3 +143,26 @@ SELECT fase, 0.0 AS psi, 0.2 AS threshold, false AS drift_detected, 'ok' AS seve
 def baseline_snapshot(spark, sf_dir):
     b, _ = _sides(spark, sf_dir)
     return D.baseline_snapshot(b, stratum="fase")
+
+
+@query("drift_report_oot", B.with_ctes(SIDES_SQL, PSI_ALL_SQL) + _summary_sql("'__all__' AS scope", "psi_all.psi", "tb", "tc")
+       + " FROM psi_all, (SELECT * FROM tot_all WHERE side = 'b') tb, (SELECT * FROM tot_all WHERE side = 'c') tc",
+       ids=("T4", "A15"))
+def drift_report_oot(spark, sf_dir):
+    """T4 'oot' mode: training-period scores (orders up to 1997) as baseline, later scores as current."""
+    train, valid = _sides(spark, sf_dir)
+    summary, _ = D.drift_report("oot", valid=valid, train=train)
+    return summary
+
+
+@query("drift_report_internal", B.with_ctes(SIDES_SQL) + """,
+c AS (SELECT * FROM tot_all WHERE side = 'c')
+SELECT '__all__' AS scope, 0.0 AS psi, 0.2 AS threshold, false AS drift_detected, 'ok' AS severity,
+  round_even(m, 4) AS baseline_mean, round_even(m, 4) AS current_mean, round_even(sd, 4) AS baseline_std,
+  round_even(sd, 4) AS current_std, CAST(n AS BIGINT) AS n_baseline, CAST(n AS BIGINT) AS n_current, 'ok' AS status
+FROM c""", ids=("T4", "A17"))
+def drift_report_internal(spark, sf_dir):
+    """T4 'internal' mode: the validation scores against themselves (PSI 0)."""
+    _, valid = _sides(spark, sf_dir)
+    summary, _ = D.drift_report("internal", valid=valid)
+    return summary

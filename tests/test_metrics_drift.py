@@ -135,3 +135,30 @@ def test_distributed_auc_equals_window(spark):
     a = {r.fase: r.auc for r in M.auc_table(df, by=["fase"]).collect()}
     b = {r.fase: r.auc for r in M.auc_table(df, by=["fase"], distribute=True).collect()}
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
+
+
+def test_drift_report_modes(spark):
+    xs = _scores(spark, [0.1 * (i % 10) for i in range(100)]).withColumn("fase", F.lit("F1"))
+    ys = _scores(spark, [0.05 * (i % 20) for i in range(80)]).withColumn("fase", F.lit("F1"))
+    s, per = D.drift_report("internal", valid=xs)
+    assert s.first().psi == 0.0 and per.count() == 1
+    s, _ = D.drift_report("oot", valid=ys, train=xs)
+    assert s.first().n_baseline == 100 and s.first().n_current == 80
+    empty = spark.createDataFrame([], "score double, fase string")
+    assert D.drift_report("prod", baseline=xs, current=empty) == (None, None)
+    with pytest.raises(ValueError):
+        D.drift_report("weekly", valid=xs)
+
+
+def test_explain_entities(spark):
+    from panelkit.operators.report import explain_entities
+
+    df = spark.createDataFrame([
+        ("RA-1", 2022, 40.0, ["ieg", "matem"], [0.3, -0.2], 5.0, 7.0),
+        ("RA-1", 2023, 55.0, ["matem", "ieg"], [0.5, 0.1], 4.0, 6.0),
+        ("RA-2", 2023, 10.0, ["ieg"], [-0.4], 8.0, None)],
+        "ra string, ano_base int, score double, top3_factors array<string>, top3_values array<double>, "
+        "ieg double, matem double")
+    out = {r.ra: r for r in explain_entities(df, factor_values=["ieg", "matem"]).collect()}
+    assert out["RA-1"].ano_base == 2023 and out["RA-1"].top_factors[0].feature == "matem"
+    assert out["RA-1"].top_factors[0].student_value == 6.0 and out["RA-2"].top_factors[0].shap_value == -0.4
