@@ -185,3 +185,19 @@ SELECT "column", round(missing_rate, 9) AS missing_rate FROM (
 def panel_missing_by_column(spark, sf_dir):
     cols = ["matem", "portug", "ingles", "ieg", "iaa", "ips", "ipp"]
     return round_doubles(FE.missing_by_column(B.cust_year(spark, sf_dir), cols))
+
+
+@query("missingness_ranking", B.with_ctes(B.B1_SQL) + """
+SELECT "column", round(missing_rate, 9) AS missing_rate FROM (
+  UNPIVOT (SELECT avg(CAST(matem IS NULL AS DOUBLE)) AS matem, avg(CAST(portug IS NULL AS DOUBLE)) AS portug,
+                  avg(CAST(ingles IS NULL AS DOUBLE)) AS ingles, avg(CAST(ieg IS NULL AS DOUBLE)) AS ieg,
+                  avg(CAST(iaa IS NULL AS DOUBLE)) AS iaa, avg(CAST(ips IS NULL AS DOUBLE)) AS ips,
+                  avg(CAST(ipp IS NULL AS DOUBLE)) AS ipp, avg(CAST(turma IS NULL AS DOUBLE)) AS turma,
+                  avg(CAST(genero IS NULL AS DOUBLE)) AS genero FROM cust_year)
+  ON matem, portug, ingles, ieg, iaa, ips, ipp, turma, genero INTO NAME "column" VALUE missing_rate)
+ORDER BY missing_rate DESC, "column" LIMIT 5""", ids=("W13", "A5"))
+def missingness_ranking(spark, sf_dir):
+    """The most-missing columns, descending (a top-n: the limit is the feature)."""
+    cols = ["matem", "portug", "ingles", "ieg", "iaa", "ips", "ipp", "turma", "genero"]
+    out = FE.missing_by_column(B.cust_year(spark, sf_dir), cols)
+    return round_doubles(out.orderBy(F.col("missing_rate").desc(), F.col("column")).limit(5))

@@ -250,3 +250,29 @@ def top3_factors(spark, sf_dir):
     n, v = K.top3_by_magnitude(names, vals)
     return df.select("ra", "ano_base", n.alias("top3_factors"),
                      F.transform(v, lambda x: F.round(x, 9)).alias("top3_values"))
+
+
+@query("model_comparison_on_k", B.with_ctes(B.B3_SQL) + f""",
+two AS (SELECT ra, target, score AS score_a, CAST(ra % 100 AS DOUBLE) AS score_b FROM scored),
+ks AS (SELECT unnest([10.0, 15.0, 20.0, 25.0]) AS k_pct),
+ga AS (SELECT *, row_number() OVER (ORDER BY score_a DESC, ra) AS rn, count(*) OVER () AS n, sum(target) OVER () AS np
+       FROM two),
+gb AS (SELECT *, row_number() OVER (ORDER BY score_b DESC, ra) AS rn, count(*) OVER () AS n, sum(target) OVER () AS np
+       FROM two),
+a AS (SELECT k_pct, CAST(sum(target) AS DOUBLE) / count(*) AS precision_a,
+             CAST(sum(target) AS DOUBLE) / max(np) AS recall_a
+      FROM ks JOIN ga ON ga.rn <= greatest(1, ceil(CAST(ga.n AS DOUBLE) * ks.k_pct / 100.0)) GROUP BY k_pct),
+b AS (SELECT k_pct, CAST(sum(target) AS DOUBLE) / count(*) AS precision_b,
+             CAST(sum(target) AS DOUBLE) / max(np) AS recall_b
+      FROM ks JOIN gb ON gb.rn <= greatest(1, ceil(CAST(gb.n AS DOUBLE) * ks.k_pct / 100.0)) GROUP BY k_pct)
+SELECT a.k_pct, round(precision_a, {R}) AS precision_a, round(recall_a, {R}) AS recall_a,
+       round(precision_b, {R}) AS precision_b, round(recall_b, {R}) AS recall_b
+FROM a LEFT JOIN b USING (k_pct)""", ids=("J6", "W1", "W2"))
+def model_comparison_on_k(spark, sf_dir):
+    """Two models' global top-K tables (the order-value score and a weak id-based score) left-joined on K."""
+    s = B.scored(spark, sf_dir).withColumn("score_b", (F.col("ra") % 100).cast("double"))
+    a = M.global_topk_metrics(s, score="score", target="target", entity="ra").select(
+        "k_pct", F.col("precision").alias("precision_a"), F.col("recall").alias("recall_a"))
+    b = M.global_topk_metrics(s, score="score_b", target="target", entity="ra").select(
+        "k_pct", F.col("precision").alias("precision_b"), F.col("recall").alias("recall_b"))
+    return round_doubles(a.join(b, "k_pct", "left"))
