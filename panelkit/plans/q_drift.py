@@ -96,7 +96,7 @@ def psi_contributions(spark, sf_dir):
 
 
 def _summary_sql(scope: str, psi: str, tb: str, tc: str) -> str:
-    return f"""SELECT {scope}, round_even({psi}, 4) AS psi, 0.2 AS threshold, {psi} >= 0.2 AS drift_detected,
+    return f"""SELECT {scope}, round_even({psi}, 4) AS psi, CAST(0.2 AS DOUBLE) AS threshold, {psi} >= 0.2 AS drift_detected,
   CASE WHEN {psi} < 0.1 THEN 'ok' WHEN {psi} < 0.2 THEN 'warning' ELSE 'critical' END AS severity,
   round_even(coalesce({tb}.m, 0.0), 4) AS baseline_mean, round_even(coalesce({tc}.m, 0.0), 4) AS current_mean,
   round_even(coalesce({tb}.sd, 0.0), 4) AS baseline_std, round_even(coalesce({tc}.sd, 0.0), 4) AS current_std,
@@ -136,7 +136,7 @@ def stratum_drift(spark, sf_dir):
 @query("baseline_snapshot", B.with_ctes(B.B3_SQL) + """,
 t AS (SELECT fase, count(*) AS n, avg(score / 100.0) AS m, stddev_pop(score / 100.0) AS sd FROM scored
       WHERE ano_base <= 1997 GROUP BY fase HAVING count(*) >= 5)
-SELECT fase, 0.0 AS psi, 0.2 AS threshold, false AS drift_detected, 'ok' AS severity,
+SELECT fase, CAST(0.0 AS DOUBLE) AS psi, CAST(0.2 AS DOUBLE) AS threshold, false AS drift_detected, 'ok' AS severity,
        round_even(m, 4) AS baseline_mean, round_even(m, 4) AS current_mean, round_even(sd, 4) AS baseline_std,
        round_even(sd, 4) AS current_std, CAST(n AS BIGINT) AS n_baseline, CAST(n AS BIGINT) AS n_current,
        'ok' AS status FROM t""", ids=("A17",))
@@ -157,7 +157,7 @@ def drift_report_oot(spark, sf_dir):
 
 @query("drift_report_internal", B.with_ctes(SIDES_SQL) + """,
 c AS (SELECT * FROM tot_all WHERE side = 'c')
-SELECT '__all__' AS scope, 0.0 AS psi, 0.2 AS threshold, false AS drift_detected, 'ok' AS severity,
+SELECT '__all__' AS scope, CAST(0.0 AS DOUBLE) AS psi, CAST(0.2 AS DOUBLE) AS threshold, false AS drift_detected, 'ok' AS severity,
   round_even(m, 4) AS baseline_mean, round_even(m, 4) AS current_mean, round_even(sd, 4) AS baseline_std,
   round_even(sd, 4) AS current_std, CAST(n AS BIGINT) AS n_baseline, CAST(n AS BIGINT) AS n_current, 'ok' AS status
 FROM c""", ids=("T4", "A17"))

@@ -147,7 +147,9 @@ def features_valid_latest(spark, sf_dir):
 
 def _stats_select(level: str, keys: list[str]) -> str:
     cols = [FE.stat_name(level, st, v) for v in GV for st in FE.STATS]
-    return f" SELECT {', '.join(keys)}, {', '.join(f'round({c}, {DIGITS}) AS {c}' for c in cols)} FROM st_{level}"
+    # the stratum key is a 64-bit integer on the Spark side (lenient stratum parse)
+    key_sql = [f"CAST({k} AS BIGINT) AS {k}" if k == "fase" else k for k in keys]
+    return f" SELECT {', '.join(key_sql)}, {', '.join(f'round({c}, {DIGITS}) AS {c}' for c in cols)} FROM st_{level}"
 
 
 @query("group_stats_by_group", B.with_ctes(BASE_SQL, _stats_cte("turma", ["ano_base", "turma"], "TRUE"))

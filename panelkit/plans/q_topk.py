@@ -36,7 +36,7 @@ SELECT {sel}CAST(count(*) AS BIGINT) AS n, CAST(sum(alerta) AS BIGINT) AS n_aler
     / nullif(count(*) FILTER (WHERE alerta = 1), 0), 0.0), {R}) AS precision_at_k,
   round(CASE WHEN avg(CAST(target AS DOUBLE)) > 0 THEN coalesce(CAST(count(*) FILTER (WHERE alerta = 1 AND target = 1)
     AS DOUBLE) / nullif(count(*) FILTER (WHERE alerta = 1), 0), 0.0) / avg(CAST(target AS DOUBLE)) END, {R}) AS lift_at_k,
-  15.0 AS k_pct
+  CAST(15.0 AS DOUBLE) AS k_pct
 FROM flagged {grp}"""
 
 
@@ -127,7 +127,7 @@ def evaluation_overall(spark, sf_dir):
 
 
 @query("evaluation_global_topk", B.with_ctes(B.B3N_SQL + EVAL_SQL) + f""",
-ks AS (SELECT unnest([10.0, 15.0, 20.0, 25.0]) AS k_pct)
+ks AS (SELECT unnest([10.0, 15.0, 20.0, 25.0]::DOUBLE[]) AS k_pct)
 SELECT k_pct, round(coalesce(CAST(sum(target) AS DOUBLE) / nullif(max(npos), 0), 0.0), {R}) AS recall,
        round(CAST(sum(target) AS DOUBLE) / count(*), {R}) AS precision,
        round(CASE WHEN max(npos) > 0 THEN (CAST(sum(target) AS DOUBLE) / count(*)) / (CAST(max(npos) AS DOUBLE) / max(n))
@@ -170,7 +170,7 @@ def roc_curve(spark, sf_dir):
 @query("k_tradeoff_curve", B.with_ctes(B.B3N_SQL) + f""",
 v AS (SELECT ra, score, target, row_number() OVER (ORDER BY score DESC, ra) AS grn, count(*) OVER () AS n,
              sum(target) OVER () AS npos FROM scored_nulls WHERE score IS NOT NULL AND target IS NOT NULL),
-ks AS (SELECT unnest([10.0, 15.0, 20.0, 25.0]) AS k_pct)
+ks AS (SELECT unnest([10.0, 15.0, 20.0, 25.0]::DOUBLE[]) AS k_pct)
 SELECT k_pct, round(CAST(sum(target) AS DOUBLE) / count(*), {R}) AS precision,
        round(coalesce(CAST(sum(target) AS DOUBLE) / nullif(max(npos), 0), 0.0), {R}) AS recall
 FROM ks JOIN v ON v.grn <= greatest(1, ceil(CAST(v.n AS DOUBLE) * ks.k_pct / 100.0)) GROUP BY k_pct""", ids=("W12",))
@@ -254,7 +254,7 @@ def top3_factors(spark, sf_dir):
 
 @query("model_comparison_on_k", B.with_ctes(B.B3_SQL) + f""",
 two AS (SELECT ra, target, score AS score_a, CAST(ra % 100 AS DOUBLE) AS score_b FROM scored),
-ks AS (SELECT unnest([10.0, 15.0, 20.0, 25.0]) AS k_pct),
+ks AS (SELECT unnest([10.0, 15.0, 20.0, 25.0]::DOUBLE[]) AS k_pct),
 ga AS (SELECT *, row_number() OVER (ORDER BY score_a DESC, ra) AS rn, count(*) OVER () AS n, sum(target) OVER () AS np
        FROM two),
 gb AS (SELECT *, row_number() OVER (ORDER BY score_b DESC, ra) AS rn, count(*) OVER () AS n, sum(target) OVER () AS np
