@@ -100,3 +100,10 @@ def test_standardize_literal_renames_are_case_sensitive(spark):
     assert "Matem" in out.columns and [c.lower() for c in out.columns].count("matem") == 1
     row = out.first()
     assert row.Matem == "7,5" and row.ano_nasc == 2005 and row.idade == 18
+
+
+def test_full_nfkd_fold_matches_native_on_latin_text(spark):
+    df = spark.createDataFrame([("ção àéîõü",), ("ﬁ Ｆｕｌｌ",), (None,)], "x string")
+    rows = df.select(T.strip_accents(F.col("x")).alias("a"), T.strip_accents_full(F.col("x")).alias("b")).collect()
+    assert rows[0].a == rows[0].b == "cao aeiou"
+    assert rows[1].b == "fi Full" and rows[2].b is None
