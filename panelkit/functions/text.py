@@ -101,8 +101,7 @@ def _nfkd_udf():
         import pandas as pd
         from pyspark.sql.functions import pandas_udf
 
-        @pandas_udf("string")
-        def nfkd_fold(s: pd.Series) -> pd.Series:
+        def nfkd_fold(s):
             def one(v):
                 if v is None:
                     return None
@@ -111,5 +110,7 @@ def _nfkd_udf():
 
             return s.map(one)
 
-        _NFKD = nfkd_fold
+        # real (not postponed) annotations: Series → Series marks a scalar Arrow-batched UDF
+        nfkd_fold.__annotations__ = {"s": pd.Series, "return": pd.Series}
+        _NFKD = pandas_udf(nfkd_fold, "string")
     return _NFKD
