@@ -41,10 +41,11 @@ def dedup_first(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def period_table(df: DataFrame, schema: PanelSchema = DEFAULT) -> DataFrame:
-    """Distinct periods with the next available period and the last period.
+    """Distinct periods with the next available period, the last period and the period rank.
 
     The table has one row per distinct period (a handful of years), so the un-partitioned window below runs on a
-    few rows; joins against it are turned into broadcast joins by AQE from the measured size.
+    few rows; it stays lazy so it is computed inside the jobs that use it, and joins against it are turned into
+    broadcast joins by AQE from the measured size.
     """
     p = schema.period
     periods = df.select(p).filter(F.col(p).isNotNull()).distinct()
@@ -57,9 +58,10 @@ def period_table(df: DataFrame, schema: PanelSchema = DEFAULT) -> DataFrame:
     )
 
 
-def require_periods(df: DataFrame, schema: PanelSchema = DEFAULT, minimum: int = 3) -> int:
+def require_periods(df: DataFrame, schema: PanelSchema = DEFAULT, minimum: int = 3,
+                    periods: DataFrame | None = None) -> int:
     """Raise when fewer than ``minimum`` periods exist (a temporal split needs train pairs and one valid pair)."""
-    n = df.select(schema.period).filter(F.col(schema.period).isNotNull()).distinct().count()
+    n = (periods if periods is not None else period_table(df, schema)).count()
     if n < minimum:
         raise ValueError(f"at least {minimum} periods are needed for a temporal split, found {n}")
     return n
@@ -121,10 +123,10 @@ def temporal_split(pairs: DataFrame, panel: DataFrame, schema: PanelSchema = DEF
     The latest pair is the one whose base period is the second-to-last available period; it is found by joining the
     tiny period table, never by collecting rows.
     """
-    if check:
-        require_periods(panel, schema)
     p = schema.period
     periods = period_table(clean_entity(panel, schema), schema)
+    if check:
+        require_periods(panel, schema, periods=periods)
     tagged = pairs.join(periods.select(p, _NEXT, _LAST), p)
     is_valid = F.col(_NEXT) == F.col(_LAST)
     cols = pairs.columns

@@ -197,9 +197,9 @@ SELECT "column", round(missing_rate, 9) AS missing_rate FROM (
                   avg(CAST(ipp IS NULL AS DOUBLE)) AS ipp, avg(CAST(turma IS NULL AS DOUBLE)) AS turma,
                   avg(CAST(genero IS NULL AS DOUBLE)) AS genero FROM cust_year)
   ON matem, portug, ingles, ieg, iaa, ips, ipp, turma, genero INTO NAME "column" VALUE missing_rate)
-ORDER BY missing_rate DESC, "column" LIMIT 5""", ids=("W13", "A5"))
+ORDER BY missing_rate DESC, "column" LIMIT 15""", ids=("W13", "A5"))
 def missingness_ranking(spark, sf_dir):
     """The most-missing columns, descending (a top-n: the limit is the feature)."""
     cols = ["matem", "portug", "ingles", "ieg", "iaa", "ips", "ipp", "turma", "genero"]
     out = FE.missing_by_column(B.cust_year(spark, sf_dir), cols)
-    return round_doubles(out.orderBy(F.col("missing_rate").desc(), F.col("column")).limit(5))
+    return round_doubles(out.orderBy(F.col("missing_rate").desc(), F.col("column")).limit(15))

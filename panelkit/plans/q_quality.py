@@ -9,6 +9,7 @@ from panelkit.operators import star as S
 from panelkit.plans import bindings as B
 from panelkit.plans.common import DIGITS, round_doubles
 from panelkit.plans.registry import query
+from panelkit.session import materialize
 
 R = DIGITS
 # current = panel years from 1999, train = earlier years
@@ -17,7 +18,8 @@ STR_COLS = ["ra", "turma", "genero", "instituicao"]
 
 
 def _cur_train(spark, sf_dir):
-    p = B.cust_year(spark, sf_dir)
+    # the quality card runs several one-row aggregates over the same panel: derive it once
+    p = materialize(B.cust_year(spark, sf_dir))
     return p.filter(F.col("ano_base") >= 1999), p.filter(F.col("ano_base") < 1999)
 
 

@@ -11,6 +11,7 @@ from panelkit.operators import report as RP
 from panelkit.plans import bindings as B
 from panelkit.plans.common import DIGITS, round_doubles
 from panelkit.plans.registry import query
+from panelkit.session import materialize
 
 R = DIGITS
 
@@ -65,10 +66,11 @@ def group_status(spark, sf_dir):
 
 def _metrics_row(spark, sf_dir):
     """psi (orders up to 1997 vs later), AUC of all orders, stratified K=15 precision / recall / lift."""
-    s = D.with_scale(B.scored(spark, sf_dir))
+    scored = materialize(B.scored(spark, sf_dir))  # three metric passes read the same scored table
+    s = D.with_scale(scored)
     psi = D.drift_summary(s.filter(F.col("ano_base") <= 1997), s.filter(F.col("ano_base") >= 1998)).first()["psi"]
-    auc = M.auc_table(B.scored(spark, sf_dir)).first()["auc"]
-    op = M.operational_metrics(B.scored(spark, sf_dir), 15.0).first()
+    auc = M.auc_table(scored).first()["auc"]
+    op = M.operational_metrics(scored, 15.0).first()
     return spark.createDataFrame([(float(psi), float(auc), float(op["precision_at_k"]), float(op["recall_at_k"]),
                                    float(op["lift_at_k"]))],
                                  "psi double, auc double, precision double, recall double, lift double")
