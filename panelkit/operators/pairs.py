@@ -147,7 +147,7 @@ def cohort_summary(panel: DataFrame, pairs: DataFrame, schema: PanelSchema = DEF
     """A3: per adjacent period pair, raw rows of the base period, on-track rows (state == 0), matched pairs, pairs
     used and positives. Pairs with no matches keep a row with zeros."""
     p, s = schema.period, schema.state
-    df = clean_entity(panel, schema)
+    df = panel  # raw counts cover every row of the period table, ids or not
     raw = df.groupBy(p).agg(
         F.count(F.lit(1)).alias("raw_total"),
         F.count_if(F.col(s) == 0).alias("eligible_ontrack"),
