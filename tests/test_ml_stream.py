@@ -79,3 +79,18 @@ def test_documents_roundtrip(spark):
     d = os.path.join(tempfile.mkdtemp(prefix="pk-doc-"), "metrics")
     S.save_document(spark, {"auc": 0.75, "per_fase": {"1": {"n": 3}}}, d)
     assert S.load_document(spark, d)["per_fase"]["1"]["n"] == 3
+
+
+def test_training_job_end_to_end(spark):
+    from panelkit.plans.train_job import run_training
+
+    out = tempfile.mkdtemp(prefix="pk-train-")
+    doc = run_training(B.cust_year(spark, SF), out, model_kind="logistic")
+    assert 0.0 <= doc["overall"]["auc"] <= 1.0
+    assert [r["k_pct"] for r in doc["global_topk"]] == [10.0, 15.0, 20.0, 25.0]
+    hist = spark.read.option("header", "true").csv(os.path.join(out, "evaluation", "scored_history.csv"))
+    assert hist.columns[:3] == ["ra", "ano_base", "pair_label"]
+    assert {r.dataset_split for r in hist.select("dataset_split").distinct().collect()} == {"train", "valid"}
+    assert S.load_document(spark, os.path.join(out, "model", "cohort_summary"))["cohort_summary"]
+    m, meta = ML.load_model(os.path.join(out, "model", "model"))
+    assert meta["model_kind"] == "logistic"
