@@ -174,7 +174,8 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
     return left.join(renamed, cond, "left").drop(*[f"_r_{k}" for k in keys])
 
 
-def apply_lookup(base: DataFrame, lookup: Lookup, schema: PanelSchema = DEFAULT) -> DataFrame:
+def apply_lookup(base: DataFrame, lookup: Lookup, schema: PanelSchema = DEFAULT,
+                 extra: list[str] | None = None) -> DataFrame:
     """J3 + F21–F24 + P12: join the three statistic tables, fall back group → stratum → global, derive deltas,
     guarded z-scores and below-quartile flags, then select identifiers, base columns and derived columns."""
     df = base
@@ -211,7 +212,7 @@ def apply_lookup(base: DataFrame, lookup: Lookup, schema: PanelSchema = DEFAULT)
                  st, f"{st}_is0", f"{st}_bin_1", f"{st}_bin_2plus",
                  *schema.exam_cols, "fez_ingles", "media_provas", "disp_provas", "ieg", "iaa", "ips", "ipp"]
     present = set(df.columns)
-    keep = [F.col(c) for c in id_cols + base_cols if c in present and c != schema.state_t1]
+    keep = [F.col(c) for c in id_cols + base_cols + list(extra or []) if c in present and c != schema.state_t1]
     return df.select(*keep, *derived)
 
 

@@ -30,9 +30,11 @@ def score_batch(batch: DataFrame, batch_id: int, model, num: list[str], cat: lis
     """Score one micro-batch and persist its snapshot and drift event (idempotent per batch id)."""
     ts = (now or datetime.now(timezone.utc)).astimezone(timezone.utc)
     request_id = f"batch_{batch_id:08d}"
-    rows = batch.withColumn("_row_id", F.monotonically_increasing_id())
-    feats = FE.finalize(FE.apply_lookup(FE.base_columns(rows, schema), lookup, schema), lookup, False, schema)
-    feats = feats.join(rows.select(schema.entity, "_row_id"), schema.entity)
+    # the micro-batch feeds the snapshot and the drift event: persist it once (bounded by maxFilesPerTrigger) so the
+    # row key assigned here is the one both outputs see
+    rows = batch.withColumn("_row_id", F.monotonically_increasing_id()).persist()
+    base = FE.base_columns(rows, schema)
+    feats = FE.finalize(FE.apply_lookup(base, lookup, schema, extra=["_row_id"]), lookup, False, schema)
     scored = ML.score(model, feats, num, cat, schema.target, keep=[schema.entity, schema.stratum, "_row_id"])
     alerted = topk_flags(scored.withColumn(schema.stratum, F.col(schema.stratum).cast("string")), k_pct,
                          "score", schema.stratum, schema.entity, schema.alert)
@@ -47,13 +49,16 @@ def score_batch(batch: DataFrame, batch_id: int, model, num: list[str], cat: lis
         "event_type": F.lit("predict_batch"), "request_id": F.lit(request_id),
         "timestamp_utc": F.lit(ts.isoformat())})
     drift.write.mode("overwrite").json(os.path.join(out_dir, "drift_events", f"batch={batch_id}"))
+    rows.unpersist()
 
 
 def start_scoring(spark: SparkSession, request_dir: str, request_schema: str, model, num: list[str], cat: list[str],
                   lookup: FE.Lookup, baseline: DataFrame, out_dir: str, k_pct: float = 15.0, name: str = "scoring",
-                  available_now: bool = True) -> StreamingQuery:
-    """File source → foreachBatch(score_batch); the stream checkpoint lives in the shared checkpoint folder."""
-    stream = spark.readStream.schema(request_schema).json(request_dir)
+                  available_now: bool = True, max_files_per_trigger: int = 1000) -> StreamingQuery:
+    """File source → foreachBatch(score_batch); the stream checkpoint lives in the shared checkpoint folder and
+    ``maxFilesPerTrigger`` bounds the size of one micro-batch."""
+    stream = (spark.readStream.schema(request_schema).option("maxFilesPerTrigger", max_files_per_trigger)
+              .json(request_dir))
     ckpt = os.path.join(ensure_checkpoint_dir(spark), f"stream-{name}")
 
     def run(batch: DataFrame, batch_id: int) -> None:
