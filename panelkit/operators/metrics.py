@@ -215,10 +215,13 @@ def alerts_by_stratum(flagged: DataFrame, stratum: str = "fase", alert: str = "a
     return agg.withColumn("pct_alerta", _ratio(100 * F.col("alertas"), F.col("total"), 0.0))
 
 
-def score_summary(df: DataFrame, score: str = "score") -> DataFrame:
-    """Mean, p90 and p99 of the non-null scores (linear interpolation), 0 when there are none."""
+def score_summary(df: DataFrame, score: str = "score", approx: bool = False) -> DataFrame:
+    """Mean, p90 and p99 of the non-null scores (linear interpolation), 0 when there are none. Scores from the
+    scoring step have ≤ 1,000,001 distinct values, which bounds the exact percentile's buffer; ``approx=True`` uses a
+    mergeable sketch for unbounded inputs."""
     s = F.col(score).cast("double")
-    agg = df.agg(F.avg(s).alias("m"), F.percentile(s, F.array(F.lit(0.9), F.lit(0.99))).alias("q"))
+    q = F.percentile_approx(s, [0.9, 0.99], 10000) if approx else F.percentile(s, F.array(F.lit(0.9), F.lit(0.99)))
+    agg = df.agg(F.avg(s).alias("m"), q.alias("q"))
     return agg.select(F.coalesce("m", F.lit(0.0)).alias("score_mean"),
                       F.coalesce(F.col("q")[0], F.lit(0.0)).alias("score_p90"),
                       F.coalesce(F.col("q")[1], F.lit(0.0)).alias("score_p99"))

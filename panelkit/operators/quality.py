@@ -21,14 +21,31 @@ def string_cols(df: DataFrame) -> list[str]:
     return [c for c, t in df.dtypes if t == "string"]
 
 
-def iqr_outliers(df: DataFrame, cols: list[str] | None = None, max_cols: int = 20) -> DataFrame:
+EXACT_LIMIT = 20_000_000
+
+
+def exact_is_safe(df: DataFrame, limit: int = EXACT_LIMIT) -> bool:
+    """An exact global percentile merges every distinct value in one task: allow it only up to ``limit`` rows."""
+    return df.limit(limit + 1).count() <= limit
+
+
+def iqr_outliers(df: DataFrame, cols: list[str] | None = None, max_cols: int = 20,
+                 approx: bool | None = None) -> DataFrame:
     """Per column (first ``max_cols`` numeric columns) count values strictly outside [q1 − 1.5·IQR, q3 + 1.5·IQR];
-    a column needs ≥ 4 values and IQR > 0. Returns one row per column plus nothing else; sum it for the card."""
+    a column needs ≥ 4 values and IQR > 0. Returns one row per column plus nothing else; sum it for the card.
+    Quartiles are exact up to ``EXACT_LIMIT`` rows and mergeable sketches above (approx=None decides by size)."""
     cols = (cols or numeric_cols(df))[:max_cols]
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, n_outliers bigint")
-    q = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}")
-                 for i, c in enumerate(cols)],
+    if approx is None:
+        approx = not exact_is_safe(df)
+
+    def quartiles(c):
+        x = F.col(c).cast("double")
+        return F.percentile_approx(x, [0.25, 0.75], 10000) if approx else F.percentile(x, F.array(F.lit(0.25),
+                                                                                                   F.lit(0.75)))
+
+    q = df.agg(*[quartiles(c).alias(f"q{i}") for i, c in enumerate(cols)],
                *[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
     counts = []
     for i, c in enumerate(cols):
