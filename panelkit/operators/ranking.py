@@ -30,13 +30,14 @@ def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], by
     off_w = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, "_pid", *[F.coalesce(F.sum(f"_t_{k}").over(off_w), F.lit(0)).alias(f"_o_{k}")
                                            for k in sums])
-    # offsets hold one row per (group, range partition): bounded by partitions × groups
+    # offsets hold one row per (group, range partition) that exists — at most groups + partitions rows, because a
+    # range partition covers one contiguous key range; AQE broadcasts it when it is small (no unchecked hint)
     cond = F.col("_pid") == F.col("_opid")
     for b in by:
         cond = cond & F.col(b).eqNullSafe(F.col(f"_ob_{b}"))
     off = offsets.select(*[F.col(b).alias(f"_ob_{b}") for b in by], F.col("_pid").alias("_opid"),
                          *[f"_o_{k}" for k in sums])
-    joined = local.join(F.broadcast(off), cond)
+    joined = local.join(off, cond)
     out = joined.select(*df.columns, *[(F.col(f"_l_{k}") + F.col(f"_o_{k}")).alias(k) for k in sums])
     return out
 
