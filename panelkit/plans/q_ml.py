@@ -117,3 +117,11 @@ def permutation_importance(spark, sf_dir):
     model = ML.fit(ML.gbt_pipeline(num, cat, **SMALL_GBT), tr, num, cat)
     feats = [c for c in ("media_provas", "matem", "ieg", "defasagem_t", "tempo_casa") if c in num]
     return ML.permutation_importance(model, va, num, cat, "ra", feats)
+
+
+@query("gbt_tree_attributions", None, ids=("M8", "W6", "M10"))
+def gbt_tree_attributions(spark, sf_dir):
+    """Per-row path attributions of the boosted trees on the valid pair (top 3 factors with values)."""
+    tr, va, num, cat = _feature_sets(spark, sf_dir)
+    model = ML.fit(ML.gbt_pipeline(num, cat, **SMALL_GBT), tr, num, cat)
+    return ML.tree_attributions(model, va, num, cat, "ra").drop("contributions")

@@ -94,3 +94,18 @@ def test_training_job_end_to_end(spark):
     assert S.load_document(spark, os.path.join(out, "model", "cohort_summary"))["cohort_summary"]
     m, meta = ML.load_model(os.path.join(out, "model", "model"))
     assert meta["model_kind"] == "logistic"
+
+
+def test_tree_attributions_are_additive(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    _, _, tr, va, _, num, cat = _features(spark)
+    model = ML.fit(ML.gbt_pipeline(num, cat, max_iter=8, depth=3), tr, num, cat)
+    attr = ML.tree_attributions(model, va, num, cat, "ra")
+    raw = model.transform(ML.prepare(va, num, cat)).select(
+        F.col("ra").cast("string").alias("ra"), vector_to_array("rawPrediction")[1].alias("raw"))
+    j = attr.join(raw, "ra").select("margin", "raw", "bias", F.aggregate("contributions", F.lit(0.0),
+                                                                          lambda a, b: a + b).alias("s")).collect()
+    assert len(j) == va.count()
+    for r in j:
+        assert abs(r.margin - r.raw) < 1e-9 and abs(r.bias + r.s - r.margin) < 1e-9
