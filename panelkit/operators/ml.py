@@ -56,7 +56,8 @@ def prepare(df: DataFrame, num: list[str], cat: list[str], target: str = "target
 
 
 def _encoders(cat: list[str], one_hot: bool):
-    idx = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep") for c in cat]
+    # one multi-column indexer: all categorical vocabularies are fitted in a single pass over the data
+    idx = [StringIndexer(inputCols=cat, outputCols=[f"{c}__idx" for c in cat], handleInvalid="keep")] if cat else []
     if not one_hot:
         return idx, [f"{c}__idx" for c in cat]
     ohe = OneHotEncoder(inputCols=[f"{c}__idx" for c in cat], outputCols=[f"{c}__ohe" for c in cat],
@@ -103,8 +104,9 @@ def lr_pipeline(num: list[str], cat: list[str], reg: float = 0.01) -> Pipeline:
 
 def fit(pipeline: Pipeline, train: DataFrame, num: list[str], cat: list[str], target: str = "target",
         checkpoint: bool = True) -> PipelineModel:
-    """Fit on the prepared, weighted training rows; the prepared frame is checkpointed first because every tree /
-    iteration re-reads it."""
+    """Fit on the prepared, weighted training rows. The prepared frame is checkpointed first because every tree /
+    iteration re-reads it; pass checkpoint=False when ``train`` is already a checkpointed table (preparing it again
+    is then a cheap projection and a join with a per-class table)."""
     data = with_weights(prepare(train, num, cat, target), LABEL)
     if checkpoint:
         from panelkit.session import materialize
