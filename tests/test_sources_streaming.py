@@ -97,3 +97,22 @@ def test_streaming_daily_histograms_and_trailing_psi(spark):
     base = daily.groupBy("stratum", "bin").agg(F.sum("n").alias("n"))
     psi = trailing_psi(daily, base, "2024-01-10", 10).collect()
     assert all(abs(r.psi) < 1e-9 for r in psi)
+
+
+def test_streaming_histogram_table_upserts_across_batches(spark):
+    from panelkit.streaming.monitoring import start_daily_histogram_table
+
+    src = tempfile.mkdtemp(prefix="pk-stream2-")
+    schema = "event_id long, ts timestamp_ntz, event_type string, value double"
+    for part in range(3):
+        rows = [(part * 1000 + i, datetime(2024, 1, 1 + (i % 3), 8 + part), "view" if i % 2 else "error",
+                 float(i % 50)) for i in range(90)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(os.path.join(src, f"p{part}"))
+    table = os.path.join(tempfile.mkdtemp(prefix="pk-hist-"), "daily")
+    name = f"pk_hist_table_{uuid.uuid4().hex[:8]}"
+    q = start_daily_histogram_table(spark, src + "/*", schema, "ts", F.col("value") / 100.0, "event_type", table, name,
+                                    max_files_per_trigger=1)
+    q.awaitTermination()
+    out = spark.read.parquet(table)
+    assert out.agg(F.sum("n")).first()[0] == 270
+    assert out.groupBy("day", "stratum", "bin").count().filter(F.col("count") > 1).count() == 0
