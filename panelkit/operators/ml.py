@@ -65,7 +65,7 @@ def _encoders(cat: list[str], one_hot: bool):
     return idx + [ohe], [f"{c}__ohe" for c in cat]
 
 
-def gbt_pipeline(num: list[str], cat: list[str], max_iter: int = 60, depth: int = 5, step: float = 0.1,
+def gbt_estimator(num: list[str], cat: list[str], max_iter: int = 60, depth: int = 5, step: float = 0.1,
                  max_bins: int = 128, seed: int = 42, validation_col: str | None = None) -> Pipeline:
     """M2: boosted trees on indexed categoricals and numeric features; row and column subsampling 0.8; balanced
     weights; optional validation indicator column for early stopping (on loss)."""
@@ -78,7 +78,7 @@ def gbt_pipeline(num: list[str], cat: list[str], max_iter: int = 60, depth: int
     return Pipeline(stages=stages + [assembler, gbt])
 
 
-def rf_pipeline(num: list[str], cat: list[str], trees: int = 300, depth: int = 12, min_leaf: int = 5,
+def rf_estimator(num: list[str], cat: list[str], trees: int = 300, depth: int = 12, min_leaf: int = 5,
                 seed: int = 42) -> Pipeline:
     """M4: median imputation, one-hot categoricals (unknown kept), 300 trees, depth 12, min leaf 5, sqrt features,
     balanced weights."""
@@ -91,7 +91,7 @@ def rf_pipeline(num: list[str], cat: list[str], trees: int = 300, depth: int = 1
     return Pipeline(stages=[imp] + stages + [assembler, rf])
 
 
-def lr_pipeline(num: list[str], cat: list[str], reg: float = 0.01) -> Pipeline:
+def lr_estimator(num: list[str], cat: list[str], reg: float = 0.01) -> Pipeline:
     """Linear model used for exact per-row attributions (M8): median-imputed, standardised numeric features."""
     imp = Imputer(inputCols=num, outputCols=[f"{c}__imp" for c in num], strategy="median")
     stages, cat_out = _encoders(cat, one_hot=True)
@@ -138,7 +138,7 @@ def ordinal_codes(df: DataFrame, cols: list[str], train: DataFrame) -> DataFrame
     return out.select(*[x for x in df.columns], *sel)
 
 
-def isotonic_calibrated(pipeline_factory, train: DataFrame, test: DataFrame, num: list[str], cat: list[str],
+def isotonic_calibrated(estimator_factory, train: DataFrame, test: DataFrame, num: list[str], cat: list[str],
                         entity: str, target: str = "target", folds: int = 3) -> DataFrame:
     """M7: isotonic calibration on out-of-fold probabilities; folds = pmod(xxhash64(entity), folds) (deterministic).
     Returns the test rows with raw and calibrated probabilities."""
@@ -146,12 +146,12 @@ def isotonic_calibrated(pipeline_factory, train: DataFrame, test: DataFrame, num
     tagged = train.withColumn("_fold", fold)
     oof = None
     for f in range(folds):
-        model = fit(pipeline_factory(), tagged.filter(F.col("_fold") != f), num, cat, target)
+        model = fit(estimator_factory(), tagged.filter(F.col("_fold") != f), num, cat, target)
         part = score(model, tagged.filter(F.col("_fold") == f), num, cat, target, keep=[entity, target])
         oof = part if oof is None else oof.unionByName(part)
     iso = IsotonicRegression(featuresCol="prob", labelCol="_y").fit(
         oof.select("prob", F.col(target).cast("double").alias("_y")))
-    final = fit(pipeline_factory(), train, num, cat, target)
+    final = fit(estimator_factory(), train, num, cat, target)
     scored = score(final, test, num, cat, target, keep=[entity, target])
     return iso.transform(scored).withColumnRenamed("prediction", "prob_calibrated")
 

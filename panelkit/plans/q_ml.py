@@ -45,7 +45,7 @@ def class_weights(spark, sf_dir):
 @query("gbt_valid_scores", None, ids=("M1", "M2", "M3", "F34", "P13"))
 def gbt_valid_scores(spark, sf_dir):
     tr, va, num, cat = _feature_sets(spark, sf_dir)
-    model = ML.fit(ML.gbt_pipeline(num, cat, **SMALL_GBT), tr, num, cat, checkpoint=False)
+    model = ML.fit(ML.gbt_estimator(num, cat, **SMALL_GBT), tr, num, cat, checkpoint=False)
     return ML.score(model, va, num, cat, keep=["ra", "pair_label", "fase", "target"])
 
 
@@ -66,9 +66,9 @@ def model_comparison(spark, sf_dir):
     lift at 15%, sorted by lift."""
     tr, va, num, cat = _feature_sets(spark, sf_dir)
     rows = None
-    for name, pipe in (("gbt", ML.gbt_pipeline(num, cat, **SMALL_GBT)),
-                       ("random_forest", ML.rf_pipeline(num, cat, trees=60, depth=8)),
-                       ("logistic", ML.lr_pipeline(num, cat))):
+    for name, pipe in (("gbt", ML.gbt_estimator(num, cat, **SMALL_GBT)),
+                       ("random_forest", ML.rf_estimator(num, cat, trees=60, depth=8)),
+                       ("logistic", ML.lr_estimator(num, cat))):
         model = ML.fit(pipe, tr, num, cat, checkpoint=False)
         scored = ML.score(model, va, num, cat, keep=["ra", "fase", "target"])
         auc = M.auc_table(scored)
@@ -83,20 +83,20 @@ def model_comparison(spark, sf_dir):
 @query("isotonic_calibration", None, ids=("M7",))
 def isotonic_calibration(spark, sf_dir):
     tr, va, num, cat = _feature_sets(spark, sf_dir)
-    return ML.isotonic_calibrated(lambda: ML.gbt_pipeline(num, cat, **SMALL_GBT), tr, va, num, cat, "ra")
+    return ML.isotonic_calibrated(lambda: ML.gbt_estimator(num, cat, **SMALL_GBT), tr, va, num, cat, "ra")
 
 
 @query("linear_attributions", None, ids=("M8", "W6", "F35"))
 def linear_attributions(spark, sf_dir):
     tr, va, num, cat = _feature_sets(spark, sf_dir)
-    model = ML.fit(ML.lr_pipeline(num, cat), tr, num, cat, checkpoint=False)
+    model = ML.fit(ML.lr_estimator(num, cat), tr, num, cat, checkpoint=False)
     return ML.linear_attributions(model, va, num, cat, "ra").drop("contributions")
 
 
 @query("attribution_by_stratum", None, ids=("M10", "A27", "W5", "W10", "F36"))
 def attribution_by_stratum(spark, sf_dir):
     tr, va, num, cat = _feature_sets(spark, sf_dir)
-    model = ML.fit(ML.lr_pipeline(num, cat), tr, num, cat, checkpoint=False)
+    model = ML.fit(ML.lr_estimator(num, cat), tr, num, cat, checkpoint=False)
     from panelkit.operators.topk import sample_per_stratum
 
     sample = sample_per_stratum(va, "fase", "ra", 500, seed=42)
@@ -114,7 +114,7 @@ def attribution_by_stratum(spark, sf_dir):
 @query("permutation_importance", None, ids=("M9", "A26"))
 def permutation_importance(spark, sf_dir):
     tr, va, num, cat = _feature_sets(spark, sf_dir)
-    model = ML.fit(ML.gbt_pipeline(num, cat, **SMALL_GBT), tr, num, cat, checkpoint=False)
+    model = ML.fit(ML.gbt_estimator(num, cat, **SMALL_GBT), tr, num, cat, checkpoint=False)
     feats = [c for c in ("media_provas", "matem", "ieg", "defasagem_t", "tempo_casa") if c in num]
     return ML.permutation_importance(model, va, num, cat, "ra", feats)
 
@@ -123,5 +123,5 @@ def permutation_importance(spark, sf_dir):
 def gbt_tree_attributions(spark, sf_dir):
     """Per-row path attributions of the boosted trees on the valid pair (top 3 factors with values)."""
     tr, va, num, cat = _feature_sets(spark, sf_dir)
-    model = ML.fit(ML.gbt_pipeline(num, cat, **SMALL_GBT), tr, num, cat, checkpoint=False)
+    model = ML.fit(ML.gbt_estimator(num, cat, **SMALL_GBT), tr, num, cat, checkpoint=False)
     return ML.tree_attributions(model, va, num, cat, "ra").drop("contributions")

@@ -44,11 +44,11 @@ def run_training(panel: DataFrame, out_dir: str, schema: PanelSchema = DEFAULT,
     num, cat = FE.feature_columns(tr, schema)
     params = model_params or {}
     if model_kind == "gbt":
-        pipe = ML.gbt_pipeline(num, cat, **params)
+        pipe = ML.gbt_estimator(num, cat, **params)
     elif model_kind == "random_forest":
-        pipe = ML.rf_pipeline(num, cat, **params)
+        pipe = ML.rf_estimator(num, cat, **params)
     else:
-        pipe = ML.lr_pipeline(num, cat, **params)
+        pipe = ML.lr_estimator(num, cat, **params)
     model = ML.fit(pipe, tr, num, cat, schema.target)
 
     keep = [c for c in (schema.entity, schema.period, schema.pair_label, schema.stratum, schema.group, schema.target)

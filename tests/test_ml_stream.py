@@ -26,7 +26,7 @@ def _features(spark):
 
 def test_model_roundtrip_and_scores(spark):
     _, _, tr, va, lookup, num, cat = _features(spark)
-    model = ML.fit(ML.lr_pipeline(num, cat), tr, num, cat)
+    model = ML.fit(ML.lr_estimator(num, cat), tr, num, cat)
     scored = ML.score(model, va, num, cat, keep=["ra", "fase", "target"])
     stats = scored.agg(F.min("score"), F.max("score"), F.count(F.lit(1))).first()
     assert 0 <= stats[0] <= stats[1] <= 100 and stats[2] == va.count()
@@ -49,7 +49,7 @@ def test_ordinal_codes_unknown_is_minus_one(spark):
 
 def test_scoring_stream_is_keyed_and_idempotent(spark):
     train, valid, tr, va, lookup, num, cat = _features(spark)
-    model = ML.fit(ML.lr_pipeline(num, cat), tr, num, cat)
+    model = ML.fit(ML.lr_estimator(num, cat), tr, num, cat)
     req_dir = tempfile.mkdtemp(prefix="pk-req-")
     out_dir = tempfile.mkdtemp(prefix="pk-out-")
     cols = ["ra", "ano_base", "fase", "turma", "matem", "portug", "ingles", "ieg", "iaa", "ips", "ipp", "genero",
@@ -100,7 +100,7 @@ def test_tree_attributions_are_additive(spark):
     from pyspark.ml.functions import vector_to_array
 
     _, _, tr, va, _, num, cat = _features(spark)
-    model = ML.fit(ML.gbt_pipeline(num, cat, max_iter=8, depth=3), tr, num, cat)
+    model = ML.fit(ML.gbt_estimator(num, cat, max_iter=8, depth=3), tr, num, cat)
     attr = ML.tree_attributions(model, va, num, cat, "ra")
     raw = model.transform(ML.prepare(va, num, cat)).select(
         F.col("ra").cast("string").alias("ra"), vector_to_array("rawPrediction")[1].alias("raw"))
