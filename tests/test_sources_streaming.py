@@ -116,3 +116,27 @@ def test_streaming_histogram_table_upserts_across_batches(spark):
     out = spark.read.parquet(table)
     assert out.agg(F.sum("n")).first()[0] == 270
     assert out.groupBy("day", "stratum", "bin").count().filter(F.col("count") > 1).count() == 0
+
+
+def test_period_folders_discovered_and_conformed(spark):
+    import pytest
+
+    from panelkit.operators.conform import conform_sheet
+
+    root = tempfile.mkdtemp(prefix="pk-periods-")
+    sheets = {"PEDE2022": [("  RA-1 ", "FASE 1", "7.5", " feminino ")],
+              "pede2023": [("RA-1", "2", "n/a", "M")],
+              "PEDE2024": [("RA-2", "ALFA", "8", None)]}
+    for name, rows in sheets.items():
+        spark.createDataFrame(rows, "RA string, Fase string, Matem string, `Gênero` string").write.parquet(
+            os.path.join(root, name))
+    os.makedirs(os.path.join(root, "notes"))
+    found = S.discover_periods(spark, root)
+    assert [y for y, _ in found] == [2022, 2023, 2024]
+    panel = S.load_periods(spark, root, conform=lambda df, y: conform_sheet(df.drop("ano_base"), y))
+    got = sorted((r.ra, r.ano_base, r.fase, r.matem, r.genero) for r in panel.collect())
+    assert got == [("RA-1", 2022, 1, 7.5, "F"), ("RA-1", 2023, 2, None, "M"), ("RA-2", 2024, 0, 8.0, "NA")]
+    few = tempfile.mkdtemp(prefix="pk-periods2-")
+    os.makedirs(os.path.join(few, "PEDE2022"))
+    with pytest.raises(ValueError):
+        S.discover_periods(spark, few)
