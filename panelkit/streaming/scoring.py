@@ -73,11 +73,15 @@ def start_scoring(spark: SparkSession, request_dir: str, request_schema: str, mo
 
 
 def seed_baseline_event(spark: SparkSession, history: DataFrame, baseline: DataFrame, baseline_id: str,
-                        stratum: str = "fase") -> DataFrame:
-    """The baseline's own snapshot (PSI 0 per stratum) as a 'baseline_snapshot' event, emitted only when the
-    history holds no event for this baseline yet (left anti join on the baseline id)."""
+                        stratum: str = "fase", only_if_empty: bool = True) -> DataFrame:
+    """The baseline's own snapshot (PSI 0 per stratum) as a 'baseline_snapshot' event.
+
+    only_if_empty=True (the reference's rule): emitted only when the history holds no event at all.
+    only_if_empty=False: emitted when the history holds no event for this baseline id (left anti join)."""
     summary = D.drift_summary(baseline, baseline, "score").withColumns({
         "event_type": F.lit("baseline_snapshot"), "baseline_id": F.lit(baseline_id)})
+    if only_if_empty:
+        return summary if history.limit(1).count() == 0 else summary.limit(0)
     known = history.select("baseline_id").distinct() if "baseline_id" in history.columns else \
         spark.createDataFrame([], "baseline_id string")
     return summary.join(known, "baseline_id", "left_anti")

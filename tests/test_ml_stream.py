@@ -73,6 +73,8 @@ def test_seed_baseline_only_once(spark):
     assert seed_baseline_event(spark, empty, base, "b1").count() == 1
     hist = spark.createDataFrame([("b1",)], "baseline_id string")
     assert seed_baseline_event(spark, hist, base, "b1").count() == 0
+    assert seed_baseline_event(spark, hist, base, "b2").count() == 0  # any history suppresses the seed
+    assert seed_baseline_event(spark, hist, base, "b2", only_if_empty=False).count() == 1
 
 
 def test_documents_roundtrip(spark):
