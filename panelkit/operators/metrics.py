@@ -100,7 +100,7 @@ def _clean_scores(df: DataFrame, score: str, target: str) -> DataFrame:
 
 
 def global_topk_metrics(df: DataFrame, ks=DEFAULT_KS, score: str = "_s", target: str = "_y",
-                        entity: str = "ra", lift_empty: float | None = 0.0) -> DataFrame:
+                        entity: str = "ra", lift_empty: float | None = 0.0, distribute: bool = False) -> DataFrame:
     """W1 + W2 for several K at once (global, unstratified): one per-score table, one cumulative pass.
 
     For each K the top k rows are all rows above the boundary score plus the first ``slots`` of the boundary score
@@ -110,15 +110,22 @@ def global_topk_metrics(df: DataFrame, ks=DEFAULT_KS, score: str = "_s", target:
     # one ordered pass over the per-score table (bounded by distinct scores): running counts before each score and
     # the totals share the same ordering, so they are evaluated by a single Window operator
     order = F.col(score).desc_nulls_last()
-    run = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    tot = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    cum = per_score.select(
-        score, "_c", "_p",
-        F.coalesce(F.sum("_c").over(run), F.lit(0)).alias("_before"),
-        F.coalesce(F.sum("_p").over(run), F.lit(0)).alias("_pos_before"),
-        F.sum("_c").over(tot).alias("_n"),
-        F.sum("_p").over(tot).alias("_npos"),
-    )
+    if distribute:
+        # unbounded per-score table: range-partitioned running sums, totals as two driver-sized numbers
+        totals = per_score.agg(F.sum("_c"), F.sum("_p")).first()
+        cum = running_sums(per_score, [order], {"_before": F.col("_c"), "_pos_before": F.col("_p")}).select(
+            score, "_c", "_p", "_before", "_pos_before",
+            F.lit(int(totals[0] or 0)).cast("bigint").alias("_n"), F.lit(int(totals[1] or 0)).cast("bigint").alias("_npos"))
+    else:
+        run = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        tot = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        cum = per_score.select(
+            score, "_c", "_p",
+            F.coalesce(F.sum("_c").over(run), F.lit(0)).alias("_before"),
+            F.coalesce(F.sum("_p").over(run), F.lit(0)).alias("_pos_before"),
+            F.sum("_c").over(tot).alias("_n"),
+            F.sum("_p").over(tot).alias("_npos"),
+        )
     # every K cut from the same rows: each score row is paired with the (few) K values by an explode, not a join
     cuts = F.explode(F.array(*[F.struct(F.lit(float(k)).alias("k_pct"), k_of(F.col("_n"), k).alias("_k"))
                                for k in ks])).alias("_cut")
@@ -169,9 +176,15 @@ def evaluate(df: DataFrame, schema: PanelSchema = DEFAULT, ks=DEFAULT_KS) -> tup
     return overall, per_k, per_stratum
 
 
-def roc_curve(df: DataFrame, score: str = "score", target: str = "target") -> DataFrame:
-    """Cumulative true / false positives by descending score, on per-score aggregates."""
+def roc_curve(df: DataFrame, score: str = "score", target: str = "target", distribute: bool = False) -> DataFrame:
+    """Cumulative true / false positives by descending score, on per-score aggregates (range-partitioned
+    running sums with ``distribute=True`` for unbounded per-score tables)."""
     per = df.groupBy(score).agg(F.count_if(F.col(target) == 1).alias("_p"), F.count_if(F.col(target) != 1).alias("_n"))
+    if distribute:
+        totals = per.agg(F.sum("_p"), F.sum("_n")).first()
+        cum = running_sums(per, [F.col(score).desc()], {"tp": F.col("_p"), "fp": F.col("_n")}, inclusive=True)
+        return cum.select(score, "tp", "fp", (F.col("tp") / F.lit(float(totals[0] or 0))).alias("tpr"),
+                          (F.col("fp") / F.lit(float(totals[1] or 0))).alias("fpr"))
     run = Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     tot = Window.partitionBy()
     return per.select(

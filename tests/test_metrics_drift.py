@@ -162,3 +162,13 @@ def test_explain_entities(spark):
     out = {r.ra: r for r in explain_entities(df, factor_values=["ieg", "matem"]).collect()}
     assert out["RA-1"].ano_base == 2023 and out["RA-1"].top_factors[0].feature == "matem"
     assert out["RA-1"].top_factors[0].student_value == 6.0 and out["RA-2"].top_factors[0].shap_value == -0.4
+
+
+def test_distributed_topk_and_roc_equal_window(spark):
+    df = _scored(spark, 300, 3, seed=11, pos_hi=False).withColumn("score", F.round("score", 0))
+    a = sorted(tuple(r) for r in M.global_topk_metrics(df, score="score", target="target").collect())
+    b = sorted(tuple(r) for r in M.global_topk_metrics(df, score="score", target="target", distribute=True).collect())
+    assert a == b
+    ra = sorted(tuple(r) for r in M.roc_curve(df).collect())
+    rb = sorted(tuple(r) for r in M.roc_curve(df, distribute=True).collect())
+    assert ra == rb
