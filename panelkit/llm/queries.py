@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelkit.llm import tokencount, tokenfiles
+from panelkit.llm import packing, simhash, tokencount, tokenfiles
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,16 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_file_digest(_documents(spark, sf_dir), "word_bpe_49k.json")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their near-duplicate components."""
+    return simhash.simhash_groups(_documents(spark, sf_dir))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    return packing.pack(_documents(spark, sf_dir), "byte_bpe_50k.json")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by the whole-token shortcut."""
     return tokencount.token_counts(_documents(spark, sf_dir), "byte_bpe_50k.json")
@@ -25,6 +35,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op3_simhash": op3_simhash,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op9_token_counts": op9_token_counts,
 }
 
