@@ -3,12 +3,12 @@
 One Spark task writes one shard: an Arrow IPC file (the stream format framed for random access) whose record batches all
 hold ``batch_rows`` rows except the last, with three columns::
 
-    input_ids       fixed_size_list<uint32>[seq_len]
-    attention_mask  fixed_size_list<uint8>[seq_len]    1 for a token, 0 for padding
-    document_start  fixed_size_list<uint8>[seq_len]    1 where a document's first token stands
+    input_ids       fixed_size_list<uint16 or uint32>[seq_len]    16 bits where the vocabulary fits
+    attention_mask  fixed_size_list<bool>[seq_len]                true for a token, false for padding
+    document_start  fixed_size_list<bool>[seq_len]                true where a document's first token stands
 
 Sequence ``k`` of a shard is row ``k % batch_rows`` of batch ``k // batch_rows``; a memory-mapped reader slices the value
-buffers without a copy. A shard's documents follow one another without gaps in ascending id order (null ids first), only
+buffers (the masks are bit-packed) without a copy. A shard's documents follow one another without gaps in ascending id order (null ids first), only
 the shard's last sequence is padded. Since every document ends with its end id, no document is empty and the start marks
 delimit all of them. Ids of the documents stand in the file's schema-side table: a second Arrow file beside it, one row
 for each document in the same order.
@@ -48,23 +48,22 @@ _MANIFEST = T.StructType([
 ])
 
 
-def sequence_schema(seq_len: int) -> pa.Schema:
-    return pa.schema([
-        ("input_ids", pa.list_(pa.field("item", pa.uint32(), False), seq_len)),
-        ("attention_mask", pa.list_(pa.field("item", pa.uint8(), False), seq_len)),
-        ("document_start", pa.list_(pa.field("item", pa.uint8(), False), seq_len)),
-    ])
+def sequence_schema(seq_len: int, id_type: pa.DataType) -> pa.Schema:
+    kinds = {"input_ids": id_type, "attention_mask": pa.bool_(), "document_start": pa.bool_()}
+    return pa.schema([(name, pa.list_(pa.field("item", kind, False), seq_len)) for name, kind in kinds.items()])
 
 
 class _ShardWriter:
     """Fills one shard file; holds at most one batch of sequences and one document."""
 
-    def __init__(self, sink, seq_len: int, batch_rows: int):
-        self.schema = sequence_schema(seq_len)
+    def __init__(self, sink, seq_len: int, batch_rows: int, largest_id: int):
+        narrow = largest_id < 1 << 16
+        self.kind = "<u2" if narrow else "<u4"
+        self.schema = sequence_schema(seq_len, pa.uint16() if narrow else pa.uint32())
         self.file = pa.ipc.new_file(sink, self.schema)
         self.seq_len, self.room = seq_len, seq_len * batch_rows
-        self.ids = np.zeros(self.room, "<u4")
-        self.starts = np.zeros(self.room, np.uint8)
+        self.ids = np.zeros(self.room, self.kind)
+        self.starts = np.zeros(self.room, bool)
         self.used = self.tokens = self.rows = 0
 
     def add(self, ids: np.ndarray) -> None:
@@ -73,7 +72,7 @@ class _ShardWriter:
             n = min(len(ids) - at, self.room - self.used)
             self.ids[self.used : self.used + n] = ids[at : at + n]
             if first:
-                self.starts[self.used], first = 1, False
+                self.starts[self.used], first = True, False
             at, self.used = at + n, self.used + n
             if self.used == self.room:
                 self._flush()
@@ -82,12 +81,11 @@ class _ShardWriter:
     def _flush(self) -> None:
         rows = -(-self.used // self.seq_len)
         n = rows * self.seq_len
-        mask = np.zeros(n, np.uint8)
-        mask[: self.used] = 1
-        cols = [pa.FixedSizeListArray.from_arrays(pa.array(v), type=f.type) for v, f in zip((self.ids[:n], mask, self.starts[:n]), self.schema, strict=True)]
+        mask = np.arange(n) < self.used
+        cols = [pa.FixedSizeListArray.from_arrays(pa.array(v, f.type.value_type), type=f.type) for v, f in zip((self.ids[:n], mask, self.starts[:n]), self.schema, strict=True)]
         self.file.write_batch(pa.RecordBatch.from_arrays(cols, schema=self.schema))
         self.rows += rows
-        self.ids, self.starts, self.used = np.zeros(self.room, "<u4"), np.zeros(self.room, np.uint8), 0
+        self.ids, self.starts, self.used = np.zeros(self.room, self.kind), np.zeros(self.room, bool), 0
 
     def close(self) -> None:
         if self.used:
@@ -102,6 +100,7 @@ def _write_shard(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_
     fs, base = pyfs(folder)
     names = [f"{kind}-{shard:06d}-{uuid.uuid4().hex[:8]}.arrow" for kind in ("tokens", "documents")]
     enc, end = UnitEncoder(path), np.array([end_id], "<u4").tobytes()
+    largest = max(end_id, *enc.tok.get_vocab(with_added_tokens=True).values())
     docs_schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
     writer = docs = None
     count = 0
@@ -111,7 +110,7 @@ def _write_shard(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_
         if writer is None:
             fs.create_dir(base, recursive=True)
             sinks = [fs.open_output_stream(f"{base}/{n}") for n in names]
-            writer, docs = _ShardWriter(sinks[0], seq_len, batch_rows), pa.ipc.new_file(sinks[1], docs_schema)
+            writer, docs = _ShardWriter(sinks[0], seq_len, batch_rows, largest), pa.ipc.new_file(sinks[1], docs_schema)
         sizes = []
         for ids in enc.batch(batch.column(1).to_pylist()):
             ids = np.frombuffer(ids + end, "<u4")
@@ -162,31 +161,32 @@ class TokenFile:
         self.seq_len = self.file.schema.field("input_ids").type.list_size
         self.batch_rows = self.file.get_batch(0).num_rows if self.file.num_record_batches else 0
 
-    def values(self, batch: int, name: str) -> np.ndarray:
+    def values(self, batch: int, name: str) -> pa.Array:
         """All values of a batch's column, flat, without a copy."""
-        column = self.file.get_batch(batch).column(name)
-        return np.frombuffer(column.flatten().buffers()[1], "<u4" if name == "input_ids" else np.uint8, count=len(column) * self.seq_len)
+        return self.file.get_batch(batch).column(name).flatten()
 
-    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence ``k``."""
+    def sequence(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of sequence ``k``: a view and a slice of the file's buffers."""
         at = (k % self.batch_rows) * self.seq_len
-        return tuple(self.values(k // self.batch_rows, c)[at : at + self.seq_len] for c in ("input_ids", "attention_mask"))
+        ids, mask = (self.values(k // self.batch_rows, c).slice(at, self.seq_len) for c in ("input_ids", "attention_mask"))
+        return ids.to_numpy(zero_copy_only=True), mask
 
     def documents(self) -> Iterator[np.ndarray]:
-        """Ids of each document, end id included, in file order; holds a document and a batch."""
+        """Ids of each document as unsigned 32-bit, end id included, in file order; holds a document and a batch."""
         held: list[np.ndarray] = []
         for b in range(self.file.num_record_batches):
-            n = int(self.values(b, "attention_mask").sum())
-            ids, cuts = self.values(b, "input_ids")[:n], np.flatnonzero(self.values(b, "document_start")[:n])
+            n = self.values(b, "attention_mask").true_count
+            ids = self.values(b, "input_ids").to_numpy(zero_copy_only=True)[:n]
+            cuts = np.flatnonzero(self.values(b, "document_start").to_numpy(zero_copy_only=False)[:n])
             edges = [0, *cuts.tolist(), n]
             for i, (a, z) in enumerate(zip(edges, edges[1:], strict=False)):
                 if i and held:
-                    yield held[0] if len(held) == 1 else np.concatenate(held)
+                    yield np.concatenate(held)
                     held = []
                 if z > a:
-                    held.append(ids[a:z])
+                    held.append(ids[a:z].astype("<u4"))
         if held:
-            yield held[0] if len(held) == 1 else np.concatenate(held)
+            yield np.concatenate(held)
 
 
 def _read_shards(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:

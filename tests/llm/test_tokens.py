@@ -44,9 +44,10 @@ def test_token_files_sequences_and_masks(spark, docs):
         f = tokenfiles.TokenFile(folder, m.tokens_file)
         seqs = [f.sequence(k) for k in range(m.n_sequences)]
         assert all(len(i) == 16 for i, _ in seqs)
-        assert sum(int(k.sum()) for _, k in seqs) == m.n_tokens
-        assert all(k.all() for _, k in seqs[:-1])
-        stream += [x for i, k in seqs for x in i[k == 1].tolist()]
+        assert sum(k.true_count for _, k in seqs) == m.n_tokens
+        assert all(k.true_count == 16 for _, k in seqs[:-1])
+        assert not seqs[0][0].flags.owndata  # a view of the mapped file
+        stream += [x for i, k in seqs for x in i[np.array(k.to_pylist())].tolist()]
         assert {f.file.get_batch(b).num_rows for b in range(f.file.num_record_batches - 1)} <= {4}
     ids = brute(ROWS)
     assert sorted(stream) == sorted(x for i, t in ROWS for x in ids[i, t].tolist())
