@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelkit.llm import packing, simhash, tokencount, tokenfiles
+from panelkit.llm import mixing, packing, simhash, tokencount, tokenfiles
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_file_digest(_documents(spark, sf_dir), "word_bpe_49k.json")
 
 
+def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    return mixing.mixture(_documents(spark, sf_dir))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and their near-duplicate components."""
     return simhash.simhash_groups(_documents(spark, sf_dir))
@@ -35,9 +40,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_mixture": op2_mixture,
     "op3_simhash": op3_simhash,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op9_token_counts": op9_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_mixture": mixing.SQL,
+}
