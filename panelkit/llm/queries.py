@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelkit.llm import mixing, packing, simhash, tokencount, tokenfiles
+from panelkit.llm import mixing, packing, quality, simhash, tokencount, tokenfiles
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), "byte_bpe_50k.json")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures and verdict of every document."""
+    return quality.quality_figures(_documents(spark, sf_dir))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by the whole-token shortcut."""
     return tokencount.token_counts(_documents(spark, sf_dir), "byte_bpe_50k.json")
@@ -43,9 +48,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixture": op2_mixture,
     "op3_simhash": op3_simhash,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_quality_rules": op6_quality_rules,
     "op9_token_counts": op9_token_counts,
 }
 
 ORACLES: dict[str, str] = {
     "op2_mixture": mixing.SQL,
+    "op6_quality_rules": quality.SQL,
 }
