@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelkit.llm import langid, mixing, packing, quality, simhash, tokencount, tokenfiles
+from panelkit.llm import langid, maintext, mixing, packing, quality, simhash, tokencount, tokenfiles
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(_documents(spark, sf_dir), "byte_bpe_50k.json")
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return maintext.main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_mixture": op2_mixture,
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
+    "op10_main_text": op10_main_text,
 }
 
 ORACLES: dict[str, str] = {
