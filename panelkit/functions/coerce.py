@@ -55,8 +55,12 @@ def round_half_even_int(c: Column) -> Column:
 
 
 def day_first_date(c: Column) -> Column:
-    """day-first date text ('01/06/2005', '1/6/2005') → date; unparseable → null."""
-    return F.to_date(F.try_to_timestamp(c.cast("string"), F.lit("d/M/yyyy")))
+    """dates and timestamps as they are, day-first text ('01/06/2005', '1-6-2005', with or without a time) and
+    ISO text ('2005-06-01', '2005-06-01 00:00:00') → date; unparseable → null."""
+    day = F.regexp_extract(F.trim(c.cast("string")), r"^([0-9/.\-]+)(?:[ T].*)?$", 1)
+    iso = F.when(day.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), day.try_cast("date"))
+    first = F.regexp_replace(day, r"[.\-]", "/")
+    return F.coalesce(iso, F.try_to_timestamp(F.when(first.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), first), F.lit("d/M/yyyy")).cast("date"))
 
 
 def age_recomputed(period: Column, birth_year: Column) -> Column:

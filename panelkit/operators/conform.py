@@ -10,6 +10,7 @@ from panelkit.functions import names as N
 from panelkit.functions.strata import stratum_int
 from panelkit.functions.text import null_tokens
 
+# Fixed values that must equal the reference: the columns a period sheet must have, and which of them are numbers.
 SHEET_REQUIRED = ["ra", "ano_base", "fase_raw", "turma", "defasagem", "matem", "portug", "ingles", "ieg", "iaa", "ips",
                   "ipp", "genero", "instituicao", "escola", "ano_ingresso", "ano_nasc", "idade"]
 SHEET_NUMERIC = ["defasagem", "matem", "portug", "ingles", "ieg", "iaa", "ips", "ipp", "ano_ingresso", "ano_nasc",

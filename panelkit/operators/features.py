@@ -207,6 +207,7 @@ def apply_lookup(base: DataFrame, lookup: Lookup, schema: PanelSchema = DEFAULT,
         derived.append(F.coalesce((F.col(v) < p25).cast("int"), F.lit(0)).alias(f"abaixo_p25_turma_{v}"))
 
     st = schema.state_t
+    # fixed values: identifiers and carried columns, in the order of the feature table
     id_cols = [schema.entity, schema.period, schema.pair_label, schema.stratum, schema.group, schema.target]
     base_cols = ["genero", "instituicao", "escola", schema.start_col, "tempo_casa", "ano_nasc", "idade",
                  st, f"{st}_is0", f"{st}_bin_1", f"{st}_bin_2plus",

@@ -29,37 +29,32 @@ def union_periods(frames: list[DataFrame]) -> DataFrame:
 
 def build_star(panel: DataFrame, entity: str, period: str, fact_cols: list[str], entity_cols: list[str],
                indicator_cols: list[str], process_cols: list[str], entity_order: list[str]) -> dict[str, DataFrame]:
-    """Fact (entity, period) keep-first; entity dimension keep-latest by ``entity_order``; indicator and process
-    dimensions (entity, period) keep-first. Each column list is intersected with what exists."""
+    """Fact, indicators and process (entity, period): one keep-first over the whole row, then three projections of that
+    row, so they always describe the same source line and share one shuffle; entity dimension keep-latest by
+    ``entity_order``. Each column list is intersected with what exists."""
     have = set(panel.columns)
 
     def pick(cols):
         return [c for c in cols if c in have and c not in (entity, period)]
 
     keys = [entity, period]
-    fact = dedup_first(panel.select(*keys, *pick(fact_cols)), keys)
+    used = list(dict.fromkeys([*pick(fact_cols), *pick(indicator_cols), *pick(process_cols)]))
+    kept = dedup_first(panel.select(*keys, *used), keys)
     ent = dedup_latest(panel.select(entity, *pick(entity_cols)), [entity], [c for c in entity_order if c in have])
-    ind = dedup_first(panel.select(*keys, *pick(indicator_cols)), keys)
-    proc = dedup_first(panel.select(*keys, *pick(process_cols)), keys)
-    return {"fact": fact, "entity": ent, "indicators": ind, "process": proc}
-
-
-def _suffixed_left_join(left: DataFrame, right: DataFrame, keys: list[str], suffix: str) -> DataFrame:
-    clash = [c for c in right.columns if c in left.columns and c not in keys]
-    r = right.select(*[F.col(c).alias(f"{c}{suffix}") if c in clash else F.col(c) for c in right.columns])
-    return left.join(r, keys, "left")
+    return {"line": kept, "fact": kept.select(*keys, *pick(fact_cols)), "entity": ent,
+            "indicators": kept.select(*keys, *pick(indicator_cols)), "process": kept.select(*keys, *pick(process_cols))}
 
 
 def views(star: dict[str, DataFrame], entity: str, period: str, ml_entity_fields: list[str],
           dash_process_fields: list[str], audit_fact_fields: list[str]) -> dict[str, DataFrame]:
-    """vw_ml = fact ⟕ entity fields on id; vw_360 = fact ⟕ indicators (suffix _ind) ⟕ process fields on
-    (id, period); vw_audit = process ⟕ fact fields on (id, period)."""
+    """vw_ml = fact with entity fields by id; vw_360 = fact with indicators (a name that the fact has gets the suffix
+    _ind) and process fields; vw_audit = process with fact fields. Fact, indicators and process are projections of one
+    kept line, so the last two views are projections as well and join nothing."""
     keys = [entity, period]
-    ent = star["entity"]
+    ent, line = star["entity"], star["line"]
+    own = {name: [c for c in star[name].columns if c not in keys] for name in ("fact", "indicators", "process")}
     ml = star["fact"].join(ent.select(entity, *[c for c in ml_entity_fields if c in ent.columns]), entity, "left")
-    proc = star["process"]
-    v360 = _suffixed_left_join(star["fact"], star["indicators"], keys, "_ind").join(
-        proc.select(*keys, *[c for c in dash_process_fields if c in proc.columns]), keys, "left")
-    fact = star["fact"]
-    audit = proc.join(fact.select(*keys, *[c for c in audit_fact_fields if c in fact.columns]), keys, "left")
+    indicators = [F.col(c).alias(f"{c}_ind") if c in own["fact"] else F.col(c) for c in own["indicators"]]
+    v360 = line.select(*keys, *own["fact"], *indicators, *[c for c in dash_process_fields if c in own["process"]])
+    audit = line.select(*keys, *own["process"], *[c for c in audit_fact_fields if c in own["fact"]])
     return {"vw_ml": ml, "vw_360": v360, "vw_audit": audit}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from panelkit.operators import quality as Q
@@ -117,18 +119,16 @@ def _star(spark, sf_dir):
 
 
 STAR_SQL = """
-fact AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag FROM (
+line AS (SELECT * FROM (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey NULLS FIRST, l_suppkey NULLS FIRST,
-    l_quantity NULLS FIRST, l_extendedprice NULLS FIRST, l_returnflag NULLS FIRST) AS rn FROM lineitem) WHERE rn = 1),
+    l_quantity NULLS FIRST, l_extendedprice NULLS FIRST, l_returnflag NULLS FIRST, l_discount NULLS FIRST, l_tax NULLS FIRST,
+    l_linestatus NULLS FIRST, l_shipdate NULLS FIRST) AS rn FROM lineitem) WHERE rn = 1),
+fact AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag FROM line),
 ent AS (SELECT l_orderkey, l_shipdate, l_linestatus FROM (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC NULLS LAST, l_linestatus DESC NULLS LAST) AS rn
   FROM lineitem) WHERE rn = 1),
-ind AS (SELECT l_orderkey, l_linenumber, l_discount, l_tax, l_quantity FROM (
-  SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_discount NULLS FIRST, l_tax NULLS FIRST,
-    l_quantity NULLS FIRST) AS rn FROM lineitem) WHERE rn = 1),
-proc AS (SELECT l_orderkey, l_linenumber, l_linestatus, l_shipdate, l_tax FROM (
-  SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_linestatus NULLS FIRST,
-    l_shipdate NULLS FIRST, l_tax NULLS FIRST) AS rn FROM lineitem) WHERE rn = 1)"""
+ind AS (SELECT l_orderkey, l_linenumber, l_discount, l_tax, l_quantity FROM line),
+proc AS (SELECT l_orderkey, l_linenumber, l_linestatus, l_shipdate, l_tax FROM line)"""
 
 
 @query("star_view_ml", B.with_ctes(STAR_SQL) + """
@@ -146,6 +146,25 @@ def star_view_360(spark, sf_dir):
     return _star(spark, sf_dir)["vw_360"]
 
 
+@query("star_view_360_source_lines", B.with_ctes(STAR_SQL) + """,
+v AS (SELECT f.*, i.l_discount, i.l_tax, p.l_linestatus
+      FROM fact f JOIN ind i USING (l_orderkey, l_linenumber) JOIN proc p USING (l_orderkey, l_linenumber))
+SELECT count(*) AS n_rows, CAST(sum(CASE WHEN EXISTS (
+    SELECT 1 FROM lineitem s WHERE s.l_orderkey = v.l_orderkey AND s.l_linenumber = v.l_linenumber
+      AND s.l_partkey = v.l_partkey AND s.l_suppkey = v.l_suppkey AND s.l_quantity = v.l_quantity
+      AND s.l_extendedprice = v.l_extendedprice AND s.l_returnflag = v.l_returnflag AND s.l_discount = v.l_discount
+      AND s.l_tax = v.l_tax AND s.l_linestatus = v.l_linestatus) THEN 1 ELSE 0 END) AS BIGINT) AS n_source_lines
+FROM v""", ids=("J4",))
+def star_view_360_source_lines(spark, sf_dir):
+    """Every row of vw_360 is one line of the source."""
+    v = _star(spark, sf_dir)["vw_360"]
+    cols = [c for c in v.columns if not c.endswith("_ind")]
+    lines = B.dup_lines(spark, sf_dir).select(*cols).distinct().withColumn("_source", F.lit(1))
+    same = reduce(lambda a, b: a & b, [F.col(f"v.{c}").eqNullSafe(F.col(f"s.{c}")) for c in cols])
+    return v.alias("v").join(lines.alias("s"), same, "left").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("_source").alias("n_source_lines"))
+
+
 @query("star_view_audit", B.with_ctes(STAR_SQL) + """
 SELECT p.l_orderkey, p.l_linenumber, p.l_linestatus, CAST(p.l_shipdate AS VARCHAR) AS l_shipdate, p.l_tax,
        f.l_quantity, f.l_returnflag FROM proc p LEFT JOIN fact f USING (l_orderkey, l_linenumber)""", ids=("J4",))

@@ -16,11 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed values that must equal the reference: the period table naming pattern (prefix + 4-digit year, any case) and
-# the loose form (any name holding 20##).
+# How a period table is named, and the loose form.
 PERIOD_PREFIX = "PEDE"
-PERIOD_DIR = re.compile(rf"^{PERIOD_PREFIX}(\d{{4}})$", re.IGNORECASE)
-PERIOD_DIR_LOOSE = re.compile(r"(20\d{2})")
+PERIOD_YEAR = r"(\d{4})"
+PERIOD_LOOSE = r"(20\d{2})"
 
 
 # ------------------------------------------------------------------------------------------- filesystem helpers
@@ -52,12 +51,14 @@ def read_small_text(spark: SparkSession, path: str) -> str | None:
 
 
 # ------------------------------------------------------------------------------------------- S1 / S2 / U1
-def discover_periods(spark: SparkSession, root: str, loose: bool = False, minimum: int = 3) -> list[tuple[int, str]]:
-    """Period folders under ``root`` named PERIOD_PREFIX + year (any case; loose=True accepts any name holding 20##),
+def discover_periods(spark: SparkSession, root: str, loose: bool = False, minimum: int = 3,
+                     prefix: str = PERIOD_PREFIX) -> list[tuple[int, str]]:
+    """Period folders under ``root`` named ``prefix`` + year (any case; loose=True accepts any name holding 20##),
     sorted by period. Fewer than ``minimum`` → ValueError."""
     found = {}
+    strict = re.compile(re.escape(prefix) + PERIOD_YEAR, re.IGNORECASE)
     for name, full in list_dirs(spark, root):
-        m = (PERIOD_DIR_LOOSE.search(name) if loose else PERIOD_DIR.match(name.strip()))
+        m = re.search(PERIOD_LOOSE, name) if loose else strict.fullmatch(name.strip())
         if m:
             found[int(m.group(1))] = full
     if len(found) < minimum:
@@ -104,15 +105,14 @@ def tail_lines(lines: DataFrame, n: int, order_cols: list[str]) -> DataFrame:
 def read_snapshots(spark: SparkSession, base: str, schema: T.StructType, now: str, days: int) -> DataFrame:
     """Scan a dt=YYYY-MM-DD partitioned JSON snapshot folder keeping partitions dt ≥ now − (days − 1).
 
-    The filter is on the partition column, so Spark prunes folders before listing files; partition folders whose
-    name is not a date get a null dt and are dropped. score / timestamp are coerced tolerantly."""
-    if not path_exists(spark, base):
+    Only the names of the partition folders are listed; of these the wanted days alone are given to the reader, so
+    older days and folders whose name is no date are never opened. score / timestamp are coerced tolerantly."""
+    first = date.fromisoformat(now[:10]) - timedelta(days=days - 1)
+    wanted = [(day, path) for name, path in list_dirs(spark, base) if (day := partition_day(name)) and day >= first]
+    if not wanted:
         return spark.createDataFrame([], T.StructType(schema.fields + [T.StructField("dt", T.DateType())]))
-    df = (spark.read.schema(schema).option("basePath", base)
-          .option("recursiveFileLookup", "false").json(base))
-    dt = F.to_date(F.col("dt").cast("string"), "yyyy-MM-dd")
-    cutoff = F.date_sub(F.lit(now).cast("date"), days - 1)
-    out = df.withColumn("dt", dt).filter(F.col("dt").isNotNull() & (F.col("dt") >= cutoff))
+    df = spark.read.schema(schema).option("basePath", base).json([path for _, path in sorted(wanted)])
+    out = df.withColumn("dt", F.try_to_timestamp(F.col("dt").cast("string"), F.lit("yyyy-MM-dd")).cast("date"))
     if "score" in out.columns:
         out = out.withColumn("score", F.col("score").cast("string").try_cast("double"))
     if "timestamp_utc" in out.columns:
@@ -120,6 +120,15 @@ def read_snapshots(spark: SparkSession, base: str, schema: T.StructType, now: st
     return out
 
 
+def partition_day(name: str) -> date | None:
+    """The day of a ``dt=YYYY-MM-DD`` folder name; None for any other name."""
+    key, _, value = name.partition("=")
+    try:
+        return date.fromisoformat(value) if key == "dt" and len(value) == 10 else None
+    except ValueError:
+        return None
+
+
 def tolerant_timestamp(c: Column) -> Column:
     """ISO-8601 text (a trailing 'Z' accepted) → timestamp; unparseable → null."""
     return F.try_to_timestamp(F.regexp_replace(c, "Z$", "+00:00"))
@@ -186,41 +195,42 @@ def load_document(spark: SparkSession, path: str):
 # ------------------------------------------------------------------------------------------- S12 / S13
 def baseline_manifests(spark: SparkSession, root: str) -> DataFrame:
     """One row per baseline folder: id (folder name), n, created_at (first 19 characters)."""
-    glob = f"{root}/*/baseline_manifest.json"
-    schema = "n_rows bigint, created_at string, baseline_file_sha256 string"
-    try:
-        df = spark.read.schema(schema).option("multiLine", "true").json(glob)
-    except Exception:  # noqa: BLE001  (no baseline yet)
+    found = [path for _, folder in list_dirs(spark, root)
+             if path_exists(spark, path := f"{folder}/baseline_manifest.json")]
+    if not found:
         return spark.createDataFrame([], "baseline_id string, n_rows bigint, created_at string, sha256 string")
+    schema = "n_rows bigint, created_at string, baseline_file_sha256 string"
+    df = spark.read.schema(schema).option("multiLine", "true").json(found)
     bid = F.regexp_extract(F.input_file_name(), r"/([^/]+)/baseline_manifest\.json$", 1)
     return df.select(bid.alias("baseline_id"), "n_rows", F.substring("created_at", 1, 19).alias("created_at"),
                      F.col("baseline_file_sha256").alias("sha256"))
 
 
+def file_hashes(spark: SparkSession, path: str) -> dict[str, str]:
+    """SHA-256 of a file, or of every part file of a folder, by file name; each is read by a task of its own (a part
+    file is bounded by the writer's file size)."""
+    rows = spark.read.format("binaryFile").load(path).select(
+        F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha")).collect()
+    return {r.name: r.sha for r in rows if not r.name.startswith(("_", "."))}
+
+
 def load_baseline(spark: SparkSession, root: str, pointer: str, fallback: str | None = None):
-    """Follow the pointer document to a baseline folder; accept its CSV only when the SHA-256 of the file
-    equals the manifest's; otherwise fall back to ``fallback`` (id 'legacy_valid_scored'). Returns (id, DataFrame)
-    or (None, None). The hash is computed on an executor from the file bytes (binaryFile source)."""
+    """Follow the pointer document to a baseline folder; accept its CSV only when its content hashes equal the
+    manifest's: ``baseline_file_sha256`` for a single file, ``baseline_part_sha256`` (name → hash) for a folder of
+    part files. Otherwise fall back to ``fallback`` (id 'legacy_valid_scored'). Returns (id, DataFrame) or
+    (None, None)."""
     ptr = load_document(spark, pointer) if path_exists(spark, pointer) else None
     bid = str((ptr or {}).get("baseline_id", "")).strip()
     if bid:
         folder = f"{root}/{bid}"
-        manifest = load_document(spark, f"{folder}/baseline_manifest.json") \
-            if path_exists(spark, f"{folder}/baseline_manifest.json") else None
+        manifest = (load_document(spark, f"{folder}/baseline_manifest.json")
+                    if path_exists(spark, f"{folder}/baseline_manifest.json") else None) or {}
         csv = f"{folder}/baseline.csv"
-        expected = str((manifest or {}).get("baseline_file_sha256", "")).strip()
-        if expected and path_exists(spark, csv):
-            actual = spark.read.format("binaryFile").load(csv).select(F.sha2("content", 256)).first()[0]
-            if actual == expected:
+        parts, single = manifest.get("baseline_part_sha256"), str(manifest.get("baseline_file_sha256", "")).strip()
+        if (parts or single) and path_exists(spark, csv):
+            actual = file_hashes(spark, csv)
+            if actual == parts if parts else list(actual.values()) == [single]:
                 return bid, spark.read.option("header", "true").option("inferSchema", "true").csv(csv)
     if fallback and path_exists(spark, fallback):
         return "legacy_valid_scored", spark.read.option("header", "true").option("inferSchema", "true").csv(fallback)
     return None, None
-
-
-def utc_today() -> date:
-    return datetime.now(timezone.utc).date()
-
-
-def cutoff_date(now: date, days: int) -> date:
-    return now - timedelta(days=days - 1)
