@@ -13,9 +13,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelkit.operators.ranking import quantiles
+
 from panelkit.functions.strata import stratum_int_lenient
 from panelkit.schema import DEFAULT, PanelSchema
 
@@ -92,23 +96,28 @@ class Lookup:
     combined: DataFrame | None = None
 
 
-def _level_stats(df: DataFrame, keys: list[str] | None, level: str, approx: bool, grouping=None) -> DataFrame:
-    aggs = []
-    for v in GROUP_VARS:
-        c = F.col(v)
-        if approx:
-            q = F.percentile_approx(c, [0.25, 0.75], 10000)
-        else:
-            q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))
-        aggs += [F.avg(c).alias(stat_name(level, "mean", v)),
-                 F.stddev_samp(c).alias(stat_name(level, "std", v)),
-                 q.alias(f"_q_{v}")]
+def _level_stats(df: DataFrame, keys: list[str] | None, level: str, grouping=None) -> DataFrame:
+    """A1: mean, deviation and exact quartiles of the group variables per ``keys``, or per grouping set."""
     if grouping is not None:
         sets, all_keys = grouping
-        grouped = df.groupingSets(sets, *all_keys).agg(*aggs, F.grouping_id().alias("_gid"))
-        keys = all_keys + ["_gid"]
+        levels = F.array(*[F.struct(F.lit(_grouping_id(all_keys, s)).cast("bigint").alias("_gid"),
+                                    *[(F.col(k) if k in s else F.lit(None)).cast(df.schema[k].dataType).alias(k) for k in all_keys])
+                           for s in sets])
+        df, keys = df.select(F.explode(levels).alias("_l"), *GROUP_VARS).select("_l.*", *GROUP_VARS), [*all_keys, "_gid"]
+    keys = keys or []
+    aggs = []
+    for v in GROUP_VARS:
+        aggs += [F.avg(v).alias(stat_name(level, "mean", v)), F.stddev_samp(v).alias(stat_name(level, "std", v))]
+    grouped = df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
+    spread = quantiles(df, GROUP_VARS, [0.25, 0.75], by=keys)
+    wide = spread.groupBy(*[F.col(k).alias(f"_q_{k}") for k in keys]).agg(
+        *[F.max(F.when(F.col("column") == v, F.col("q"))).alias(f"_q_{v}") for v in GROUP_VARS])
+    if keys:
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_q_{k}")) for k in keys])
+        grouped = grouped.join(wide, same, "left")
     else:
-        grouped = df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
+        row = wide.first()  # one row
+        grouped = grouped.withColumns({f"_q_{v}": F.lit(row[f"_q_{v}"] if row else None) for v in GROUP_VARS})
     out = []
     for v in GROUP_VARS:
         out += [stat_name(level, "mean", v), stat_name(level, "std", v),
@@ -118,14 +127,13 @@ def _level_stats(df: DataFrame, keys: list[str] | None, level: str, approx: bool
 
 
 def fit_lookup(base_train: DataFrame, schema: PanelSchema = DEFAULT, keys_mode: str = "period",
-               approx: bool = False, one_pass: bool = True) -> Lookup:
+               one_pass: bool = True) -> Lookup:
     """A1: statistics per (period, group), (period, stratum) and (period).
 
     keys_mode="period" keeps the period in the keys (parity: rows of a later period then match nothing, D3).
     keys_mode="latest" fits on the last training period only and drops the period from the keys, so later periods
     inherit the most recent statistics.
-    approx=True uses mergeable quantile sketches instead of exact percentiles (for very large groups).
-    one_pass=True computes the three levels in ONE grouping-sets aggregate (one scan, one shuffle); the levels are
+    one_pass=True computes the three levels together (one scan, each row once for every level); the levels are
     told apart by grouping_id, so a real null group key stays distinct from "not grouped by this key".
     """
     p = schema.period
@@ -138,11 +146,11 @@ def fit_lookup(base_train: DataFrame, schema: PanelSchema = DEFAULT, keys_mode:
         pk = [p]
     keys = {"turma": pk + [schema.group], "fase": pk + [schema.stratum], "global": list(pk)}
     if not one_pass:
-        tables = {lvl: _level_stats(df, keys[lvl], lvl, approx) for lvl in LEVELS}
+        tables = {lvl: _level_stats(df, keys[lvl], lvl) for lvl in LEVELS}
         return Lookup(tables=tables, keys=keys)
     all_keys = list(dict.fromkeys(pk + [schema.group, schema.stratum]))
     sets = [keys[lvl] for lvl in LEVELS]
-    stats = _level_stats(df, None, "_lvl", approx, grouping=(sets, all_keys))
+    stats = _level_stats(df, None, "_lvl", grouping=(sets, all_keys))
     tables = {}
     for lvl in LEVELS:
         gid = _grouping_id(all_keys, keys[lvl])
@@ -223,21 +231,16 @@ def numeric_columns(df: DataFrame, schema: PanelSchema = DEFAULT) -> list[str]:
     return [c for c, t in df.dtypes if (t in numeric or t.startswith("decimal")) and c != schema.target]
 
 
-def fit_fill(features_train: DataFrame, lookup: Lookup, schema: PanelSchema = DEFAULT, approx: bool = False) -> Lookup:
-    """P15 + A4 in one aggregate pass: which columns are entirely null in training, and the training median of every
-    numeric column (0 when undefined). The result is one row per fit — driver-sized metadata.
-
-    An exact median merges every distinct value of a column in the final task of a global aggregate, so above the
-    caller's size limit ``approx=True`` switches to mergeable quantile sketches (bounded memory per task)."""
+def fit_fill(features_train: DataFrame, lookup: Lookup, schema: PanelSchema = DEFAULT) -> Lookup:
+    """P15 + A4: which columns are entirely null in training, and the exact training median of every numeric column (0
+    when undefined). The medians of all columns come from one pass over (column, value) counts; what reaches the driver
+    is one number a column."""
     cols = features_train.columns
     nums = numeric_columns(features_train, schema)
-    aggs = [F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)]
-    med = (lambda c: F.percentile_approx(F.col(c).cast("double"), 0.5, 100000)) if approx else (
-        lambda c: F.median(F.col(c)))
-    aggs += [med(c).alias(f"m{i}") for i, c in enumerate(nums)]
-    row = features_train.agg(*aggs).first()
+    row = features_train.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
     lookup.all_null_cols = [c for i, c in enumerate(cols) if row[f"n{i}"] == 0]
-    lookup.medians = {c: (float(row[f"m{i}"]) if row[f"m{i}"] is not None else 0.0) for i, c in enumerate(nums)}
+    found = {r["column"]: float(r.q[0]) for r in quantiles(features_train, nums, [0.5]).collect()} if nums else {}
+    lookup.medians = {c: found.get(c, 0.0) for c in nums}
     return lookup
 
 
@@ -260,27 +263,17 @@ def finalize(features: DataFrame, lookup: Lookup, is_train: bool, schema: PanelS
     return features.select(*out)
 
 
-EXACT_LIMIT = 20_000_000
-
-
 def build_features(train_pairs: DataFrame, other_pairs: DataFrame | None = None, schema: PanelSchema = DEFAULT,
-                   keys_mode: str = "period", approx: bool | None = None, materialize_lookup: bool = True,
-                   exact_limit: int = EXACT_LIMIT):
+                   keys_mode: str = "period", materialize_lookup: bool = True):
     """Fit on the training pairs, apply to training and (optionally) to another pair set.
-    Returns (train_features, other_features_or_None, lookup).
-
-    approx=None decides from the measured size of the (checkpointed) training base: exact percentiles and medians
-    up to ``exact_limit`` rows (results identical to any exact engine), quantile sketches above it, so that no task
-    has to hold every distinct value of a whole period."""
+    Returns (train_features, other_features_or_None, lookup). Quartiles and medians are exact at every size."""
     from panelkit.session import materialize
 
     # the training base is read by the statistics pass, the feature joins and the fill statistics: cut its lineage once
     base_train = base_columns(train_pairs, schema)
     if materialize_lookup:
         base_train = materialize(base_train)
-    if approx is None:
-        approx = base_train.count() > exact_limit
-    lookup = fit_lookup(base_train, schema, keys_mode=keys_mode, approx=approx)
+    lookup = fit_lookup(base_train, schema, keys_mode=keys_mode)
     if materialize_lookup:
         if lookup.combined is not None:
             combined = materialize(lookup.combined)
@@ -288,7 +281,7 @@ def build_features(train_pairs: DataFrame, other_pairs: DataFrame | None = None,
         else:
             lookup.tables = {k: materialize(v) for k, v in lookup.tables.items()}
     feats_train = apply_lookup(base_train, lookup, schema)
-    fit_fill(feats_train, lookup, schema, approx=approx)
+    fit_fill(feats_train, lookup, schema)
     train_out = finalize(feats_train, lookup, True, schema)
     other_out = None
     if other_pairs is not None:

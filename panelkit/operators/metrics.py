@@ -1,9 +1,9 @@
 """Policy and ranking metrics.
 
 AUC, the ROC curve and the K trade-off all start from the same per-score table: ``groupBy(score)`` with positive and
-negative counts (map-side combined; bounded by the number of distinct scores). A cumulative window over that small
-table gives, in one pass, the negatives ranked below every score — the tie-aware Mann–Whitney AUC — and every
-top-K cut. Per-stratum variants partition the same table by stratum.
+negative counts (map-side combined). Running sums over ranges of that table (``ranking.running_sums``) give the
+negatives ranked below every score — the tie-aware Mann–Whitney AUC — and every top-K cut, without ordering the scores
+or a stratum in one task. Per-stratum variants run over the same ranges with the stratum as group.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkit.operators.ranking import running_sums, should_distribute
+from panelkit.operators.ranking import quantiles, row_numbers, running_sums
 from panelkit.operators.topk import k_of, topk_flags
 from panelkit.schema import DEFAULT, PanelSchema
 
@@ -23,26 +23,15 @@ def _ratio(num: Column, den: Column, empty) -> Column:
 
 
 def auc_table(df: DataFrame, score: str = "score", target: str = "target", by: list[str] | None = None,
-              one_class: float | None = 0.5, distribute: bool | None = False) -> DataFrame:
+              one_class: float | None = 0.5) -> DataFrame:
     """A10: tie-aware ROC AUC (Mann–Whitney with half credit for ties), optionally per group.
 
-    One class only → ``one_class`` (0.5 in the evaluation module, None in the dashboard dialect).
-    The per-score table is bounded by the distinct scores (≤ 1,000,001 per group for 4-decimal scores on 0..100)
-    and its running sum is a window; for unrounded continuous scores pass ``distribute=True`` (or None to decide
-    from the table's size) to compute the running sum with range partitioning instead.
-    """
+    One class only → ``one_class`` (0.5 in the evaluation module, None in the dashboard dialect)."""
     by = by or []
     y = F.col(target)
     per_score = df.groupBy(*by, score).agg(
         F.count_if(y == 1).alias("_pos"), F.count_if(y != 1).alias("_neg"))
-    if distribute is None:
-        distribute = should_distribute(per_score)
-    if distribute:
-        scored = running_sums(per_score, [F.col(score).asc_nulls_first()], {"_neg_below": F.col("_neg")}, by=by)
-    else:
-        below = Window.partitionBy(*by).orderBy(F.col(score).asc_nulls_first()).rowsBetween(
-            Window.unboundedPreceding, -1)
-        scored = per_score.withColumn("_neg_below", F.coalesce(F.sum("_neg").over(below), F.lit(0)))
+    scored = running_sums(per_score, [F.col(score).asc_nulls_first()], {"_neg_below": F.col("_neg")}, by=by)
     agg = scored.groupBy(*by).agg(
         F.sum(F.col("_pos") * (F.col("_neg_below") + F.col("_neg") * 0.5)).alias("_u"),
         F.sum("_pos").alias("n_pos"),
@@ -100,32 +89,15 @@ def _clean_scores(df: DataFrame, score: str, target: str) -> DataFrame:
 
 
 def global_topk_metrics(df: DataFrame, ks=DEFAULT_KS, score: str = "_s", target: str = "_y",
-                        entity: str = "ra", lift_empty: float | None = 0.0, distribute: bool = False) -> DataFrame:
+                        entity: str = "ra", lift_empty: float | None = 0.0) -> DataFrame:
     """W1 + W2 for several K at once (global, unstratified): one per-score table, one cumulative pass.
 
     For each K the top k rows are all rows above the boundary score plus the first ``slots`` of the boundary score
     by entity; positives among those slots need the tie group ranked, which only touches the boundary rows.
     """
     per_score = df.groupBy(score).agg(F.count(F.lit(1)).alias("_c"), F.sum(F.col(target)).alias("_p"))
-    # one ordered pass over the per-score table (bounded by distinct scores): running counts before each score and
-    # the totals share the same ordering, so they are evaluated by a single Window operator
-    order = F.col(score).desc_nulls_last()
-    if distribute:
-        # unbounded per-score table: range-partitioned running sums, totals as two driver-sized numbers
-        totals = per_score.agg(F.sum("_c"), F.sum("_p")).first()
-        cum = running_sums(per_score, [order], {"_before": F.col("_c"), "_pos_before": F.col("_p")}).select(
-            score, "_c", "_p", "_before", "_pos_before",
-            F.lit(int(totals[0] or 0)).cast("bigint").alias("_n"), F.lit(int(totals[1] or 0)).cast("bigint").alias("_npos"))
-    else:
-        run = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        tot = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        cum = per_score.select(
-            score, "_c", "_p",
-            F.coalesce(F.sum("_c").over(run), F.lit(0)).alias("_before"),
-            F.coalesce(F.sum("_p").over(run), F.lit(0)).alias("_pos_before"),
-            F.sum("_c").over(tot).alias("_n"),
-            F.sum("_p").over(tot).alias("_npos"),
-        )
+    cum = running_sums(per_score, [F.col(score).desc_nulls_last()], {"_before": F.col("_c"), "_pos_before": F.col("_p")},
+                       totals={"_n": "_before", "_npos": "_pos_before"})
     # every K cut from the same rows: each score row is paired with the (few) K values by an explode, not a join
     cuts = F.explode(F.array(*[F.struct(F.lit(float(k)).alias("k_pct"), k_of(F.col("_n"), k).alias("_k"))
                                for k in ks])).alias("_cut")
@@ -136,9 +108,8 @@ def global_topk_metrics(df: DataFrame, ks=DEFAULT_KS, score: str = "_s", target:
     # positives among the boundary slots: rank the boundary rows by entity (only those rows are touched)
     tie = df.join(F.broadcast(bounds.select("k_pct", "_bscore", "_slots", "_bc")),
                   F.col(score).eqNullSafe(F.col("_bscore")))  # ≤ len(ks) rows, bounded by construction
-    w = Window.partitionBy("k_pct").orderBy(F.col(entity).asc())
-    tie_pos = (tie.filter(F.col("_slots") < F.col("_bc"))
-               .withColumn("_rn", F.row_number().over(w))
+    cut_ties = tie.filter(F.col("_slots") < F.col("_bc")).select("k_pct", "_slots", entity, target)
+    tie_pos = (row_numbers(cut_ties, [F.col(entity).asc()], "_rn", by=["k_pct"])
                .filter(F.col("_rn") <= F.col("_slots"))
                .groupBy("k_pct").agg(F.sum(F.col(target)).alias("_tp_tie")))
     j = bounds.join(tie_pos, "k_pct", "left")
@@ -155,45 +126,40 @@ def global_topk_metrics(df: DataFrame, ks=DEFAULT_KS, score: str = "_s", target:
     )
 
 
-def evaluate(df: DataFrame, schema: PanelSchema = DEFAULT, ks=DEFAULT_KS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(overall one-row table, per-K global table, per-stratum table).
+def evaluate_overall(df: DataFrame, schema: PanelSchema = DEFAULT) -> DataFrame:
+    """A9, one row: auc, n_total, n_positive, base_rate."""
+    auc = auc_table(_clean_scores(df, schema.score, schema.target), "_s", "_y")
+    return auc.select(F.col("auc"), F.col("n").alias("n_total"), F.col("n_pos").alias("n_positive"),
+                      _ratio(F.col("n_pos"), F.col("n"), 0.0).alias("base_rate"))
 
-    overall: auc, n_total, n_positive, base_rate. per-K: recall / precision / lift of the global top-K.
-    per stratum (null stratum dropped): n, n_pos, auc, recall@15, precision@15.
-    """
-    clean = _clean_scores(df, schema.score, schema.target)
-    auc = auc_table(clean, "_s", "_y")
-    overall = auc.select(F.col("auc"), F.col("n").alias("n_total"), F.col("n_pos").alias("n_positive"),
-                         _ratio(F.col("n_pos"), F.col("n"), 0.0).alias("base_rate"))
-    per_k = global_topk_metrics(clean, ks, entity=schema.entity)
-    strat = clean.filter(F.col(schema.stratum).isNotNull())
+
+def evaluate_per_k(df: DataFrame, schema: PanelSchema = DEFAULT, ks=DEFAULT_KS) -> DataFrame:
+    """A9, one row for each K: recall / precision / lift of the global top-K."""
+    return global_topk_metrics(_clean_scores(df, schema.score, schema.target), ks, entity=schema.entity)
+
+
+def evaluate_by_stratum(df: DataFrame, schema: PanelSchema = DEFAULT) -> DataFrame:
+    """A9, one row for each stratum (null stratum dropped): n, n_pos, auc, recall@15, precision@15."""
+    strat = _clean_scores(df, schema.score, schema.target).filter(F.col(schema.stratum).isNotNull())
     s_auc = auc_table(strat, "_s", "_y", by=[schema.stratum])
     flagged = topk_flags(strat, 15.0, "_s", schema.stratum, schema.entity, "_a")
     s_conf = confusion(flagged, "_a", "_y", [schema.stratum])
-    per_stratum = s_auc.join(s_conf.select(schema.stratum, "recall_at_k", "precision_at_k"), schema.stratum).select(
+    return s_auc.join(s_conf.select(schema.stratum, "recall_at_k", "precision_at_k"), schema.stratum).select(
         schema.stratum, "n", "n_pos", "auc", F.col("recall_at_k").alias("recall_top15"),
         F.col("precision_at_k").alias("precision_top15"))
-    return overall, per_k, per_stratum
 
 
-def roc_curve(df: DataFrame, score: str = "score", target: str = "target", distribute: bool = False) -> DataFrame:
-    """Cumulative true / false positives by descending score, on per-score aggregates (range-partitioned
-    running sums with ``distribute=True`` for unbounded per-score tables)."""
+def evaluate(df: DataFrame, schema: PanelSchema = DEFAULT, ks=DEFAULT_KS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(overall one-row table, per-K global table, per-stratum table); callers of one table use its function."""
+    return evaluate_overall(df, schema), evaluate_per_k(df, schema, ks), evaluate_by_stratum(df, schema)
+
+
+def roc_curve(df: DataFrame, score: str = "score", target: str = "target") -> DataFrame:
+    """Cumulative true / false positives by descending score, on per-score aggregates."""
     per = df.groupBy(score).agg(F.count_if(F.col(target) == 1).alias("_p"), F.count_if(F.col(target) != 1).alias("_n"))
-    if distribute:
-        totals = per.agg(F.sum("_p"), F.sum("_n")).first()
-        cum = running_sums(per, [F.col(score).desc()], {"tp": F.col("_p"), "fp": F.col("_n")}, inclusive=True)
-        return cum.select(score, "tp", "fp", (F.col("tp") / F.lit(float(totals[0] or 0))).alias("tpr"),
-                          (F.col("fp") / F.lit(float(totals[1] or 0))).alias("fpr"))
-    run = Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tot = Window.partitionBy()
-    return per.select(
-        score,
-        F.sum("_p").over(run).alias("tp"),
-        F.sum("_n").over(run).alias("fp"),
-        (F.sum("_p").over(run) / F.sum("_p").over(tot)).alias("tpr"),
-        (F.sum("_n").over(run) / F.sum("_n").over(tot)).alias("fpr"),
-    )
+    cum = running_sums(per, [F.col(score).desc()], {"tp": F.col("_p"), "fp": F.col("_n")}, inclusive=True,
+                       totals={"_tp": "tp", "_fp": "fp"})
+    return cum.select(score, "tp", "fp", (F.col("tp") / F.col("_tp")).alias("tpr"), (F.col("fp") / F.col("_fp")).alias("fpr"))
 
 
 def calibration(df: DataFrame, score: str = "score", target: str = "target", bins: int = 5,
@@ -228,13 +194,10 @@ def alerts_by_stratum(flagged: DataFrame, stratum: str = "fase", alert: str = "a
     return agg.withColumn("pct_alerta", _ratio(100 * F.col("alertas"), F.col("total"), 0.0))
 
 
-def score_summary(df: DataFrame, score: str = "score", approx: bool = False) -> DataFrame:
-    """Mean, p90 and p99 of the non-null scores (linear interpolation), 0 when there are none. Scores from the
-    scoring step have ≤ 1,000,001 distinct values, which bounds the exact percentile's buffer; ``approx=True`` uses a
-    mergeable sketch for unbounded inputs."""
+def score_summary(df: DataFrame, score: str = "score") -> DataFrame:
+    """Mean, p90 and p99 of the non-null scores (exact, linear interpolation), 0 when there are none."""
     s = F.col(score).cast("double")
-    q = F.percentile_approx(s, [0.9, 0.99], 10000) if approx else F.percentile(s, F.array(F.lit(0.9), F.lit(0.99)))
-    agg = df.agg(F.avg(s).alias("m"), q.alias("q"))
-    return agg.select(F.coalesce("m", F.lit(0.0)).alias("score_mean"),
-                      F.coalesce(F.col("q")[0], F.lit(0.0)).alias("score_p90"),
-                      F.coalesce(F.col("q")[1], F.lit(0.0)).alias("score_p99"))
+    found = quantiles(df.select(s.alias("_s")), ["_s"], [0.9, 0.99]).first()  # one row
+    q = found.q if found else (0.0, 0.0)
+    return df.agg(F.coalesce(F.avg(s), F.lit(0.0)).alias("score_mean")).select(
+        "score_mean", F.lit(float(q[0])).alias("score_p90"), F.lit(float(q[1])).alias("score_p99"))

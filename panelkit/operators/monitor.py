@@ -2,14 +2,18 @@
 
 Log lines have the layout ``TS | LEVEL | MODULE | MESSAGE | k=v ...``. Everything is column expressions plus one
 aggregate; the p95 latency is an exact linear-interpolated percentile (``percentile``), or a mergeable sketch with
-``approx=True`` for very large logs.
+ranges of the latencies, never one task.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelkit.operators.ranking import quantiles
+
 from panelkit.operators.report import low_sample
 
 REQUEST_TAG = "event_type=predict_batch"
@@ -36,18 +40,25 @@ def parse_log(lines: DataFrame, col: str = "value") -> DataFrame:
     )
 
 
-def log_kpis(lines: DataFrame, col: str = "value", by: list[Column] | None = None, approx: bool = False,
+def log_kpis(lines: DataFrame, col: str = "value", by: list[Column] | None = None,
              digits: int | None = 1) -> DataFrame:
-    """Requests, errors and p95 latency (rounded half-to-even to ``digits``, 0 when there is no latency),
-    overall or per ``by`` (e.g. a daily window). digits=None keeps the exact percentile."""
+    """Requests, errors and exact p95 latency (rounded half-to-even to ``digits``, 0 when there is no
+    latency), overall or per ``by`` (e.g. a daily window). digits=None keeps the exact percentile."""
     p = parse_log(lines, col)
-    q = (F.percentile_approx("latency_ms", 0.95, 10000) if approx else F.percentile("latency_ms", F.lit(0.95)))
-    aggs = [F.count_if("is_request").alias("n_requests"), F.count_if("is_error").alias("n_errors"), q.alias("_p95")]
-    g = p.groupBy(*by).agg(*aggs) if by else p.agg(*aggs)
-    keys = [c for c in g.columns if c not in ("n_requests", "n_errors", "_p95")]
+    keyed = p.select("*", *(by or []))
+    keys = keyed.columns[len(p.columns):]
+    counted = keyed.groupBy(*keys).agg(F.count_if("is_request").alias("n_requests"), F.count_if("is_error").alias("n_errors"))
+    q = quantiles(keyed.select(*keys, "latency_ms"), ["latency_ms"], [0.95], by=keys)
+    if keys:
+        found = q.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("q")[0].alias("_p95"))
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+        counted = counted.join(found, same, "left")
+    else:
+        row = q.first()  # one row
+        counted = counted.withColumn("_p95", F.lit(row.q[0] if row else None))
     p95 = F.coalesce(F.col("_p95").cast("double"), F.lit(0.0))
-    return g.select(*keys, "n_requests", "n_errors",
-                    (F.bround(p95, digits) if digits is not None else p95).alias("p95_latency_ms"))
+    return counted.select(*keys, "n_requests", "n_errors",
+                          (F.bround(p95, digits) if digits is not None else p95).alias("p95_latency_ms"))
 
 
 def daily_kpis(lines: DataFrame, ts: str = "ts", col: str = "value", digits: int | None = 1) -> DataFrame:

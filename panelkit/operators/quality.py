@@ -1,7 +1,7 @@
 """Data-quality checks (A5 reuse, A6, A19, A20, J8, U5).
 
-IQR outliers need the quartiles before the count, so they take two aggregate passes: the first returns one row of
-quartiles (driver-sized: 2 numbers per column), the second counts rows outside the fences with those literals.
+IQR outliers need the quartiles before the count, so they take two passes: the first returns the exact quartiles
+(driver-sized: 2 numbers per column), the second counts rows outside the fences with those literals.
 Unseen categories are a ``left_anti`` join of (column, value) pairs, distinct on both sides before the shuffle.
 """
 
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelkit.operators.ranking import quantiles
+
 NUMERIC = ("int", "bigint", "double", "float", "smallint", "tinyint")
 
 
@@ -21,36 +23,17 @@ def string_cols(df: DataFrame) -> list[str]:
     return [c for c, t in df.dtypes if t == "string"]
 
 
-EXACT_LIMIT = 20_000_000
-
-
-def exact_is_safe(df: DataFrame, limit: int = EXACT_LIMIT) -> bool:
-    """An exact global percentile merges every distinct value in one task: allow it only up to ``limit`` rows."""
-    return df.limit(limit + 1).count() <= limit
-
-
-def iqr_outliers(df: DataFrame, cols: list[str] | None = None, max_cols: int = 20,
-                 approx: bool | None = None) -> DataFrame:
-    """Per column (first ``max_cols`` numeric columns) count values strictly outside [q1 − 1.5·IQR, q3 + 1.5·IQR];
-    a column needs ≥ 4 values and IQR > 0. Returns one row per column plus nothing else; sum it for the card.
-    Quartiles are exact up to ``EXACT_LIMIT`` rows and mergeable sketches above (approx=None decides by size)."""
+def iqr_outliers(df: DataFrame, cols: list[str] | None = None, max_cols: int | None = None) -> DataFrame:
+    """Per numeric column (all, or the first ``max_cols``) count values strictly outside [q1 − 1.5·IQR,
+    q3 + 1.5·IQR]; a column needs ≥ 4 values and IQR > 0. One row per column; quartiles are exact at every size."""
     cols = (cols or numeric_cols(df))[:max_cols]
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, n_outliers bigint")
-    if approx is None:
-        approx = not exact_is_safe(df)
-
-    def quartiles(c):
-        x = F.col(c).cast("double")
-        return F.percentile_approx(x, [0.25, 0.75], 10000) if approx else F.percentile(x, F.array(F.lit(0.25),
-                                                                                                   F.lit(0.75)))
-
-    q = df.agg(*[quartiles(c).alias(f"q{i}") for i, c in enumerate(cols)],
-               *[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    q = {r["column"]: r for r in quantiles(df, cols, [0.25, 0.75]).collect()}  # one row a column
     counts = []
     for i, c in enumerate(cols):
-        qs = q[f"q{i}"]
-        if q[f"n{i}"] < 4 or qs is None or qs[1] - qs[0] <= 0:
+        qs = q[c].q if c in q else None
+        if qs is None or q[c].n < 4 or qs[1] - qs[0] <= 0:
             counts.append(F.lit(0).cast("bigint").alias(f"o{i}"))
             continue
         lo, hi = qs[0] - 1.5 * (qs[1] - qs[0]), qs[1] + 1.5 * (qs[1] - qs[0])
@@ -62,10 +45,10 @@ def iqr_outliers(df: DataFrame, cols: list[str] | None = None, max_cols: int = 2
 
 
 def unseen_categories(current: DataFrame, train: DataFrame, cols: list[str] | None = None,
-                      max_cols: int = 5) -> DataFrame:
-    """Per string column (first ``max_cols`` of the current frame that also exist in train), the number of
-    distinct non-null current values never seen in train."""
-    cols = [c for c in (cols or string_cols(current))[:max_cols] if c in train.columns]
+                      max_cols: int | None = None) -> DataFrame:
+    """Per string column that also exists in train (all, or the first ``max_cols`` of them), the number of distinct
+    non-null current values never seen in train."""
+    cols = [c for c in (cols or string_cols(current)) if c in train.columns][:max_cols]
     if not cols:
         return current.sparkSession.createDataFrame([], "column string, n_new bigint")
 
@@ -77,15 +60,16 @@ def unseen_categories(current: DataFrame, train: DataFrame, cols: list[str] | No
     return new.groupBy("column").agg(F.count(F.lit(1)).alias("n_new"))
 
 
-def quality_card(current: DataFrame, train: DataFrame) -> DataFrame:
-    """Missing percentage over numeric columns, IQR outliers (first 20 numeric columns), new categories (first 5
-    string columns), row and numeric-column counts — one row. Each part is a one-row aggregate computed on the
+def quality_card(current: DataFrame, train: DataFrame, outlier_cols: int | None = None,
+                 category_cols: int | None = None) -> DataFrame:
+    """Missing percentage over numeric columns, IQR outliers (all numeric columns or the first ``outlier_cols``),
+    new categories (all string columns or the first ``category_cols``), row and numeric-column counts — one row. Each part is a one-row aggregate computed on the
     executors; only those few numbers are combined."""
     nums = numeric_cols(current)
     nulls = sum((F.count_if(F.col(c).isNull()) for c in nums), F.lit(0))
     base = current.agg(F.count(F.lit(1)).alias("n_rows"), nulls.alias("nulls")).first()
-    n_out = iqr_outliers(current, nums).agg(F.sum("n_outliers")).first()[0] or 0
-    n_new = unseen_categories(current, train).agg(F.sum("n_new")).first()[0] or 0
+    n_out = iqr_outliers(current, nums, outlier_cols).agg(F.sum("n_outliers")).first()[0] or 0
+    n_new = unseen_categories(current, train, max_cols=category_cols).agg(F.sum("n_new")).first()[0] or 0
     denom = base["n_rows"] * len(nums)
     pct = float(base["nulls"]) * 100.0 / denom if denom > 0 else 0.0
     return current.sparkSession.createDataFrame(

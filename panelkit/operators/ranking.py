@@ -1,9 +1,13 @@
-"""Running sums and ranks over a global order without a single-partition window.
+"""Exact running sums, ranks and quantiles over a global order, one plan at every size.
 
-A window ordered over a whole table (or a whole stratum) runs in one task. Here the rows are range-partitioned on
-(group keys, order keys) — Spark samples the key distribution to cut balanced ranges — each range partition computes
-its own running sums, and a tiny table of per-partition totals (partitions × groups rows) supplies each partition's
-offset. Every task handles about N / partitions rows whatever the skew of the groups.
+A window ordered over a whole table (or a whole stratum) runs in one task. Here the rows are dealt into ranges of (group
+keys, order keys) and the dealt table, each row with the number of its range, is written once to the shared checkpoint
+folder: Spark samples the ranges' bounds a single time, and everything after reads the same ranges. Each range computes
+its own running sums; a table of totals per group and range (at most groups + ranges rows, since a range is one
+contiguous stretch of the order) supplies the offsets. A task handles about rows / ranges rows whatever the skew of the
+groups.
+
+Quantiles start from counts per distinct value (combined before the shuffle), so repeated values cost nothing.
 """
 
 from __future__ import annotations
@@ -11,35 +15,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DISTRIBUTE_ABOVE = 2_000_000
+from panelkit.session import materialize
 
 
 def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], by: list[str] | None = None,
-                 partitions: int | None = None, inclusive: bool = False) -> DataFrame:
+                 partitions: int | None = None, inclusive: bool = False, totals: dict[str, str] | None = None) -> DataFrame:
     """Add, for every name in ``sums``, the running total of its expression over ``order`` within ``by`` groups
-    (exclusive of the current row unless ``inclusive``). ``order`` must be a total order inside each group."""
-    by = by or []
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    (exclusive of the current row unless ``inclusive``), and for every name in ``totals`` the group's total of the sum
+    it names. ``order`` must be a total order inside each group; null groups are groups of their own."""
+    by, totals = by or [], totals or {}
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     work = df.select("*", *[e.alias(f"_v_{k}") for k, e in sums.items()])
-    ranged = work.repartitionByRange(n, *[F.col(b) for b in by], *order).withColumn("_pid", F.spark_partition_id())
+    dealt = work.repartitionByRange(n, *[F.col(b) for b in by], *order)
+    ranged = materialize(dealt.withColumn("_pid", F.spark_partition_id()))
     frame = (Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     local_w = Window.partitionBy("_pid", *by).orderBy(*order).rowsBetween(*frame)
-    local = ranged.select("*", *[F.coalesce(F.sum(f"_v_{k}").over(local_w), F.lit(0)).alias(f"_l_{k}") for k in sums])
-    totals = ranged.groupBy(*by, "_pid").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
-    off_w = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "_pid", *[F.coalesce(F.sum(f"_t_{k}").over(off_w), F.lit(0)).alias(f"_o_{k}")
-                                           for k in sums])
-    # offsets hold one row per (group, range partition) that exists — at most groups + partitions rows, because a
-    # range partition covers one contiguous key range; AQE broadcasts it when it is small (no unchecked hint)
+    zero = F.lit(0)
+    local = ranged.select("*", *[F.coalesce(F.sum(f"_v_{k}").over(local_w), zero).alias(f"_l_{k}") for k in sums])
+    parts = ranged.groupBy(*by, "_pid").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = parts.select(
+        *[F.col(b).alias(f"_ob_{b}") for b in by], F.col("_pid").alias("_opid"),
+        *[F.coalesce(F.sum(f"_t_{k}").over(before), zero).alias(f"_o_{k}") for k in sums],
+        *[F.sum(f"_t_{k}").over(group).alias(f"_g_{name}") for name, k in totals.items()])
     cond = F.col("_pid") == F.col("_opid")
     for b in by:
         cond = cond & F.col(b).eqNullSafe(F.col(f"_ob_{b}"))
-    off = offsets.select(*[F.col(b).alias(f"_ob_{b}") for b in by], F.col("_pid").alias("_opid"),
-                         *[f"_o_{k}" for k in sums])
-    joined = local.join(off, cond)
-    out = joined.select(*df.columns, *[(F.col(f"_l_{k}") + F.col(f"_o_{k}")).alias(k) for k in sums])
-    return out
+    return local.join(off, cond).select(
+        *df.columns, *[(F.col(f"_l_{k}") + F.col(f"_o_{k}")).alias(k) for k in sums],
+        *[F.col(f"_g_{name}").alias(name) for name in totals])
 
 
 def row_numbers(df: DataFrame, order: list[Column], name: str, by: list[str] | None = None,
@@ -49,6 +54,25 @@ def row_numbers(df: DataFrame, order: list[Column], name: str, by: list[str] | N
     return out.withColumn(name, F.col(name).cast("int"))
 
 
-def should_distribute(df: DataFrame, limit: int = DISTRIBUTE_ABOVE) -> bool:
-    """Size check for the strategy choice: distribute when the table to be ordered exceeds ``limit`` rows."""
-    return df.limit(limit + 1).count() > limit
+def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: list[str] | None = None,
+              partitions: int | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation, long form: ``*by, column, n, q`` with ``q`` an array in the order of
+    ``probs`` and ``n`` the non-null values. Groups and columns without a value have no row. All columns share one
+    shuffle of their distinct values and counts."""
+    by = by or []
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_x")) for c in cols])
+    values = df.select(*by, F.inline(pairs)).where(F.col("_x").isNotNull())
+    counted = values.groupBy(*by, "column", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    cum = running_sums(counted, [F.col("_x")], {"_before": F.col("_c")}, by=[*by, "column"], partitions=partitions,
+                       totals={"n": "_before"})
+
+    def at(rank: Column) -> Column:
+        holds = (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_c"))
+        return F.max(F.when(holds, F.col("_x")))
+
+    place = {i: F.lit(float(p)) * (F.col("n") - 1) for i, p in enumerate(probs)}
+    aggs = [a for i, pos in place.items() for a in (at(F.floor(pos)).alias(f"_lo{i}"), at(F.ceil(pos)).alias(f"_hi{i}"))]
+    found = cum.groupBy(*by, "column", "n").agg(*aggs)
+    q = [F.when(F.floor(pos) == F.ceil(pos), F.col(f"_lo{i}")).otherwise(
+        (F.ceil(pos) - pos) * F.col(f"_lo{i}") + (pos - F.floor(pos)) * F.col(f"_hi{i}")) for i, pos in place.items()]
+    return found.select(*by, "column", "n", F.array(*q).alias("q"))

@@ -5,12 +5,12 @@ Stratified top-K% with a data-dependent k per stratum cannot use Spark's WindowG
 *threshold selection*:
 
 1. per stratum: n and k = max(1, ceil(n · K / 100)) — one small aggregate;
-2. per (stratum, score): row counts — a hash aggregate with map-side combine; the table is bounded by the number of
-   distinct scores (scores produced by the scoring step carry 4 decimals on 0..100, so ≤ 1,000,001 per stratum);
-3. a cumulative sum over that table finds, per stratum, the boundary score and how many of the rows tied at it still
-   fit — one row per stratum;
+2. per (stratum, score): row counts — a hash aggregate with map-side combine;
+3. running sums over ranges of that table find, per stratum, the boundary score and how many of the rows tied at it
+   still fit — one row per stratum;
 4. every row is compared with its stratum's boundary (a join against the per-stratum row); only rows tied exactly at
-   the boundary score are ranked (entity id ascending), everything above is in and everything below is out.
+   the boundary score are ranked (entity id ascending, over ranges), everything above is in and everything below is
+   out.
 
 ``method="row_number"`` keeps the direct window form for comparison.
 """
@@ -20,13 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkit.operators.ranking import row_numbers
+from panelkit.operators.ranking import row_numbers, running_sums
 from panelkit.schema import DEFAULT, PanelSchema
+from panelkit.session import materialize
 
-# strata whose boundary rows are read back to the driver (one row each); rows tied on a boundary score are ranked
-# with a plain window up to TIE_WINDOW_LIMIT rows per stratum and with range-partitioned ranking above it
-MAX_STRATA_ON_DRIVER = 100_000
-TIE_WINDOW_LIMIT = 2_000_000
+# boundary rows (one a stratum, some 100 bytes) that may be broadcast, after counting them; beyond it the join shuffles
+BROADCAST_STRATA = 100_000
 
 
 def k_of(n: Column, k_pct: float) -> Column:
@@ -82,39 +81,23 @@ def _threshold_flags(work: DataFrame, k_pct: float, score: str, keys: list[str],
     elig = work.filter(F.col("_elig"))
     # (2) rows per (stratum, score); (1) is its sum per stratum
     per_score = elig.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_c"))
-    order = Window.partitionBy(*keys).orderBy(F.col(score).desc_nulls_last())
-    running = Window.partitionBy(*keys).orderBy(F.col(score).desc_nulls_last()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    total = Window.partitionBy(*keys)
-    ranked = per_score.select(
-        *keys, score, "_c",
-        (F.sum("_c").over(running) - F.col("_c")).alias("_before"),
-        k_of(F.sum("_c").over(total), k_pct).alias("_k"),
-        F.row_number().over(order).alias("_pos"),
-    )
+    cum = running_sums(per_score, [F.col(score).desc_nulls_last()], {"_before": F.col("_c")}, by=keys,
+                       totals={"_n": "_before"})
+    ranked = cum.withColumn("_k", k_of(F.col("_n"), k_pct))
     # (3) the boundary: the score group where the cumulative count first reaches k
     boundary = ranked.filter((F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_c") >= F.col("_k")))
-    bounds = boundary.select(
+    bounds = materialize(boundary.select(
         *[F.col(k).alias(f"_b_{k}") for k in keys],
         F.col(score).alias("_bscore"),
-        F.col("_pos").alias("_bpos"),
         (F.col("_k") - F.col("_before")).alias("_slots"),
         (F.col("_c") == F.col("_k") - F.col("_before")).alias("_whole"),
-        F.col("_c").alias("_tie_rows"),
-    )
-    # One boundary row per stratum: read it back (driver-sized) so the per-score aggregate runs exactly once and the
-    # size of the tie groups is known before choosing how to rank them.
-    rows = bounds.collect()
-    if len(rows) <= MAX_STRATA_ON_DRIVER:
-        bounds = work.sparkSession.createDataFrame(rows, bounds.schema) if rows else bounds.limit(0)
-        largest_tie = max([r["_tie_rows"] for r in rows if not r["_whole"]] or [0])
-    else:
-        largest_tie = None
+    ))
+    side = F.broadcast(bounds) if bounds.count() <= BROADCAST_STRATA else bounds
     cond = None
     for k in keys:
         e = F.col(k).eqNullSafe(F.col(f"_b_{k}"))
         cond = e if cond is None else cond & e
-    marked = work.join(F.broadcast(bounds) if largest_tie is not None else bounds, cond, "left")
+    marked = work.join(side, cond, "left")
     s = F.col(score)
     bs = F.col("_bscore")
     above = F.when(bs.isNull(), s.isNotNull()).otherwise(s > bs)
@@ -130,14 +113,9 @@ def _threshold_flags(work: DataFrame, k_pct: float, score: str, keys: list[str],
     flagged = marked.withColumn(alert, pre)
     settled = flagged.filter(F.col(alert).isNotNull())
     tie_rows = flagged.filter(F.col(alert).isNull())
-    if largest_tie is None or largest_tie > TIE_WINDOW_LIMIT:
-        # a hot score value on the boundary: rank its rows by entity with range partitioning, not in one task
-        ranked = row_numbers(tie_rows, [F.col(entity).asc()], "_rn", by=keys)
-        tie_rows = ranked.withColumn(alert, F.col("_rn") <= F.col("_slots")).drop("_rn")
-    else:
-        w = Window.partitionBy(*keys).orderBy(F.col(entity).asc())
-        tie_rows = tie_rows.withColumn(alert, F.row_number().over(w) <= F.col("_slots"))
-    drop = [f"_b_{k}" for k in keys] + ["_bscore", "_bpos", "_slots", "_whole", "_tie_rows"]
+    tie_rows = row_numbers(tie_rows, [F.col(entity).asc()], "_rn", by=keys)
+    tie_rows = tie_rows.withColumn(alert, F.col("_rn") <= F.col("_slots")).drop("_rn")
+    drop = [f"_b_{k}" for k in keys] + ["_bscore", "_slots", "_whole"]
     return settled.unionByName(tie_rows).drop(*drop)
 
 

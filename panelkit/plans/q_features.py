@@ -156,14 +156,14 @@ def _stats_select(level: str, keys: list[str]) -> str:
        + _stats_select("turma", ["ano_base", "turma"]), ids=("A1",))
 def group_stats_by_group(spark, sf_dir):
     base = FE.base_columns(B.pairs(spark, sf_dir))
-    return round_doubles(FE._level_stats(base, ["ano_base", "turma"], "turma", approx=False))
+    return round_doubles(FE._level_stats(base, ["ano_base", "turma"], "turma"))
 
 
 @query("group_stats_by_stratum", B.with_ctes(BASE_SQL, _stats_cte("fase", ["ano_base", "fase"], "TRUE"))
        + _stats_select("fase", ["ano_base", "fase"]), ids=("A1",))
 def group_stats_by_stratum(spark, sf_dir):
     base = FE.base_columns(B.pairs(spark, sf_dir))
-    return round_doubles(FE._level_stats(base, ["ano_base", "fase"], "fase", approx=False))
+    return round_doubles(FE._level_stats(base, ["ano_base", "fase"], "fase"))
 
 
 @query("panel_missing_rate", B.with_ctes(B.B1_SQL) + """

@@ -62,7 +62,7 @@ SELECT round((SELECT {' + '.join(f'count(*) FILTER (WHERE {c} IS NULL)' for c in
        CAST((SELECT count(*) FROM cur) AS BIGINT) AS n_rows, {len(NUM_COLS)} AS n_numeric_cols""", ids=("A20", "A5"))
 def quality_card(spark, sf_dir):
     cur, train = _cur_train(spark, sf_dir)
-    return round_doubles(Q.quality_card(cur.select(*NUM_COLS, *STR_COLS), train))
+    return round_doubles(Q.quality_card(cur.select(*NUM_COLS, *STR_COLS), train, outlier_cols=20, category_cols=5))
 
 
 LINE_REST = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",

@@ -122,7 +122,7 @@ g AS (SELECT *, row_number() OVER (ORDER BY s DESC, ra) AS grn, count(*) OVER ()
 SELECT a.auc, a.n AS n_total, a.n_pos AS n_positive, round(CAST(a.n_pos AS DOUBLE) / a.n, {R}) AS base_rate
 FROM ({_auc_sql("(SELECT s AS score, target FROM clean)")}) a""", ids=("A9", "A10"))
 def evaluation_overall(spark, sf_dir):
-    overall, _, _ = M.evaluate(B.scored_with_nulls(spark, sf_dir))
+    overall = M.evaluate_overall(B.scored_with_nulls(spark, sf_dir))
     return round_doubles(overall)
 
 
@@ -136,7 +136,7 @@ SELECT k_pct, round(coalesce(CAST(sum(target) AS DOUBLE) / nullif(max(npos), 0),
 FROM ks JOIN g ON g.grn <= greatest(1, ceil(CAST(g.n AS DOUBLE) * ks.k_pct / 100.0))
 GROUP BY k_pct""", ids=("A9", "W1", "W2"))
 def evaluation_global_topk(spark, sf_dir):
-    _, per_k, _ = M.evaluate(B.scored_with_nulls(spark, sf_dir))
+    per_k = M.evaluate_per_k(B.scored_with_nulls(spark, sf_dir))
     return round_doubles(per_k)
 
 
@@ -153,7 +153,7 @@ SELECT au.fase, au.n, au.n_pos, au.auc, round(conf.recall_top15, {R}) AS recall_
        round(conf.precision_top15, {R}) AS precision_top15
 FROM au JOIN conf ON au.fase = conf.fase""", ids=("A9", "A8"))
 def evaluation_by_stratum(spark, sf_dir):
-    _, _, per_stratum = M.evaluate(B.scored_with_nulls(spark, sf_dir))
+    per_stratum = M.evaluate_by_stratum(B.scored_with_nulls(spark, sf_dir))
     return round_doubles(per_stratum)
 
 

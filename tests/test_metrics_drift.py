@@ -105,18 +105,74 @@ def test_sampler_is_deterministic_and_bounded(spark):
     assert a == b and len(a) == 75
 
 
-def test_distributed_tie_ranking_equals_window(spark, monkeypatch):
+def test_tie_ranking_equals_window(spark):
     from panelkit.operators import topk as KK
 
     rnd = random.Random(5)
     rows = [(i, f"S{i % 2}", float(rnd.choice([1, 2, 2, 2, 3])), i % 2) for i in range(400)]
     df = spark.createDataFrame(rows, "ra long, fase string, score double, target int")
     want = {r.ra: r.alerta for r in KK.stratified_alerts(df, 30.0, method="row_number").collect()}
-    monkeypatch.setattr(KK, "TIE_WINDOW_LIMIT", 0)
     got = {r.ra: r.alerta for r in KK.stratified_alerts(df, 30.0).collect()}
     assert got == want
 
 
+@pytest.fixture(scope="module")
+def many(spark):
+    """150,000 rows, a stratum with 90 % of them, unrounded scores with a hot value."""
+    h = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(10**6)) / 10**6
+    df = spark.range(0, 150_000, 1, 8).select(
+        F.col("id").alias("ra"), F.when(h(1) < 0.9, "S0").when(h(1) < 0.97, "S1").alias("fase"),
+        F.when(h(2) < 0.3, F.lit(42.5)).when(h(2) < 0.32, F.lit(None)).otherwise(h(3) * 100).alias("score"),
+        (h(4) < 0.3).cast("int").alias("target"))
+    return df.cache()
+
+
+def test_large_tables_equal_plain_windows(spark, many):
+    from pyspark.sql import Window
+
+    from panelkit.operators import topk as KK
+    from panelkit.operators.ranking import quantiles, row_numbers, running_sums
+
+    w = Window.partitionBy("fase").orderBy(F.col("score").asc_nulls_first(), "ra")
+    order = [F.col("score").asc_nulls_first(), F.col("ra").asc()]
+    both = running_sums(many, order, {"s": F.col("target")}, by=["fase"], totals={"t": "s"})
+    plain = many.select("ra", F.coalesce(F.sum("target").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ps"),
+                        F.sum("target").over(Window.partitionBy("fase")).alias("pt"), F.row_number().over(w).alias("pn"))
+    j = both.join(plain, "ra").join(row_numbers(many, order, "n", by=["fase"]).select("ra", "n"), "ra")
+    assert j.count() == 150_000
+    assert j.where("s != ps or t != pt or n != pn").count() == 0
+    one = many.agg(F.percentile("score", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.99))).alias("q"), F.count("score").alias("n")).first()
+    got = quantiles(many, ["score"], [0.25, 0.5, 0.99]).first()
+    assert got.n == one.n and got.q == pytest.approx(one.q, rel=1e-12)
+    per = {r.fase: r.q for r in many.groupBy("fase").agg(F.percentile("score", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).collect()}
+    per_got = {r.fase: r.q for r in quantiles(many, ["score"], [0.25, 0.75], by=["fase"]).collect()}
+    assert per.keys() == per_got.keys() and all(per_got[k] == pytest.approx(per[k], rel=1e-12) for k in per)
+    a = KK.stratified_alerts(many, 15.0).select("ra", F.col("alerta").alias("a"))
+    b = KK.stratified_alerts(many, 15.0, method="row_number").select("ra", F.col("alerta").alias("b"))
+    assert a.join(b, "ra").where("a != b").count() == 0
+
+
+def test_large_metrics_equal_numpy(spark, many):
+    import numpy as np
+
+    rows = many.select("ra", "score", "target").toPandas().fillna({"score": 0.0})
+    s, y = rows.score.to_numpy(), rows.target.to_numpy()
+    order = np.argsort(s, kind="stable")
+    ranks = np.empty(len(s))
+    _, inv, cnt = np.unique(s, return_inverse=True, return_counts=True)
+    ranks = (np.cumsum(cnt) - (cnt - 1) / 2)[inv]
+    auc = (ranks[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (len(y) - y.sum()))
+    assert len(order) and M.evaluate_overall(many).first().auc == pytest.approx(auc, abs=1e-9)
+    top = rows.sort_values(["score", "ra"], ascending=[False, True]).target.to_numpy()
+    got = {r.k_pct: r for r in M.evaluate_per_k(many).collect()}
+    assert sorted(got) == [10.0, 15.0, 20.0, 25.0]
+    for k, r in got.items():
+        n = int(np.ceil(len(top) * k / 100))
+        assert (r.n_alert, r.recall) == (n, pytest.approx(top[:n].sum() / y.sum()))
+    roc = M.roc_curve(many.where("score is not null"))
+    assert roc.agg(F.max("tpr"), F.max("fpr")).first() == (1.0, 1.0)
+
+
 def test_running_sums_match_window(spark):
     from pyspark.sql import Window
 
@@ -130,13 +186,6 @@ def test_running_sums_match_window(spark):
     assert got == want
 
 
-def test_distributed_auc_equals_window(spark):
-    df = _scored(spark, 300, 3, seed=9, pos_hi=False)
-    a = {r.fase: r.auc for r in M.auc_table(df, by=["fase"]).collect()}
-    b = {r.fase: r.auc for r in M.auc_table(df, by=["fase"], distribute=True).collect()}
-    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
-
-
 def test_drift_report_modes(spark):
     xs = _scores(spark, [0.1 * (i % 10) for i in range(100)]).withColumn("fase", F.lit("F1"))
     ys = _scores(spark, [0.05 * (i % 20) for i in range(80)]).withColumn("fase", F.lit("F1"))
@@ -162,13 +211,3 @@ def test_explain_entities(spark):
     out = {r.ra: r for r in explain_entities(df, factor_values=["ieg", "matem"]).collect()}
     assert out["RA-1"].ano_base == 2023 and out["RA-1"].top_factors[0].feature == "matem"
     assert out["RA-1"].top_factors[0].student_value == 6.0 and out["RA-2"].top_factors[0].shap_value == -0.4
-
-
-def test_distributed_topk_and_roc_equal_window(spark):
-    df = _scored(spark, 300, 3, seed=11, pos_hi=False).withColumn("score", F.round("score", 0))
-    a = sorted(tuple(r) for r in M.global_topk_metrics(df, score="score", target="target").collect())
-    b = sorted(tuple(r) for r in M.global_topk_metrics(df, score="score", target="target", distribute=True).collect())
-    assert a == b
-    ra = sorted(tuple(r) for r in M.roc_curve(df).collect())
-    rb = sorted(tuple(r) for r in M.roc_curve(df, distribute=True).collect())
-    assert ra == rb
