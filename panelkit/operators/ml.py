@@ -65,10 +65,19 @@ def _encoders(cat: list[str], one_hot: bool):
     return idx + [ohe], [f"{c}__ohe" for c in cat]
 
 
-def gbt_estimator(num: list[str], cat: list[str], max_iter: int = 60, depth: int = 5, step: float = 0.1,
+def bins_for(train: DataFrame, cat: list[str]) -> int:
+    """Bins that the largest categorical feature of ``train`` needs (its values, one for unknown), 32 at least."""
+    if not cat:
+        return 32
+    row = train.agg(*[F.countDistinct(c) for c in cat]).first()  # one row
+    return max(32, max(row) + 2)
+
+
+def gbt_estimator(num: list[str], cat: list[str], max_iter: int = 2500, depth: int = 8, step: float = 0.1,
                  max_bins: int = 128, seed: int = 42, validation_col: str | None = None) -> Pipeline:
     """M2: boosted trees on indexed categoricals and numeric features; row and column subsampling 0.8; balanced
-    weights; optional validation indicator column for early stopping (on loss)."""
+    weights; optional validation indicator column for early stopping (on loss). ``max_bins`` must reach the largest
+    categorical feature (:func:`bins_for`)."""
     stages, cat_out = _encoders(cat, one_hot=False)
     assembler = VectorAssembler(inputCols=num + cat_out, outputCol=FEATURES, handleInvalid="keep")
     gbt = GBTClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, maxIter=max_iter, maxDepth=depth,
@@ -158,17 +167,22 @@ def isotonic_calibrated(estimator_factory, train: DataFrame, test: DataFrame, nu
 
 def linear_attributions(model: PipelineModel, df: DataFrame, num: list[str], cat: list[str], entity: str,
                         target: str = "target", k: int = 3) -> DataFrame:
-    """M8: exact contributions of the standardised numeric features in a logistic model, coef_j · z_j per row
-    (the scaler centred z on the training mean, so Σ contributions + intercept = margin − categorical part);
-    the k largest by magnitude per row as (top3_factors, top3_values) — native array expressions, no Python."""
+    """M8: exact contributions of every feature in a logistic model, numeric ones as coef_j · z_j of the standardised
+    value, a categorical one as the coefficient of the row's category; Σ contributions + intercept = margin. The k
+    largest by magnitude per row as (top3_factors, top3_values) — native array expressions, no Python. The order of
+    ``contributions`` is ``num`` then ``cat``."""
     lr = model.stages[-1]
-    coefs = lr.coefficients.toArray().tolist()[: len(num)]
+    coefs = [float(c) for c in lr.coefficients.toArray()]
+    sizes = next((list(s.categorySizes) for s in model.stages if hasattr(s, "categorySizes")), [])
     out = model.transform(prepare(df, num, cat, target))
-    z = vector_to_array(F.col("_num_std"))
-    contrib = F.transform(z, lambda v, i: v * F.element_at(F.array(*[F.lit(float(c)) for c in coefs]), i + 1))
-    names = F.array(*[F.lit(n) for n in num])
-    top_n, top_v = top3_by_magnitude(names, contrib, k)
-    return out.select(entity, *[c for c in ("fase",) if c in df.columns], contrib.alias("contributions"),
+    parts = F.zip_with(vector_to_array(F.col(FEATURES)), F.lit(coefs), lambda x, c: x * c)
+    starts = [len(num) + sum(sizes[:i]) for i in range(len(sizes))]
+    groups = [F.aggregate(F.slice(F.col("_parts"), a + 1, n), F.lit(0.0), lambda acc, v: acc + v) for a, n in zip(starts, sizes)]
+    out = out.withColumn("_parts", parts)
+    contrib = F.concat(F.slice("_parts", 1, len(num)), F.array(*groups)) if groups else F.slice("_parts", 1, len(num))
+    out = out.withColumn("_contrib", contrib)
+    top_n, top_v = top3_by_magnitude(F.lit([*num, *cat]), F.col("_contrib"), k)
+    return out.select(entity, *[c for c in ("fase",) if c in df.columns], F.col("_contrib").alias("contributions"),
                       top_n.alias("top3_factors"), top_v.alias("top3_values"),
                       vector_to_array(F.col("probability"))[1].alias("prob"))
 
@@ -189,36 +203,37 @@ def _logloss(p: Column, y: Column) -> Column:
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, num: list[str], cat: list[str], entity: str,
-                           features: list[str], stratum: str = "fase", target: str = "target", seed: int = 42,
-                           min_n: int = 30, buckets: int = 256) -> DataFrame:
-    """Per (stratum, feature) the increase in log-loss when that feature's column is permuted across rows.
-
-    The permutation is drawn inside ``buckets`` random hash buckets of rows: within a bucket the i-th row by one
-    seeded hash receives the value of the i-th row by another, via one equi-join on (bucket, rank). Every window is
-    partitioned by bucket (about N / buckets rows each), so no task ever ranks the whole table and every row gets
-    exactly one partner. Strata with fewer than ``min_n`` rows are flagged unstable."""
+                           features: list[str] | None = None, stratum: str = "fase", target: str = "target",
+                           seed: int = 42, min_n: int = 30, buckets: int | None = None) -> DataFrame:
+    """Per (stratum, feature) the increase in log-loss when that feature's column is permuted across rows;
+    every feature unless ``features`` names some.
+
+    The permutation is drawn inside random hash buckets of rows (eight for each shuffle partition): within a bucket the
+    i-th row by one seeded hash receives the values of the i-th row by another, via one equi-join on (bucket, rank), so
+    no task ever ranks the whole table and every row gets exactly one partner. Each pair of rows is then scored once for
+    every feature, in one pass. Strata with fewer than ``min_n`` rows are flagged unstable."""
     from pyspark.sql import Window
 
+    feats = [c for c in (features or [*num, *cat]) if c in df.columns]
+    n = buckets or 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     base = score(model, df, num, cat, target, keep=[entity, stratum, target])
     base_loss = base.groupBy(stratum).agg(F.avg(_logloss(F.col("prob"), F.col(target).cast("double"))).alias("_base"),
                                           F.count(F.lit(1)).alias("n"))
     key = F.col(entity).cast("string")
-    bucket = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(buckets))
-    w_row = Window.partitionBy("_b").orderBy(F.xxhash64(key, F.lit("row")), key)
-    rows = df.withColumn("_b", bucket).withColumn("_r", F.row_number().over(w_row))
-    out = None
-    for feat in features:
-        donor = df.select(bucket.alias("_b"), F.col(feat).alias("_v"), key.alias("_k")).select(
-            "_b", "_v", F.row_number().over(
-                Window.partitionBy("_b").orderBy(F.xxhash64(F.col("_k"), F.lit(feat)), F.col("_k"))).alias("_r"))
-        permuted = rows.join(donor, ["_b", "_r"]).drop(feat, "_b", "_r").withColumnRenamed("_v", feat)
-        s = score(model, permuted, num, cat, target, keep=[entity, stratum, target])
-        loss = s.groupBy(stratum).agg(F.avg(_logloss(F.col("prob"), F.col(target).cast("double"))).alias("_perm"))
-        part = loss.join(base_loss, stratum).select(
-            stratum, F.lit(feat).alias("feature"), (F.col("_perm") - F.col("_base")).alias("importance"), "n",
-            (F.col("n") < min_n).alias("unstable"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    dealt = df.withColumn("_b", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(n)))
+
+    def ranked(by: str) -> Column:
+        return F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(key, F.lit(by)), key)).alias("_r")
+
+    donors = dealt.select("_b", ranked("donor"), F.struct(*feats).alias("_d"))
+    pairs = dealt.select("*", ranked("row")).join(donors, ["_b", "_r"])
+    long = pairs.withColumn("_feature", F.explode(F.lit(feats)))
+    swapped = long.withColumns({c: F.when(F.col("_feature") == c, F.col(f"_d.`{c}`")).otherwise(F.col(c)) for c in feats})
+    s = score(model, swapped, num, cat, target, keep=[entity, stratum, target, "_feature"])
+    loss = s.groupBy(stratum, "_feature").agg(F.avg(_logloss(F.col("prob"), F.col(target).cast("double"))).alias("_perm"))
+    return loss.join(base_loss, stratum).select(
+        stratum, F.col("_feature").alias("feature"), (F.col("_perm") - F.col("_base")).alias("importance"), "n",
+        (F.col("n") < min_n).alias("unstable"))
 
 
 def model_metadata(model_kind: str, num: list[str], cat: list[str], params: dict, metrics: dict) -> dict:

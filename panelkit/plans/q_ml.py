@@ -17,6 +17,7 @@ from panelkit.plans.registry import query
 from panelkit.session import materialize
 
 R = DIGITS
+# the queries train small ensembles, the estimators default to full size (2500 x depth 8, 300 x depth 12)
 SMALL_GBT = {"max_iter": 30, "depth": 4}
 
 
@@ -45,7 +46,7 @@ def class_weights(spark, sf_dir):
 @query("gbt_valid_scores", None, ids=("M1", "M2", "M3", "F34", "P13"))
 def gbt_valid_scores(spark, sf_dir):
     tr, va, num, cat = _feature_sets(spark, sf_dir)
-    model = ML.fit(ML.gbt_estimator(num, cat, **SMALL_GBT), tr, num, cat, checkpoint=False)
+    model = ML.fit(ML.gbt_estimator(num, cat, max_bins=ML.bins_for(tr, cat), **SMALL_GBT), tr, num, cat, checkpoint=False)
     return ML.score(model, va, num, cat, keep=["ra", "pair_label", "fase", "target"])
 
 
@@ -60,13 +61,13 @@ def gbt_valid_policy(spark, sf_dir):
     return round_doubles(auc.join(pol, "model"))
 
 
-@query("model_comparison", None, ids=("M4", "M5", "M6", "J6"))
+@query("model_comparison", None, ids=("M4", "M5"))
 def model_comparison(spark, sf_dir):
     """M5: one row per model (boosted trees, random forest, logistic) — AUC and stratified recall / precision /
     lift at 15%, sorted by lift."""
     tr, va, num, cat = _feature_sets(spark, sf_dir)
     rows = None
-    for name, pipe in (("gbt", ML.gbt_estimator(num, cat, **SMALL_GBT)),
+    for name, pipe in (("gbt", ML.gbt_estimator(num, cat, max_bins=ML.bins_for(tr, cat), **SMALL_GBT)),
                        ("random_forest", ML.rf_estimator(num, cat, trees=60, depth=8)),
                        ("logistic", ML.lr_estimator(num, cat))):
         model = ML.fit(pipe, tr, num, cat, checkpoint=False)
@@ -83,45 +84,63 @@ def model_comparison(spark, sf_dir):
 @query("isotonic_calibration", None, ids=("M7",))
 def isotonic_calibration(spark, sf_dir):
     tr, va, num, cat = _feature_sets(spark, sf_dir)
-    return ML.isotonic_calibrated(lambda: ML.gbt_estimator(num, cat, **SMALL_GBT), tr, va, num, cat, "ra")
+    return ML.isotonic_calibrated(lambda: ML.gbt_estimator(num, cat, max_bins=ML.bins_for(tr, cat), **SMALL_GBT), tr, va, num, cat, "ra")
 
 
-@query("linear_attributions", None, ids=("M8", "W6", "F35"))
+@query("linear_attributions", None, ids=("M8", "W6"))
 def linear_attributions(spark, sf_dir):
     tr, va, num, cat = _feature_sets(spark, sf_dir)
     model = ML.fit(ML.lr_estimator(num, cat), tr, num, cat, checkpoint=False)
     return ML.linear_attributions(model, va, num, cat, "ra").drop("contributions")
 
 
-@query("attribution_by_stratum", None, ids=("M10", "A27", "W5", "W10", "F36"))
-def attribution_by_stratum(spark, sf_dir):
+def _attribution_table(spark, sf_dir):
     tr, va, num, cat = _feature_sets(spark, sf_dir)
     model = ML.fit(ML.lr_estimator(num, cat), tr, num, cat, checkpoint=False)
-    from panelkit.operators.topk import sample_per_stratum
-
-    sample = sample_per_stratum(va, "fase", "ra", 500, seed=42)
-    attr = ML.linear_attributions(model, sample, num, cat, "ra")
-    long = ML.attribution_by_stratum(attr, num)
-    top = top_n_per_group(long, "fase", "mean_abs_contrib", 20, tiebreak="feature")
+    long = ML.attribution_by_stratum(ML.linear_attributions(model, va, num, cat, "ra"), [*num, *cat])
     # F36 report columns: direction by sign (>= 0 raises risk), values to 6 decimals, share in percent to 1 decimal
-    return top.select("fase", "feature", "n", F.round("mean_contrib", 6).alias("mean_contrib"),
-                      F.round("mean_abs_contrib", 6).alias("mean_abs_contrib"),
-                      F.round(F.col("pct_positive") * 100, 1).alias("pct_positive"),
-                      F.when(F.col("mean_contrib") >= 0, F.lit("↑ risco")).otherwise(F.lit("↓ risco"))
-                      .alias("direction"))
+    return long.select("fase", "feature", "n", F.round("mean_contrib", 6).alias("mean_contrib"),
+                       F.round("mean_abs_contrib", 6).alias("mean_abs_contrib"),
+                       F.round(F.col("pct_positive") * 100, 1).alias("pct_positive"),
+                       F.when(F.col("mean_contrib") >= 0, F.lit("↑ risco")).otherwise(F.lit("↓ risco"))
+                       .alias("direction"))
+
+
+@query("attribution_by_stratum", None, ids=("A27", "F36"))
+def attribution_by_stratum(spark, sf_dir):
+    """Every feature, categorical ones included, over all rows of every stratum."""
+    return _attribution_table(spark, sf_dir)
+
+
+@query("attribution_top_by_stratum", None, ids=("A27", "W5", "F36"))
+def attribution_top_by_stratum(spark, sf_dir):
+    """The 20 features with the largest mean contribution of each stratum."""
+    return top_n_per_group(_attribution_table(spark, sf_dir), "fase", "mean_abs_contrib", 20, tiebreak="feature")
+
+
+@query("linear_attribution_margins", "SELECT 0 AS n_wrong_margins, 0 AS n_wrong_probabilities", ids=("M8",))
+def linear_attribution_margins(spark, sf_dir):
+    """Rows whose contributions and intercept do not add up to the model's margin, or whose probability leaves [0, 1]."""
+    tr, va, num, cat = _feature_sets(spark, sf_dir)
+    model = ML.fit(ML.lr_estimator(num, cat), tr, num, cat, checkpoint=False)
+    a = ML.linear_attributions(model, va, num, cat, "ra")
+    total = F.aggregate("contributions", F.lit(float(model.stages[-1].intercept)), lambda acc, v: acc + v)
+    margin = F.log(F.col("prob") / (1 - F.col("prob")))
+    return a.agg(F.count_if(F.abs(total - margin) > 1e-6).cast("int").alias("n_wrong_margins"),
+                 F.count_if(~F.col("prob").between(0, 1)).cast("int").alias("n_wrong_probabilities"))
 
 
 @query("permutation_importance", None, ids=("M9", "A26"))
 def permutation_importance(spark, sf_dir):
+    """Every feature of every stratum."""
     tr, va, num, cat = _feature_sets(spark, sf_dir)
-    model = ML.fit(ML.gbt_estimator(num, cat, **SMALL_GBT), tr, num, cat, checkpoint=False)
-    feats = [c for c in ("media_provas", "matem", "ieg", "defasagem_t", "tempo_casa") if c in num]
-    return ML.permutation_importance(model, va, num, cat, "ra", feats)
+    model = ML.fit(ML.gbt_estimator(num, cat, max_bins=ML.bins_for(tr, cat), **SMALL_GBT), tr, num, cat, checkpoint=False)
+    return ML.permutation_importance(model, va, num, cat, "ra")
 
 
-@query("gbt_tree_attributions", None, ids=("M8", "W6", "M10"))
+@query("gbt_tree_attributions", None, ids=("M8", "W6"))
 def gbt_tree_attributions(spark, sf_dir):
     """Per-row path attributions of the boosted trees on the valid pair (top 3 factors with values)."""
     tr, va, num, cat = _feature_sets(spark, sf_dir)
-    model = ML.fit(ML.gbt_estimator(num, cat, **SMALL_GBT), tr, num, cat, checkpoint=False)
+    model = ML.fit(ML.gbt_estimator(num, cat, max_bins=ML.bins_for(tr, cat), **SMALL_GBT), tr, num, cat, checkpoint=False)
     return ML.tree_attributions(model, va, num, cat, "ra").drop("contributions")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from panelkit.operators import drift as D
 from panelkit.plans.registry import query
-from panelkit.streaming.monitoring import start_daily_histograms
+from panelkit.session import scratch_path
+from panelkit.streaming.monitoring import start_daily_histogram_table, trailing_psi
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -25,9 +26,39 @@ SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type AS stratum, {_sql_bi
        CAST(count(*) AS BIGINT) AS n
 FROM events GROUP BY ALL""", ids=("T2", "T5", "A11"))
 def streaming_daily_histogram(spark, sf_dir):
+    return _daily_table(spark, sf_dir).select(F.col("day").cast("string").alias("day"), "stratum", "bin",
+                                              F.col("n").cast("bigint").alias("n"))
+
+
+def _daily_table(spark, sf_dir):
+    """The day-partitioned table that the update-mode stream merges its counts into."""
     name = f"daily_hist_{uuid.uuid4().hex[:8]}"
-    q = start_daily_histograms(spark, sf_dir, EVENTS_SCHEMA, "ts", F.col("value") / 500.0, "event_type", name,
-                               glob="events.parquet")
-    q.awaitTermination()
-    return spark.table(name).select(F.col("day").cast("string").alias("day"), "stratum", "bin",
-                                    F.col("n").cast("bigint").alias("n"))
+    path = scratch_path(spark, name)
+    start_daily_histogram_table(spark, sf_dir, EVENTS_SCHEMA, "ts", F.col("value") / 500.0, "event_type", path, name,
+                                glob="events.parquet").awaitTermination()
+    return spark.read.parquet(path)
+
+
+def _side(prefix: str, where: str) -> str:
+    bins = ", ".join(f"sum(CASE WHEN bin = {i} THEN n ELSE 0 END) AS {prefix}{i}" for i in range(10))
+    return f"SELECT stratum, {bins}, sum(n) AS {prefix}n FROM d WHERE {where} GROUP BY stratum"
+
+
+_TERMS = " + ".join(f"(greatest(c{i} / cn, 1e-6) - greatest(b{i} / bn, 1e-6)) * ln(greatest(c{i} / cn, 1e-6) / greatest(b{i} / bn, 1e-6))"
+                    for i in range(10))
+
+
+@query("streaming_trailing_psi", f"""
+WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type AS stratum, {_sql_bin('value / 500.0')} AS bin, CAST(count(*) AS DOUBLE) AS n
+           FROM events GROUP BY ALL),
+last AS (SELECT max(day) AS day FROM d),
+b AS ({_side('b', 'day <= (SELECT day FROM last) - 7')}),
+c AS ({_side('c', 'day > (SELECT day FROM last) - 7')})
+SELECT stratum, round({_TERMS}, 6) AS psi, CAST(bn AS BIGINT) AS n_baseline, CAST(cn AS BIGINT) AS n_current
+FROM b JOIN c USING (stratum) WHERE bn >= 5 AND cn >= 5""", ids=("T2", "J5", "A12"))
+def streaming_trailing_psi(spark, sf_dir):
+    """T2 over the streamed table: the last 7 days against all days before them."""
+    daily = _daily_table(spark, sf_dir)
+    last = daily.agg(F.max("day")).first()[0]
+    base = daily.where(F.col("day") <= F.date_sub(F.lit(last), 7))
+    return trailing_psi(daily, base, str(last), 7).withColumn("psi", F.round("psi", 6))

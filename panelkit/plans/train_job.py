@@ -42,14 +42,19 @@ def run_training(panel: DataFrame, out_dir: str, schema: PanelSchema = DEFAULT,
     tr, va = materialize(tr), materialize(va)
     S.save_lookup(lookup, os.path.join(out_dir, "model", "lookup"))
     num, cat = FE.feature_columns(tr, schema)
-    params = model_params or {}
+    params, rows = dict(model_params or {}), tr
     if model_kind == "gbt":
+        # boosting stops early on the loss of the valid pair, whose rows ride along under an indicator column
+        params = {"max_bins": ML.bins_for(tr, cat), "validation_col": "_valid", **params}
+        if params["validation_col"]:
+            rows = tr.withColumn("_valid", F.lit(False)).unionByName(va.withColumn("_valid", F.lit(True)),
+                                                                     allowMissingColumns=True)
         pipe = ML.gbt_estimator(num, cat, **params)
     elif model_kind == "random_forest":
         pipe = ML.rf_estimator(num, cat, **params)
     else:
         pipe = ML.lr_estimator(num, cat, **params)
-    model = ML.fit(pipe, tr, num, cat, schema.target)
+    model = ML.fit(pipe, rows, num, cat, schema.target)
 
     keep = [c for c in (schema.entity, schema.period, schema.pair_label, schema.stratum, schema.group, schema.target)
             if c in tr.columns]

@@ -48,9 +48,10 @@ def start_daily_histograms(spark: SparkSession, source_dir: str, schema: str, ts
     return writer.start()
 
 
-def trailing_psi(daily: DataFrame, baseline_hist: DataFrame, now: str, days: int) -> DataFrame:
+def trailing_psi(daily: DataFrame, baseline_hist: DataFrame, now: str, days: int, min_per_side: int = 5) -> DataFrame:
     """PSI per stratum of the last ``days`` days of daily counts against a baseline histogram
-    (stratum, bin, n). Proportions are bin count / all rows of the side, clipped at 1e-6."""
+    (stratum, bin, n). Proportions are bin count / all rows of the side, clipped at 1e-6; strata with fewer than
+    ``min_per_side`` rows on either side are left out (J5)."""
     cutoff = F.date_sub(F.lit(now).cast("date"), days - 1)
     cur = (daily.filter((F.col("day") >= cutoff) & (F.col("day") <= F.lit(now).cast("date")))
            .groupBy(F.col("stratum").alias("stratum"))
@@ -60,7 +61,7 @@ def trailing_psi(daily: DataFrame, baseline_hist: DataFrame, now: str, days: int
     base = baseline_hist.groupBy(F.col("stratum").alias("stratum")).agg(
         *[F.sum(F.when(F.col("bin") == i, F.col("n")).otherwise(0)).alias(f"b_h{i}") for i in range(BINS)],
         F.sum("n").alias("b_n"))
-    j = base.join(cur, "stratum")
+    j = base.join(cur, "stratum").where((F.col("b_n") >= min_per_side) & (F.col("c_n") >= min_per_side))
     terms = []
     for i in range(BINS):
         pb = F.greatest(F.col(f"b_h{i}") / F.col("b_n"), F.lit(EPS_CLIP))
@@ -77,8 +78,10 @@ def upsert_daily_counts(updates: DataFrame, table_path: str) -> None:
     keys and keeps every other key of the touched days; only the touched day partitions are rewritten (dynamic
     partition overwrite). Re-running a batch after a failure produces the same table (idempotent)."""
     spark = updates.sparkSession
+    updates = updates.persist()  # read for the days, the keys and the merge
     days = [r[0] for r in updates.select("day").distinct().collect()]  # the handful of days one batch touches
     if not days:
+        updates.unpersist()
         return
     keys = ["day", "stratum", "bin"]
     from panelkit.sources.files import path_exists
@@ -94,6 +97,7 @@ def upsert_daily_counts(updates: DataFrame, table_path: str) -> None:
 
     (materialize(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("day").parquet(table_path))
+    updates.unpersist()
 
 
 def start_daily_histogram_table(spark: SparkSession, source_dir: str, schema: str, ts: str, score: Column,

@@ -1,6 +1,7 @@
 """Models, persistence and the micro-batch scoring stream on the smallest tables."""
 
 import os
+from datetime import datetime, timedelta, timezone
 import tempfile
 import uuid
 
@@ -11,7 +12,7 @@ from panelkit.operators import ml as ML
 from panelkit.operators import pairs as P
 from panelkit.plans import bindings as B
 from panelkit.sources import files as S
-from panelkit.streaming.scoring import seed_baseline_event, start_scoring
+from panelkit.streaming.scoring import score_batch, seed_baseline_event, start_scoring
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,17 +65,29 @@ def test_scoring_stream_is_keyed_and_idempotent(spark):
     assert snaps.count() == valid.count()
     assert snaps.select("ra").distinct().count() == valid.select("ra").distinct().count()
     ev = spark.read.json(os.path.join(out_dir, "drift_events"))
-    assert ev.count() >= 1 and "psi" in ev.columns
+    assert ev.count() >= 1 and {"psi", "stratum_drift", "n_students", "n_alerts", "k_pct"} <= set(ev.columns)
+    # the same batch again, after midnight: one copy of every row, under the day of the first try
+    batch = spark.read.schema(schema).json(req_dir)
+    before = sorted(r.dt.isoformat() if hasattr(r.dt, "isoformat") else str(r.dt) for r in snaps.select("dt").distinct().collect())
+    later = datetime.now(timezone.utc) + timedelta(days=1)
+    score_batch(batch, 0, model, num, cat, lookup, baseline, out_dir, 15.0, now=later)
+    again = spark.read.json(os.path.join(out_dir, "snapshots"))
+    assert again.count() == valid.count()
+    assert [str(d) for d in before] == sorted(str(r.dt) for r in again.select("dt").distinct().collect())
+    # every row carries its own score
+    want = {r.ra: r.score for r in ML.score(model, FE.finalize(FE.apply_lookup(FE.base_columns(batch), lookup), lookup, False),
+                                            num, cat, keep=["ra"]).collect()}
+    assert {r.ra: r.score for r in again.collect()} == want
 
 
 def test_seed_baseline_only_once(spark):
     base = spark.createDataFrame([(0.1 * (i % 10), f"F{i % 2}") for i in range(50)], "score double, fase string")
     empty = spark.createDataFrame([], "baseline_id string")
-    assert seed_baseline_event(spark, empty, base, "b1").count() == 1
+    assert sorted(r.scope for r in seed_baseline_event(spark, empty, base, "b1").collect()) == ["F0", "F1", "__all__"]
     hist = spark.createDataFrame([("b1",)], "baseline_id string")
     assert seed_baseline_event(spark, hist, base, "b1").count() == 0
     assert seed_baseline_event(spark, hist, base, "b2").count() == 0  # any history suppresses the seed
-    assert seed_baseline_event(spark, hist, base, "b2", only_if_empty=False).count() == 1
+    assert seed_baseline_event(spark, hist, base, "b2", only_if_empty=False).count() == 3
 
 
 def test_documents_roundtrip(spark):
