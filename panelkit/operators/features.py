@@ -301,6 +301,21 @@ def _split_combined(combined: DataFrame, lookup: Lookup) -> Lookup:
     return lookup
 
 
+def leaking_columns(schema: PanelSchema = DEFAULT) -> tuple[str, ...]:
+    """What is known only in the period that a pair predicts."""
+    later = [schema.state_t1, *(f"{c}_t1" for c in (*schema.exam_cols, *GROUP_VARS))]
+    return tuple(dict.fromkeys(later))
+
+
+def check_leakage(train: DataFrame, other: DataFrame, schema: PanelSchema = DEFAULT, deny: tuple[str, ...] = ()) -> None:
+    """Raise when a denied column is among the features, or when the two tables' columns or types differ."""
+    denied = sorted({*leaking_columns(schema), *deny} & {*train.columns, *other.columns})
+    if denied:
+        raise ValueError(f"features hold columns of the predicted period: {denied}")
+    if dict(train.dtypes) != dict(other.dtypes):
+        raise ValueError(f"feature tables differ: {sorted(set(train.dtypes) ^ set(other.dtypes))}")
+
+
 def feature_columns(df: DataFrame, schema: PanelSchema = DEFAULT) -> tuple[list[str], list[str]]:
     """(numeric features, categorical features); identifiers, target and next state are excluded."""
     exclude = {schema.entity, schema.period, schema.pair_label, schema.target, schema.state_t1}

@@ -75,7 +75,7 @@ SELECT trim(ra_raw) AS ra, ano_base, fase_raw, o_orderstatus AS turma,
   CASE WHEN st IN (0, 1) THEN ano_nasc_raw END AS ano_nasc,
   CASE st WHEN 0 THEN ano_base - ano_nasc_raw WHEN 1 THEN coalesce(idade_raw, ano_base - ano_nasc_raw) END AS idade,
   {sql_f3('fase_raw')} AS fase
-FROM j""", ids=("S1", "S2", "P1", "P3", "P5", "P6", "P7", "U1", "F3", "F7", "F11", "F15"))
+FROM j""", ids=("S2", "P1", "P3", "P5", "P6", "P7", "U1", "F3", "F7", "F11", "F15"))
 def conform_period_sheets(spark, sf_dir):
     sheets = _styled_sheets(spark, sf_dir)
     # P5: a compatibility rename by ASCII-folded, case-insensitive name ('IEG' matches 'ieg' only after folding)

@@ -131,7 +131,7 @@ def features_train(spark, sf_dir):
     return round_doubles(feats)
 
 
-@query("features_valid_parity", _features_sql(valid=True), ids=("J3", "F24", "F37", "P14"))
+@query("features_valid_parity", _features_sql(valid=True), ids=("J3", "F24", "F37"))
 def features_valid_parity(spark, sf_dir):
     train, valid = _split(spark, sf_dir)
     _, feats, _ = FE.build_features(train, valid)

@@ -128,7 +128,7 @@ SELECT p.event_type, round_even(p.psi, 4) AS psi,
        CASE WHEN p.psi < 0.1 THEN 'ok' WHEN p.psi < 0.2 THEN 'warning' ELSE 'critical' END AS severity,
        CAST(tb.n AS BIGINT) AS n_baseline, CAST(tc.n AS BIGINT) AS n_current
 FROM p JOIN tot tb ON tb.event_type = p.event_type AND tb.side = 'b'
-JOIN tot tc ON tc.event_type = p.event_type AND tc.side = 'c'""", ids=("T2", "S6", "A16"))
+JOIN tot tc ON tc.event_type = p.event_type AND tc.side = 'c'""", ids=("T2", "A16"))
 def trailing_window_drift(spark, sf_dir):
     base, cur = _window_sides(spark, sf_dir)
     out = D.stratum_drift(base, cur, "score", "event_type")

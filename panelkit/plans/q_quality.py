@@ -48,7 +48,7 @@ def iqr_outliers(spark, sf_dir):
     return Q.iqr_outliers(cur, NUM_COLS)
 
 
-@query("unseen_categories", B.with_ctes(CUR_TR) + UNSEEN_SELECT, ids=("J8", "U5"))
+@query("unseen_categories", B.with_ctes(CUR_TR) + UNSEEN_SELECT, ids=("J8",))
 def unseen_categories(spark, sf_dir):
     cur, train = _cur_train(spark, sf_dir)
     return Q.unseen_categories(cur, train, STR_COLS)

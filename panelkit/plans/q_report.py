@@ -161,7 +161,7 @@ cands AS (
 ids AS (SELECT DISTINCT trim(ra) AS cand FROM cust_year),
 hit AS (SELECT request, min(pos) AS pos FROM cands JOIN ids USING (cand) GROUP BY request)
 SELECT DISTINCT c.request, (SELECT cand FROM cands x WHERE x.request = c.request AND x.pos = h.pos) AS matched_id
-FROM c LEFT JOIN hit h USING (request)""", ids=("P18", "J9", "P17"))
+FROM c LEFT JOIN hit h USING (request)""", ids=("P18", "J9"))
 def id_resolution(spark, sf_dir):
     return RP.match_ids(_requests(spark, sf_dir), "request", B.cust_year(spark, sf_dir), "ra")
 
@@ -169,7 +169,7 @@ def id_resolution(spark, sf_dir):
 @query("latest_record", B.with_ctes(B.B1_SQL) + f"""
 SELECT ra, ano_base, fase, turma, defasagem, round(matem, {R}) AS matem, ieg FROM (
   SELECT *, row_number() OVER (PARTITION BY ra ORDER BY ano_base DESC) AS rn FROM cust_year) WHERE rn = 1""",
-       ids=("W8", "P17", "R8"))
+       ids=("W8", "R8"))
 def latest_record(spark, sf_dir):
     df = B.cust_year(spark, sf_dir).select("ra", "ano_base", "fase", "turma", "defasagem", "matem", "ieg")
     return round_doubles(RP.latest_record(df, "ra", "ano_base"))

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from panelkit.operators import features as FE
@@ -64,3 +66,14 @@ def test_grouping_sets_equal_separate_aggregates(spark):
         a = sorted(tuple(r) for r in one.tables[lvl].collect())
         b = sorted(tuple(r) for r in sep.tables[lvl].select(*one.tables[lvl].columns).collect())
         assert a == b
+
+
+def test_leakage_policy(spark):
+    a = spark.createDataFrame([(1, 2.0)], "ra long, ieg double")
+    FE.check_leakage(a, a)
+    with pytest.raises(ValueError, match="predicted period"):
+        FE.check_leakage(a.withColumn(FE.leaking_columns()[0], F.lit(1)), a)
+    with pytest.raises(ValueError, match="predicted period"):
+        FE.check_leakage(a, a, deny=("ieg",))
+    with pytest.raises(ValueError, match="differ"):
+        FE.check_leakage(a, a.withColumn("ieg", F.lit(1)))
