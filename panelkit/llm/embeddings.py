@@ -8,7 +8,7 @@ of its label: one task for each pair of shards searches both ways. Beams start n
 * an audit by brute force (``AUDIT`` queries of the pair, drawn by hash) finds at least ``LEAST_RECALL`` of the true
   links and ``LEAST_NEAREST`` of the nearest neighbours;
 
-a beam as wide as the shard is brute force, so the loop ends. Pairs found are verified by cosine in double precision.
+a beam that links still fill at ``SETTLE_BEAM`` is widened to the whole shard, which is brute force, so the loop ends. Pairs found are verified by cosine in double precision.
 A pair of shards with more than ``MOST_PAIRS`` links (a dense cloud) is counted by brute force in blocks instead, which
 holds no pairs. Tasks return each vector's number of links and the stars of local components, never pairs; Spark adds the
 numbers up and unites the components.
@@ -34,6 +34,8 @@ THRESHOLD = 0.98
 #: Numbers (vectors times length) that a shard holds at most, about 8 MB.
 SHARD_NUMBERS = 2_000_000
 FIRST_BEAM = 24
+#: A query whose beam is still filled with links at this width is widened to the whole shard.
+SETTLE_BEAM = 4 * FIRST_BEAM
 AUDIT, LEAST_RECALL, LEAST_NEAREST = 256, 0.99, 0.8
 MOST_PAIRS = 5_000_000
 #: Float32 similarities this far below the threshold are still verified.
@@ -105,6 +107,15 @@ def _found_links(graph: Graph, unit: np.ndarray, queries: np.ndarray, threshold:
             held_c.append(c)
         if not len(full) or beam >= n:
             break
+        if beam >= SETTLE_BEAM:  # the last widening: queries inside a cloud see the whole shard, by blocks
+            for i, j in _true_links(queries[full], unit, threshold, False):
+                rows, nodes = full[i], j.astype(np.int64)
+                keep = rows != nodes if own else slice(None)
+                held_r.append(rows[keep])
+                held_c.append(nodes[keep])
+                if sum(map(len, held_r)) > most:
+                    return None
+            break
         todo, beam = full, min(2 * beam, n)
     r, c = np.concatenate(held_r), np.concatenate(held_c)
     code = np.unique(r * n + c)  # a widened query found its first links again
