@@ -218,7 +218,9 @@ def linked_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str
     roots = connected_components(found.select(F.col("node").alias("a"), F.col("star").alias("b")), "vector-components")
     degree = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = distinct.select("node", "copies", "least").join(degree, "node", "left").join(roots, "node", "left").select("node", "copies", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
+    named = written(named, "vector-roots")
+    # written, so that the join shuffles both sides for itself and can split a large component
+    least = written(named.groupBy("root").agg(F.min("least").alias("component")), "vector-component-ids")
     named = named.join(least, "root").select("node", (F.col("copies") - 1 + F.col("links")).alias("n_links"), "component")
 
     rows = every.select("vec_id", F.when(F.col("label").isNotNull(), F.xxhash64("label", "embedding")).alias("node"))

@@ -184,7 +184,9 @@ def _component_ids(prints: DataFrame, radius: int) -> DataFrame:
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = fingerprint_components(prints, radius)
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = written(rooted, "rooted")
+    # written, so that the join shuffles both sides for itself and can split a large component
+    least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
     return rooted.join(least, "root").select("fp", "component_id", "root")
 
 
