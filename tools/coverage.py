@@ -9,15 +9,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from panelkit.plans.registry import load_all  # noqa: E402
 
 TESTED_ONLY = {
-    "S7": "sources/files.write_snapshots · tests/test_sources_streaming.py",
-    "S8": "sources/files.append_event · tests/test_sources_streaming.py",
-    "S10": "sources/files.save_lookup/load_lookup · tests/test_ml_stream.py",
-    "S12": "sources/files.load_baseline (sha256 via binaryFile) · tests/test_sources_streaming.py",
-    "S13": "sources/files.baseline_manifests · tests/test_sources_streaming.py",
     "S14": "sources/files.save_document/load_document · tests/test_ml_stream.py",
     "T1": "streaming/scoring.start_scoring (foreachBatch) · tests/test_ml_stream.py",
     "T6": "streaming/scoring.seed_baseline_event · tests/test_ml_stream.py",
-    "J7": "streaming/scoring.score_batch (keyed join, not positional) · tests/test_ml_stream.py",
+    "J7": "streaming/scoring.score_batch (rows carried with their score) · tests/test_ml_stream.py",
     "M11": "operators/ml.save_model/load_model · tests/test_ml_stream.py",
 }
 
