@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import arrow_rows, col
+from panelkit.llm.common import arrow_rows, col, written
 
 #: Part of its children's score that a container adds to its own.
 INHERIT = 0.7
@@ -28,6 +28,8 @@ INHERIT = 0.7
 VOTES_FROM = 0.5
 #: Paths with less than this part of a host's votes are no winners; so a host has at most 20.
 LEAST_SHARE = 0.05
+#: Hosts whose winning paths (at most 20 each, some kilobytes) may be broadcast.
+BROADCAST_HOSTS = 20_000
 
 # What HTML names things.
 CONTAINERS = frozenset("html body main article section div aside nav header footer form table tbody thead tfoot tr td th center details dialog fieldset figure menu search".split())
@@ -250,8 +252,9 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """``page_id, url, text, n_chars`` of every row.
 
     Null and empty pages give the empty text. Pages without a host (null or odd URLs) use their own containers. Repeated
-    rows are pages of their own and vote as often. An empty table gives no rows. Other columns are ignored. Pages meet
-    their host's few paths in a join that splits hot hosts; nothing else is shuffled with the pages.
+    rows are pages of their own and vote as often. An empty table gives no rows. Other columns are ignored. The hosts'
+    winning paths are counted: up to ``BROADCAST_HOSTS`` hosts they are broadcast and no page is shuffled, beyond it pages
+    meet them in a shuffle join that splits hot hosts.
     """
     arrow_rows(pages.sparkSession, 500)
     slim = pages.select(col(id_col).alias("page_id"), col(url_col).cast("string").alias("url"), col(html_col).cast("string").alias("html"))
@@ -261,6 +264,8 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         return pa.array([main_text(s, p) for s, p in zip(sources.to_pylist(), paths.to_pylist(), strict=True)], pa.string())
 
     texts.__annotations__ = {"sources": pa.Array, "paths": pa.Array, "return": pa.Array}
-    joined = slim.join(host_paths(slim), "host", "left")
+    winners = written(host_paths(slim), "host-paths")
+    few = winners.count() <= BROADCAST_HOSTS
+    joined = slim.join(F.broadcast(winners) if few else winners, "host", "left")
     out = joined.select("page_id", "url", F.arrow_udf(texts, "string")("html", "paths").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -53,8 +53,10 @@ def test_long_and_deep_pages():
     assert maintext.main_text(many, None).count("\n\n") == 19_999
 
 
-def test_hosts_agree_on_a_path(spark):
-    """A page whose extras outweigh its article follows the path of its host."""
+@pytest.mark.parametrize("broadcast", [20_000, 0])
+def test_hosts_agree_on_a_path(spark, broadcast, monkeypatch):
+    """A page whose extras outweigh its article follows the path of its host, however the two meet."""
+    monkeypatch.setattr(maintext, "BROADCAST_HOSTS", broadcast)
     usual = [(i, f"http://h.example/{i}", page(f"<div class='c{i}'><p>{LONG * 4}</p></div>")) for i in range(8)]
     odd = (50, "https://u@H.example:80/x", page(f"<div class='c9'><p>Short article.</p></div>", f"<div class='wide'><p>{LONG * 30}</p></div>"))
     rows = [*usual, odd, (51, None, page(f"<div class='wide'><p>{LONG}</p></div>")), (52, "nonsense", None), (None, "http://h.example/q", ""), (1, usual[1][1], usual[1][2])]
