@@ -3,8 +3,9 @@
 First pass: every page's containers (``div``, ``article``, ``td`` ...) are scored by the running text they hold; the page
 votes for the generalised tag-class path of its best ones, a vote of 1 shared in proportion to the scores. Spark sums the
 votes of each host (partial sums before the shuffle, so a host of any size is one small group). Second pass: a page's text
-is taken from the best container that stands at its host's first winning path; a page that has none of the host's paths,
-or has no host, uses its own best container.
+is taken from all containers that stand at its host's first winning path; a page that has none of the host's paths,
+or has no host, uses its own best container. Each is widened: to the article (or main) it lies in, else to every next
+ancestor that adds running text or headings, not mostly links, and no more than what is held.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are left out by tag and by the
 words of class, id and role.
@@ -26,6 +27,8 @@ from panelkit.llm.common import arrow_rows, col, written
 INHERIT = 0.7
 #: Containers with less than this part of the page's best score get no vote.
 VOTES_FROM = 0.5
+#: An ancestor is taken if at least this part of what it adds is running text or headings.
+RUNNING = 0.5
 #: Paths with less than this part of a host's votes are no winners; so a host has at most 20.
 LEAST_SHARE = 0.05
 #: Hosts whose winning paths (at most 20 each, some kilobytes) may be broadcast.
@@ -34,6 +37,7 @@ BROADCAST_HOSTS = 20_000
 # What HTML names things.
 CONTAINERS = frozenset("html body main article section div aside nav header footer form table tbody thead tfoot tr td th center details dialog fieldset figure menu search".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote address hr figcaption caption summary hgroup legend option head".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 RAW = frozenset("script style title textarea noscript iframe template svg math select button object audio video canvas noframes xmp".split())
 LEFT_OUT = frozenset("nav footer aside form dialog menu search fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -61,8 +65,11 @@ class Page:
     end: list[int] = field(default_factory=lambda: [1])
     path: list[tuple] = field(default_factory=lambda: [()])
     dropped: list[bool] = field(default_factory=lambda: [False])
-    blocks: list[tuple[int, str, int]] = field(default_factory=list)  # container, text, characters in links
+    tag: list[str] = field(default_factory=lambda: ["#"])
+    blocks: list[tuple[int, str, int, bool]] = field(default_factory=list)  # container, text, characters in links, heading
     score: list[float] = field(default_factory=list)
+    length: list[int] = field(default_factory=list)  # characters of a container that are not dropped
+    running: list[float] = field(default_factory=list)  # those of headings, and of other blocks less what links take
 
 
 def _label(tag: str, attrs: str, hints: bool) -> tuple[str, bool]:
@@ -85,14 +92,14 @@ def parse(source: str, hints: bool = True) -> Page:
     stack, names = [0], ["#"]
     paths: dict[tuple, tuple] = {}
     pieces: list[str] = []
-    links, in_link, pos, size = 0, False, 0, len(source)
+    links, in_link, heading, pos, size = 0, False, False, 0, len(source)
 
     def close() -> None:
         nonlocal links
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                page.blocks.append((stack[-1], text, min(links, len(text))))
+                page.blocks.append((stack[-1], text, min(links, len(text)), heading))
             pieces.clear()
         links = 0
 
@@ -132,6 +139,7 @@ def parse(source: str, hints: bool = True) -> Page:
             pieces.append(" ")
         elif tag in BLOCKS:
             close()
+            heading = tag in HEADINGS and not closing
             in_link = False if tag in CONTAINERS else in_link
             if tag not in CONTAINERS:
                 continue
@@ -158,6 +166,7 @@ def parse(source: str, hints: bool = True) -> Page:
                 key = (page.path[up], label)
                 page.path.append(paths.setdefault(key, key))
                 page.parent.append(up)
+                page.tag.append(tag)
                 page.end.append(0)
                 out = tag in LEFT_OUT or hinted or (tag == "header" and "article" not in names)
                 page.dropped.append(page.dropped[up] or out)
@@ -166,13 +175,18 @@ def parse(source: str, hints: bool = True) -> Page:
     close()
     for c in stack:
         page.end[c] = len(page.parent)
-    page.score = [0.0] * len(page.parent)
-    for c, text, linked in page.blocks:
+    page.score, page.length, page.running = ([0.0] * len(page.parent) for _ in range(3))
+    for c, text, linked, title in page.blocks:
         if not page.dropped[c]:
             free = 1 - linked / len(text)
             page.score[c] += len(text) * free * free
+            page.length[c] += len(text)
+            page.running[c] += len(text) if title else len(text) * free * free
     for c in range(len(page.parent) - 1, 0, -1):
-        page.score[page.parent[c]] += INHERIT * page.score[c]
+        up = page.parent[c]
+        page.score[up] += INHERIT * page.score[c]
+        page.length[up] += page.length[c]
+        page.running[up] += page.running[c]
     if hints and page.blocks and not any(page.score):
         return parse(source, hints=False)  # everything seemed to be an extra: trust the tags alone
     return page
@@ -204,12 +218,34 @@ def page_votes(source: str | None) -> list[tuple[str, float]]:
     return [(path_text(p), power[k] / total) for k, (p, _) in by_path.items()] if total else []
 
 
+def widened(page: Page, at: int) -> int:
+    """The outermost article (or else the nearest main) around a container; without one, the last ancestor on the way up
+    that adds text of which links don't take the most, and no more than it already held."""
+    article = main = None
+    up = at
+    while up >= 0:
+        if page.tag[up] == "article":
+            article = up
+        elif page.tag[up] == "main" and main is None:
+            main = up
+        up = page.parent[up]
+    if article is not None or main is not None:
+        return main if article is None else article
+    while page.parent[at] >= 0:
+        up = page.parent[at]
+        more = page.length[up] - page.length[at]
+        if more and (page.running[up] - page.running[at] < RUNNING * more or more > page.length[at]):
+            break
+        at = up
+    return at
+
+
 def main_text(source: str | None, winners: list[str] | None) -> str:
-    """Blocks of the best container at the first winning path that the page has, else of its own best container."""
+    """Blocks of all containers at the first winning path that the page has, else of its own best container, widened."""
     if not source:
         return ""
     page = parse(source)
-    chosen = None
+    chosen = []
     if winners:
         known = {}
         for i, p in enumerate(page.path):
@@ -218,11 +254,15 @@ def main_text(source: str | None, winners: list[str] | None) -> str:
         by_text = {path_text(p): at for p, at in known.values()}
         for w in winners:
             if w in by_text:
-                chosen = max(by_text[w], key=lambda i: (page.score[i], -i))
+                chosen = by_text[w]
                 break
-    if chosen is None:
-        chosen = max(range(len(page.score)), key=lambda i: (page.score[i], -i))
-    return "\n\n".join(text for c, text, _ in page.blocks if chosen <= c < page.end[chosen] and not page.dropped[c])
+    if not chosen:
+        chosen = [max(range(len(page.score)), key=lambda i: (page.score[i], -i))]
+    taken = bytearray(len(page.parent))
+    for at in sorted({widened(page, c) for c in chosen}):
+        if not taken[at]:
+            taken[at : page.end[at]] = b"\1" * (page.end[at] - at)
+    return "\n\n".join(text for c, text, _, _ in page.blocks if taken[c] and not page.dropped[c])
 
 
 def host_of(url):

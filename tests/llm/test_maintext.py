@@ -73,3 +73,28 @@ def test_query_on_a_table(spark):
     d = "/root/testdata/sf0.01"
     want = {r.page_id: (r.url, plain(r.html)) for r in spark.read.parquet(f"{d}/pages.parquet").collect()}
     assert {r.page_id: (r.url, r.text) for r in QUERIES["op10_main_text"](spark, d).collect()} == want
+
+
+def body(inner):
+    return f"<html><body><nav><a href=x>Home</a></nav>{inner}<footer>Site</footer></body></html>"
+
+
+@pytest.mark.parametrize(
+    ("inner", "parts"),
+    [
+        (f"<article><h1>Title</h1><p>lead</p><div class=body><p>{LONG * 30}</p></div></article>", ["Title", "lead", LONG * 30]),
+        (f"<main><h1><a href=x>Title</a></h1><div class=body><p>{LONG * 30}</p></div></main>", ["Title", LONG * 30]),
+        (f"<article><section><p>{LONG * 30}</p></section><section><p>{LONG * 6}</p></section></article>", [LONG * 30, LONG * 6]),
+        (f"<div class=post><h2><a href=x>Title</a></h2><div><div class=body><p>{LONG * 9}</p></div></div><div class=end><p>{LONG}</p></div></div>", ["Title", LONG * 9, LONG]),
+        (f"<div class=wrap><div class=body><p>{LONG * 9}</p></div><div class=list><a href=x>{LONG}</a></div></div>", [LONG * 9]),
+        (f"<div><div class=list><a href=x>{LONG * 9}</a></div><div class=part><p>{LONG * 5}</p></div><div class=list><a href=x>{LONG * 9}</a></div><div class=part><p>{LONG}</p></div></div>", [LONG * 5, LONG]),
+    ],
+)
+def test_nested_bodies_and_unequal_sections(inner, parts):
+    """Everything around the best container that is running text or a heading, and every container at the winning path."""
+    source = body(inner)
+    want = "\n\n".join(p.strip() for p in parts)
+    path = max(maintext.page_votes(source), key=lambda v: v[1])[0]
+    assert maintext.main_text(source, [path]) == want
+    if "class=part" not in inner:
+        assert maintext.main_text(source, None) == want
