@@ -8,7 +8,8 @@ or has no host, uses its own best container. Each is widened: to the article (or
 ancestor that adds running text or headings, not mostly links, and no more than what is held.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are left out by tag and by the
-words of class, id and role.
+words of class, id and role of any block tag. The words are weighed when the whole page is read: an element that holds a
+large article (or main), or most of the page's running text, is kept whatever it is called.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ INHERIT = 0.7
 VOTES_FROM = 0.5
 #: An ancestor is taken if at least this part of what it adds is running text or headings.
 RUNNING = 0.5
+#: An element with this part of the page's running text (comments aside) is kept whatever its hints say.
+MOST = 0.75
 #: Paths with less than this part of a host's votes are no winners; so a host has at most 20.
 LEAST_SHARE = 0.05
 #: Hosts whose winning paths (at most 20 each, some kilobytes) may be broadcast.
@@ -47,6 +50,14 @@ HINTS = frozenset(
     "related recommended recommendations share sharing social newsletter subscribe subscription signup login search widget widgets skip outbrain taboola".split()
 )
 NEVER_HINTED = frozenset(("html", "body", "main", "article"))
+#: Words after one of these in the same name tell what an element has or lacks, not what it is (``has-sidebar``).
+MODIFIERS = frozenset("has have with without no not non hide hidden".split())
+#: In a name with ``header``: the head of the text, not of the site (``post-header``).
+OF_TEXT = frozenset("post entry article story content page title".split())
+#: Readers' texts may well be longer than what they comment on.
+COMMENTS = frozenset("comment comments disqus respond replies reply".split())
+#: Their end tags may be left out; the next one of the group ends them.
+GROUPS = {**dict.fromkeys(("li",), ("li",)), **dict.fromkeys(("dt", "dd"), ("dt", "dd")), **dict.fromkeys(sorted(HEADINGS), tuple(sorted(HEADINGS)))}
 
 _TAG = re.compile(r"<!--|<!\[CDATA\[|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>")
 #: A tag that the page's end cuts off.
@@ -66,30 +77,44 @@ class Page:
     path: list[tuple] = field(default_factory=lambda: [()])
     dropped: list[bool] = field(default_factory=lambda: [False])
     tag: list[str] = field(default_factory=lambda: ["#"])
+    hints: dict[int, set[str]] = field(default_factory=dict)
     blocks: list[tuple[int, str, int, bool]] = field(default_factory=list)  # container, text, characters in links, heading
     score: list[float] = field(default_factory=list)
     length: list[int] = field(default_factory=list)  # characters of a container that are not dropped
     running: list[float] = field(default_factory=list)  # those of headings, and of other blocks less what links take
 
 
-def _label(tag: str, attrs: str, hints: bool) -> tuple[str, bool]:
-    """Generalised ``tag.class`` (numbers as 0) and whether class, id or role say that it is no main text."""
+def _hints(value: str, in_text: bool) -> set[str]:
+    """Hint words of an attribute's value; a header inside an article is none."""
+    found = set()
+    for name in value.split():
+        words = _WORDS.findall(name)
+        stop = next((i for i, w in enumerate(words) if w in MODIFIERS), len(words))
+        said = HINTS.intersection(words[:stop])
+        if "header" in said and (in_text or OF_TEXT.intersection(words)):
+            said -= {"header"}
+        found |= said
+    return found
+
+
+def _label(tag: str, attrs: str, hints: bool, in_text: bool) -> tuple[str, set[str]]:
+    """Generalised ``tag.class`` (numbers as 0) and the words of class, id and role that say it is no main text."""
     if "=" not in attrs:
-        return tag, False
+        return tag, set()
     classes, words = [], set()
     for name, a, b, c in _ATTR.findall(attrs):
         value = (a or b or c).lower()
         if hints:
-            words.update(_WORDS.findall(value))
+            words |= _hints(value, in_text)
         if name.lower() == "class":
             classes += _DIGITS.sub("0", value.replace("/", " ")).split()
-    return ".".join([tag, *sorted(set(classes))]), bool(words & HINTS) and tag not in NEVER_HINTED
+    return ".".join([tag, *sorted(set(classes))]), words
 
 
 def parse(source: str, hints: bool = True) -> Page:
     """One scan over the page; unclosed and stray tags are tolerated as browsers do, roughly."""
     page = Page()
-    stack, names = [0], ["#"]
+    stack, names, inner = [0], ["#"], 0  # inner: open elements that are containers only for a hint around or on them
     paths: dict[tuple, tuple] = {}
     pieces: list[str] = []
     links, in_link, heading, pos, size = 0, False, False, 0, len(source)
@@ -141,40 +166,55 @@ def parse(source: str, hints: bool = True) -> Page:
             close()
             heading = tag in HEADINGS and not closing
             in_link = False if tag in CONTAINERS else in_link
-            if tag not in CONTAINERS:
-                continue
+            known = None
+            if tag not in CONTAINERS and not inner:
+                if closing or tag in ("hr", "head") or "=" not in attrs or not hints:
+                    continue
+                known = _label(tag, attrs, hints, "article" in names)
+                if not known[1]:
+                    continue
             if closing:
                 if tag in names:
                     while True:
                         done, name = stack.pop(), names.pop()
                         page.end[done] = len(page.parent)
+                        inner -= name not in CONTAINERS
                         if name == tag:
                             break
-            else:
+            elif tag not in ("hr", "head"):
+                while inner and (names[-1] == "p" or names[-1] in GROUPS.get(tag, ())):
+                    page.end[stack.pop()] = len(page.parent)
+                    names.pop()
+                    inner -= 1
                 up = stack[-1]
                 if tag in ("td", "th", "tr") and tag in names:  # their end tags may be left out
                     while names[-1] not in (tag, "table"):
                         page.end[stack.pop()] = len(page.parent)
-                        names.pop()
+                        inner -= names.pop() not in CONTAINERS
                     if names[-1] == tag:
                         page.end[stack.pop()] = len(page.parent)
                         names.pop()
                     up = stack[-1]
                 if tag in ("html", "body") and tag in names:
                     continue
-                label, hinted = _label(tag, attrs, hints)
+                label, said = known or _label(tag, attrs, hints, "article" in names)
+                if said:
+                    page.hints[len(page.parent)] = said
+                inner += tag not in CONTAINERS
                 key = (page.path[up], label)
                 page.path.append(paths.setdefault(key, key))
                 page.parent.append(up)
                 page.tag.append(tag)
                 page.end.append(0)
-                out = tag in LEFT_OUT or hinted or (tag == "header" and "article" not in names)
+                out = tag in LEFT_OUT or (tag == "header" and "article" not in names)
                 page.dropped.append(page.dropped[up] or out)
                 stack.append(len(page.parent) - 1)
                 names.append(tag)
     close()
     for c in stack:
         page.end[c] = len(page.parent)
+    if page.hints:
+        _weigh_hints(page)
     page.score, page.length, page.running = ([0.0] * len(page.parent) for _ in range(3))
     for c, text, linked, title in page.blocks:
         if not page.dropped[c]:
@@ -192,6 +232,37 @@ def parse(source: str, hints: bool = True) -> Page:
     return page
 
 
+def _weigh_hints(page: Page) -> None:
+    """Drops what hints name, unless it holds one of the page's large articles or mains or most of its running text."""
+    count = len(page.parent)
+    running, aside = [0.0] * count, bytearray(count)
+    for c, said in page.hints.items():
+        if said & COMMENTS and page.tag[c] not in NEVER_HINTED and not aside[c]:
+            aside[c : page.end[c]] = b"\1" * (page.end[c] - c)
+    total = 0.0
+    for c, text, linked, _ in page.blocks:
+        if not page.dropped[c]:
+            free = 1 - linked / len(text)
+            running[c] += len(text) * free * free
+            total += 0 if aside[c] else len(text) * free * free
+    for c in range(count - 1, 0, -1):
+        running[page.parent[c]] += running[c]
+    keeps = bytearray(count)
+    for tag in ("article", "main"):
+        found = [c for c in range(count) if page.tag[c] == tag and not page.dropped[c] and c not in page.hints]
+        least = VOTES_FROM * max((running[c] for c in found), default=0)
+        for c in found:
+            if running[c] >= least > 0:
+                while c >= 0 and not keeps[c]:
+                    keeps[c] = 1
+                    c = page.parent[c]
+    for c, said in page.hints.items():
+        if page.tag[c] not in NEVER_HINTED and not keeps[c] and (said & COMMENTS or running[c] < MOST * total or not total):
+            page.dropped[c] = True
+    for c in range(1, count):
+        page.dropped[c] = page.dropped[c] or page.dropped[page.parent[c]]
+
+
 def path_text(path: tuple) -> str:
     labels = []
     while path:

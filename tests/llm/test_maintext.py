@@ -98,3 +98,22 @@ def test_nested_bodies_and_unequal_sections(inner, parts):
     assert maintext.main_text(source, [path]) == want
     if "class=part" not in inner:
         assert maintext.main_text(source, None) == want
+
+
+@pytest.mark.parametrize(
+    ("inner", "parts"),
+    [
+        (f"<div class='layout has-sidebar'><article><p>{LONG * 9}</p></article></div><div>1 May</div>", [LONG * 9]),
+        (f"<div class='widget'><article><p>{LONG * 9}</p></article></div><div class=date>1 May</div>", [LONG * 9]),
+        (f"<div class='search'><div><p>{LONG * 9}</p></div></div><div class=list><a href=x>1 May</a></div>", [LONG * 9]),
+        (f"<article><div class='post-header'><h1>Title</h1></div><div class=header><p>lead</p></div><p>{LONG * 9}</p></article>", ["Title", "lead", LONG * 9]),
+        (f"<article><p>{LONG}<ul class='menu'><li>one<li><ul><li>two</ul></ul><p>{LONG * 2}<p class='advert'>Buy<p>{LONG * 3}<ol class='breadcrumb'><li>x</li></ol>{LONG}</article>", [LONG, LONG * 2, LONG * 3, LONG]),
+        (f"<article><p>{LONG}<ul><li class=share>Share<li>kept</ul><h2 class='promo'>Buy</h2><p>{LONG}</p></article>", [LONG, "kept", LONG]),
+        (f"<article><p>{LONG}</p></article><div id=comments><article class=comment><p>{LONG * 30}</p></article></div>", [LONG]),
+        (f"<main class=comments-open><div class=banner><div><p>{LONG * 9}</p></div></div></main>", [LONG * 9]),
+        (f"<article><p>{LONG * 9}</p></article><div class=related><article><p>{LONG}</p></article></div>", [LONG * 9]),
+    ],
+)
+def test_hints_are_weighed(inner, parts):
+    """A hint word drops an extra on any block tag, and neither the article around it nor its title."""
+    assert maintext.main_text(body(inner), None) == "\n\n".join(p.strip() for p in parts)
