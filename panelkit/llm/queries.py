@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelkit.llm import contextmix, embeddings, langid, maintext, mixing, packing, quality, simhash, tokencount, tokenfiles
+from panelkit.llm import contextmix, digestindex, embeddings, langid, maintext, mixing, packing, quality, simhash, tokencount, tokenfiles
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,11 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintext.main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal texts of all documents through the digest index."""
+    return digestindex.exact_duplicates(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_mixture": op2_mixture,
@@ -74,9 +79,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_main_text": op10_main_text,
+    "op11_exact_dedup": op11_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op2_mixture": mixing.SQL,
     "op6_quality_rules": quality.SQL,
+    "op11_exact_dedup": digestindex.SQL,
 }
