@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelkit.llm import contextmix, digestindex, embeddings, langid, maintext, mixing, packing, quality, simhash, tokencount, tokenfiles
+from panelkit.llm import contextmix, digestindex, embeddings, hardneg, langid, maintext, mixing, packing, quality, simhash, tokencount, tokenfiles, whitening
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,16 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digestindex.exact_duplicates(_documents(spark, sf_dir))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors on the first four whitened components."""
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of all anchors against all vectors."""
+    return hardneg.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_mixture": op2_mixture,
@@ -80,10 +90,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_main_text": op10_main_text,
     "op11_exact_dedup": op11_exact_dedup,
+    "op12_whitening": op12_whitening,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
     "op2_mixture": mixing.SQL,
     "op6_quality_rules": quality.SQL,
     "op11_exact_dedup": digestindex.SQL,
+    "op13_hard_negatives": hardneg.SQL,
 }
