@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.operators.ranking import quantiles
+from panelkit.operators.selection import quantiles
 
 from panelkit.functions.strata import stratum_int_lenient
 from panelkit.schema import DEFAULT, PanelSchema
@@ -233,8 +233,8 @@ def numeric_columns(df: DataFrame, schema: PanelSchema = DEFAULT) -> list[str]:
 
 def fit_fill(features_train: DataFrame, lookup: Lookup, schema: PanelSchema = DEFAULT) -> Lookup:
     """P15 + A4: which columns are entirely null in training, and the exact training median of every numeric column (0
-    when undefined). The medians of all columns come from one pass over (column, value) counts; what reaches the driver
-    is one number a column."""
+    when undefined). The medians of all columns come from the same passes over counts; what reaches the driver is one
+    number a column."""
     cols = features_train.columns
     nums = numeric_columns(features_train, schema)
     row = features_train.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
@@ -281,6 +281,8 @@ def build_features(train_pairs: DataFrame, other_pairs: DataFrame | None = None,
         else:
             lookup.tables = {k: materialize(v) for k, v in lookup.tables.items()}
     feats_train = apply_lookup(base_train, lookup, schema)
+    if materialize_lookup:  # the fill statistics scan it several times
+        feats_train = materialize(feats_train)
     fit_fill(feats_train, lookup, schema)
     train_out = finalize(feats_train, lookup, True, schema)
     other_out = None

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkit.operators.ranking import quantiles, row_numbers, running_sums
+from panelkit.operators.ranking import row_numbers, running_sums
+from panelkit.operators.selection import quantiles
 from panelkit.operators.topk import k_of, topk_flags
 from panelkit.schema import DEFAULT, PanelSchema
 

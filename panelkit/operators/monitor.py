@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.operators.ranking import quantiles
+from panelkit.operators.selection import quantiles
 
 from panelkit.operators.report import low_sample
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.operators.ranking import quantiles
+from panelkit.operators.selection import quantiles
 
 NUMERIC = ("int", "bigint", "double", "float", "smallint", "tinyint")
 

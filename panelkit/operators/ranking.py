@@ -1,4 +1,4 @@
-"""Exact running sums, ranks and quantiles over a global order, one plan at every size.
+"""Exact running sums and ranks over a global order, one plan at every size.
 
 A window ordered over a whole table (or a whole stratum) runs in one task. Here the rows are dealt into ranges of (group
 keys, order keys) and the dealt table, each row with the number of its range, is written once to the shared checkpoint
@@ -6,8 +6,6 @@ folder: Spark samples the ranges' bounds a single time, and everything after rea
 its own running sums; a table of totals per group and range (at most groups + ranges rows, since a range is one
 contiguous stretch of the order) supplies the offsets. A task handles about rows / ranges rows whatever the skew of the
 groups.
-
-Quantiles start from counts per distinct value (combined before the shuffle), so repeated values cost nothing.
 """
 
 from __future__ import annotations
@@ -52,27 +50,3 @@ def row_numbers(df: DataFrame, order: list[Column], name: str, by: list[str] | N
     """row_number() over (partition by ``by`` order by ``order``) without sorting any group in one task."""
     out = running_sums(df, order, {name: F.lit(1)}, by, partitions, inclusive=True)
     return out.withColumn(name, F.col(name).cast("int"))
-
-
-def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: list[str] | None = None,
-              partitions: int | None = None) -> DataFrame:
-    """Exact quantiles with linear interpolation, long form: ``*by, column, n, q`` with ``q`` an array in the order of
-    ``probs`` and ``n`` the non-null values. Groups and columns without a value have no row. All columns share one
-    shuffle of their distinct values and counts."""
-    by = by or []
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_x")) for c in cols])
-    values = df.select(*by, F.inline(pairs)).where(F.col("_x").isNotNull())
-    counted = values.groupBy(*by, "column", "_x").agg(F.count(F.lit(1)).alias("_c"))
-    cum = running_sums(counted, [F.col("_x")], {"_before": F.col("_c")}, by=[*by, "column"], partitions=partitions,
-                       totals={"n": "_before"})
-
-    def at(rank: Column) -> Column:
-        holds = (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_c"))
-        return F.max(F.when(holds, F.col("_x")))
-
-    place = {i: F.lit(float(p)) * (F.col("n") - 1) for i, p in enumerate(probs)}
-    aggs = [a for i, pos in place.items() for a in (at(F.floor(pos)).alias(f"_lo{i}"), at(F.ceil(pos)).alias(f"_hi{i}"))]
-    found = cum.groupBy(*by, "column", "n").agg(*aggs)
-    q = [F.when(F.floor(pos) == F.ceil(pos), F.col(f"_lo{i}")).otherwise(
-        (F.ceil(pos) - pos) * F.col(f"_lo{i}") + (pos - F.floor(pos)) * F.col(f"_hi{i}")) for i, pos in place.items()]
-    return found.select(*by, "column", "n", F.array(*q).alias("q"))

@@ -131,7 +131,8 @@ def test_large_tables_equal_plain_windows(spark, many):
     from pyspark.sql import Window
 
     from panelkit.operators import topk as KK
-    from panelkit.operators.ranking import quantiles, row_numbers, running_sums
+    from panelkit.operators.ranking import row_numbers, running_sums
+    from panelkit.operators.selection import quantiles
 
     w = Window.partitionBy("fase").orderBy(F.col("score").asc_nulls_first(), "ra")
     order = [F.col("score").asc_nulls_first(), F.col("ra").asc()]
