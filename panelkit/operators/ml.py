@@ -12,6 +12,9 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -21,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.operators.features import feature_columns
+from panelkit.operators.forest import forest_of
 from panelkit.operators.topk import top3_by_magnitude
 from panelkit.schema import DEFAULT, PanelSchema
 
@@ -58,7 +62,7 @@ def prepare(df: DataFrame, num: list[str], cat: list[str], target: str = "target
 def _encoders(cat: list[str], one_hot: bool):
     # one multi-column indexer: all categorical vocabularies are fitted in a single pass over the data
     idx = [StringIndexer(inputCols=cat, outputCols=[f"{c}__idx" for c in cat], handleInvalid="keep")] if cat else []
-    if not one_hot:
+    if not one_hot or not cat:
         return idx, [f"{c}__idx" for c in cat]
     ohe = OneHotEncoder(inputCols=[f"{c}__idx" for c in cat], outputCols=[f"{c}__ohe" for c in cat],
                         handleInvalid="keep")
@@ -148,21 +152,33 @@ def ordinal_codes(df: DataFrame, cols: list[str], train: DataFrame) -> DataFrame
 
 
 def isotonic_calibrated(estimator_factory, train: DataFrame, test: DataFrame, num: list[str], cat: list[str],
-                        entity: str, target: str = "target", folds: int = 3) -> DataFrame:
-    """M7: isotonic calibration on out-of-fold probabilities; folds = pmod(xxhash64(entity), folds) (deterministic).
-    Returns the test rows with raw and calibrated probabilities."""
+                        entity: str, target: str = "target", folds: int = 3, carry: list[str] | None = None) -> DataFrame:
+    """M7: the mean of ``folds`` calibrated models. Fold = pmod(xxhash64(entity), folds); each model is fitted on the
+    other folds' rows and its isotonic map on its own fold's probabilities, which it never saw.
+
+    Returns the test rows with ``prob`` and ``prob_calibrated`` (means over the folds) and the arrays ``fold_probs``
+    and ``fold_calibrated``; ``carry`` names further columns to keep."""
     fold = F.pmod(F.xxhash64(F.col(entity).cast("string")), F.lit(folds))
     tagged = train.withColumn("_fold", fold)
-    oof = None
+    keep = list(dict.fromkeys([entity, target, *(carry or [])]))
+    vectors = test.withColumns({"_probs": F.array().cast("array<double>"), "_calibrated": F.array().cast("array<double>")})
     for f in range(folds):
         model = fit(estimator_factory(), tagged.filter(F.col("_fold") != f), num, cat, target)
-        part = score(model, tagged.filter(F.col("_fold") == f), num, cat, target, keep=[entity, target])
-        oof = part if oof is None else oof.unionByName(part)
-    iso = IsotonicRegression(featuresCol="prob", labelCol="_y").fit(
-        oof.select("prob", F.col(target).cast("double").alias("_y")))
-    final = fit(estimator_factory(), train, num, cat, target)
-    scored = score(final, test, num, cat, target, keep=[entity, target])
-    return iso.transform(scored).withColumnRenamed("prediction", "prob_calibrated")
+        held_out = score(model, tagged.filter(F.col("_fold") == f), num, cat, target, keep=[target])
+        iso = IsotonicRegression(featuresCol="prob", labelCol="_y").fit(
+            held_out.select("prob", F.coalesce(F.col(target).cast("double"), F.lit(0.0)).alias("_y")))
+        # a row carries its lists through the models, so nothing is joined by key
+        part = score(model, vectors, num, cat, target, keep=[*vectors.columns])
+        both = iso.transform(part.drop("score"))
+        vectors = both.select(*[c for c in vectors.columns if c not in ("_probs", "_calibrated")],
+                              F.concat("_probs", F.array("prob")).alias("_probs"),
+                              F.concat("_calibrated", F.array("prediction")).alias("_calibrated"))
+
+    def mean(c: str) -> Column:
+        return F.aggregate(c, F.lit(0.0), lambda acc, v: acc + v) / F.lit(float(folds))
+
+    return vectors.select(*keep, mean("_probs").alias("prob"), mean("_calibrated").alias("prob_calibrated"),
+                          F.col("_probs").alias("fold_probs"), F.col("_calibrated").alias("fold_calibrated"))
 
 
 def linear_attributions(model: PipelineModel, df: DataFrame, num: list[str], cat: list[str], entity: str,
@@ -197,43 +213,103 @@ def attribution_by_stratum(attr: DataFrame, names: list[str], stratum: str = "fa
         F.avg((F.col("v") > 0).cast("double")).alias("pct_positive"))
 
 
-def _logloss(p: Column, y: Column) -> Column:
-    q = F.least(F.greatest(p, F.lit(1e-15)), F.lit(1 - 1e-15))
-    return -(y * F.log(q) + (1 - y) * F.log(1 - q))
+def _logloss(p: np.ndarray, y: np.ndarray) -> np.ndarray:
+    q = np.clip(p, 1e-15, 1 - 1e-15)
+    return -(y * np.log(q) + (1 - y) * np.log(1 - q))
+
+
+class _Swaps:
+    """Margins of rows after each feature's columns are taken from another row, without building the swapped rows."""
+
+    def __init__(self, model: PipelineModel, spark, num: list[str], cat: list[str]):
+        last = model.stages[-1]
+        sizes = next((list(s.categorySizes) for s in model.stages if hasattr(s, "categorySizes")), [1] * len(cat))
+        starts = [len(num) + sum(sizes[:i]) for i in range(len(cat))]
+        self.places = [[i] for i in range(len(num))] + [list(range(a, a + n)) for a, n in zip(starts, sizes)]
+        self.linear = hasattr(last, "coefficients")
+        if self.linear:
+            self.coef, self.bias, self.scale = np.array(last.coefficients.toArray()), float(last.intercept), 1.0
+        else:
+            self.forest, self.scale = forest_of(spark, last), 2.0  # boosted trees: log-odds are twice the margin
+
+    def margins(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        if self.linear:
+            return x @ self.coef + self.bias, None
+        terms = self.forest.terms(x)
+        return terms.sum(axis=1), terms
+
+    def swapped(self, x: np.ndarray, other: np.ndarray, margin: np.ndarray, terms: np.ndarray | None, feature: int) -> np.ndarray:
+        at = self.places[feature]
+        if self.linear:
+            return margin + (other[:, at] - x[:, at]) @ self.coef[at]
+        trees = self.forest.trees_of(feature)  # the others give what they gave
+        if not len(trees):
+            return margin
+        new = x.copy()
+        new[:, at] = other[:, at]
+        return margin + self.forest.terms(new, trees).sum(axis=1) - terms[:, trees].sum(axis=1)
+
+    def prob(self, margin: np.ndarray) -> np.ndarray:
+        return 1.0 / (1.0 + np.exp(-self.scale * margin))
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, num: list[str], cat: list[str], entity: str,
                            features: list[str] | None = None, stratum: str = "fase", target: str = "target",
                            seed: int = 42, min_n: int = 30, buckets: int | None = None) -> DataFrame:
     """Per (stratum, feature) the increase in log-loss when that feature's column is permuted across rows;
-    every feature unless ``features`` names some.
+    every feature unless ``features`` names some. For boosted trees and the logistic model.
 
     The permutation is drawn inside random hash buckets of rows (eight for each shuffle partition): within a bucket the
     i-th row by one seeded hash receives the values of the i-th row by another, via one equi-join on (bucket, rank), so
-    no task ever ranks the whole table and every row gets exactly one partner. Each pair of rows is then scored once for
-    every feature, in one pass. Strata with fewer than ``min_n`` rows are flagged unstable."""
+    no task ever ranks the whole table and every row gets exactly one partner. A batch of paired rows is scored for all
+    features inside its task (only the trees that split on a feature are walked again) and sends the loss sums of its
+    strata: no row is copied for a feature. Strata with fewer than ``min_n`` rows are flagged unstable."""
     from pyspark.sql import Window
 
-    feats = [c for c in (features or [*num, *cat]) if c in df.columns]
-    n = buckets or 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    base = score(model, df, num, cat, target, keep=[entity, stratum, target])
-    base_loss = base.groupBy(stratum).agg(F.avg(_logloss(F.col("prob"), F.col(target).cast("double"))).alias("_base"),
-                                          F.count(F.lit(1)).alias("n"))
+    spark, every = df.sparkSession, [*num, *cat]
+    feats = [c for c in (features or every) if c in df.columns]
+    at = [every.index(c) for c in feats]
+    n = buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     key = F.col(entity).cast("string")
-    dealt = df.withColumn("_b", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(n)))
+    vectors = model.transform(prepare(df, num, cat, target)).select(
+        F.col(entity), F.col(stratum).alias("_s"), F.col(LABEL).alias("_y"), vector_to_array(F.col(FEATURES)).alias("_x"))
+    dealt = vectors.withColumn("_b", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(n)))
 
     def ranked(by: str) -> Column:
         return F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(key, F.lit(by)), key)).alias("_r")
 
-    donors = dealt.select("_b", ranked("donor"), F.struct(*feats).alias("_d"))
-    pairs = dealt.select("*", ranked("row")).join(donors, ["_b", "_r"])
-    long = pairs.withColumn("_feature", F.explode(F.lit(feats)))
-    swapped = long.withColumns({c: F.when(F.col("_feature") == c, F.col(f"_d.`{c}`")).otherwise(F.col(c)) for c in feats})
-    s = score(model, swapped, num, cat, target, keep=[entity, stratum, target, "_feature"])
-    loss = s.groupBy(stratum, "_feature").agg(F.avg(_logloss(F.col("prob"), F.col(target).cast("double"))).alias("_perm"))
-    return loss.join(base_loss, stratum).select(
-        stratum, F.col("_feature").alias("feature"), (F.col("_perm") - F.col("_base")).alias("importance"), "n",
-        (F.col("n") < min_n).alias("unstable"))
+    donors = dealt.select("_b", ranked("donor"), F.col("_x").alias("_d"))
+    pairs = dealt.select("_b", "_s", "_y", "_x", ranked("row")).join(donors, ["_b", "_r"]).select("_s", "_y", "_x", "_d")
+    swaps = spark.sparkContext.broadcast(_Swaps(model, spark, num, cat))
+
+    def run(batches):
+        s = swaps.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            y = batch.column(1).to_numpy(zero_copy_only=False)
+            x, other = (np.asarray(batch.column(i).flatten().to_numpy(zero_copy_only=False)).reshape(batch.num_rows, -1) for i in (2, 3))
+            strata = batch.column(0).dictionary_encode()
+            codes = strata.indices.fill_null(len(strata.dictionary)).to_numpy()
+            margin, terms = s.margins(x)
+            rows = np.bincount(codes)
+            seen = np.flatnonzero(rows)
+            names = [strata.dictionary[int(c)].as_py() if c < len(strata.dictionary) else None for c in seen]
+            for i in [-1, *at]:  # -1: as they are
+                m = margin if i < 0 else s.swapped(x, other, margin, terms, i)
+                loss = np.bincount(codes, weights=_logloss(s.prob(m), y))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names, batch.schema.field(0).type), pa.array([i] * len(seen), pa.int32()), pa.array(loss[seen]), pa.array(rows[seen].astype(np.int64))],
+                    names=["_s", "_i", "_loss", "_n"])
+
+    kind = vectors.schema["_s"].dataType.simpleString()
+    sums = pairs.mapInArrow(run, f"_s {kind}, _i int, _loss double, _n long").groupBy("_s", "_i").agg(F.sum("_loss").alias("_loss"), F.sum("_n").alias("_n"))
+    before = Window.partitionBy("_s")  # one row a feature
+    mean = F.col("_loss") / F.col("_n")
+    out = sums.withColumn("_base", F.max(F.when(F.col("_i") < 0, mean)).over(before)).where(F.col("_i") >= 0)
+    name = F.array(*[F.lit(c) for c in every])[F.col("_i")]
+    return out.select(F.col("_s").alias(stratum), name.alias("feature"), (mean - F.col("_base")).alias("importance"), F.col("_n").alias("n"),
+                      (F.col("_n") < min_n).alias("unstable"))
 
 
 def model_metadata(model_kind: str, num: list[str], cat: list[str], params: dict, metrics: dict) -> dict:
@@ -263,90 +339,15 @@ def split_features(feats: DataFrame, schema: PanelSchema = DEFAULT) -> tuple[lis
 
 
 # ------------------------------------------------------------------------------------------------ tree attribution
-def extract_forest(tree_ensemble) -> tuple[list[list[tuple]], list[float]]:
-    """The fitted trees of a GBT / random-forest model as flat node lists (driver-side, bounded by
-    trees × 2^depth nodes): (feature, threshold, left_categories, left, right, value) per node; leaves have
-    feature −1."""
-    jm = tree_ensemble._java_obj
-    trees = jm.trees()
-    weights = [float(w) for w in jm.treeWeights()]
-    forest = []
-    for t in trees:
-        nodes: list = []
-
-        def walk(n):
-            idx = len(nodes)
-            nodes.append(None)
-            value = float(n.prediction())
-            if n.getClass().getSimpleName() == "LeafNode":
-                nodes[idx] = (-1, 0.0, None, -1, -1, value)
-                return idx
-            split = n.split()
-            feat = int(split.featureIndex())
-            if split.getClass().getSimpleName() == "ContinuousSplit":
-                thr, cats = float(split.threshold()), None
-            else:
-                thr, cats = 0.0, frozenset(float(c) for c in split.leftCategories())
-            left = walk(n.leftChild())
-            right = walk(n.rightChild())
-            nodes[idx] = (feat, thr, cats, left, right, value)
-            return idx
-
-        walk(t.rootNode())
-        forest.append(nodes)
-    return forest, weights
-
-
-def _path_contributions(x, forest, weights, n_features):
-    """Vectorised path walk for a batch: per tree, rows descend level by level; the change in node value at each
-    split is credited to the split's feature. Returns (bias, contributions, margin)."""
-    import numpy as np
-
-    n = x.shape[0]
-    contrib = np.zeros((n, n_features))
-    bias = 0.0
-    margin = np.zeros(n)
-    rows = np.arange(n)
-    for nodes, w in zip(forest, weights):
-        feat = np.array([nd[0] for nd in nodes])
-        thr = np.array([nd[1] for nd in nodes])
-        left = np.array([nd[3] for nd in nodes])
-        right = np.array([nd[4] for nd in nodes])
-        value = np.array([nd[5] for nd in nodes])
-        cats = [nd[2] for nd in nodes]
-        pos = np.zeros(n, dtype=int)
-        bias += w * value[0]
-        while True:
-            active = feat[pos] >= 0
-            if not active.any():
-                break
-            idx = rows[active]
-            p = pos[active]
-            f = feat[p]
-            xv = x[idx, f]
-            go_left = xv <= thr[p]
-            for j in np.flatnonzero([cats[q] is not None for q in p]):
-                go_left[j] = xv[j] in cats[p[j]]
-            child = np.where(go_left, left[p], right[p])
-            np.add.at(contrib, (idx, f), w * (value[child] - value[p]))
-            pos[active] = child
-        margin += w * value[pos]
-    return bias, contrib, margin
-
-
 def tree_attributions(model: PipelineModel, df: DataFrame, num: list[str], cat: list[str], entity: str,
                       target: str = "target", k: int = 3) -> DataFrame:
-    """M8 for tree ensembles: per-row path attributions of the fitted forest via ``mapInPandas`` (Arrow batches;
-    the forest, a few thousand nodes, travels with the function to the executors). Returns the entity, the
-    model margin, the bias, the per-feature contributions and the top-k by magnitude (native array functions)."""
-    import numpy as np
-    import pandas as pd
-
-    ensemble = model.stages[-1]
-    forest, weights = extract_forest(ensemble)
+    """M8 for tree ensembles: per-row path attributions of the fitted forest via ``mapInPandas`` (Arrow batches; the
+    forest's arrays are broadcast, their size is bounded by the model's). Returns the entity, the model margin, the
+    bias, the per-feature contributions and the top-k by magnitude (native array functions)."""
+    spark = df.sparkSession
+    forest = spark.sparkContext.broadcast(forest_of(spark, model.stages[-1]))
     assemblers = [s for s in model.stages if type(s).__name__ == "VectorAssembler"]
     names = list(assemblers[-1].getInputCols()) if assemblers else num + cat
-    nf = len(names)
     prepared = model.transform(prepare(df, num, cat, target)).select(
         F.col(entity).cast("string").alias("_e"), vector_to_array(F.col(FEATURES)).alias("_x"))
 
@@ -354,10 +355,8 @@ def tree_attributions(model: PipelineModel, df: DataFrame, num: list[str], cat:
         for b in batches:
             if len(b) == 0:
                 continue
-            x = np.vstack(b["_x"].to_numpy())
-            bias, contrib, margin = _path_contributions(x, forest, weights, nf)
-            yield pd.DataFrame({"_e": b["_e"], "margin": margin, "bias": bias,
-                                "contributions": list(contrib)})
+            bias, contrib, margin = forest.value.contributions(np.vstack(b["_x"].to_numpy()), len(names))
+            yield pd.DataFrame({"_e": b["_e"], "margin": margin, "bias": bias, "contributions": list(contrib)})
 
     out = prepared.mapInPandas(run, "_e string, margin double, bias double, contributions array<double>")
     top_n, top_v = top3_by_magnitude(F.array(*[F.lit(c) for c in names]), F.col("contributions"), k)

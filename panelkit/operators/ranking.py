@@ -50,3 +50,15 @@ def row_numbers(df: DataFrame, order: list[Column], name: str, by: list[str] | N
     """row_number() over (partition by ``by`` order by ``order``) without sorting any group in one task."""
     out = running_sums(df, order, {name: F.lit(1)}, by, partitions, inclusive=True)
     return out.withColumn(name, F.col(name).cast("int"))
+
+
+def running_pairs(df: DataFrame, by: str, order: str, value: str, partitions: int | None = None) -> DataFrame:
+    """Add ``_previous``: the largest ``value`` of the rows before in ``order`` within ``by`` (null for the first), over
+    ranges like :func:`running_sums`."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranged = materialize(df.repartitionByRange(n, by, order).withColumn("_pid", F.spark_partition_id()))
+    local = F.max(value).over(Window.partitionBy("_pid", by).orderBy(order, value).rowsBetween(Window.unboundedPreceding, -1))
+    parts = ranged.groupBy(F.col(by).alias("_by"), F.col("_pid").alias("_part")).agg(F.max(value).alias("_m"))
+    parts = parts.select("_by", "_part", F.max("_m").over(Window.partitionBy("_by").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"))
+    joined = ranged.withColumn("_local", local).join(parts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_pid") == F.col("_part")))
+    return joined.select(*df.columns, F.greatest("_local", "_earlier").alias("_previous"))

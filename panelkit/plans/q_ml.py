@@ -4,21 +4,28 @@ weights (A28), which are plain aggregates."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from panelkit.operators import features as FE
 from panelkit.operators import metrics as M
 from panelkit.operators import ml as ML
 from panelkit.operators import pairs as P
+from panelkit.operators.boosting import fit_boosted
+from panelkit.operators.ranking import running_pairs
 from panelkit.operators.topk import top_n_per_group
 from panelkit.plans import bindings as B
 from panelkit.plans.common import DIGITS, round_doubles
 from panelkit.plans.registry import query
-from panelkit.session import materialize
+from panelkit.session import materialize, scratch_path
 
 R = DIGITS
-# the queries train small ensembles, the estimators default to full size (2500 x depth 8, 300 x depth 12)
-SMALL_GBT = {"max_iter": 30, "depth": 4}
+# What the registered queries fit; the operators default to full size (2500 x depth 8 with a patience of 200, 300 x
+# depth 12). README gives what full size took.
+GBT = {"max_iter": 30, "depth": 4, "patience": 10, "first": 30}
+FOLD_GBT = {"max_iter": 12, "depth": 4}
+RF = {"trees": 60, "depth": 8}
 
 
 def _feature_sets(spark, sf_dir):
@@ -46,7 +53,7 @@ def class_weights(spark, sf_dir):
 @query("gbt_valid_scores", None, ids=("M1", "M2", "M3", "F34", "P13"))
 def gbt_valid_scores(spark, sf_dir):
     tr, va, num, cat = _feature_sets(spark, sf_dir)
-    model = ML.fit(ML.gbt_estimator(num, cat, max_bins=ML.bins_for(tr, cat), **SMALL_GBT), tr, num, cat, checkpoint=False)
+    model, _ = fit_boosted(tr, va, num, cat, **GBT)
     return ML.score(model, va, num, cat, keep=["ra", "pair_label", "fase", "target"])
 
 
@@ -61,17 +68,23 @@ def gbt_valid_policy(spark, sf_dir):
     return round_doubles(auc.join(pol, "model"))
 
 
-@query("model_comparison", None, ids=("M4", "M5"))
+@query("model_comparison", None, ids=("M4", "M5", "M6"))
 def model_comparison(spark, sf_dir):
-    """M5: one row per model (boosted trees, random forest, logistic) — AUC and stratified recall / precision /
-    lift at 15%, sorted by lift."""
+    """M5: one row per model (boosted trees, random forests on one-hot and on ordinal categories, logistic) — AUC and
+    stratified recall / precision / lift at 15%, sorted by lift."""
     tr, va, num, cat = _feature_sets(spark, sf_dir)
+    codes = [f"{c}__code" for c in cat]
+    tr_codes, va_codes = ML.ordinal_codes(tr, cat, tr), ML.ordinal_codes(va, cat, tr)
     rows = None
-    for name, pipe in (("gbt", ML.gbt_estimator(num, cat, max_bins=ML.bins_for(tr, cat), **SMALL_GBT)),
-                       ("random_forest", ML.rf_estimator(num, cat, trees=60, depth=8)),
-                       ("logistic", ML.lr_estimator(num, cat))):
-        model = ML.fit(pipe, tr, num, cat, checkpoint=False)
-        scored = ML.score(model, va, num, cat, keep=["ra", "fase", "target"])
+    for name in ("gbt", "random_forest", "random_forest_ordinal", "logistic"):
+        if name == "gbt":
+            scored = ML.score(fit_boosted(tr, va, num, cat, **GBT)[0], va, num, cat, keep=["ra", "fase", "target"])
+        elif name == "random_forest_ordinal":
+            model = ML.fit(ML.rf_estimator(num + codes, [], **RF), tr_codes, num + codes, [], checkpoint=False)
+            scored = ML.score(model, va_codes, num + codes, [], keep=["ra", "fase", "target"])
+        else:
+            pipe = ML.lr_estimator(num, cat) if name == "logistic" else ML.rf_estimator(num, cat, **RF)
+            scored = ML.score(ML.fit(pipe, tr, num, cat, checkpoint=False), va, num, cat, keep=["ra", "fase", "target"])
         auc = M.auc_table(scored)
         pol = M.operational_metrics(scored, 15.0)
         k = F.lit(name)  # the two one-row tables are paired on the model name
@@ -81,10 +94,49 @@ def model_comparison(spark, sf_dir):
     return round_doubles(rows.orderBy(F.col("lift_at_k").desc()))
 
 
+@query("boosting_kept_prefix", "SELECT 0 AS n_wrong_auc, 0 AS n_better_rounds, 0 AS n_rows_differ", ids=("M2", "M11"))
+def boosting_kept_prefix(spark, sf_dir):
+    """The kept prefix is saved with its metadata and loaded again; its scores are written and their AUC taken anew: it
+    is the AUC of the best round in the metadata, no round before the patience ran out has a larger one, and the loaded model
+    scores every row like the fitted one."""
+    tr, va, num, cat = _feature_sets(spark, sf_dir)
+    model, info = fit_boosted(tr, va, num, cat, **GBT)
+    path = scratch_path(spark, f"model-{uuid.uuid4().hex[:10]}")
+    ML.save_model(model, ML.model_metadata("gbt", num, cat, GBT, info), f"{path}/saved")
+    again, meta = ML.load_model(f"{path}/saved")
+    ML.score(again, va, num, cat, keep=["ra", "target"]).write.parquet(f"{path}/scores")
+    scores = spark.read.parquet(f"{path}/scores")
+    fitted = ML.score(model, va, num, cat, keep=["ra", "target"])
+    differ = fitted.select("ra", "prob").exceptAll(scores.select("ra", "prob")).agg(F.count(F.lit(1)).cast("int").alias("n_rows_differ"))
+    best, rounds = meta["metrics"]["best_auc"], meta["metrics"]["auc_by_round"][: meta["metrics"]["best_iteration"] + GBT["patience"]]
+    wrong = M.auc_table(scores, "prob").agg(F.count_if(F.abs(F.col("auc") - F.lit(best)) > 1e-9).cast("int").alias("n_wrong_auc"))
+    one = wrong.select("n_wrong_auc", F.lit(sum(a > best for a in rounds)).alias("n_better_rounds"), F.lit(1).alias("_k"))
+    return one.join(differ.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
 @query("isotonic_calibration", None, ids=("M7",))
 def isotonic_calibration(spark, sf_dir):
+    return _calibrated(spark, sf_dir).drop("fold_probs", "fold_calibrated")
+
+
+def _calibrated(spark, sf_dir):
     tr, va, num, cat = _feature_sets(spark, sf_dir)
-    return ML.isotonic_calibrated(lambda: ML.gbt_estimator(num, cat, max_bins=ML.bins_for(tr, cat), **SMALL_GBT), tr, va, num, cat, "ra")
+    bins = ML.bins_for(tr, cat)
+    return ML.isotonic_calibrated(lambda: ML.gbt_estimator(num, cat, max_bins=bins, **FOLD_GBT), tr, va, num, cat, "ra")
+
+
+@query("calibration_folds", "SELECT unnest([0, 1, 2]) AS fold, 0 AS n_falls, 0 AS n_outside, 0 AS n_wrong_means", ids=("M7",))
+def calibration_folds(spark, sf_dir):
+    """For each fold: neighbouring probabilities whose calibrated values fall, calibrated values outside [0, 1], and
+    rows whose mean is not the mean of the folds."""
+    rows = materialize(_calibrated(spark, sf_dir))
+    mean = F.aggregate("fold_calibrated", F.lit(0.0), lambda a, v: a + v) / 3
+    long = rows.select((F.abs(mean - F.col("prob_calibrated")) > 1e-12).alias("wrong"), F.posexplode(F.arrays_zip("fold_probs", "fold_calibrated")).alias("fold", "p"))
+    values = long.groupBy("fold", F.col("p.fold_probs").alias("prob"), F.col("p.fold_calibrated").alias("calibrated")).agg(
+        F.count_if("wrong").alias("wrong"), F.count_if(~F.col("p.fold_calibrated").between(0, 1)).alias("outside"))
+    before = running_pairs(values, "fold", "prob", "calibrated")
+    return before.groupBy("fold").agg(F.count_if(F.col("calibrated") < F.col("_previous") - 1e-12).cast("int").alias("n_falls"),
+                                      F.sum("outside").cast("int").alias("n_outside"), F.sum("wrong").cast("int").alias("n_wrong_means"))
 
 
 @query("linear_attributions", None, ids=("M8", "W6"))
@@ -134,7 +186,7 @@ def linear_attribution_margins(spark, sf_dir):
 def permutation_importance(spark, sf_dir):
     """Every feature of every stratum."""
     tr, va, num, cat = _feature_sets(spark, sf_dir)
-    model = ML.fit(ML.gbt_estimator(num, cat, max_bins=ML.bins_for(tr, cat), **SMALL_GBT), tr, num, cat, checkpoint=False)
+    model, _ = fit_boosted(tr, va, num, cat, **GBT)
     return ML.permutation_importance(model, va, num, cat, "ra")
 
 
@@ -142,5 +194,5 @@ def permutation_importance(spark, sf_dir):
 def gbt_tree_attributions(spark, sf_dir):
     """Per-row path attributions of the boosted trees on the valid pair (top 3 factors with values)."""
     tr, va, num, cat = _feature_sets(spark, sf_dir)
-    model = ML.fit(ML.gbt_estimator(num, cat, max_bins=ML.bins_for(tr, cat), **SMALL_GBT), tr, num, cat, checkpoint=False)
+    model, _ = fit_boosted(tr, va, num, cat, **GBT)
     return ML.tree_attributions(model, va, num, cat, "ra").drop("contributions")

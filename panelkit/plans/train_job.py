@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from panelkit.operators import features as FE
 from panelkit.operators import metrics as M
 from panelkit.operators import ml as ML
+from panelkit.operators.boosting import fit_boosted
 from panelkit.operators import pairs as P
 from panelkit.schema import DEFAULT, PanelSchema
 from panelkit.session import materialize
@@ -42,19 +43,12 @@ def run_training(panel: DataFrame, out_dir: str, schema: PanelSchema = DEFAULT,
     tr, va = materialize(tr), materialize(va)
     S.save_lookup(lookup, os.path.join(out_dir, "model", "lookup"))
     num, cat = FE.feature_columns(tr, schema)
-    params, rows = dict(model_params or {}), tr
+    params, info = dict(model_params or {}), {}
     if model_kind == "gbt":
-        # boosting stops early on the loss of the valid pair, whose rows ride along under an indicator column
-        params = {"max_bins": ML.bins_for(tr, cat), "validation_col": "_valid", **params}
-        if params["validation_col"]:
-            rows = tr.withColumn("_valid", F.lit(False)).unionByName(va.withColumn("_valid", F.lit(True)),
-                                                                     allowMissingColumns=True)
-        pipe = ML.gbt_estimator(num, cat, **params)
-    elif model_kind == "random_forest":
-        pipe = ML.rf_estimator(num, cat, **params)
+        model, info = fit_boosted(tr, va, num, cat, schema.target, **params)  # stops on the AUC of the valid pair
     else:
-        pipe = ML.lr_estimator(num, cat, **params)
-    model = ML.fit(pipe, rows, num, cat, schema.target)
+        pipe = ML.rf_estimator(num, cat, **params) if model_kind == "random_forest" else ML.lr_estimator(num, cat, **params)
+        model = ML.fit(pipe, tr, num, cat, schema.target)
 
     keep = [c for c in (schema.entity, schema.period, schema.pair_label, schema.stratum, schema.group, schema.target)
             if c in tr.columns]
@@ -75,7 +69,7 @@ def run_training(panel: DataFrame, out_dir: str, schema: PanelSchema = DEFAULT,
         "stratified_policy": _doc_rows(policy)[0],
     }
     S.save_document(spark, doc, os.path.join(out_dir, "evaluation", "evaluation_results"))
-    ML.save_model(model, ML.model_metadata(model_kind, num, cat, params, doc["overall"]),
+    ML.save_model(model, ML.model_metadata(model_kind, num, cat, params, {**doc["overall"], **info}),
                   os.path.join(out_dir, "model", "model"))
 
     ev = os.path.join(out_dir, "evaluation")
