@@ -38,15 +38,15 @@ def strip_accents(c: Column) -> Column:
     return F.translate(c, ACCENT_SRC, ACCENT_DST)
 
 
+# The characters that part words in a value, as a class, and those a word is made of.
+VALUE_SEPARATORS, VALUE_CHARS = r"\s/\-.,()\[\]{}_", "a-z0-9"
+
+
 def slug(c: Column) -> Column:
-    """F2 / P1 applied to values: fold accents, trim, lower-case, separators → space, whitespace runs → '_', drop
-    everything outside [a-z0-9_], collapse '_' runs and trim '_' at both ends."""
-    s = F.lower(F.trim(strip_accents(c)))
-    s = F.regexp_replace(s, r"[/\-.,()\[\]{}]+", " ")
-    s = F.regexp_replace(s, r"\s+", "_")
-    s = F.regexp_replace(s, r"[^a-z0-9_]", "")
-    s = F.regexp_replace(s, r"_+", "_")
-    return F.regexp_replace(s, r"^_+|_+$", "")
+    """F2 / P1 applied to values: the words of the folded lower-case text, joined by one underscore. What neither parts
+    words nor belongs to one vanishes without parting."""
+    kept = F.regexp_replace(F.lower(strip_accents(c)), f"[^{VALUE_CHARS}{VALUE_SEPARATORS}]", "")
+    return F.array_join(F.regexp_extract_all(kept, F.lit(f"[{VALUE_CHARS}]+"), F.lit(0)), "_")
 
 
 def slug_ascii(c: Column) -> Column:
@@ -94,32 +94,61 @@ def name_slug_ascii(name: str) -> str:
     return _words(filter(str.isascii, _plain(name)), lambda ch: ch not in NAME_CHARS)
 
 
-def strip_accents_full(c: Column) -> Column:
-    """F1, full form: Unicode NFKD then drop combining marks, for text outside the native table (ligatures,
-    full-width and other compatibility forms). An Arrow-batched pandas UDF — use ``strip_accents`` when the text is
-    Latin-script, which stays inside whole-stage codegen."""
-    return _nfkd_udf()(c)
-
-
-_NFKD = None
+# ---- full compatibility folding -------------------------------------------------------------------------------------
+#: Expansions up to this length are built by one ``translate`` for each place; the longer ones are few.
+PLACES = 3
 
 
-def _nfkd_udf():
-    global _NFKD
-    if _NFKD is None:
-        import pandas as pd
-        from pyspark.sql.functions import pandas_udf
-
-        def nfkd_fold(s):
-            def one(v):
-                if v is None:
-                    return None
-                d = unicodedata.normalize("NFKD", v)
-                return "".join(ch for ch in d if not unicodedata.combining(ch))
+def _full_tables() -> tuple[str, str, list[str], dict[str, str], str]:
+    """For every code point whose compatibility decomposition without combining marks differs from it: those with at
+    most one character left (source and target of one ``translate``, what vanishes last), the places of those with two or
+    three, the longer ones, and the character class of all that expand."""
+    one, none, some, longer = [], [], [], {}
+    for cp in range(0x80, 0x110000):
+        if 0xD800 <= cp < 0xE000:
+            continue
+        ch = chr(cp)
+        plain = "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))
+        if plain == ch:
+            continue
+        if len(plain) == 1:
+            one.append((ch, plain))
+        elif not plain:
+            none.append(ch)
+        elif len(plain) <= PLACES:
+            some.append((ch, plain))
+        else:
+            longer[ch] = plain
+    places = ["".join(p[i] if i < len(p) else "" for _, p in sorted(some, key=lambda t: -len(t[1]))) for i in range(PLACES)]
+    some.sort(key=lambda t: -len(t[1]))  # ``translate`` deletes what has no counterpart: the short ones come last
+    expands = sorted({ord(c) for c, _ in some} | {ord(c) for c in longer})
+    runs: list[list[int]] = []
+    for cp in expands:
+        if runs and runs[-1][1] == cp - 1:
+            runs[-1][1] = cp
+        else:
+            runs.append([cp, cp])
+    chars = "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+    return "".join(c for c, _ in one) + "".join(none), "".join(p for _, p in one), ["".join(c for c, _ in some), *places], longer, chars
+
+
+_FULL = None
 
-            return s.map(one)
 
-        # real (not postponed) annotations: Series → Series marks a scalar Arrow-batched UDF
-        nfkd_fold.__annotations__ = {"s": pd.Series, "return": pd.Series}
-        _NFKD = pandas_udf(nfkd_fold, "string")
-    return _NFKD
+def strip_accents_full(c: Column) -> Column:
+    """F1, full form: compatibility decomposition (NFKD) without combining marks for every code point, as native
+    expressions. One ``translate`` folds what has one character left, or none; only texts that hold a character with more
+    (ligatures, fractions, Hangul syllables and the like) are taken apart into characters, whose first, second and third
+    characters come from a ``translate`` each and the few longer ones from replacements."""
+    global _FULL
+    _FULL = _FULL or _full_tables()
+    src, dst, (some, *places), longer, chars = _FULL
+
+    def expanded(ch: Column) -> Column:
+        return F.when(ch.rlike(chars), F.concat(*[F.translate(ch, some, p) for p in places])).otherwise(ch)
+
+    whole = c
+    for k, v in longer.items():
+        whole = F.replace(whole, F.lit(k), F.lit(v))
+    taken = F.array_join(F.transform(F.split(whole, ""), expanded), "")
+    return F.translate(F.when(c.rlike(chars), taken).otherwise(c), src, dst)

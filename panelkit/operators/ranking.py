@@ -10,6 +10,8 @@ groups.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +54,16 @@ def row_numbers(df: DataFrame, order: list[Column], name: str, by: list[str] | N
     return out.withColumn(name, F.col(name).cast("int"))
 
 
+def dense_ranks(df: DataFrame, order: list[str], name: str, by: str, partitions: int | None = None) -> DataFrame:
+    """dense_rank() over (partition by ``by`` order by ``order``): the distinct order keys are numbered over ranges and
+    joined back, so no group of values is ranked in one task."""
+    keys = [by, *order]
+    numbered = row_numbers(df.select(*keys).distinct(), [F.col(c).asc_nulls_first() for c in order], name, by=[by], partitions=partitions)
+    numbered = numbered.select(*[F.col(c).alias(f"_d{i}") for i, c in enumerate(keys)], name)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_d{i}")) for i, c in enumerate(keys)])
+    return df.join(numbered, same).drop(*[f"_d{i}" for i in range(len(keys))])
+
+
 def running_pairs(df: DataFrame, by: str, order: str, value: str, partitions: int | None = None) -> DataFrame:
     """Add ``_previous``: the largest ``value`` of the rows before in ``order`` within ``by`` (null for the first), over
     ranges like :func:`running_sums`."""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.functions.strata import stratum_sort_key
+from panelkit.operators.ranking import dense_ranks
 from panelkit.operators.topk import topk_flags
 
 # Fixed values that must equal the reference: reason rules (column, message) in order, the default message, the
@@ -189,15 +190,52 @@ def filter_vocabularies(df: DataFrame, period: str = "ano_base", stratum: str =
                         group: str = "turma") -> DataFrame:
     """Distinct non-null periods, strata (ordered by the stratum sort key, then text) and groups as one long
     table (kind, value, ord), plus the default period (the maximum) flagged."""
-    periods = df.select(F.col(period).cast("string").alias("value")).filter(F.col("value").isNotNull()).distinct()
-    strata = df.select(F.col(stratum).cast("string").alias("value")).filter(F.col("value").isNotNull()).distinct()
-    groups = df.select(F.col(group).cast("string").alias("value")).filter(F.col("value").isNotNull()).distinct()
-    p = periods.select(F.lit("period").alias("kind"), "value",
-                       F.dense_rank().over(Window.orderBy(F.col("value").cast("bigint"))).alias("ord"))
-    s = strata.select(F.lit("stratum").alias("kind"), "value", F.dense_rank().over(
-        Window.orderBy(stratum_sort_key(F.col("value")), F.col("value"))).alias("ord"))
-    g = groups.select(F.lit("group").alias("kind"), "value", F.dense_rank().over(Window.orderBy("value")).alias("ord"))
-    return p.unionByName(s).unionByName(g)
+    def kind(name: str, col: str, number: Column, text: Column) -> DataFrame:
+        v = F.col("value")
+        values = df.select(F.col(col).cast("string").alias("value")).where(v.isNotNull()).distinct()
+        return values.select(F.lit(name).alias("kind"), "value", number.alias("_a"), text.alias("_b"))
+
+    value, none = F.col("value"), F.lit(None)
+    every = (kind("period", period, value.cast("bigint"), none.cast("string"))
+             .unionByName(kind("stratum", stratum, stratum_sort_key(value).cast("bigint"), value))
+             .unionByName(kind("group", group, none.cast("bigint"), value)))
+    return dense_ranks(every, ["_a", "_b"], "ord", by="kind").select("kind", "value", "ord")
+
+
+def dossiers(df: DataFrame, entity: str = "ra", period: str = "ano_base", value: str = "ieg", stratum: str = "fase",
+             group: str = "turma", bins: int = 20) -> DataFrame:
+    """One row an entity with its latest record, history, factors, reasons and place in its stratum, nested:
+    ``latest`` (struct), ``history`` (array of period and value), ``factors`` (F35), ``motivos`` (F25) and ``place``
+    (share of the stratum's rows in lower bins, and its rows).
+
+    Rows are first reduced to one per (entity, period), combined inside each task, so an id that a third of all rows
+    carry is one record a period before it moves. One exchange on the entity then brings its records together, and latest,
+    history and factors are expressions on that one array. The strata's bins are joined by stratum (strata x bins numbers;
+    Spark broadcasts them by their measured size)."""
+    rest = [c for c in df.columns if c not in (entity, period)]
+    ends = df.groupBy(stratum).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+
+    def place(lo: Column, hi: Column, v: Column) -> Column:
+        return F.when(hi > lo, F.least(F.floor((v - lo) / (hi - lo) * bins), F.lit(bins - 1))).otherwise(0).cast("int")
+
+    binned = df.where(F.col(value).isNotNull()).select(stratum, value).join(ends, stratum)
+    counts = binned.groupBy(stratum, place(F.col("_lo"), F.col("_hi"), F.col(value)).alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
+    below = Window.partitionBy(stratum).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    table = counts.withColumn("_below", F.coalesce(F.sum("_n").over(below), F.lit(0))).groupBy(stratum).agg(
+        F.sum("_n").alias("_rows"), F.map_from_entries(F.collect_list(F.struct("_bin", "_below"))).alias("_bins")).join(ends, stratum)
+    table = table.select(F.col(stratum).alias("_stratum"), "_rows", "_bins", "_lo", "_hi")
+
+    # equal (entity, period) rows: the least record, as the trajectory takes it
+    one = df.groupBy(entity, period).agg(F.min(F.struct(*[F.col(c) for c in rest])).alias("_r"))
+    packed = one.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(F.col(period).alias("_p"), "_r"))).alias("_all"))
+    last = F.element_at("_all", -1)
+    history = F.transform("_all", lambda e: F.struct(e["_p"].alias("period"), e["_r"][value].alias("value")))
+    flat = packed.select(entity, history.alias("history"), last["_p"].alias(period), *[last["_r"][c].alias(c) for c in rest])
+    joined = flat.join(table, F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
+    bin_of = place(F.col("_lo"), F.col("_hi"), F.col(value))
+    where = F.when(F.col(value).isNotNull(), F.struct((F.try_element_at("_bins", bin_of) / F.col("_rows")).alias("share_below"), F.col("_rows").alias("n_rows")))
+    return joined.select(entity, F.struct(period, *rest).alias("latest"), "history", factors_from_rules(flat).alias("factors"),
+                         reason_text(flat).alias("motivos"), where.alias("place"))
 
 
 def stratum_histogram(df: DataFrame, stratum: str = "fase", score: str = "score", bins: int = 20) -> DataFrame:

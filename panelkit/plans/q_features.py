@@ -166,6 +166,10 @@ def group_stats_by_stratum(spark, sf_dir):
     return round_doubles(FE._level_stats(base, ["ano_base", "fase"], "fase"))
 
 
+#: The group level fitted on the training pairs only.
+GROUP_STATS_SQL = B.with_ctes(BASE_SQL, _stats_cte("turma", ["ano_base", "turma"], "NOT is_valid")) + _stats_select("turma", ["ano_base", "turma"])
+
+
 @query("panel_missing_rate", B.with_ctes(B.B1_SQL) + """
 SELECT round((count(*) FILTER (WHERE matem IS NULL) + count(*) FILTER (WHERE portug IS NULL)
   + count(*) FILTER (WHERE ingles IS NULL) + count(*) FILTER (WHERE ieg IS NULL)

@@ -66,6 +66,13 @@ def fold_accents_documents(spark, sf_dir):
         "doc_id", F.md5(folded).alias("folded_md5"), F.length(folded).cast("bigint").alias("folded_len"))
 
 
+@query("fold_full_documents", """
+SELECT doc_id, md5(strip_accents(text)) AS folded_md5 FROM documents""", ids=("F1",))
+def fold_full_documents(spark, sf_dir):
+    """The full compatibility form over whole texts; these hold Latin letters, where both forms agree."""
+    return B.table(spark, sf_dir, "documents").select("doc_id", F.md5(T.strip_accents_full(F.col("text"))).alias("folded_md5"))
+
+
 @query("slug_values", f"""
 SELECT 'url' AS kind, page_id AS id, {sql_slug('url')} AS slug FROM pages
 UNION ALL SELECT 'part', p_partkey, {sql_slug('p_name')} FROM part

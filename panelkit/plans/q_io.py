@@ -5,6 +5,7 @@ output goes under the shared checkpoint folder, one fresh sub-folder per run."""
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from datetime import datetime, timedelta, timezone
@@ -15,11 +16,13 @@ from pyspark.sql import types as T
 from panelkit.operators import topk as K
 from panelkit.plans import bindings as B
 from panelkit.plans.common import round_doubles
+from panelkit.plans.q_features import GROUP_STATS_SQL
 from panelkit.plans.registry import query
 from panelkit.session import scratch_path
+from panelkit.sources.commits import CommittedTable, swap_document
 from panelkit.sources.files import (
     append_event, baseline_manifests, export_csv, file_hashes, load_baseline, load_lookup, load_periods, path_exists,
-    read_jsonl, read_snapshots, save_document, save_lookup, write_snapshots)
+    read_jsonl, read_small_text, read_snapshots, save_document, save_lookup, write_snapshots)
 
 # file column order: the key columns written first (P10), then the rest
 SCORED_SCHEMA = "ra bigint, ano_base int, fase string, turma string, score double, target int"
@@ -100,6 +103,31 @@ def snapshot_trailing_scan(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 4).alias("score_sum"))
 
 
+@query("committed_appends", B.with_ctes(B.B3_SQL) + """,
+d AS (SELECT ra, score, CAST(ra % 6 AS INTEGER) AS k FROM scored)
+SELECT 'req-' || k AS request_id, CAST(DATE '2024-01-30' - k AS VARCHAR) AS dt, CAST(count(*) AS BIGINT) AS n,
+       round(sum(score), 4) AS score_sum, CAST(1 AS BIGINT) AS n_events, 'req-5' AS pointer FROM d GROUP BY k""", ids=("S7", "S8", "S12"))
+def committed_appends(spark, sf_dir):
+    """Six requests of scored rows. One fails after its rows are staged and is tried again; two are sent twice. Every
+    row and every event counts once, and the pointer names the last published request."""
+    base = _scratch(spark, "committed")
+    table, pointer = CommittedTable(spark, os.path.join(base, "rows")), os.path.join(base, "current.json")
+    scored = B.scored(spark, sf_dir).select("ra", "score")
+    last = datetime(2024, 1, 30, 12, tzinfo=timezone.utc)
+    for k in range(6):
+        rows, name, now = scored.where(F.col("ra") % 6 == k), f"req-{k}", last - timedelta(days=k)
+        if k == 2:
+            table.stage(rows, name, now=now)  # lost before it was published
+        for _ in range(2 if k in (1, 2) else 1):
+            if table.append(rows, name, event={"event_type": "predict_batch"}, now=now):
+                swap_document(spark, {"request_id": name}, pointer)
+    schema = T.StructType([T.StructField("ra", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("request_id", T.StringType())])
+    seen = table.read(schema).groupBy("request_id", F.col("dt").cast("string").alias("dt")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 4).alias("score_sum"))
+    events = table.commits().groupBy("request_id").agg(F.count(F.lit(1)).alias("n_events"))
+    return seen.join(events, "request_id").withColumn("pointer", F.lit(json.loads(read_small_text(spark, pointer))["request_id"]))
+
+
 @query("event_log_append", """
 SELECT event_type, CAST(count(*) AS BIGINT) AS n_students FROM events GROUP BY event_type""", ids=("S8", "S5"))
 def event_log_append(spark, sf_dir):
@@ -115,15 +143,22 @@ def event_log_append(spark, sf_dir):
 SELECT 'b1' AS baseline_id, (SELECT CAST(count(*) AS BIGINT) FROM scored) AS n_manifest, fase, CAST(count(*) AS BIGINT) AS n,
        round(avg(score), 6) AS score_mean FROM scored GROUP BY fase""", ids=("S12", "S13"))
 def baseline_registry(spark, sf_dir):
-    """A baseline of several part files, accepted by the hash of each; a second one whose hash is wrong is not listed
-    as current."""
+    """A baseline of several part files, accepted by the hash of each; a second one, which the pointer names first and
+    whose hashes are wrong, is rejected."""
     root = _scratch(spark, "baselines")
     csv = os.path.join(root, "registry", "b1", "baseline.csv")
     scored = B.scored(spark, sf_dir).select("ra", "fase", "score")
     scored.write.option("header", "true").csv(csv)
     manifest = {"n_rows": scored.count(), "created_at": "2024-01-01T00:00:00.000001", "baseline_part_sha256": file_hashes(spark, csv)}
     save_document(spark, manifest, os.path.join(root, "registry", "b1", "baseline_manifest.json"))
-    save_document(spark, {"baseline_id": "b1"}, os.path.join(root, "current.json"))
+    pointer = os.path.join(root, "current.json")
+    wrong = os.path.join(root, "registry", "b2")
+    scored.where(F.col("ra") % 2 == 0).write.option("header", "true").csv(os.path.join(wrong, "baseline.csv"))
+    save_document(spark, manifest | {"n_rows": None}, os.path.join(wrong, "baseline_manifest.json"))
+    save_document(spark, {"baseline_id": "b2"}, pointer)
+    if load_baseline(spark, os.path.join(root, "registry"), pointer) != (None, None):
+        raise ValueError("a baseline whose hashes differ from its manifest was accepted")
+    save_document(spark, {"baseline_id": "b1"}, pointer)
     found, frame = load_baseline(spark, os.path.join(root, "registry"), os.path.join(root, "current.json"))
     listed = baseline_manifests(spark, os.path.join(root, "registry")).where(F.col("n_rows").isNotNull())
     per = frame.groupBy("fase").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("score").cast("double")), 6).alias("score_mean"))
@@ -131,7 +166,7 @@ def baseline_registry(spark, sf_dir):
     return per.select(F.lit(found).alias("baseline_id"), F.lit(n).cast("long").alias("n_manifest"), "fase", "n", "score_mean")
 
 
-@query("saved_statistics", None, ids=("S10",))
+@query("saved_statistics", GROUP_STATS_SQL, ids=("S10",))
 def saved_statistics(spark, sf_dir):
     """Group statistics fitted, saved, loaded: the rows of the group level (SQL of ``group_stats_by_group``)."""
     from panelkit.operators import features as FE

@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,7 +13,9 @@ from panelkit.operators import monitor as MO
 from panelkit.plans import bindings as B
 from panelkit.plans.common import DIGITS, round_doubles
 from panelkit.plans.registry import query
+from panelkit.session import scratch_path
 from panelkit.sources.files import parse_json_objects, tail_lines, tolerant_timestamp
+from panelkit.sources.tail import tail_by_position
 
 R = DIGITS
 NOW = B.MON_NOW
@@ -52,6 +56,17 @@ def log_tail(spark, sf_dir):
     return tail_lines(B.log_lines(spark, sf_dir), 80, ["ts", "event_id"]).select("event_id", "value")
 
 
+@query("log_tail_by_position", B.with_ctes(B.B5_SQL) + """
+SELECT CAST(row_number() OVER (ORDER BY event_id DESC) AS INTEGER) AS position, value AS line FROM log_lines
+ORDER BY event_id DESC LIMIT 250""", ids=("S11", "W9"))
+def log_tail_by_position(spark, sf_dir):
+    """The log as rotated files in writing order; its last 250 lines are found by file and offset, with no order column."""
+    path = scratch_path(spark, f"log-{uuid.uuid4().hex[:10]}")
+    lines = B.log_lines(spark, sf_dir).select("event_id", "value")
+    lines.repartitionByRange(6, "event_id").sortWithinPartitions("event_id").select("value").write.text(path)
+    return tail_by_position(spark, path, 250, split_bytes=1 << 14).select("position", "line")
+
+
 LINES_SQL = """,
 lines AS (
   SELECT CASE event_id % 10 WHEN 0 THEN '' WHEN 1 THEN 'not json {' WHEN 2 THEN '[1, 2]' WHEN 3 THEN '"text"'

@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from panelkit.operators import drift as D
@@ -11,7 +13,8 @@ from panelkit.operators import report as RP
 from panelkit.plans import bindings as B
 from panelkit.plans.common import DIGITS, round_doubles
 from panelkit.plans.registry import query
-from panelkit.session import materialize
+from panelkit.session import materialize, scratch_path
+from panelkit.sources.lookup import lookup, open_lookup, write_lookup
 
 R = DIGITS
 
@@ -192,6 +195,55 @@ def score_change(spark, sf_dir):
     return change
 
 
+def _fixed(c: str) -> str:
+    return f"CAST(CAST({c} AS DECIMAL(18,4)) AS VARCHAR)"
+
+
+_FACTOR_TEXT = ", ".join(f"CASE WHEN {c} < 6 THEN {_sql_str(lbl)} || '=' || {_fixed(f'6.0 - {c}')} END" for c, lbl in RP.FACTOR_LABELS)
+
+
+@query("entity_dossiers", B.with_ctes(B.B1_SQL) + f""",
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ra ORDER BY ano_base DESC) AS rn FROM cust_year) WHERE rn = 1),
+h AS (SELECT ra, string_agg(CAST(ano_base AS VARCHAR) || '=' || CAST(CAST(ieg AS BIGINT) AS VARCHAR), ';' ORDER BY ano_base) AS history
+      FROM cust_year GROUP BY ra),
+r AS (SELECT fase, min(ieg) AS lo, max(ieg) AS hi FROM cust_year GROUP BY fase),
+b AS (SELECT ra, ano_base, fase, CASE WHEN hi > lo THEN least(floor((ieg - lo) / (hi - lo) * 20), 19) ELSE 0 END AS bin
+      FROM cust_year JOIN r USING (fase) WHERE ieg IS NOT NULL),
+c AS (SELECT fase, bin, count(*) AS n FROM b GROUP BY ALL),
+p AS (SELECT fase, bin, coalesce(sum(n) OVER (PARTITION BY fase ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+             sum(n) OVER (PARTITION BY fase) AS n_rows FROM c)
+SELECT l.ra, l.ano_base, l.fase, l.turma, h.history, concat_ws(';', {_FACTOR_TEXT}) AS factors, {REASON_SQL} AS motivos,
+       round(p.below / p.n_rows, {R}) AS share_below, CAST(p.n_rows AS BIGINT) AS n_rows
+FROM l JOIN h USING (ra) LEFT JOIN b ON b.ra = l.ra AND b.ano_base = l.ano_base LEFT JOIN p ON p.fase = b.fase AND p.bin = b.bin""",
+       ids=("R8", "W8", "W14", "F35"))
+def entity_dossiers(spark, sf_dir):
+    """The composed dossier of every entity, its nested parts flattened to text."""
+    columns = ["ra", "ano_base", "fase", "turma", "ieg", *[c for c, _ in RP.FACTOR_LABELS if c != "ieg"]]
+    d = RP.dossiers(B.cust_year(spark, sf_dir).select(*columns))
+    fixed = lambda x: x.cast("decimal(18,4)").cast("string")
+    return round_doubles(d.select(
+        "ra", F.col("latest.ano_base").alias("ano_base"), F.col("latest.fase").alias("fase"), F.col("latest.turma").alias("turma"),
+        F.array_join(F.transform("history", lambda e: F.concat_ws("=", e["period"].cast("string"), e["value"].cast("bigint").cast("string"))), ";").alias("history"),
+        F.array_join(F.transform("factors", lambda e: F.concat_ws("=", e["feature"], fixed(e["impact"]))), ";").alias("factors"),
+        "motivos", F.col("place.share_below").alias("share_below"), F.col("place.n_rows").alias("n_rows")))
+
+
+@query("point_lookup", B.with_ctes(B.B3_SQL) + """,
+ids AS (SELECT unnest(range(0, 3700, 37)) AS ra)
+SELECT ids.ra, s.ra IS NOT NULL AS found, s.ano_base, s.fase, s.turma, s.score FROM ids LEFT JOIN scored s ON s.ra = ids.ra""",
+       ids=("P17",))
+def point_lookup(spark, sf_dir):
+    """A request for 100 ids, absent ones included, against the scored history written by bucket of the id."""
+    path = scratch_path(spark, f"lookup-{uuid.uuid4().hex[:10]}")
+    history = B.scored(spark, sf_dir).select("ra", "ano_base", "fase", "turma", "score")
+    write_lookup(history, path, "ra", ["ano_base"], buckets=32)
+    table = open_lookup(spark, path, history.schema.simpleString()[7:-1].replace(":", " "), "ra", 32)
+    ids = list(range(0, 3700, 37))
+    asked = spark.createDataFrame([(i,) for i in ids], "ra long")
+    found = lookup(table, "ra", ids).select(F.col("ra").alias("_ra"), "ano_base", "fase", "turma", "score")
+    return asked.join(found, F.col("ra") == F.col("_ra"), "left").select("ra", F.col("_ra").isNotNull().alias("found"), "ano_base", "fase", "turma", "score")
+
+
 @query("filter_vocabularies", B.with_ctes(B.B1_SQL) + """
 SELECT 'period' AS kind, v AS value, CAST(dense_rank() OVER (ORDER BY CAST(v AS BIGINT)) AS INTEGER) AS ord
   FROM (SELECT DISTINCT CAST(ano_base AS VARCHAR) AS v FROM cust_year WHERE ano_base IS NOT NULL)
