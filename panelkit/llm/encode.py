@@ -85,14 +85,19 @@ class UnitEncoder:
 
     def pretokens(self, unit: str) -> list[str] | None:
         """Pre-tokens of a plain unit; None if only the library may split it."""
-        if not _PLAIN.fullmatch(unit) or any(s in unit for s in self.specials):
-            return None
+        if not _PLAIN.fullmatch(unit) or self.lowers and any(s in unit for s in self.specials):
+            return None  # byte-level texts with a special string are never cut into units
         if (unit[1:] if unit[:1] == " " else unit).isalpha():
             return [unit.strip(" ").lower() if self.lowers else unit]
         return self.pattern.findall(unit.lower() if self.lowers else unit)
 
+    def _merged(self, spelled: str) -> bytes:
+        return array("I", [t.id for t in self.merge(spelled)]).tobytes()
+
     def _one(self, unit: str) -> bytes:
         """Ids of a unit that the memo lacks."""
+        if self.keeps_space and unit.isascii() and unit[:1] == " " and unit[1:].isalpha():
+            return self._merged(BYTE_CHARS[0x20] + unit[1:])  # one pre-token, and the memo's entry is the unit's own
         parts = self.pretokens(unit)
         if parts is None:
             return np.array(self.tok.encode(unit, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -100,7 +105,7 @@ class UnitEncoder:
         for p in parts:
             got = self.memo.get(p) or self.elder.get(p)
             if got is None:
-                got = self.memo[p] = array("I", [t.id for t in self.merge(byte_level(p))]).tobytes()
+                got = self.memo[p] = self._merged(byte_level(p))
             out.append(got)
         return b"".join(out)
 
@@ -109,9 +114,11 @@ class UnitEncoder:
         if len(self.memo) >= self.limit:
             self.memo, self.elder = {}, self.memo
         memo, elder = self.memo, self.elder
-        for u in units.difference(memo):
-            got = elder.get(u)
-            memo[u] = self._one(u) if got is None else got
+        one = self._one
+        for u in units:
+            if u not in memo:
+                got = elder.get(u)
+                memo[u] = one(u) if got is None else got
 
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text (None: empty)."""
