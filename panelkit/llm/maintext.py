@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -34,15 +35,24 @@ RUNNING = 0.5
 MOST = 0.75
 #: Paths with less than this part of a host's votes are no winners; so a host has at most 20.
 LEAST_SHARE = 0.05
-#: Hosts whose winning paths (at most 20 each, some kilobytes) may be broadcast.
-BROADCAST_HOSTS = 20_000
+#: Characters of all hosts and winning paths that may be broadcast.
+BROADCAST_CHARS = 32_000_000
+#: Tags whose quotes don't close that are scanned for their quotes; later ones of a page end at the next ``>``.
+ODD_TAGS = 16
 
 # What HTML names things.
 CONTAINERS = frozenset("html body main article section div aside nav header footer form table tbody thead tfoot tr td th center details dialog fieldset figure menu search".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote address hr figcaption caption summary hgroup legend option head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-RAW = frozenset("script style title textarea noscript iframe template svg math select button object audio video canvas noframes xmp".split())
-LEFT_OUT = frozenset("nav footer aside form dialog menu search fieldset".split())
+RAW = frozenset("script style title textarea noscript iframe template svg select button object audio video canvas noframes xmp".split())
+LEFT_OUT = frozenset("nav footer menu search".split())
+#: Left out too, unless they hold a large article or main, or (the first two) most of the page's running text.
+WEIGHED = frozenset("form fieldset aside dialog".split())
+MAY_HOLD_ALL = frozenset("form fieldset".split())
+#: Without an end tag they take the rest of the page, as in browsers; the other raw ones are passed over.
+TO_THE_END = frozenset("script style textarea title xmp".split())
+#: A second start tag ends the first.
+NOT_NESTED = frozenset("button select".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert popup modal overlay "
@@ -59,10 +69,11 @@ COMMENTS = frozenset("comment comments disqus respond replies reply".split())
 #: Their end tags may be left out; the next one of the group ends them.
 GROUPS = {**dict.fromkeys(("li",), ("li",)), **dict.fromkeys(("dt", "dd"), ("dt", "dd")), **dict.fromkeys(sorted(HEADINGS), tuple(sorted(HEADINGS)))}
 
+_PLAIN_TAG = re.compile(r"<!--|<!\[CDATA\[|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>")
 _TAG = re.compile(r"<!--|<!\[CDATA\[|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>")
 #: A tag that the page's end cuts off.
 _CUT_OFF = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
-_RAW_END = {t: re.compile(rf"</{t}\s*[^>]*>", re.IGNORECASE) for t in sorted(RAW)}
+_RAW_END = {t: re.compile(rf"</{t}\s*[^>]*>" + (rf"|<{t}(?=[\s/>])" if t in NOT_NESTED else ""), re.IGNORECASE) for t in sorted(RAW)}
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"\d+")
@@ -74,7 +85,8 @@ class Page:
 
     parent: list[int] = field(default_factory=lambda: [-1])
     end: list[int] = field(default_factory=lambda: [1])
-    path: list[tuple] = field(default_factory=lambda: [()])
+    path: list[int] = field(default_factory=lambda: [0])  # containers with the same labels up to the root share one
+    steps: list[tuple[int, str]] = field(default_factory=lambda: [(-1, "")])  # of each path: the path above and the label
     dropped: list[bool] = field(default_factory=lambda: [False])
     tag: list[str] = field(default_factory=lambda: ["#"])
     hints: dict[int, set[str]] = field(default_factory=dict)
@@ -115,9 +127,12 @@ def parse(source: str, hints: bool = True) -> Page:
     """One scan over the page; unclosed and stray tags are tolerated as browsers do, roughly."""
     page = Page()
     stack, names, inner = [0], ["#"], 0  # inner: open elements that are containers only for a hint around or on them
-    paths: dict[tuple, tuple] = {}
+    paths: dict[tuple[int, str], int] = {}
+    opened: Counter = Counter()  # open elements by tag
+    lost: set[str] = set()  # raw tags that have no end tag any more
     pieces: list[str] = []
     links, in_link, heading, pos, size = 0, False, False, 0, len(source)
+    reach, pattern, odd = source.rfind(">") + 1, _TAG, 0  # no tag ends beyond
 
     def close() -> None:
         nonlocal links
@@ -137,8 +152,17 @@ def parse(source: str, hints: bool = True) -> Page:
             if in_link:
                 links += len(text.strip())
 
+    def leave() -> str:
+        """Close the innermost element."""
+        nonlocal inner
+        page.end[stack.pop()] = len(page.parent)
+        name = names.pop()
+        opened[name] -= 1
+        inner -= name not in CONTAINERS
+        return name
+
     while True:
-        found = _TAG.search(source, pos)
+        found = pattern.search(source, pos, reach)
         if not found:
             tail = _CUT_OFF.search(source, pos)
             text_to(tail.start() if tail else size)
@@ -149,18 +173,28 @@ def parse(source: str, hints: bool = True) -> Page:
             at = source.find("-->", pos - 2 if source.startswith("<!-->", found.start()) else pos)
             pos = size if at < 0 else at + 3
             continue
-        tag = (found.group(2) or found.group(5) or "").lower()
+        if pattern is _TAG and found.group(5):
+            odd += 1
+            closing, tag, attrs = found.group(4, 5, 6)
+            pattern = _PLAIN_TAG if odd >= ODD_TAGS else _TAG
+        else:
+            closing, tag, attrs = found.group(1, 2, 3)
         if not tag:
             continue
-        closing, attrs = found.group(1) or found.group(4), found.group(3) or found.group(6) or ""
+        tag, attrs = tag.lower(), attrs or ""
         if tag == "br":
             pieces.append(" ")
         elif tag == "a":
             in_link = not closing
         elif tag in RAW and not closing:
-            if not attrs.endswith("/") or tag not in ("svg", "math"):
-                last = _RAW_END[tag].search(source, pos)
-                pos = last.end() if last else size
+            if not attrs.endswith("/") or tag != "svg":
+                last = None if tag in lost else _RAW_END[tag].search(source, pos, reach)
+                if last and last.group()[1] == "/":
+                    pos = last.end()
+                elif not last and tag in TO_THE_END:
+                    pos = size
+                elif not last:
+                    lost.add(tag)
             pieces.append(" ")
         elif tag in BLOCKS:
             close()
@@ -170,43 +204,40 @@ def parse(source: str, hints: bool = True) -> Page:
             if tag not in CONTAINERS and not inner:
                 if closing or tag in ("hr", "head") or "=" not in attrs or not hints:
                     continue
-                known = _label(tag, attrs, hints, "article" in names)
+                known = _label(tag, attrs, hints, opened["article"] > 0)
                 if not known[1]:
                     continue
             if closing:
-                if tag in names:
-                    while True:
-                        done, name = stack.pop(), names.pop()
-                        page.end[done] = len(page.parent)
-                        inner -= name not in CONTAINERS
-                        if name == tag:
-                            break
+                if opened[tag]:
+                    while leave() != tag:
+                        pass
             elif tag not in ("hr", "head"):
                 while inner and (names[-1] == "p" or names[-1] in GROUPS.get(tag, ())):
-                    page.end[stack.pop()] = len(page.parent)
-                    names.pop()
-                    inner -= 1
-                up = stack[-1]
-                if tag in ("td", "th", "tr") and tag in names:  # their end tags may be left out
+                    leave()
+                if tag in ("td", "th", "tr") and opened[tag]:  # their end tags may be left out
                     while names[-1] not in (tag, "table"):
-                        page.end[stack.pop()] = len(page.parent)
-                        inner -= names.pop() not in CONTAINERS
+                        leave()
                     if names[-1] == tag:
-                        page.end[stack.pop()] = len(page.parent)
-                        names.pop()
-                    up = stack[-1]
-                if tag in ("html", "body") and tag in names:
+                        leave()
+                up = stack[-1]
+                if tag in ("html", "body") and opened[tag]:
                     continue
-                label, said = known or _label(tag, attrs, hints, "article" in names)
+                label, said = known or _label(tag, attrs, hints, opened["article"] > 0)
+                if tag in WEIGHED:
+                    said = said | {tag}
                 if said:
                     page.hints[len(page.parent)] = said
                 inner += tag not in CONTAINERS
+                opened[tag] += 1
                 key = (page.path[up], label)
-                page.path.append(paths.setdefault(key, key))
+                if key not in paths:
+                    paths[key] = len(page.steps)
+                    page.steps.append(key)
+                page.path.append(paths[key])
                 page.parent.append(up)
                 page.tag.append(tag)
                 page.end.append(0)
-                out = tag in LEFT_OUT or (tag == "header" and "article" not in names)
+                out = tag in LEFT_OUT or (tag == "header" and not opened["article"])
                 page.dropped.append(page.dropped[up] or out)
                 stack.append(len(page.parent) - 1)
                 names.append(tag)
@@ -257,16 +288,19 @@ def _weigh_hints(page: Page) -> None:
                     keeps[c] = 1
                     c = page.parent[c]
     for c, said in page.hints.items():
-        if page.tag[c] not in NEVER_HINTED and not keeps[c] and (said & COMMENTS or running[c] < MOST * total or not total):
+        if page.tag[c] in NEVER_HINTED or keeps[c]:
+            continue
+        never = said & COMMENTS or page.tag[c] in WEIGHED - MAY_HOLD_ALL
+        if never or running[c] < MOST * total or not total:
             page.dropped[c] = True
     for c in range(1, count):
         page.dropped[c] = page.dropped[c] or page.dropped[page.parent[c]]
 
 
-def path_text(path: tuple) -> str:
+def path_text(page: Page, path: int) -> str:
     labels = []
     while path:
-        path, label = path
+        path, label = page.steps[path]
         labels.append(label)
     return "/".join(reversed(labels))
 
@@ -279,14 +313,13 @@ def page_votes(source: str | None) -> list[tuple[str, float]]:
     best = max(page.score)
     if best <= 0:
         return []
-    by_path: dict[int, list] = {}
+    by_path: dict[int, float] = {}
     for path, score in zip(page.path, page.score, strict=True):
         if path and score >= VOTES_FROM * best:
-            held = by_path.setdefault(id(path), [path, 0.0])
-            held[1] = max(held[1], score)
-    power = {k: (s / best) ** 4 for k, (_, s) in by_path.items()}
+            by_path[path] = max(by_path.get(path, 0.0), score)
+    power = {p: (s / best) ** 4 for p, s in by_path.items()}
     total = sum(power.values())
-    return [(path_text(p), power[k] / total) for k, (p, _) in by_path.items()] if total else []
+    return [(path_text(page, p), v / total) for p, v in power.items()] if total else []
 
 
 def widened(page: Page, at: int) -> int:
@@ -318,14 +351,19 @@ def main_text(source: str | None, winners: list[str] | None) -> str:
     page = parse(source)
     chosen = []
     if winners:
-        known = {}
+        below = {step: p for p, step in enumerate(page.steps)}
+        held: dict[int, list[int]] = {}
         for i, p in enumerate(page.path):
-            if p and page.score[i] > 0:
-                known.setdefault(id(p), [p, []])[1].append(i)
-        by_text = {path_text(p): at for p, at in known.values()}
+            if page.score[i] > 0:
+                held.setdefault(p, []).append(i)
         for w in winners:
-            if w in by_text:
-                chosen = by_text[w]
+            at: int | None = 0
+            for label in w.split("/"):
+                at = below.get((at, label))
+                if at is None:
+                    break
+            if at and at in held:
+                chosen = held[at]
                 break
     if not chosen:
         chosen = [max(range(len(page.score)), key=lambda i: (page.score[i], -i))]
@@ -364,8 +402,9 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     Null and empty pages give the empty text. Pages without a host (null or odd URLs) use their own containers. Repeated
     rows are pages of their own and vote as often. An empty table gives no rows. Other columns are ignored. The hosts'
-    winning paths are counted: up to ``BROADCAST_HOSTS`` hosts they are broadcast and no page is shuffled, beyond it pages
-    meet them in a shuffle join that splits hot hosts.
+    winning paths are measured: up to ``BROADCAST_CHARS`` characters they are broadcast and no page is shuffled, beyond it
+    pages meet them in a shuffle join that splits hot hosts. Pages of any length are scanned once, in time that grows with
+    their length; a path's text grows with the depth of its container.
     """
     arrow_rows(pages.sparkSession, 500)
     slim = pages.select(col(id_col).alias("page_id"), col(url_col).cast("string").alias("url"), col(html_col).cast("string").alias("html"))
@@ -376,7 +415,8 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     texts.__annotations__ = {"sources": pa.Array, "paths": pa.Array, "return": pa.Array}
     winners = written(host_paths(slim), "host-paths")
-    few = winners.count() <= BROADCAST_HOSTS
+    chars = F.length("host") + F.aggregate("paths", F.lit(0), lambda n, p: n + F.length(p))
+    few = (winners.agg(F.sum(chars).alias("n")).first()["n"] or 0) <= BROADCAST_CHARS
     joined = slim.join(F.broadcast(winners) if few else winners, "host", "left")
     out = joined.select("page_id", "url", F.arrow_udf(texts, "string")("html", "paths").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,7 +57,7 @@ def test_long_and_deep_pages():
 @pytest.mark.parametrize("broadcast", [20_000, 0])
 def test_hosts_agree_on_a_path(spark, broadcast, monkeypatch):
     """A page whose extras outweigh its article follows the path of its host, however the two meet."""
-    monkeypatch.setattr(maintext, "BROADCAST_HOSTS", broadcast)
+    monkeypatch.setattr(maintext, "BROADCAST_CHARS", broadcast)
     usual = [(i, f"http://h.example/{i}", page(f"<div class='c{i}'><p>{LONG * 4}</p></div>")) for i in range(8)]
     odd = (50, "https://u@H.example:80/x", page(f"<div class='c9'><p>Short article.</p></div>", f"<div class='wide'><p>{LONG * 30}</p></div>"))
     rows = [*usual, odd, (51, None, page(f"<div class='wide'><p>{LONG}</p></div>")), (52, "nonsense", None), (None, "http://h.example/q", ""), (1, usual[1][1], usual[1][2])]
@@ -117,3 +118,45 @@ def test_nested_bodies_and_unequal_sections(inner, parts):
 def test_hints_are_weighed(inner, parts):
     """A hint word drops an extra on any block tag, and neither the article around it nor its title."""
     assert maintext.main_text(body(inner), None) == "\n\n".join(p.strip() for p in parts)
+
+
+BODY = f"<article><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></article>"
+WANT = "\n\n".join(["Title", LONG.strip(), LONG.strip()])
+
+
+@pytest.mark.parametrize("html", [
+    f"<html><body><form id=aspnet><div>{BODY}</div></form></body></html>",
+    f"<html><body><form><fieldset>{BODY}</fieldset></form></body></html>",
+    f"<html><body><aside><a href=x>Links</a></aside><dialog>{BODY}</dialog></body></html>",
+    f"<html><body>{BODY}<form><label>Your name</label><input></form><aside>More</aside></body></html>",
+    f"<html><body><button class=x>{BODY}</body></html>",
+    f"<html><body><select>{BODY}</body></html>",
+    f"<html><body><object data=x>{BODY}</body></html>",
+    f"<html><body><noscript>{BODY}</body></html>",
+    f"<html><body><button>{BODY}<button>Send</button></body></html>",
+    f"<html><body>{BODY}<script>var a = '<p>no</p>';</body></html>",
+])
+def test_forms_and_unclosed_tags(html):
+    assert maintext.main_text(html, None) == WANT
+
+
+def test_a_form_with_most_of_the_text_is_kept():
+    assert LONG.strip() in maintext.main_text(f"<body><form><div><p>{LONG}</p></div><input></form></body>", None)
+
+
+def test_formulas_are_text():
+    assert maintext.main_text(f"<article><p>{LONG}</p><p>If <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then.</p></article>", None).endswith("If x=2 then.")
+
+
+@pytest.mark.parametrize("html", ["<a t=\"x' " * 110_000, "<a t=\"x' " * 110_000 + ">", "<button>" * 120_000, "</button " * 110_000, "<div>" * 50_000 + "text", "<div class='nav x'>" * 50_000 + "text", "<!--" * 200_000, "<p" * 400_000, "<td>" * 100_000 + "x", "&amp" * 200_000])
+def test_odd_megabytes_take_seconds(html):
+    start = time.perf_counter()
+    maintext.main_text(html, ["html/body"])
+    maintext.page_votes(html)
+    assert time.perf_counter() - start < 10
+
+
+def test_paths_by_steps():
+    page = maintext.parse(f"<div class='a b1'><section><p>{LONG}</p></section></div><div class='a b2'><section><p>x</p></section></div>")
+    assert {maintext.path_text(page, p) for p in page.path} == {"", "div.a.b0", "div.a.b0/section"}
+    assert maintext.main_text(f"<div class=a><section><p>{LONG}</p></section></div><div class=z><p>other</p></div>", ["none", "div.z"]) == "other"
