@@ -149,7 +149,10 @@ def linear_attributions(spark, sf_dir):
 def _attribution_table(spark, sf_dir):
     tr, va, num, cat = _feature_sets(spark, sf_dir)
     model = ML.fit(ML.lr_estimator(num, cat), tr, num, cat, checkpoint=False)
-    long = ML.attribution_by_stratum(ML.linear_attributions(model, va, num, cat, "ra"), [*num, *cat])
+    return _report_columns(ML.attribution_by_stratum(ML.linear_attributions(model, va, num, cat, "ra"), [*num, *cat]))
+
+
+def _report_columns(long):
     # F36 report columns: direction by sign (>= 0 raises risk), values to 6 decimals, share in percent to 1 decimal
     return long.select("fase", "feature", "n", F.round("mean_contrib", 6).alias("mean_contrib"),
                        F.round("mean_abs_contrib", 6).alias("mean_abs_contrib"),
@@ -196,3 +199,63 @@ def gbt_tree_attributions(spark, sf_dir):
     tr, va, num, cat = _feature_sets(spark, sf_dir)
     model, _ = fit_boosted(tr, va, num, cat, **GBT)
     return ML.tree_attributions(model, va, num, cat, "ra").drop("contributions")
+
+
+VALID_SQL = B.with_ctes(B.B2_SQL) + """,
+v AS (SELECT * FROM pairs WHERE pair_label = (SELECT max(pair_label) FROM pairs))
+"""
+
+
+@query("model_score_checks", VALID_SQL + """
+SELECT fase, CAST(count(*) AS BIGINT) AS n, CAST(sum(target) AS BIGINT) AS n_pos, 0 AS n_outside, 0 AS n_wrong_scores, 0 AS n_wrong_labels
+FROM v GROUP BY fase""", ids=("M1", "M3", "F34", "P13"))
+def model_score_checks(spark, sf_dir):
+    """Every row of the valid pair is scored once, in its stratum: probabilities outside [0, 1], scores that are not the
+    percentage rounded half to even, and targets that the matrix lost. No identifier or target is a feature."""
+    tr, va, num, cat = _feature_sets(spark, sf_dir)
+    if {"ra", "ano_base", "pair_label", "target", "defasagem_t1"} & {*num, *cat}:
+        raise ValueError("an identifier or the target is among the features")
+    model = ML.fit(ML.lr_estimator(num, cat), tr, num, cat, checkpoint=False)
+    scored = ML.score(model, va, num, cat, keep=["ra", "fase", "target"])
+    label = ML.prepare(va, num, cat).where(F.col(ML.LABEL) != F.coalesce(F.col("target").cast("double"), F.lit(0.0)))
+    wrong = label.groupBy(F.col("fase").alias("_f")).agg(F.count(F.lit(1)).cast("int").alias("_w"))
+    exact = F.bround(F.col("prob").cast("decimal(38,30)") * 100, 4).cast("double")
+    out = scored.groupBy("fase").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("target").cast("bigint")).alias("n_pos"),
+                                     F.count_if(~F.col("prob").between(0, 1)).cast("int").alias("n_outside"),
+                                     F.count_if(F.abs(F.col("score") - exact) > 1.01e-4).cast("int").alias("n_wrong_scores"))
+    joined = out.join(wrong, F.col("fase").cast("string") == F.col("_f"), "left")
+    return joined.select(F.col("fase").cast("int").alias("fase"), "n", "n_pos", "n_outside", "n_wrong_scores", F.coalesce("_w", F.lit(0)).alias("n_wrong_labels"))
+
+
+@query("importance_strata", VALID_SQL + """
+SELECT CAST(fase AS VARCHAR) AS fase, CAST(count(*) AS BIGINT) AS n, count(*) < 30 AS unstable, 0 AS n_missing_features FROM v GROUP BY fase""",
+       ids=("M9", "A26"))
+def importance_strata(spark, sf_dir):
+    """Strata of the importance table with their rows, the flag of small ones, and features without a row there."""
+    tr, va, num, cat = _feature_sets(spark, sf_dir)
+    model = ML.fit(ML.lr_estimator(num, cat), tr, num, cat, checkpoint=False)
+    per = ML.permutation_importance(model, va, num, cat, "ra").groupBy("fase").agg(
+        F.max("n").alias("n"), F.max("unstable").alias("unstable"), F.countDistinct("feature").alias("_k"))
+    return per.select(F.col("fase").cast("string").alias("fase"), "n", "unstable", (F.lit(len(num) + len(cat)) - F.col("_k")).cast("int").alias("n_missing_features"))
+
+
+@query("attribution_checks", VALID_SQL + """
+SELECT CAST(fase AS VARCHAR) AS fase, CAST(count(*) AS BIGINT) AS n, 0 AS n_wrong_directions, 0 AS n_wrong_shares, 0 AS n_wrong_sums FROM v GROUP BY fase""",
+       ids=("A27", "F36", "M10"))
+def attribution_checks(spark, sf_dir):
+    """The attribution report of each stratum: rows; features whose direction is not the sign of their mean (the sign is taken
+    before the mean is rounded), whose share
+    leaves 0 to 100, and strata whose means do not add up to the mean margin less the intercept."""
+    tr, va, num, cat = _feature_sets(spark, sf_dir)
+    model = ML.fit(ML.lr_estimator(num, cat), tr, num, cat, checkpoint=False)
+    rows = materialize(ML.linear_attributions(model, va, num, cat, "ra"))
+    margin = F.log(F.col("prob") / (1 - F.col("prob"))) - F.lit(float(model.stages[-1].intercept))
+    margins = rows.groupBy(F.col("fase").alias("_f")).agg(F.avg(margin).alias("_margin"))
+    table = _report_columns(ML.attribution_by_stratum(rows, [*num, *cat]))
+    per = table.groupBy("fase").agg(
+        F.max("n").alias("n"), F.sum("mean_contrib").alias("_sum"),
+        F.count_if((F.abs("mean_contrib") > 1e-6) & (F.col("direction") != F.when(F.col("mean_contrib") >= 0, F.lit("↑ risco")).otherwise(F.lit("↓ risco")))).cast("int").alias("n_wrong_directions"),
+        F.count_if(~F.col("pct_positive").between(0, 100)).cast("int").alias("n_wrong_shares"))
+    # each mean is rounded to 6 decimals
+    off = (F.abs(F.col("_sum") - F.col("_margin")) > F.lit(1e-6 * (len(num) + len(cat)) + 1e-6)).cast("int")
+    return per.join(margins, F.col("fase").eqNullSafe(F.col("_f"))).select(F.col("fase").cast("string").alias("fase"), "n", "n_wrong_directions", "n_wrong_shares", off.alias("n_wrong_sums"))

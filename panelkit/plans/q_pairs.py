@@ -31,9 +31,20 @@ def adjacent_pairs(spark, sf_dir):
     return _pair_proj(B.pairs(spark, sf_dir))
 
 
-@query("adjacent_pairs_fanout", B.with_ctes(B.B2_SQL) + f"SELECT {PAIR_COLS} FROM pairs", ids=("J1",))
+@query("adjacent_pairs_fanout", B.with_ctes(B.B1_SQL) + f""",
+dup AS (SELECT * FROM cust_year UNION ALL
+        SELECT * REPLACE (CAST(defasagem + 1 AS INTEGER) AS defasagem) FROM cust_year WHERE CAST(ra AS BIGINT) % 3 = 0),
+per AS (SELECT ano_base, lead(ano_base) OVER (ORDER BY ano_base) AS nxt FROM (SELECT DISTINCT ano_base FROM dup)),
+pairs AS (SELECT a.ra, a.ano_base, a.fase, a.turma, a.defasagem AS defasagem_t, b.defasagem AS defasagem_t1,
+                 CAST(coalesce(CAST(b.defasagem > a.defasagem AS INTEGER), 0) AS INTEGER) AS target,
+                 CAST(a.ano_base AS VARCHAR) || '->' || CAST(b.ano_base AS VARCHAR) AS pair_label, a.matem, a.ieg
+          FROM dup a JOIN per p ON p.ano_base = a.ano_base JOIN dup b ON b.ra = a.ra AND b.ano_base = p.nxt)
+SELECT {PAIR_COLS} FROM pairs""", ids=("J1",))
 def adjacent_pairs_fanout(spark, sf_dir):
-    return _pair_proj(P.build_pairs(B.cust_year(spark, sf_dir), dedup=False))
+    """Every third entity has each of its periods twice, with another state: all four pairs of two periods come out."""
+    panel = B.cust_year(spark, sf_dir)
+    again = panel.where(F.col("ra").cast("bigint") % 3 == 0).withColumn("defasagem", F.col("defasagem") + 1)
+    return _pair_proj(P.build_pairs(panel.unionByName(again), dedup=False))
 
 
 @query("consecutive_pairs", B.with_ctes(B.B1_SQL) + """

@@ -12,7 +12,7 @@ from panelkit.operators import metrics as M
 from panelkit.operators import report as RP
 from panelkit.plans import bindings as B
 from panelkit.plans.common import DIGITS, round_doubles
-from panelkit.plans.registry import query
+from panelkit.plans.registry import REGISTRY, query
 from panelkit.session import materialize, scratch_path
 from panelkit.sources.lookup import lookup, open_lookup, write_lookup
 
@@ -50,6 +50,22 @@ def rule_factors(spark, sf_dir):
                                     "f.impact", "f.direction"))
 
 
+_ARRAYS = ("matem", "portug", "ingles", "ieg", "iaa", "ips")
+
+
+@query("attribution_factors", B.with_ctes(B.B1_SQL) + f""",
+a AS (SELECT ra, ano_base, unnest([{', '.join(_sql_str(c) for c in _ARRAYS)}]) AS feature, unnest([{', '.join(f'{c} - 6.0' for c in _ARRAYS)}]) AS impact,
+             unnest(range({len(_ARRAYS)})) AS pos FROM cust_year)
+SELECT ra, ano_base, CAST(pos AS INTEGER) AS pos, feature, round(coalesce(impact, 0.0), 4) AS impact,
+       CASE WHEN coalesce(impact, 0.0) > 0 THEN '↑ risco' ELSE '↓ risco' END AS direction FROM a WHERE pos < 5""", ids=("F35",))
+def attribution_factors(spark, sf_dir):
+    """Parallel arrays of names and impacts, one impact a mark's distance from 6, as the first five factor rows."""
+    df = B.cust_year(spark, sf_dir)
+    impacts = F.array(*[F.col(c) - F.lit(6.0) for c in _ARRAYS])
+    out = df.select("ra", "ano_base", F.posexplode(RP.factors_from_arrays(F.array(*[F.lit(c) for c in _ARRAYS]), impacts)).alias("pos", "f"))
+    return out.select("ra", "ano_base", F.col("pos").cast("int").alias("pos"), "f.feature", "f.impact", "f.direction")
+
+
 @query("group_status", B.with_ctes(B.B3_SQL) + f"""
 SELECT fase, turma, ano_base, CAST(count(*) AS BIGINT) AS n, round(avg(CAST(target AS DOUBLE)), {R}) AS rate,
   CASE WHEN avg(CAST(target AS DOUBLE)) >= 0.75 THEN 'ok' WHEN avg(CAST(target AS DOUBLE)) >= 0.65 THEN 'warning'
@@ -282,3 +298,19 @@ def monitoring_report_document(spark, sf_dir):
         F.struct(F.lit(int(counts["n_rows"])).alias("n_rows"),
                  F.lit(int(counts["n_strata"])).alias("n_strata")).alias("counts"))).alias("report"))
     return doc
+
+
+@query("monitoring_report_fields", REGISTRY["monitoring_panel"].sql.replace("FROM m", """,
+  15 AS k_pct, (SELECT CAST(count(*) AS INTEGER) FROM scored) AS n_rows, (SELECT CAST(count(DISTINCT fase) AS INTEGER) FROM scored) AS n_strata
+FROM m"""), ids=("R4",))
+def monitoring_report_fields(spark, sf_dir):
+    """The written report document read back, field by field."""
+    statuses = [f"{m}_status" for m in ("psi", "auc", "precision", "recall", "lift")]
+    metrics = ["psi", "auc", "precision", "recall", "lift"]
+    schema = (f"filters struct<k_pct int>, metrics struct<{', '.join(f'{m}: double' for m in metrics)}>, status struct<drift_axis: string, "
+              f"coherence_axis: string, {', '.join(f'{s}: string' for s in statuses)}>, actions array<string>, k_suggestion string, "
+              "counts struct<n_rows: int, n_strata: int>")
+    path = scratch_path(spark, f"report-{uuid.uuid4().hex[:10]}")
+    monitoring_report_document(spark, sf_dir).write.text(path)
+    doc = spark.read.schema(schema).json(path)
+    return round_doubles(doc.select("metrics.*", "status.*", "actions", "k_suggestion", "filters.k_pct", "counts.*"))
