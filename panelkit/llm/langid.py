@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.llm.common import arrow_rows, col, fresh
@@ -199,25 +199,24 @@ def _fold(id_col: Column) -> Column:
 
 
 def training_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, bytes]]:
-    """The bounded sample: of each language about ``SAMPLE_DOCS`` training documents, drawn by a hash of id and text,
-    and of each up to ``SAMPLE_WINDOWS`` windows evenly spread over the whole text."""
+    """The bounded sample: of each language about ``SAMPLE_DOCS`` (twice as many at most) training documents, drawn by a
+    hash of id and length, repeated rows once, and of each up to ``SAMPLE_WINDOWS`` windows evenly spread over the whole text."""
     slim = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"), col(lang_col).cast("string").alias("lang"))
     learn = slim.where((_fold(F.col("doc_id")) != HELD_OUT) & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
-    counts = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     ticket = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(1 << 30))
-    drawn = learn.select("text", "lang", ticket.alias("ticket")).join(F.broadcast(counts), "lang").where(F.col("ticket") * F.col("n") < (1 << 30) * float(SAMPLE_DOCS))
+    learn = learn.select("text", "lang", ticket.alias("ticket"))
+    # repeated rows have one ticket: they are counted, and drawn, once
+    counts = learn.groupBy("lang", "ticket").agg(F.lit(1).alias("one")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    drawn = learn.join(F.broadcast(counts), "lang").where(F.col("ticket") * F.col("n") < (1 << 30) * float(SAMPLE_DOCS))
+    drawn = drawn.groupBy("lang", "ticket").agg(F.min("text").alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("ticket"))  # of the drawn rows alone
+    drawn = drawn.withColumn("nth", nth).where(F.col("nth") <= 2 * SAMPLE_DOCS)
     data, n = F.col("text").cast("binary"), F.octet_length("text")
     places = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1)), lambda k: F.floor(F.greatest(n - TRAIN_WINDOW, F.lit(0)) * k / (SAMPLE_WINDOWS - 1)).cast("int"))
     cut = F.explode(F.array_distinct(places))
     windows = drawn.select("lang", "ticket", data.alias("data"), cut.alias("at")).select("lang", "ticket", "at", F.expr(f"substring(data, at + 1, {TRAIN_WINDOW})").alias("w"))
     rows = sorted((r.lang, r.ticket, r.at, bytes(r.w)) for r in windows.collect())
-    out: list[tuple[str, bytes]] = []
-    taken: dict[str, int] = {}
-    for lang, _, _, w in rows:
-        taken[lang] = taken.get(lang, 0) + 1
-        if taken[lang] <= 2 * SAMPLE_DOCS * SAMPLE_WINDOWS:
-            out.append((lang, w))
-    return out
+    return [(lang, w) for lang, _, _, w in rows]
 
 
 def _labeller(net: Network):
@@ -254,7 +253,11 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 def identified_documents(docs: DataFrame, least_score: float = LEAST_SCORE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without rows whose language is undetermined: no letter, or no language with a mean position probability
-    of ``least_score``."""
+    of ``least_score``.
+
+    Null and empty texts go; every other column, nulls and clashing names included, is kept as it is, and repeated rows
+    share their verdict. Without a document to learn from all rows go; an empty table stays empty. Very long texts are
+    read whole, ``SIDE_BY_SIDE`` windows at a time."""
     arrow_rows(docs.sparkSession, 1000)
     net = train(training_windows(docs, id_col, text_col, lang_col))
     name = fresh(docs, "lang")

@@ -85,3 +85,26 @@ def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     got = QUERIES["op8_language_id"](spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred != 'und'").collect()
     assert sum(r.lang_pred == r.lang for r in got) >= 0.97 * len(got)
+
+
+def test_a_repeated_row_is_learnt_once(spark):
+    """20,000 copies of the only French row: its language is learnt, from as many windows as one row gives."""
+    from panelkit.llm.langid import training_windows
+
+    for row_id in (1, 2, 3):  # some ids are held out of training
+        df = spark.range(20_000, numPartitions=4).selectExpr(f"CAST({row_id} AS BIGINT) AS doc_id", "repeat('Le chat est sur la table. ', 30) AS text", "'fr' AS lang")
+        windows = training_windows(df)
+        assert len(windows) in (0, 4) and {lang for lang, _ in windows} <= {"fr"}
+        if windows:
+            break
+    assert windows
+
+
+def test_the_sample_is_bounded(spark):
+    from panelkit.llm import langid
+
+    df = spark.range(5_000, numPartitions=4).selectExpr("id AS doc_id", "concat('word ', id) AS text", "IF(id % 2 = 0, 'a', 'b') AS lang")
+    windows = langid.training_windows(df)
+    for lang in "ab":
+        n = sum(x == lang for x, _ in windows)
+        assert 0.7 * langid.SAMPLE_DOCS < n <= 2 * langid.SAMPLE_DOCS * langid.SAMPLE_WINDOWS
