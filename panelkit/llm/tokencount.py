@@ -8,6 +8,7 @@ runs the merges only for the rest. Units and unproven pre-tokens are remembered
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import partial
 
@@ -45,6 +46,8 @@ class TokenCounter:
         self.memo: dict[str, int] = {}
         self.elder: dict[str, int] = {}
         self.merges = 0
+        #: The leftmost special string, the longest of those that start there.
+        self.special = re.compile("|".join(map(re.escape, sorted(self.enc.specials, key=len, reverse=True))))
 
     def _merged(self, pretoken: str) -> int:
         self.merges += 1
@@ -74,14 +77,10 @@ class TokenCounter:
 
     def _rest(self, text: str) -> int:
         """A special string is one token wherever it stands and ends the text before it."""
-        n = 0
-        while True:
-            specials = [s for s in self.enc.specials if s in text]
-            if not specials:
-                return n + self._plain(text)
-            first = min(specials, key=lambda s: (text.index(s), -len(s)))
-            before, _, text = text.partition(first)
-            n += self._plain(before) + 1
+        if not self.enc.specials:
+            return self._plain(text)
+        parts = self.special.split(text)
+        return sum(map(self._plain, parts)) + len(parts) - 1
 
     def _plain(self, text: str) -> int:
         if not text:

@@ -78,3 +78,19 @@ def test_token_count_query_on_a_table(spark):
     tok = tokenizer(tokenizer_path("byte_bpe_50k.json"))
     want = {r.doc_id: len(tok.encode(r.text or "", add_special_tokens=False).ids) for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
     assert {r.doc_id: r.n_tokens for r in QUERIES["op9_token_counts"](spark, d).collect()} == want
+
+
+def test_many_special_strings_take_linear_time():
+    import time
+
+    from panelkit.llm.common import tokenizer_path
+    from panelkit.llm.encode import UnitEncoder
+    from panelkit.llm.tokencount import TokenCounter
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    counter, special = TokenCounter(path, set()), UnitEncoder(path).specials[0]
+    text = f"word {special} of, {special}{special}x"
+    assert counter.count(text) == len(UnitEncoder(path).tok.encode(text, add_special_tokens=False).ids)
+    start = time.perf_counter()
+    counter.count(f"{special} a" * 100_000)
+    assert time.perf_counter() - start < 10
