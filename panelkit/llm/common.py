@@ -44,9 +44,14 @@ def fresh(df: DataFrame, name: str) -> str:
     return out
 
 
+#: Bytes after which an Arrow batch ends, whatever its rows; a longer text is a batch of its own.
+BATCH_BYTES = 64 << 20
+
+
 def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Rows an Arrow batch may hold at most: bounds a Python worker's memory by rows times the longest texts."""
+    """Rows an Arrow batch may hold at most, and its bytes: together they bound a Python worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def row_digest(df: DataFrame) -> Column:
