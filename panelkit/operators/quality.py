@@ -7,7 +7,7 @@ Unseen categories are a ``left_anti`` join of (column, value) pairs, distinct on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.operators.selection import quantiles
@@ -29,19 +29,24 @@ def iqr_outliers(df: DataFrame, cols: list[str] | None = None, max_cols: int | N
     cols = (cols or numeric_cols(df))[:max_cols]
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, n_outliers bigint")
-    q = {r["column"]: r for r in quantiles(df, cols, [0.25, 0.75]).collect()}  # one row a column
+    wide = df.agg(*[c.alias(f"o{i}") for i, c in enumerate(_outlier_counts(df, cols))])
+    return wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"o{i}").alias("n_outliers"))
+                                          for i, c in enumerate(cols)])))
+
+
+def _outlier_counts(df: DataFrame, cols: list[str]) -> list[Column]:
+    """An aggregate for each column; the quartiles inside are numbers of ``df``."""
+    q = {r["column"]: r for r in quantiles(df, cols, [0.25, 0.75]).collect()} if cols else {}  # one row a column
     counts = []
-    for i, c in enumerate(cols):
+    for c in cols:
         qs = q[c].q if c in q else None
         if qs is None or q[c].n < 4 or qs[1] - qs[0] <= 0:
-            counts.append(F.lit(0).cast("bigint").alias(f"o{i}"))
+            counts.append(F.sum(F.lit(0).cast("bigint")))
             continue
         lo, hi = qs[0] - 1.5 * (qs[1] - qs[0]), qs[1] + 1.5 * (qs[1] - qs[0])
         x = F.col(c).cast("double")
-        counts.append(F.count_if((x < F.lit(lo)) | (x > F.lit(hi))).alias(f"o{i}"))
-    wide = df.agg(*counts)
-    return wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"o{i}").alias("n_outliers"))
-                                          for i, c in enumerate(cols)])))
+        counts.append(F.count_if((x < F.lit(lo)) | (x > F.lit(hi))))
+    return [F.coalesce(c, F.lit(0).cast("bigint")) for c in counts]
 
 
 def unseen_categories(current: DataFrame, train: DataFrame, cols: list[str] | None = None,
@@ -63,18 +68,19 @@ def unseen_categories(current: DataFrame, train: DataFrame, cols: list[str] | No
 def quality_card(current: DataFrame, train: DataFrame, outlier_cols: int | None = None,
                  category_cols: int | None = None) -> DataFrame:
     """Missing percentage over numeric columns, IQR outliers (all numeric columns or the first ``outlier_cols``),
-    new categories (all string columns or the first ``category_cols``), row and numeric-column counts — one row. Each part is a one-row aggregate computed on the
-    executors; only those few numbers are combined."""
+    new categories (all string columns or the first ``category_cols``), row and numeric-column counts — one row. After the quartiles, one aggregate gives all counts of
+    ``current``; the new categories are the other."""
     nums = numeric_cols(current)
+    outliers = sum(_outlier_counts(current, nums[:outlier_cols]), F.lit(0).cast("bigint"))
     nulls = sum((F.count_if(F.col(c).isNull()) for c in nums), F.lit(0))
-    base = current.agg(F.count(F.lit(1)).alias("n_rows"), nulls.alias("nulls")).first()
-    n_out = iqr_outliers(current, nums, outlier_cols).agg(F.sum("n_outliers")).first()[0] or 0
-    n_new = unseen_categories(current, train, max_cols=category_cols).agg(F.sum("n_new")).first()[0] or 0
-    denom = base["n_rows"] * len(nums)
-    pct = float(base["nulls"]) * 100.0 / denom if denom > 0 else 0.0
-    return current.sparkSession.createDataFrame(
-        [(pct, int(n_out), int(n_new), int(base["n_rows"]), len(nums))],
-        "pct_missing double, n_outliers bigint, n_newcats bigint, n_rows bigint, n_numeric_cols int")
+    rows = F.count(F.lit(1))
+    pct = F.when((rows > 0) & F.lit(len(nums) > 0), nulls * 100.0 / (rows * F.lit(max(1, len(nums))))).otherwise(0.0)
+    card = current.agg(pct.alias("pct_missing"), outliers.alias("n_outliers"), rows.alias("n_rows"))
+    new = unseen_categories(current, train, max_cols=category_cols).agg(F.coalesce(F.sum("n_new"), F.lit(0)).alias("n_newcats"))
+    one = F.lit(1).alias("_one")  # the two one-row tables meet on a constant
+    return card.select("*", one).join(new.select("*", one), "_one").select(
+        "pct_missing", F.col("n_outliers").cast("bigint").alias("n_outliers"), F.col("n_newcats").cast("bigint").alias("n_newcats"),
+        F.col("n_rows").cast("bigint").alias("n_rows"), F.lit(len(nums)).alias("n_numeric_cols"))
 
 
 def key_sanity(df: DataFrame, keys: list[str], target: str | None = None) -> DataFrame:

@@ -21,8 +21,9 @@ SQL_STAT = {"mean": "avg({v})", "std": "stddev_samp({v})", "_p25": "quantile_con
 
 
 def _split(spark, sf_dir):
-    """Train / valid pairs. The pair table feeds both sides and several passes, so its lineage is cut once."""
-    panel = B.cust_year(spark, sf_dir)
+    """Train / valid pairs. The panel feeds pairs, periods and the split, the pair table both sides and several passes, so
+    the lineage of each is cut once."""
+    panel = materialize(B.cust_year(spark, sf_dir))
     return P.temporal_split(materialize(P.build_pairs(panel)), panel)
 
 

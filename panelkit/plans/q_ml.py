@@ -29,7 +29,7 @@ RF = {"trees": 60, "depth": 8}
 
 
 def _feature_sets(spark, sf_dir):
-    panel = B.cust_year(spark, sf_dir)
+    panel = materialize(B.cust_year(spark, sf_dir))  # pairs, periods and the split read it
     train, valid = P.temporal_split(materialize(P.build_pairs(panel)), panel)
     tr, va, _ = FE.build_features(train, valid, keys_mode="latest")
     # training iterates over its input many times: cut the feature lineage once (reliable checkpoint)

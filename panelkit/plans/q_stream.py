@@ -85,7 +85,7 @@ def scoring_stream_replay(spark, sf_dir):
     second run must leave the same snapshots and events, every snapshot row must carry its own row's score, and the baseline
     is seeded once."""
     base = scratch_path(spark, f"replay-{uuid.uuid4().hex[:8]}")
-    panel = B.cust_year(spark, sf_dir)
+    panel = materialize(B.cust_year(spark, sf_dir))
     train, valid = P.temporal_split(materialize(P.build_pairs(panel)), panel)
     tr, va, lookup = FE.build_features(train, valid, keys_mode="latest")
     num, cat = FE.feature_columns(tr)
