@@ -129,3 +129,10 @@ def test_recall_on_a_table(spark, table_dir):
     true, found = sum(r[1] for r in want.values()), sum(r[1] for r in got.values())
     assert true > 1000 and 0.99 * true <= found <= true
     assert np.mean([got[i] == want[i] for i in want]) >= 0.99
+
+
+def test_huge_and_tiny_components(spark):
+    rows = [(1, [1e200, 1e200, 0.0], 1), (2, [1e-200, 1e-200, 0.0], 1), (3, [0.0, 0.0, 1e300], 1), (4, [1.0, 1.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.linked_vectors(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (2, 1)}
