@@ -10,10 +10,6 @@ from panelkit.plans.registry import load_all  # noqa: E402
 
 TESTED_ONLY = {
     "S14": "sources/files.save_document/load_document · tests/test_ml_stream.py",
-    "T1": "streaming/scoring.start_scoring (foreachBatch) · tests/test_ml_stream.py",
-    "T6": "streaming/scoring.seed_baseline_event · tests/test_ml_stream.py",
-    "J7": "streaming/scoring.score_batch (rows carried with their score) · tests/test_ml_stream.py",
-    "M11": "operators/ml.save_model/load_model · tests/test_ml_stream.py",
 }
 
 
