@@ -109,7 +109,11 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with each row as often as the mix takes it (not at all, up to three times)."""
+    """``docs`` with each row as often as the mix takes it (not at all, up to three times).
+
+    Null and empty texts have size 0 and stand where their source's smallest do; null sources are one source. Repeated rows
+    are documents of their own, null ids come last among equals, extra columns are carried along. An empty table stays
+    empty. Texts of any length move whole with their row."""
     text = col(text_col).cast("string")
     rows = docs.select(F.struct("*").alias("row"), col(id_col).cast("long").alias("doc_id"), col(source_col).cast("string").alias("source"), word_count(text).alias("size"), _tie(col(id_col), text).alias("tie"))
     mixed = mix(rows, docs.count())

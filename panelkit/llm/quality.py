@@ -153,7 +153,7 @@ def quality_figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``doc_id``, the base figures, ``base_failed``, ``kept`` and ``kept_words`` of every row.
 
     Null and empty texts have no words and fail. Null ids and repeated rows are kept as rows. An empty table gives no
-    rows. Other columns are ignored.
+    rows. Other columns are ignored. Texts of any length are judged whole.
     """
     arrow_rows(docs.sparkSession, 2000)
     names = [f.strip().split(" ")[0] for f in _FIGURES.split(",")]
@@ -163,7 +163,10 @@ def quality_figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def cleaned_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` without rejected rows, and without the failing lines of the others. Where lines went, a long column
-    ``n_chars`` is set to the new length; all other values stay."""
+    ``n_chars`` is set to the new length; all other values stay.
+
+    Null and empty texts are rejected. Null ids, repeated rows and extra columns, clashing names included, are kept as they
+    are; an empty table stays empty. Texts of any length are judged whole, row by row."""
     arrow_rows(docs.sparkSession, 2000)
     j = fresh(docs, "judged")
     judged = docs.withColumn(j, _judged("kept boolean, cleaned string", ["kept", "cleaned"])(col(text_col).cast("string"))).where(F.col(f"{j}.kept"))

@@ -195,7 +195,7 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
 
     Null and word-less texts have fingerprint zero and are linked like any other. Repeated rows each get a row. Null ids
     do not name a component unless it has no other (then null). An empty table gives no rows. Other columns are ignored.
-    Texts are read once; from then on only fingerprints are shuffled.
+    Texts of any length are read whole, once; from then on only fingerprints are shuffled.
     """
     slim = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     prints = written(with_fingerprint(slim, "fp", shingle=shingle).select("doc_id", "fp"), "fingerprints")
@@ -205,7 +205,8 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
 
 def keep_one_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group: the smallest id, nulls last; among rows with one id the smallest digest of
-    the row. Of identical rows one stays."""
+    the row. Of identical rows one stays. Null and word-less texts are one group. Extra columns are kept, whatever their
+    names; an empty table stays empty. Texts of any length are read whole, and shuffled only with the rows that stay."""
     digest = row_digest(docs)
     light = docs.select(col(id_col).cast("long").alias("doc_id"), digest.alias("digest"), col(text_col).alias("text"))
     prints = written(with_fingerprint(light, "fp", shingle=shingle).select("doc_id", "digest", "fp"), "fingerprints")
