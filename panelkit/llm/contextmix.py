@@ -9,8 +9,8 @@ read, in order, and every distinct unit of all texts is evaluated once, in Spark
 
 The model, in the order of its passes:
 
-0. Kinds of text: ``KINDS`` clusters over the ``KIND_WORDS`` most frequent words of a bounded sample (``KIND_SAMPLE``
-   training documents). While a text is read, the running likelihood of its words so far names its kind.
+0. Kinds of text: ``KINDS`` clusters of all training documents over their ``KIND_WORDS`` most frequent words, fitted in
+   Spark. While a text is read, the running likelihood of its words so far names its kind.
 1. Spark counts all units (partial counts in tasks, then a shuffle by unit), apart for training documents, for one
    training fold in sixteen from which the weights are learned, and for held-out documents.
 2. Six predictors with hashed contexts: the kind with the last two and with the last four bytes, the mark with the last
@@ -32,6 +32,7 @@ The model, in the order of its passes:
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -44,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import arrow_rows, binary_batches, col, written
+from panelkit.llm.common import BATCH_BYTES, arrow_rows, binary_batches, col, written
 
 FOLDS, HELD_OUT, MIX_FOLDS = 7, 2, 16
 #: Slots of the shared tables, as powers of two: the kind with the last two and with the last four bytes, the mark with the last two.
@@ -54,8 +55,8 @@ PREDICTORS = SHARED + 3
 #: Weight sets of a place: confidence classes of the two longest contexts.
 SURE = 6
 GATES = SURE * SURE
-#: Kinds of text, words and training documents that they are fitted on.
-KINDS, KIND_WORDS, KIND_SAMPLE = 8, 1500, 2000
+#: Kinds of text, the words that tell them apart, and rounds of their fit.
+KINDS, KIND_WORDS, KIND_ROUNDS = 8, 1500, 15
 #: Bytes of a short word; what the word before can leave: the start, a longer word, and classes of short words.
 SHORT, BEFORE = 3, 30
 ADAPT = 1000.0
@@ -95,34 +96,6 @@ class Kinds:
         self.prior = prior
         self.kinds = len(prior)
 
-    @classmethod
-    def fit(cls, words: list[bytes], counts: np.ndarray, kinds: int, rounds: int = 15) -> Kinds:
-        """Hard clustering of word counts (documents, words), from seeds far apart."""
-        counts = counts[counts.sum(axis=1) > 0]
-        if not len(counts):
-            return cls([], np.zeros((1, 0)), np.zeros(1))
-        rng = np.random.default_rng(0)
-        shape = np.sqrt(counts)
-        shape /= np.linalg.norm(shape, axis=1, keepdims=True)
-        seeds = [int(counts.sum(axis=1).argmax())]
-        near = shape @ shape[seeds[0]]
-        for _ in range(kinds - 1):
-            far = np.maximum(1 - near, 0) ** 2
-            if far.sum() < 1e-9:
-                break
-            seeds.append(int(rng.choice(len(shape), p=far / far.sum())))
-            near = np.maximum(near, shape @ shape[seeds[-1]])
-        label = (shape @ shape[seeds].T).argmax(axis=1)
-        overall = (counts.sum(axis=0) + 0.5) / (counts.sum() + 0.5 * counts.shape[1])
-        for _ in range(rounds):
-            table = np.stack([np.log((counts[label == k].sum(axis=0) + 50 * overall) / (counts[label == k].sum() + 50)) for k in range(len(seeds))])
-            prior = np.log(np.bincount(label, minlength=len(seeds)) + 1.0)
-            moved = (counts @ table.T + prior).argmax(axis=1)
-            if (moved == label).all():
-                break
-            label = moved
-        return cls(words, table, prior)
-
     def along(self, words: list[bytes]) -> list[int]:
         """The kind of each word, and of the end: the likeliest given the words before it."""
         if self.kinds == 1:
@@ -209,28 +182,128 @@ def _count_units(batches: Iterator[pa.RecordBatch], kinds: Kinds) -> Iterator[pa
     yield from flush()
 
 
-def _sample_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts of words."""
+    schema, held, read = pa.schema([("word", pa.binary()), ("n", pa.int64())]), Counter(), 0
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            yield from binary_batches(((doc, w, c) for w, c in Counter(text.lower().split()).items()), schema, 50_000)
+        for text in batch.column(0).to_pylist():
+            held.update(text.lower().split())
+            read += len(text)
+            if len(held) > FLUSH or read > BATCH_BYTES:  # words can be long
+                yield from binary_batches(held.items(), schema, 50_000)
+                held.clear()
+                read = 0
+    yield from binary_batches(held.items(), schema, 50_000)
+
+
+_COUNTED = "size binary, at binary, n binary, draw binary"
+
+
+def _frequent(batches: Iterator[pa.RecordBatch], at: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+    """The counts of frequent words in each text that has any, a row for each batch of texts: how many differ, which, how
+    often, and a number drawn by them."""
+    for batch in batches:
+        size, where, often, draw = [], [], [], []
+        for text in batch.column(0).to_pylist():
+            found = Counter(map(at.get, text.lower().split()))
+            found.pop(None, None)
+            if found:
+                words = sorted(found)
+                counts = [found[w] for w in words]
+                size.append(len(words))
+                where += words
+                often += counts
+                draw.append(int.from_bytes(hashlib.blake2b(repr((words, counts)).encode(), digest_size=8).digest()))
+        if size:
+            yield pa.RecordBatch.from_pydict({"size": [np.array(size, np.int32).tobytes()], "at": [np.array(where, np.int32).tobytes()], "n": [np.array(often, np.int64).tobytes()], "draw": [np.array(draw, np.uint64).tobytes()]})
+
+
+def _matrices(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word counts (document, word) and drawn numbers, a batch of texts at a time."""
+    for batch in batches:
+        for size, at, n, draw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            size = np.frombuffer(size, np.int32)
+            counts = np.zeros((len(size), words))
+            counts[np.repeat(np.arange(len(size)), size), np.frombuffer(at, np.int32)] = np.frombuffer(n, np.int64)
+            yield counts, np.frombuffer(draw, np.uint64)
+
+
+def _shape(counts: np.ndarray) -> np.ndarray:
+    shape = np.sqrt(counts)
+    return shape / np.linalg.norm(shape, axis=1, keepdims=True)
+
+
+_SEED = "rank double, draw binary, counts binary, far double"
+
+
+def _seed(batches: Iterator[pa.RecordBatch], words: int, seeds: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """This task's candidate for the next seed, and how far its texts are from the ``seeds``: the text with the most
+    frequent words at first, then one drawn in proportion to its squared distance."""
+    best, total = None, 0.0
+    for counts, draw in _matrices(batches, words):
+        if len(seeds):
+            far = np.maximum(1 - (_shape(counts) @ seeds.T).max(axis=1), 0) ** 2
+            chance = ((_stir(draw + _U(len(seeds)) * _K1) >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53
+            rank = np.log(chance) / np.maximum(far, 1e-30)
+            total += float(far.sum())
+        else:
+            rank = counts.sum(axis=1)
+            total += float(len(counts))
+        at = np.lexsort((draw, rank))[-1]
+        if best is None or (rank[at], draw[at]) > best[:2]:
+            best = rank[at], draw[at], counts[at]
+    if best is not None:
+        yield pa.RecordBatch.from_pydict({"rank": [float(best[0])], "draw": [int(best[1]).to_bytes(8)], "counts": [_squeezed(best[2])], "far": [total]})
+
+
+def _tally(batches: Iterator[pa.RecordBatch], words: int, table: np.ndarray, prior: np.ndarray, shaped: bool) -> Iterator[pa.RecordBatch]:
+    """Texts and word counts of each kind, a cell each, when every text goes to the kind it fits best."""
+    kinds = len(prior)
+    sums = np.zeros((kinds, words + 1), np.int64)
+    for counts, _ in _matrices(batches, words):
+        label = ((_shape(counts) if shaped else counts) @ table.T + prior).argmax(axis=1)
+        one = (label == np.arange(kinds)[:, None]).astype(np.float64)
+        sums[:, :words] += (one @ counts).astype(np.int64)
+        sums[:, words] += np.bincount(label, minlength=kinds)
+    cell = np.flatnonzero(sums.ravel())
+    yield pa.RecordBatch.from_pydict({"cell": cell.astype(np.int32), "n": sums.ravel()[cell]})
 
 
 def fit_kinds(training: DataFrame) -> Kinds:
-    """Kinds of text from about ``KIND_SAMPLE`` training documents, drawn by a hash of id and length."""
-    spark = training.sparkSession
-    given = training.where(F.length("data") > 0)
-    every = max(1, given.count() // KIND_SAMPLE)
-    drawn = given.where(F.pmod(F.xxhash64("doc_id", F.length("data")), F.lit(every)) == 0)
-    counts = written(drawn.select(F.xxhash64("doc_id", "data").alias("doc"), "data").mapInArrow(_sample_words, "doc long, word binary, n long"), "kind-words")
-    top = counts.groupBy("word").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "word").limit(KIND_WORDS)
+    """Kinds of text: hard clustering of the word counts of all training documents, from seeds far apart. Every round is a
+    pass over the counts in Spark; what reaches the driver is one candidate a task and the kinds' sums."""
+    given = training.where(F.length("data") > 0).select("data")
+    top = given.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "word").limit(KIND_WORDS)
     words = [bytes(r.word) for r in top.collect()]
-    ranked = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "at int, word binary")
-    cells = counts.join(F.broadcast(ranked), "word").groupBy("doc", "at").agg(F.max("n").alias("n")).toArrow()  # sample by frequent words
-    _, doc = np.unique(cells.column("doc").to_numpy(), return_inverse=True)
-    table = np.zeros((int(doc.max(initial=-1)) + 1, len(words)), np.float32)
-    table[doc, cells.column("at").to_numpy()] = cells.column("n").to_numpy()
-    return Kinds.fit(words, table[: 2 * KIND_SAMPLE], KINDS)
+    if not words:
+        return Kinds([], np.zeros((1, 0)), np.zeros(1))
+    n = len(words)
+    counted = written(given.mapInArrow(partial(_frequent, at={w: i for i, w in enumerate(words)}), _COUNTED), "kind-words")
+    seeds = np.zeros((0, n))
+    while len(seeds) < KINDS:
+        found = counted.mapInArrow(partial(_seed, words=n, seeds=seeds), _SEED).collect()  # a row a task
+        if sum(r.far for r in found) < 1e-9:
+            break
+        best = max(found, key=lambda r: (r["rank"], bytes(r.draw)))
+        seeds = np.vstack([seeds, _shape(_unsqueezed(best.counts)[None, :])])
+
+    def tally(table: np.ndarray, prior: np.ndarray, shaped: bool = False) -> np.ndarray:
+        cells = counted.mapInArrow(partial(_tally, words=n, table=table, prior=prior, shaped=shaped), "cell int, n long")
+        cells = cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # kinds x words at most
+        sums = np.zeros(len(prior) * (n + 1), np.int64)
+        sums[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+        return sums.reshape(len(prior), n + 1)
+
+    sums = tally(seeds, np.zeros(len(seeds)), shaped=True)
+    overall = (sums[:, :n].sum(axis=0) + 0.5) / (sums[:, :n].sum() + 0.5 * n)
+    for _ in range(KIND_ROUNDS):
+        table = np.log((sums[:, :n] + 50 * overall) / (sums[:, :n].sum(axis=1, keepdims=True) + 50))
+        prior = np.log(sums[:, n] + 1.0)
+        moved = tally(table, prior)
+        if (moved == sums).all():
+            break
+        sums = moved
+    return Kinds(words, table, prior)
 
 
 def count_units(docs: DataFrame, kinds: Kinds) -> DataFrame:
@@ -246,16 +319,16 @@ def binned(units: DataFrame) -> DataFrame:
     given = units.where("kind = 0")
     total = given.agg(F.coalesce(F.sum(F.length("unit")), F.lit(0)).alias("b")).first().b
     bins = max(1, -(-total // BIN_BYTES))
-    spark, lead, open_, length = units.sparkSession, F.lit(LEAD), given, LEAD
+    spark, lead, length = units.sparkSession, F.lit(LEAD), LEAD
     while length < CUT:
         key = F.expr(f"substring(unit, 2, {length})")
-        hot = [r.key for r in open_.groupBy(key.alias("key")).agg(F.sum(F.length("unit")).alias("b")).where(F.col("b") > BIN_BYTES).select("key").collect()]
-        hot = [h for h in hot if len(h) == length]  # shorter ones are whole words
+        # shorter units are whole words; a hot lead lies in hot leads only
+        longer = units.where("kind = 0").where(F.length("unit") > length)
+        hot = [r.key for r in longer.groupBy(key.alias("key")).agg(F.sum(F.length("unit")).alias("b")).where(F.col("b") > BIN_BYTES).select("key").collect()]
         if not hot:
             break
         table = F.broadcast(spark.createDataFrame([(h,) for h in hot], "hot binary"))  # at most the units' bytes / BIN_BYTES rows
         given = given.join(table.withColumnRenamed("hot", f"hot{length}"), key == F.col(f"hot{length}"), "left")
-        open_ = open_.join(table, key == F.col("hot"), "left_semi")
         lead = F.when(F.col(f"hot{length}").isNotNull(), F.lit(2 * length)).otherwise(lead)
         length *= 2
     dealt = given.withColumn("lead", lead.cast("int"))

@@ -191,3 +191,28 @@ def test_weights_see_whole_counts():
     names = sorted(units)
     learned = [binned(model, units, names).learn(np.array([times if i == 0 else 1 for i in range(len(names))]))[0] for times in (50, 5000)]
     assert np.isfinite(learned).all() and not np.allclose(*learned)
+
+
+def kinds_input(spark, n, parts):
+    topics = [b"alpha beta gamma", b"uno dos tres", b"eins zwei drei"]
+    rows = [(i, bytearray(topics[i % 3] + b" common" * (1 + i % 4) if i % 100 else b" ")) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, data binary").repartition(parts)
+
+
+def test_kinds_come_from_all_training_documents(spark):
+    n = 4100  # twice what a sample would hold
+    kinds = cm.fit_kinds(kinds_input(spark, n, 3))
+    assert round(float((np.exp(kinds.prior) - 1).sum())) == n - len(range(0, n, 100))  # every text with a word is in a kind
+    assert set(kinds.at) == set(b"alpha beta gamma uno dos tres eins zwei drei common".split())
+    last = {topic.split()[0]: kinds.along(topic.split() * 3)[-1] for topic in (b"alpha beta gamma", b"uno dos tres", b"eins zwei drei")}
+    assert len(set(last.values())) == 3  # the topics are told apart
+
+
+def test_kinds_do_not_depend_on_partitions(spark):
+    one, many = (cm.fit_kinds(kinds_input(spark, 500, parts)) for parts in (1, 7))
+    assert list(one.at) == list(many.at)
+    assert np.allclose(one.table, many.table) and np.allclose(one.prior, many.prior)
+
+
+def test_kinds_of_no_text(spark):
+    assert cm.fit_kinds(spark.createDataFrame([(1, bytearray(b"")), (2, bytearray(b" "))], "doc_id long, data binary")).kinds == 1
