@@ -13,7 +13,7 @@ from panelkit.operators import ml as ML
 from panelkit.operators import pairs as P
 from panelkit.plans import bindings as B
 from panelkit.plans.registry import query
-from panelkit.session import materialize, scratch_path
+from panelkit.session import materialize, scratch_path, spread
 from panelkit.streaming.monitoring import start_daily_histogram_table, trailing_psi
 from panelkit.streaming.scoring import seed_baseline_event, start_scoring
 
@@ -89,7 +89,8 @@ def scoring_stream_replay(spark, sf_dir):
     train, valid = P.temporal_split(materialize(P.build_pairs(panel)), panel)
     tr, va, lookup = FE.build_features(train, valid, keys_mode="latest")
     num, cat = FE.feature_columns(tr)
-    model = ML.fit(ML.lr_estimator(num, cat), tr, num, cat)
+    tr = materialize(spread(tr, lookup.rows))
+    model = ML.fit(ML.lr_estimator(num, cat), tr, num, cat, checkpoint=False)
     requests = valid.select(*REQUEST_COLS)
     requests.write.json(f"{base}/requests")
     baseline = materialize(ML.score(model, tr, num, cat, keep=["fase"]).select((F.col("score") / 100.0).alias("score"), "fase"))

@@ -19,7 +19,7 @@ from panelkit.operators import ml as ML
 from panelkit.operators.boosting import fit_boosted
 from panelkit.operators import pairs as P
 from panelkit.schema import DEFAULT, PanelSchema
-from panelkit.session import materialize
+from panelkit.session import materialize, spread
 from panelkit.sources import files as S
 
 FRONT = ["ra", "ano_base", "pair_label", "fase", "turma", "target", "score", "prob", "dataset_split"]
@@ -40,7 +40,7 @@ def run_training(panel: DataFrame, out_dir: str, schema: PanelSchema = DEFAULT,
                     os.path.join(out_dir, "model", "cohort_summary"))
 
     tr, va, lookup = FE.build_features(train, valid, schema, keys_mode=keys_mode)
-    tr, va = materialize(tr), materialize(va)
+    tr, va = materialize(spread(tr, lookup.rows)), materialize(spread(va, valid.count()))
     S.save_lookup(lookup, os.path.join(out_dir, "model", "lookup"))
     num, cat = FE.feature_columns(tr, schema)
     params, info = dict(model_params or {}), {}

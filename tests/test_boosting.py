@@ -12,8 +12,10 @@ from panelkit.operators import pairs as P
 from panelkit.operators.boosting import best_round, fit_boosted, prefix_margins
 from panelkit.operators.forest import Forest, first_trees, forest_of, saved
 from panelkit.operators.ranking import running_pairs
+from panelkit import session
 from panelkit.plans import bindings as B
-from panelkit.session import materialize
+from panelkit.plans import q_ml
+from panelkit.session import materialize, spread
 
 SF = "/root/testdata/sf0.001"
 
@@ -154,3 +156,18 @@ def test_ordinal_forest(sets):
     codes = [f"{c}__code" for c in cat]
     model = ML.fit(ML.rf_estimator(num + codes, [], trees=3, depth=3), ML.ordinal_codes(tr, cat, tr), num + codes, [])
     assert ML.score(model, ML.ordinal_codes(va, cat, tr), num + codes, [], keep=["ra"]).count() == va.count()
+
+
+def test_training_rows_are_spread_by_their_size(spark, monkeypatch):
+    """The share of a task is a number of bytes, not the rows over a fixed number of partitions."""
+    few = materialize(spark.range(1000).select(*[F.col("id").alias(f"c{i}") for i in range(10)]).coalesce(1))
+    assert spread(few, 1000).rdd.getNumPartitions() == 1  # small tables stay as they are
+    whole = q_ml._feature_sets(spark, SF)[:2]
+    monkeypatch.setattr(session, "TASK_BYTES", 1 << 13)
+    dealt = q_ml._feature_sets(spark, SF)[:2]
+    for a, b in zip(whole, dealt, strict=True):
+        rows = b.rdd.glom().map(len).collect()
+        assert max(rows) * 16 * len(b.columns) <= 2 * (1 << 13)
+        assert len(rows) > a.rdd.getNumPartitions()
+        a, b = (df.select("ra", "ano_base", "fase", "target") for df in (a, b))  # means differ in their last digits by the order of rows
+        assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0
