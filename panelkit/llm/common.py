@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import os
 import uuid
 from collections.abc import Iterable, Iterator
@@ -54,6 +55,14 @@ def arrow_rows(spark: SparkSession, rows: int) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Return freed memory to the system. A Python worker serves one stage after the other, and what Arrow's and the C
+    library's allocators keep from the largest would stay with it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def row_digest(df: DataFrame) -> Column:
     """64-bit digest over all columns of a row, taken together with the id as the identity of a row."""
     return F.xxhash64(*[F.to_json(F.struct(col(c))) if t.startswith(("map", "variant")) else col(c) for c, t in df.dtypes])

@@ -38,14 +38,14 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import BATCH_BYTES, arrow_rows, binary_batches, col, written
+from panelkit.llm.common import BATCH_BYTES, arrow_rows, binary_batches, col, give_back, written
 
 FOLDS, HELD_OUT, MIX_FOLDS = 7, 2, 16
 #: Slots of the shared tables, as powers of two: the kind with the last two and with the last four bytes, the mark with the last two.
@@ -64,8 +64,8 @@ ADAPT = 1000.0
 HEAD = 200_000
 #: Bytes of a word after which it goes on as a unit of its own.
 CUT = 4096
-#: Entries of a task's counters.
-FLUSH = 100_000
+#: Entries of a task's counters, and bytes of texts that are read at once (a longer text by itself).
+FLUSH, TEXT_BYTES = 150_000, 2 << 20
 #: Bytes of distinct units in a bin, about, and of a lead before it is split; bytes of the shortest lead.
 BIN_BYTES, LEAD = 1 << 18, 3
 #: Tasks that fill shared tables, and rows of summed weights, at most.
@@ -77,6 +77,8 @@ _BLOCK = 1 << 15
 _FULL = (1 << 32) - 1
 _BLOCKS = "predictor int, block int, data binary"
 _BATCH_BYTES = 1 << 18
+#: Places that kinds are named for at once, and steps of a likelihood's unit: whole numbers add up alike in any order.
+_PLACES, _FINE = 1 << 18, 1 << 30
 _REACH = 8.0
 _KNOTS = 33
 _RATE = 0.02
@@ -92,22 +94,44 @@ class Kinds:
 
     def __init__(self, words: list[bytes], likelihood: np.ndarray, prior: np.ndarray):
         self.at = {w: i for i, w in enumerate(words)}
+        self.words = pa.array(words, pa.binary())
         self.table = np.vstack([likelihood.T, np.zeros((1, len(prior)))])  # the last row: words without a say
         self.prior = prior
         self.kinds = len(prior)
+        self.steps = np.ascontiguousarray(np.rint(self.table.T * _FINE).astype(np.int64))
+        self.start = np.rint(prior * _FINE).astype(np.int64)
 
     def along(self, words: list[bytes]) -> list[int]:
         """The kind of each word, and of the end: the likeliest given the words before it."""
+        at = np.fromiter((self.at.get(w, -1) for w in words), np.int64, len(words))
+        return self.named(np.append(at, -1), np.zeros(len(words) + 1, np.int64)).tolist()
+
+    def named(self, at: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """The kind at each place of texts in order, whose words are ``at`` these rows of the table."""
+        out = np.zeros(len(at), np.int64)
         if self.kinds == 1:
-            return [0] * (len(words) + 1)
-        out, so_far = [], self.prior
-        for i in range(0, max(1, len(words)), 1 << 16):
-            part = words[i : i + (1 << 16)]
-            at = np.fromiter((self.at.get(w, -1) for w in part), np.int64, len(part))
-            run = so_far + np.vstack([np.zeros((1, len(self.prior))), np.cumsum(self.table[at], axis=0)])
-            out += run[:-1].argmax(axis=1).tolist()
-            so_far = run[-1]
-        return [*out, int(so_far.argmax())]
+            return out
+        before = np.zeros(self.kinds, np.int64)  # sums up to a part, and up to the text that it starts in
+        begun = np.zeros(self.kinds, np.int64)
+        for i in range(0, len(at), _PLACES):
+            rows, here = at[i : i + _PLACES], text[i : i + _PLACES]
+            new = np.flatnonzero(np.diff(here, prepend=text[i - 1] if i else -1))  # where a text starts
+            nth = np.cumsum(np.bincount(new, minlength=len(here)))  # texts begun in this part
+            best = None
+            for k in range(self.kinds):
+                step = self.steps[k][rows]
+                run = np.cumsum(step)
+                run += before[k] - step
+                base = np.append(begun[k], run[new])
+                before[k], begun[k] = run[-1] + step[-1], base[-1]
+                run += self.start[k] - base[nth]
+                if best is None:
+                    best = run
+                else:
+                    better = run > best
+                    out[i : i + _PLACES][better] = k
+                    np.maximum(best, run, out=best)
+        return out
 
 
 class _Before(dict):
@@ -148,6 +172,93 @@ def text_units(text: bytes | None, kinds: Kinds) -> tuple[list[bytes], list[byte
     return units, cut
 
 
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of texts in lower case, the word at each place, and the words of each text."""
+    if texts.null_count:
+        texts = texts.fill_null(b"")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    found = lists.flatten().view(pa.binary())
+    whole = pc.binary_length(found).to_numpy() > 0  # white space at the ends leaves empty strings
+    ends = np.cumsum(np.append(0, whole))[np.append(0, np.cumsum(lists.value_lengths().to_numpy()))]
+    coded = found.filter(pa.array(whole)).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), np.diff(ends)
+
+
+def _rows_at(words: pa.Array, among: pa.Array) -> np.ndarray:
+    """The place of each word ``among`` others, -1 if it is not there."""
+    return pc.index_in(words, value_set=among).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _lots(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with a bounded number of bytes in its column ``text``."""
+    ends = np.cumsum(pc.binary_length(batch.column(text)).fill_null(0).to_numpy())
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TEXT_BYTES, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+class Places:
+    """The units of texts without a word to cut, place by place: ``text`` and ``unit`` are indices, ``units`` the distinct
+    units, ``sizes`` the places of each text with its end. ``cut`` tells which texts are left out."""
+
+    def __init__(self, texts: pa.Array, kinds: Kinds):
+        words, code, sizes = _words(texts)
+        self.cut = np.zeros(len(texts), bool)
+        length = pc.binary_length(words).to_numpy()
+        if len(length) and length.max() >= CUT:
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            self.cut[text[length[code] >= CUT]] = True
+            code, sizes = code[~self.cut[text]], sizes[~self.cut]
+        end = len(words)
+        self.sizes = sizes + 1
+        self.text = np.repeat(np.arange(len(sizes)), self.sizes)
+        last = np.cumsum(self.sizes) - 1
+        at = np.full(len(self.text), end, np.int64)
+        inside = np.ones(len(at), bool)
+        inside[last] = False
+        at[inside] = code
+        self.n_bytes = np.bincount(self.text, np.append(length + 1, 1)[at], minlength=len(sizes)).astype(np.int64)
+        left = np.full(end + 1, _LONG, np.int64)
+        short = np.flatnonzero(length <= SHORT)
+        left[short] = [_BEFORE[w] for w in words.take(pa.array(short)).to_pylist()]
+        before = np.roll(left[at], 1)
+        before[last + 1 - self.sizes] = _START
+        mark = kinds.named(np.append(_rows_at(words, kinds.words), -1)[at], self.text) * BEFORE + before
+        coded = pa.array(mark * (end + 1) + at).dictionary_encode()
+        self.unit = coded.indices.to_numpy().astype(np.int64)
+        mark, at = np.divmod(coded.dictionary.to_numpy(), end + 1)
+        marks, closing = pa.array([bytes([m]) for m in range(KINDS * BEFORE)], pa.binary()), pa.array([b" ", b"\n"], pa.binary())
+        named = pa.concat_arrays([words, pa.array([b""], pa.binary())]).take(pa.array(at))
+        self.units = pc.binary_join_element_wise(marks.take(pa.array(mark)), named, closing.take(pa.array((at == end).astype(np.int64))), pa.scalar(b"", pa.binary()))
+
+
+class Tally:
+    """A task's sums for keys; tables of keys and numbers are added up and handed on when they grow large."""
+
+    def __init__(self, keys: list[str], sums: list[str]):
+        self.keys, self.sums, self.held, self.rows, self.size = keys, sums, [], 0, 0
+
+    def add(self, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        self.held.append(rows)
+        self.rows, self.size = self.rows + len(rows), self.size + rows.nbytes
+        if self.rows > 2 * FLUSH or self.size > BATCH_BYTES:
+            together = self.together()
+            if len(together) > FLUSH or together.nbytes > BATCH_BYTES // 2:
+                yield from together.to_batches(50_000)
+                together = together.slice(0, 0)
+            self.held, self.rows, self.size = [together], len(together), together.nbytes
+
+    def together(self) -> pa.Table:
+        got = pa.concat_tables(self.held).group_by(self.keys, use_threads=False).aggregate([(c, "sum") for c in self.sums])
+        return got.select([*self.keys, *(f"{c}_sum" for c in self.sums)]).rename_columns([*self.keys, *self.sums])
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            yield from self.together().to_batches(50_000)
+
+
 def _is_token(unit: bytes) -> bool:
     """Whether a unit is a whole word or the end, not a part of a cut word."""
     return unit[-1:] in b" \n"
@@ -165,57 +276,54 @@ _UNIT_ROWS = pa.schema([("kind", pa.int32()), ("unit", pa.binary()), ("n", pa.in
 def _count_units(batches: Iterator[pa.RecordBatch], kinds: Kinds) -> Iterator[pa.RecordBatch]:
     """Partial counts of units (kind 0) and cut words (kind 1): n in documents for the tables, m in the mixing fold, h in
     held-out documents."""
-    held = {(k, part): Counter() for k in (0, 1) for part in range(3)}
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        for (k, part), counter in held.items():
-            yield from binary_batches(((k, u, *(c if i == part else 0 for i in range(3))) for u, c in counter.items()), _UNIT_ROWS, 50_000)
-            counter.clear()
-
+    held = Tally(["kind", "unit"], ["n", "m", "h"])
     for batch in batches:
-        for part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            units, cut = text_units(text, kinds)
-            held[0, part].update(units)
-            held[1, part].update(cut)
-            if len(held[0, part]) > FLUSH or len(cut) and len(held[1, part]) > FLUSH // 100:
-                yield from flush()
-    yield from flush()
+        for lot in _lots(batch, 1):
+            part, places = lot.column(0).to_numpy(), Places(lot.column(1), kinds)
+            counts = np.bincount(3 * places.unit + part[~places.cut][places.text], minlength=3 * len(places.units)).reshape(-1, 3)
+            yield from held.add(pa.table([pa.array(np.zeros(len(counts), np.int32)), places.units, *map(pa.array, np.ascontiguousarray(counts.T))], schema=_UNIT_ROWS))
+            for i in np.flatnonzero(places.cut).tolist():
+                units, cut = text_units(lot.column(1)[i].as_py(), kinds)
+                rows = [(k, u, *(c if j == part[i] else 0 for j in range(3))) for k, found in enumerate((units, cut)) for u, c in Counter(found).items()]
+                for some in binary_batches(rows, _UNIT_ROWS, 50_000):
+                    yield from held.add(pa.Table.from_batches([some]))
+    yield from held.rest()
+    del held
+    give_back()
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of words."""
-    schema, held, read = pa.schema([("word", pa.binary()), ("n", pa.int64())]), Counter(), 0
+    held = Tally(["word"], ["n"])
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            held.update(text.lower().split())
-            read += len(text)
-            if len(held) > FLUSH or read > BATCH_BYTES:  # words can be long
-                yield from binary_batches(held.items(), schema, 50_000)
-                held.clear()
-                read = 0
-    yield from binary_batches(held.items(), schema, 50_000)
+        for lot in _lots(batch, 0):
+            words, code, _ = _words(lot.column(0))
+            yield from held.add(pa.table({"word": words, "n": pa.array(np.bincount(code, minlength=len(words)), pa.int64())}))
+    yield from held.rest()
+    del held
+    give_back()
 
 
 _COUNTED = "size binary, at binary, n binary, draw binary"
 
 
-def _frequent(batches: Iterator[pa.RecordBatch], at: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-    """The counts of frequent words in each text that has any, a row for each batch of texts: how many differ, which, how
+def _frequent(batches: Iterator[pa.RecordBatch], frequent: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """The counts of frequent words in each text that has any, a row for each lot of texts: how many differ, which, how
     often, and a number drawn by them."""
+    among = pa.array(frequent, pa.binary())
     for batch in batches:
-        size, where, often, draw = [], [], [], []
-        for text in batch.column(0).to_pylist():
-            found = Counter(map(at.get, text.lower().split()))
-            found.pop(None, None)
-            if found:
-                words = sorted(found)
-                counts = [found[w] for w in words]
-                size.append(len(words))
-                where += words
-                often += counts
-                draw.append(int.from_bytes(hashlib.blake2b(repr((words, counts)).encode(), digest_size=8).digest()))
-        if size:
-            yield pa.RecordBatch.from_pydict({"size": [np.array(size, np.int32).tobytes()], "at": [np.array(where, np.int32).tobytes()], "n": [np.array(often, np.int64).tobytes()], "draw": [np.array(draw, np.uint64).tobytes()]})
+        for lot in _lots(batch, 0):
+            words, code, sizes = _words(lot.column(0))
+            at = _rows_at(words, among)[code]
+            pair, often = np.unique(np.repeat(np.arange(len(sizes)), sizes)[at >= 0] * len(frequent) + at[at >= 0], return_counts=True)
+            size = np.bincount(pair // len(frequent), minlength=len(sizes))
+            size, where = size[size > 0], pair % len(frequent)
+            if not len(size):
+                continue
+            ends, names, counts = np.cumsum(size).tolist(), where.tolist(), often.tolist()
+            draw = [hashlib.blake2b(repr((names[a:z], counts[a:z])).encode(), digest_size=8).digest() for a, z in zip([0, *ends], ends, strict=False)]
+            yield pa.RecordBatch.from_pydict({"size": [size.astype(np.int32).tobytes()], "at": [where.astype(np.int32).tobytes()], "n": [often.astype(np.int64).tobytes()], "draw": [np.array([int.from_bytes(d) for d in draw], np.uint64).tobytes()]})
+    give_back()
 
 
 def _matrices(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -278,7 +386,7 @@ def fit_kinds(training: DataFrame) -> Kinds:
     if not words:
         return Kinds([], np.zeros((1, 0)), np.zeros(1))
     n = len(words)
-    counted = written(given.mapInArrow(partial(_frequent, at={w: i for i, w in enumerate(words)}), _COUNTED), "kind-words")
+    counted = written(given.mapInArrow(partial(_frequent, frequent=words), _COUNTED), "kind-words")
     seeds = np.zeros((0, n))
     while len(seeds) < KINDS:
         found = counted.mapInArrow(partial(_seed, words=n, seeds=seeds), _SEED).collect()  # a row a task
@@ -340,30 +448,54 @@ def binned(units: DataFrame) -> DataFrame:
 # ---- contexts and shared tables ------------------------------------------------------------------------------------
 
 
-def contexts(units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """For every predicted byte of the units: the unit's index, the bytes of the word before it, the byte, and the hash
-    of each predictor's context."""
+def contexts(units: list[bytes], chosen: np.ndarray | None = None, predictors: int = PREDICTORS) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """For every predicted byte of the units (or every ``chosen`` one): the unit's index, the bytes of the word before it,
+    the byte, and the hash of each of the first ``predictors`` predictors' contexts."""
     sizes = np.array([len(u) for u in units], np.int64)
     flat = np.frombuffer(b"".join(units), np.uint8)
     row = np.repeat(np.arange(len(units)), sizes)
     begin = np.cumsum(sizes) - sizes
     at = np.arange(len(flat)) - begin[row]
     wide = flat.astype(_U) + _U(1)
-    power = np.cumprod(np.full(int(sizes.max()), _K1 | _U(1)))  # wraps around
-    term = wide * power[at]
-    sums = np.cumsum(term) - term  # terms before each byte
-    inner = sums - sums[begin][row] - np.where(at > 0, term[begin][row], _U(0))  # without the mark
-    pick = np.flatnonzero(at > 0)
-    mark, length = term[begin][row][pick] * _K3, at[pick].astype(_U) * _K2
-    kind = (flat[begin][row][pick] // BEFORE).astype(_U) * (_K1 ^ _K3)
-    value, last = np.zeros(len(flat), _U), []
+    pick = np.flatnonzero(at > 0 if chosen is None else chosen)
+    row, at = row[pick], at[pick]
+    first = begin[row]
+    mark, length = wide[first] * (_K1 | _U(1)) * _K3, at.astype(_U) * _K2
+    kind = (flat[first] // BEFORE).astype(_U) * (_K1 ^ _K3)
+    value, last = np.zeros(len(pick), _U), []
     for k in range(4):
-        back = np.zeros(len(flat), _U)
-        back[k + 1 :] = wide[: max(0, len(flat) - k - 1)]
-        value = value + np.where(at > k + 1, back, _U(0)) * (_K2 ** _U(k + 1) | _U(1))
-        last.append(value[pick])
-    out = [last[1] + kind, last[3] + kind, last[1] + mark, inner[pick] + length, inner[pick] + kind + length, inner[pick] + mark + length]
-    return row[pick], at[pick] - 1, flat[pick], [_stir(v + _U(k + 1) * _K3) for k, v in enumerate(out)]
+        back = wide[np.maximum(pick - k - 1, 0)] * (_K2 ** _U(k + 1) | _U(1))
+        value = value + np.where(at > k + 1, back, _U(0))
+        last.append(value)
+    out = [last[1] + kind, last[3] + kind, last[1] + mark]
+    if predictors > SHARED:
+        power = np.cumprod(np.full(int(sizes.max()), _K1 | _U(1)))  # wraps around
+        term = wide * power[np.arange(len(flat)) - np.repeat(begin, sizes)]
+        sums = np.cumsum(term) - term  # terms before each byte
+        inner = sums[pick] - sums[first] - term[first]  # without the mark
+        out += [inner + length, inner + kind + length, inner + mark + length]
+    return row, at - 1, flat[pick], [_stir(v + _U(k + 1) * _K3) for k, v in enumerate(out)]
+
+
+def shared_bytes(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes that units in ascending order share: which bytes behind the marks are the first with all that is before them
+    the same, and for every such byte of every unit its number among those first ones."""
+    sizes = np.array([len(u) for u in units], np.int64)
+    flat = np.frombuffer(b"".join(units), np.uint8)
+    begin = np.cumsum(sizes) - sizes
+    row = np.repeat(np.arange(len(units)), sizes)
+    at = np.arange(len(flat)) - begin[row]
+    above = np.where((row > 0) & (at < sizes[row - 1]), begin[row - 1] + at, -1)
+    differs = (above < 0) | (flat != flat[above])
+    common = np.minimum.reduceat(np.where(differs, at, sizes[row]), begin)
+    new = (at >= common[row]) & (at > 0)
+    order = np.argsort(at.astype(np.uint16), kind="stable")  # by place, then in the units' order
+    order = order[len(units) :]  # without the marks
+    number = np.cumsum(new) - 1
+    nearest = np.maximum.accumulate(np.where(new[order], np.arange(len(order)), 0))
+    of = np.zeros(len(flat), np.int64)
+    of[order] = number[order[nearest]]
+    return new, of[at > 0]
 
 
 def _stir(x: np.ndarray) -> np.ndarray:
@@ -412,7 +544,7 @@ def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         units, counts = batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(np.int64)
         for part in _batched(units):
-            row, _, byte, ctx = contexts(units[part])
+            row, _, byte, ctx = contexts(units[part], predictors=SHARED)
             left = counts[part].copy()
             most = _FULL // len(row)
             while left.any():
@@ -429,6 +561,8 @@ def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for k, bits in enumerate(SHARED_BITS):
                         np.add.at(tables[k], 2 * _slots(bits, ctx[k], node) + bit, weight)
     yield from flush()
+    tables.clear()
+    give_back()
 
 
 def _total(table: pa.Table) -> np.ndarray:
@@ -483,34 +617,47 @@ class Model:
 
 
 class Bin:
-    """The units of a bin, their counts for its tables, and the model of the shared tables."""
+    """The units of a bin, their counts for its tables, and the model of the shared tables. What units have in common up to
+    a byte is worked out once: of their bytes only the ``nodes`` with a past of their own are kept."""
 
     def __init__(self, model: Model, units: list[bytes], lead: np.ndarray, counts: np.ndarray):
         self.model, self.units = model, units
-        self.row, before, byte, self.ctx = contexts(units)
+        order = np.array(sorted(range(len(units)), key=units.__getitem__), np.int64)
+        given = [units[i] for i in order.tolist()]
+        new, of = shared_bytes(given)
+        sizes = np.array([len(u) - 1 for u in given], np.int64)
+        weight = np.bincount(of, np.repeat(counts[order], sizes).astype(np.float64))
+        row, before, byte, self.ctx = contexts(given, new)
         self.byte = byte.astype(np.int64)
-        self.deep = before >= lead[self.row]  # beyond the lead the bin holds all units of a context
-        self.weight = counts[self.row].astype(np.float64)
-        self.bits = max(4, math.ceil(math.log2(2 * max(1, len(byte)))))
+        self.deep = before >= lead[order][row]  # beyond the lead the bin holds all units of a context
+        self.weight = weight
+        self.bits = max(4, math.ceil(math.log2(2 * max(1, len(of)))))
+        # the units' bytes, in the units' own order
+        begin, place = np.cumsum(sizes) - sizes, np.argsort(order)
+        own = sizes[place]
+        self.row = np.repeat(np.arange(len(units)), own)
+        self.node = of[np.arange(len(of)) - np.repeat(np.cumsum(own) - own - begin[place], own)]
 
     def planes(self, pick: np.ndarray | slice = slice(None)) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each place in the byte: the place and, for picked bytes, partial byte, bit, gate and stretched predictions
+        """For each place in the byte: the place and, for picked nodes, partial byte, bit, gate and stretched predictions
         (with a constant). Each place has tables of its own, with two slots for each byte of the bin."""
-        counting = self.deep & (self.weight > 0)
+        counting = np.flatnonzero(self.deep & (self.weight > 0))
         deep = np.flatnonzero(self.deep[pick])
+        weight, counted, asked = self.weight[counting], [c[counting] for c in self.ctx], [c[pick] for c in self.ctx]
         for b in range(8):
             node, bit = (1 << b) | (self.byte >> (8 - b)), (self.byte >> (7 - b)) & 1
-            some, weight = bit[counting], self.weight[counting]
+            some, counting_node = bit[counting], node[counting]
             at_node = node[pick]
+            deep_node = at_node[deep]
             inputs = np.ones((PREDICTORS + 1, len(at_node)), np.float32)
             for k, bits in enumerate(SHARED_BITS):
-                at = _slots(bits, self.ctx[k][pick], at_node)
+                at = _slots(bits, asked[k], at_node)
                 inputs[k] = self.model.stretch[k][at]
             gate = (SURE + 1) * self.model.sure[at]
             inputs[SHARED], inputs[SHARED + 1], inputs[SHARED + 2] = inputs[1], inputs[1], inputs[2]
             for k in range(SHARED, PREDICTORS):
-                table = np.bincount(2 * _slots(self.bits, self.ctx[k][counting], node[counting]) + some, weight, minlength=2 << self.bits)
-                at = 2 * _slots(self.bits, self.ctx[k][pick][deep], at_node[deep])
+                table = np.bincount(2 * _slots(self.bits, counted[k], counting_node) + some, weight, minlength=2 << self.bits)
+                at = 2 * _slots(self.bits, asked[k][deep], deep_node)
                 inputs[k][deep], sure = _stretched(table[at], table[at + 1])
                 gate[deep] = sure + (SURE * gate[deep] if k > SHARED + 1 else 0)
             yield b, at_node, bit[pick], gate, inputs
@@ -521,25 +668,33 @@ class Bin:
         for b, node, bit, gate, inputs in self.planes():
             p = self.model.probability(node, self.model.mixed(b, gate, inputs))
             total += np.log10(np.where(bit == 1, p, 1 - p))
-        return np.bincount(self.row, total, minlength=len(self.units))
+        return np.bincount(self.row, total[self.node], minlength=len(self.units))
 
     def learn(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Weights after online gradient steps on the units with ``counts``, and zeros and ones seen at every knot of the
         refining map under them. Units weigh by their whole counts; a step is as long as that of as many units of one
         count each, however frequent some are."""
-        own, model = self.model.weights.copy(), self.model
+        own = self.model.weights.copy()
         pick = np.flatnonzero(counts[self.row] > 0)
         weight = counts[self.row][pick].astype(np.float64)
+        nodes, of = np.unique(self.node[pick], return_inverse=True)
         seen = np.zeros((2, 256 * _KNOTS))
         step_of = [slice(i, i + 1024) for i in range(0, len(pick), 1024)]
         rounds = min(ROUNDS, max(1, -(-STEPS // max(1, len(step_of)))))
-        for b, node, bit, gate, inputs in self.planes(pick):
-            for s in step_of * rounds:
-                g, x, mass = gate[s], inputs[:, s], weight[s]
-                mixed = np.clip((x * own[b][g].T).sum(axis=0), -_REACH, _REACH)
-                err = (bit[s] - 1 / (1 + np.exp(-mixed))) * mass
-                step = np.stack([np.bincount(g, err * x[k], minlength=GATES) for k in range(PREDICTORS + 1)], axis=1)
-                own[b] += _RATE * step * (np.sqrt(np.bincount(g, minlength=GATES)) / np.maximum(np.bincount(g, mass, minlength=GATES), 1))[:, None]
+        cells = np.arange(PREDICTORS + 1)
+        for b, *planes in self.planes(nodes):
+            node, bit, gate, inputs = (p[..., of] for p in planes)
+            steps = []
+            for s in step_of:
+                g, mass = gate[s].astype(np.int64), weight[s]
+                scale = (np.sqrt(np.bincount(g, minlength=GATES)) / np.maximum(np.bincount(g, mass, minlength=GATES), 1))
+                steps.append((g, (g + GATES * cells[:, None]).ravel(), inputs[:, s].astype(np.float64), bit[s], mass, scale))
+            now = np.ascontiguousarray(own[b].T)
+            for g, cell, x, one, mass, scale in steps * rounds:
+                mixed = np.minimum(np.maximum((x * now.take(g, axis=1)).sum(axis=0), -_REACH), _REACH)
+                err = (one - 1 / (1 + np.exp(-mixed))) * mass
+                now += _RATE * np.bincount(cell, (err * x).ravel(), minlength=now.size).reshape(now.shape) * scale
+            own[b] = now.T
             low, frac = _knots(np.clip((inputs * own[b][gate].T).sum(axis=0), -_REACH, _REACH))
             for v in (0, 1):
                 w = np.where(bit == v, weight, 0)
@@ -581,6 +736,7 @@ def _of_bin(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.nd
 
 
 def _learn_bin(table: pa.Table, model) -> pa.Table:
+    give_back()
     units, lead, n, m = _of_bin(table)
     weights, seen = Bin(model.value, units, lead, n).learn(m)
     return pa.table({"bin": table.column("bin")[:1], "n": pa.array([int((m > 0).sum())], pa.int64()), "weights": [weights.tobytes()], "seen": [_squeezed(seen.ravel())]})
@@ -598,24 +754,20 @@ def _sum_learned(table: pa.Table) -> pa.Table:
 def _score_bin(table: pa.Table, model) -> pa.Table:
     """Units with their log10 probability, their word's training count (null for parts of cut words), whether they speak
     for their word as its first unit, and how often they stand in all documents."""
-    units, lead, n, m = _of_bin(table)
+    give_back()
+    names = table.column("unit").combine_chunks()
+    lead, n, m, h = (table.column(c).to_numpy() for c in ("lead", "n", "m", "h"))
+    units = names.to_pylist()
     logp = Bin(model.value, units, lead, n + m).score()
-    token = [_is_token(u) for u in units]
-    count: Counter = Counter()
-    for u, t, c in zip(units, token, (n + m).tolist(), strict=True):
-        if t:
-            count[u[1:-1]] += c
-    told: set[bytes] = set()
-    first = []
-    for u, t in zip(units, token, strict=True):
-        first.append(t and count[u[1:-1]] > 0 and u[1:-1] not in told)
-        if t:
-            told.add(u[1:-1])
-    h = dict(zip(table.column("unit").to_pylist(), table.column("h").to_pylist(), strict=True))
-    times = [a + h[u] for a, u in zip((n + m).tolist(), units, strict=True)]
+    token = np.fromiter(map(_is_token, units), bool, len(units))
+    word = pc.binary_slice(names, 1, -1).dictionary_encode().indices.to_numpy()[token]
+    count = np.bincount(word, (n + m)[token], minlength=len(units)).astype(np.int64)
+    c, first = np.zeros(len(units), np.int64), np.zeros(len(units), bool)
+    c[token] = count[word]
+    first[np.flatnonzero(token)[np.unique(word, return_index=True)[1]]] = True
     return pa.table({
-        "kind": pa.array([0] * len(units), pa.int32()), "unit": pa.array(units, pa.binary()), "logp": pa.array(logp), "c": pa.array([count[u[1:-1]] if t else None for u, t in zip(units, token, strict=True)], pa.int64()),
-        "first": pa.array(first, pa.bool_()), "times": pa.array(times, pa.int64()),
+        "kind": pa.array(np.zeros(len(units), np.int32)), "unit": names, "logp": pa.array(logp), "c": pa.array(c, mask=~token), "first": pa.array(first & (c > 0)),
+        "times": pa.array(n + m + h),
     })
 
 
@@ -674,43 +826,75 @@ class Head:
 
     def __init__(self, rows: pa.Table, room: int, kinds: Kinds):
         self.kinds = kinds
-        self.ids = {u: i for i, u in enumerate(rows.column("unit").to_pylist())}
+        self.units = rows.column("unit").combine_chunks()
         c = rows.column("c").to_numpy(zero_copy_only=False).astype(np.float64)
-        self.logp, self.token = rows.column("logp").to_numpy().copy(), ~np.isnan(c)
+        self.logp, token = rows.column("logp").to_numpy().copy(), ~np.isnan(c)
         self.known = c > 0
-        self.base = np.where(self.token, np.log10((np.nan_to_num(c) + 1) / max(1, room)), 0.0)
+        self.base = np.where(token, np.log10((np.nan_to_num(c) + 1) / max(1, room)), 0.0)
+
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+        """Which of the texts have a word to cut, and of the others: bytes read, tokens, tokens of the head with a training
+        count, their base score, the model's score without the other units, and the other units (kind 0) with their number."""
+        p = Places(texts, self.kinds)
+        return p.cut, self.figures(p.text, p.unit, p.units, p.sizes, p.n_bytes, p.sizes)
 
-    def read(self, text: bytes | None) -> tuple[int, int, int, float, float, Counter]:
-        """Bytes read, tokens, tokens of the head with a training count, their base score, the model's score without the
-        other units, and the other units (kind 0) and cut words (kind 1)."""
+    def read_cut(self, text: bytes) -> list[pa.Array]:
+        """The same figures of a text with words to cut; they are the units of kind 1."""
         units, cut = text_units(text, self.kinds)
-        at = np.fromiter(map(self.ids.get, units, repeat(-1)), np.int64, len(units))
-        rare = np.flatnonzero(at < 0).tolist()
-        others = Counter((0, units[i]) for i in rare)
-        others.update((1, w) for w in cut)
-        at = at[at >= 0]
-        logp = (repeats(at, self.logp[at]) if len(at) else 0.0) - places(len(units))
-        tokens = sum(map(_is_token, units)) + len(cut) if cut else len(units)
-        return sum(map(len, units)) - len(units), tokens, int(self.known[at].sum()), float(self.base[at].sum()), logp, others
+        coded = pa.array(units, pa.binary()).dictionary_encode()
+        tokens = np.array([sum(map(_is_token, units)) + len(cut)])
+        size = np.array([len(units)])
+        return self.figures(np.zeros(len(units), np.int64), coded.indices.to_numpy().astype(np.int64), coded.dictionary, size, np.array([sum(map(len, units))]) - size, tokens, Counter(cut))
+
+    def figures(self, text: np.ndarray, unit: np.ndarray, units: pa.Array, sizes: np.ndarray, n_bytes: np.ndarray, tokens: np.ndarray, cut: Counter | None = None) -> list[pa.Array]:
+        n, distinct = len(sizes), max(1, len(units))
+        found = pa.array(text * distinct + unit).value_counts()  # in the order of the texts
+        text, unit = np.divmod(found.field("values").to_numpy(), distinct)
+        often = found.field("counts").to_numpy()
+        at = _rows_at(units, self.units)[unit]
+        here = at >= 0
+        of, times, at = text[here], often[here], at[here]
+        known = np.bincount(of, times * self.known[at], minlength=n).astype(np.int64)
+        base = np.bincount(of, times * self.base[at], minlength=n)
+        logp = np.bincount(of, repeated(self.logp[at], times), minlength=n) - np.array([places(k) for k in sizes.tolist()])
+        rest, names, counts = text[~here], units.take(pa.array(unit[~here])), often[~here]
+        kind = np.zeros(len(rest), np.int32)
+        if cut:  # a single text
+            rest, kind = np.append(rest, [0] * len(cut)), np.append(kind, [1] * len(cut)).astype(np.int32)
+            names, counts = pa.concat_arrays([names, pa.array(list(cut), pa.binary())]), np.append(counts, list(cut.values()))
+        offsets = np.append(0, np.cumsum(np.bincount(rest, minlength=n)))
+        others = pa.StructArray.from_arrays([pa.array(kind), names, pa.array(counts, pa.int64())], ["kind", "unit", "in_text"])
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        return [*map(pa.array, (n_bytes, tokens, known, base.astype(np.float64), logp), kinds), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), others)]
+
+
+def repeated(logp: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """For units with these probabilities that stand so often in a text: the sum of log10(r + A p) over r from 0."""
+    p = logp + math.log10(ADAPT)
+    many = np.flatnonzero(times > 1)
+    more = times[many] - 1
+    r = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more) + 1
+    unit = np.repeat(np.arange(len(many)), more)
+    out = p.copy()
+    out[many] += np.bincount(unit, np.log10(r + 10.0 ** p[many][unit]), minlength=len(many))
+    return out
 
 
 def _score(batches: Iterator[pa.RecordBatch], head) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    task, nth = TaskContext.get().partitionId(), 0
+    task, nth = TaskContext.get().partitionId() << 40, 0
     head = head.value
-    other = pa.list_(pa.struct([("kind", pa.int32()), ("unit", pa.binary()), ("in_text", pa.int64())]))
     names = ["row", "doc_id", "held_out", "n_bytes", "n_tokens", "known", "base", "score", "others"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), other]
     for batch in batches:
-        rows = []
-        for text in batch.column(2).to_pylist():
-            *figures, others = head.read(text)
-            rows.append(((task << 40) + nth, *figures, [{"kind": k, "unit": u, "in_text": c} for (k, u), c in others.items()]))
-            nth += 1
-        if rows:
-            row, *rest = (pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True))
-            yield pa.RecordBatch.from_arrays([row, batch.column(0), batch.column(1), *rest], names=names)
+        for lot in _lots(batch, 2):
+            cut, figures = head.read(lot.column(2))
+            some = [(lot.filter(pa.array(~cut)), figures), *((lot.slice(i, 1), head.read_cut(lot.column(2)[i].as_py())) for i in np.flatnonzero(cut).tolist())]
+            for rows, found in some:
+                if rows.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(task + nth, task + nth + rows.num_rows)), rows.column(0), rows.column(1), *found], names=names)
+                    nth += rows.num_rows
+    give_back()
 
 
 def head_of(units: DataFrame, most: int, room: int, kinds: Kinds) -> Head:

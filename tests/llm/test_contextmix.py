@@ -216,3 +216,56 @@ def test_kinds_do_not_depend_on_partitions(spark):
 
 def test_kinds_of_no_text(spark):
     assert cm.fit_kinds(spark.createDataFrame([(1, bytearray(b"")), (2, bytearray(b" "))], "doc_id long, data binary")).kinds == 1
+
+
+def test_places_are_the_units_of_the_texts():
+    kinds = cm.Kinds([b"the", b"la"], np.log(np.array([[0.9, 0.1], [0.2, 0.8]])), np.log(np.array([3.0, 2.0])))
+    given = [None, b"", b" \t ", b" The la la ", "É la\x0bà the\x1cx\x85y".encode(), b"a\xff\xfe b", b"x" * cm.CUT + b" la", b"la " * 50 + b"the " * 300 + b"end", b"w" * (cm.CUT - 1)]
+    places = cm.Places(pa.array([b"off", *given], pa.binary()).slice(1), kinds)
+    assert places.cut.tolist() == [len(t or b"") > cm.CUT and b" " in t and t[:1] == b"x" for t in given]
+    left = [t for t, cut in zip(given, places.cut, strict=True) if not cut]
+    names = places.units.to_pylist()
+    got = [[names[u] for u in places.unit[places.text == i]] for i in range(len(left))]
+    assert got == [cm.text_units(t, kinds)[0] for t in left]
+    assert places.n_bytes.tolist() == [sum(len(u) - 1 for u in units) for units in got]
+
+
+def test_kinds_named_in_parts(monkeypatch):
+    rng = np.random.default_rng(5)
+    kinds = cm.Kinds([b"%d" % i for i in range(20)], np.log(rng.dirichlet(np.ones(20), 4)), np.log(rng.random(4)))
+    at, text = rng.integers(-1, 20, 500), np.sort(rng.permutation(np.r_[np.arange(40), rng.integers(0, 40, 460)]))
+    whole = kinds.named(at, text)
+    assert len(set(whole.tolist())) > 1
+    for part in (1, 7, 64):
+        monkeypatch.setattr(cm, "_PLACES", part)
+        assert (kinds.named(at, text) == whole).all()
+
+
+def test_a_bin_keeps_common_bytes_once():
+    """Memory and work of a bin go by the distinct beginnings of its units, not by all their bytes."""
+    model, units = small_model()
+    names = [mark + b"prefixes" * 20 + b"%03d " % i for mark in (b"\x01", b"\x02") for i in range(200)]
+    bin_ = cm.Bin(model, names, np.full(len(names), 3), np.ones(len(names)))
+    beginnings = {u[:i] for u in names for i in range(2, len(u) + 1)}
+    assert len(bin_.byte) == len(beginnings) < sum(map(len, names)) / 20
+    alone = cm.Bin(model, sorted(units), np.full(len(units), 3), np.array([units[u] for u in sorted(units)]))
+    mixed = random.Random(0).sample(sorted(units), len(units))
+    again = cm.Bin(model, mixed, np.full(len(units), 3), np.array([units[u] for u in mixed]))
+    assert dict(zip(sorted(units), alone.score().tolist(), strict=True)) == dict(zip(mixed, again.score().tolist(), strict=True))
+
+
+def test_tally_hands_on_when_full(monkeypatch):
+    monkeypatch.setattr(cm, "FLUSH", 10)
+    tally = cm.Tally(["k"], ["n"])
+    out = [b for i in range(30) for b in tally.add(pa.table({"k": [b"%d" % (i * j % 37) for j in range(9)], "n": [1] * 9}))]
+    assert out and tally.rows <= 20 + 9
+    got, want = Counter(), Counter(b"%d" % (i * j % 37) for i in range(30) for j in range(9))
+    for b in [*out, *tally.rest()]:
+        got.update(dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)))
+    assert got == want
+
+
+def test_repeated_equals_the_run():
+    rng = np.random.default_rng(3)
+    p, times = rng.dirichlet(np.ones(6)), np.array([1, 2, 5, 1, 40, 3])
+    assert cm.repeated(np.log10(p), times).sum() == pytest.approx(cm.repeats(np.repeat(np.arange(6), times), np.repeat(np.log10(p), times)))
