@@ -17,9 +17,11 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from panelkit.llm.common import tokenizer
@@ -30,6 +32,9 @@ BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 #: Units of the memo's younger half; with the elder half at most about 250 MB in a worker.
 MEMO_UNITS = 500_000
 
+#: Bytes of texts whose units are looked up together; a longer text is encoded by itself.
+LOT_BYTES = 8 << 20
+
 _SPACE_THEN_SPACE = re.compile(r" (?:\s|$)|\n(?:\s|$)|[\t\r\x0b\x0c]")
 _CUT = re.compile(r" (?=\S)")
 #: Characters whose classes and case no Unicode version changes and that have one normal form.
@@ -109,7 +114,7 @@ class UnitEncoder:
             out.append(got)
         return b"".join(out)
 
-    def learn(self, units: set[str]) -> None:
+    def learn(self, units: Iterable[str]) -> None:
         """Make the memo hold ``units``; when the younger half is full it becomes the elder half."""
         if len(self.memo) >= self.limit:
             self.memo, self.elder = {}, self.memo
@@ -138,3 +143,40 @@ class UnitEncoder:
                     memo = self.memo
                     out.append(b"".join([memo[u] for u in part]))
             yield out[0] if len(out) == 1 else b"".join(out)
+
+    def lots(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of all texts (null: empty), a lot of texts at a time: one text's after the other's, and how many each has.
+        A unit that stands often in a lot is looked up once."""
+        ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy())
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LOT_BYTES, "right")))
+            lot = texts.slice(at, to - at)
+            at = to
+            if not self.lowers or lot.nbytes > 2 * LOT_BYTES:
+                each = [np.frombuffer(x, "<u4") for x in self.batch(lot.to_pylist())]
+                yield np.concatenate(each), np.array([len(x) for x in each], np.int64)
+                continue
+            lists = pc.split_pattern(pc.replace_substring(lot.fill_null(""), "\n", " "), " ")
+            coded = lists.flatten().dictionary_encode()
+            units, found = coded.dictionary.to_pylist(), []
+            for i in range(0, len(units), self.limit):
+                part = units[i : i + self.limit]
+                self.learn(part)
+                found += [self.memo[u] for u in part]
+            n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            begin, code = np.cumsum(n) - n, coded.indices.to_numpy()
+            each = n[code]
+            stops = np.cumsum(np.append(0, each))
+            ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(begin[code] - stops[:-1], each) + np.arange(stops[-1])]
+            yield ids, np.diff(stops[np.append(0, np.cumsum(lists.value_lengths().to_numpy()))])
+
+
+_ENCODERS: dict[str, UnitEncoder] = {}
+
+
+def encoder(path: str) -> UnitEncoder:
+    """The encoder of a tokenizer file, one for all tasks of a process: what a task has merged serves the next."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = UnitEncoder(path)
+    return _ENCODERS[path]

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from panelkit.llm.common import arrow_rows, col, pyfs, shared_folder, tokenizer_path
-from panelkit.llm.encode import UnitEncoder
+from panelkit.llm.encode import encoder
 
 SEQ_LEN = 1024
 BATCH_ROWS = 256
@@ -99,7 +99,7 @@ def _write_shard(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_
     shard = TaskContext.get().partitionId()
     fs, base = pyfs(folder)
     names = [f"{kind}-{shard:06d}-{uuid.uuid4().hex[:8]}.arrow" for kind in ("tokens", "documents")]
-    enc, end = UnitEncoder(path), np.array([end_id], "<u4").tobytes()
+    enc = encoder(path)
     largest = max(end_id, *enc.tok.get_vocab(with_added_tokens=True).values())
     docs_schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
     writer = docs = None
@@ -112,10 +112,15 @@ def _write_shard(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_
             sinks = [fs.open_output_stream(f"{base}/{n}") for n in names]
             writer, docs = _ShardWriter(sinks[0], seq_len, batch_rows, largest), pa.ipc.new_file(sinks[1], docs_schema)
         sizes = []
-        for ids in enc.batch(batch.column(1).to_pylist()):
-            ids = np.frombuffer(ids + end, "<u4")
-            writer.add(ids)
-            sizes.append(len(ids))
+        for ids, each in enc.lots(batch.column(1)):
+            stops = np.cumsum(each + 1)
+            ended = np.full(int(stops[-1]), end_id, "<u4")
+            inside = np.ones(len(ended), bool)
+            inside[stops - 1] = False
+            ended[inside] = ids
+            for n, z in zip((each + 1).tolist(), stops.tolist(), strict=True):
+                writer.add(ended[z - n : z])
+                sizes.append(n)
         docs.write_batch(pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], schema=docs_schema))
         count += batch.num_rows
     if writer is not None:
@@ -136,7 +141,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str
     of sequences.
     """
     spark = docs.sparkSession
-    arrow_rows(spark, 1000)
+    arrow_rows(spark, 2000)
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     tie = F.xxhash64("text")

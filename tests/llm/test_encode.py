@@ -3,12 +3,14 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from panelkit.llm import encode
 from panelkit.llm.common import tokenizer_path
-from panelkit.llm.encode import UnitEncoder
+from panelkit.llm.encode import UnitEncoder, encoder
 from panelkit.llm.tokencount import TokenCounter, whole_tokens
 
 NAMES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
@@ -57,3 +59,24 @@ def test_counts_equal_the_library():
     counter = TokenCounter(path, proven)
     counter.count("the of and")
     assert counter.merges == 0  # proven strings need no merge
+
+
+@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("lot", [encode.LOT_BYTES, 400, 1])
+def test_lots_equal_whole_texts(name, lot, monkeypatch):
+    monkeypatch.setattr(encode, "LOT_BYTES", lot)
+    enc = UnitEncoder(tokenizer_path(name), memo=20)
+    rng = random.Random(4)
+    texts = [None, *ODD, *("".join(rng.choice([*ODD, "the", " of", "Xy", ".", "\n"]) for _ in range(12)) for _ in range(100)), None]
+    got = [x.tobytes() for ids, sizes in enc.lots(pa.array(["cut off", *texts], pa.string()).slice(1)) for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert got == [expected(enc, t or "") for t in texts]
+    assert list(enc.lots(pa.array([], pa.string()))) == []
+
+
+def test_units_are_merged_once_for_all_tasks_of_a_process(monkeypatch):
+    enc = encoder(tokenizer_path(NAMES[1]))
+    texts, merged, one = pa.array(["zyxwv qponm zyxwv", "qponm"]), [], enc._one
+    monkeypatch.setattr(enc, "_one", lambda unit: merged.append(unit) or one(unit))
+    for _ in range(2):
+        list(encoder(tokenizer_path(NAMES[1])).lots(texts))
+    assert sorted(merged) == ["qponm", "zyxwv"]
