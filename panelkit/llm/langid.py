@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import arrow_rows, col, fresh
+from panelkit.llm.common import arrow_rows, col, fresh, give_back
 
 HIDDEN = 8
 #: Bounds of the training sample.
@@ -233,6 +233,7 @@ def _labeller(net: Network):
                     best = int(row.argmax())
                     lang[i], score[i] = net.langs[best], min(1.0, float(row[best]))
             yield pa.StructArray.from_arrays([pa.array(lang, kinds[0]), pa.array(score, kinds[1])], names=names)
+        give_back()
 
     label.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(label, "lang_pred string, score double")

@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelkit.llm.common import arrow_rows, col, tokenizer_path, written
-from panelkit.llm.encode import UnitEncoder
+from panelkit.llm.common import arrow_rows, col, give_back, tokenizer_path, written
+from panelkit.llm.encode import encoder, with_end
 
 CAPACITY = 1024
 END_ID = 2
@@ -95,24 +95,31 @@ def plan_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, in
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
+    give_back()  # what the stages before left in this process
     task = TaskContext.get().partitionId()
-    enc, end = UnitEncoder(path), np.array([end_id], "<u4").tobytes()
+    enc = encoder(path)
     seen: dict[int, int] = defaultdict(int)  # pieces of each length so far: at most ``capacity`` entries
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth", *(["ids"] if keep_ids else [])]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), *([pa.binary()] if keep_ids else [])]
     for batch in batches:
-        rows: list[list] = [[] for _ in names]
-
-        for doc, ids in zip(batch.column(0).to_pylist(), enc.batch(batch.column(1).to_pylist()), strict=True):
-            ids += end
-            total = len(ids) // 4
-            edges = [0, *range(total % capacity or capacity, total + 1, capacity)]
-            for piece, (a, z) in enumerate(zip(edges, edges[1:], strict=False)):
-                part = ids[4 * a : 4 * z]
-                for held, v in zip(rows, (doc, piece, a, z - a, zlib.crc32(part), task, seen[z - a], part), strict=False):
-                    held.append(v)
-                seen[z - a] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, types, strict=True)], names=names)
+        done = 0
+        for ids, sizes in enc.lots(batch.column(1)):
+            rows: list[list] = [[] for _ in names]
+            ended, stops = with_end(ids, sizes, end_id)
+            del ids
+            data, first = memoryview(ended).cast("B"), 0
+            for doc, stop in zip(batch.column(0).slice(done, len(stops)).to_pylist(), stops.tolist(), strict=True):
+                total = stop - first
+                edges = [0, *range(total % capacity or capacity, total + 1, capacity)]
+                for piece, (a, z) in enumerate(zip(edges, edges[1:], strict=False)):
+                    part = data[4 * (first + a) : 4 * (first + z)]
+                    for held, v in zip(rows, (doc, piece, a, z - a, zlib.crc32(part), task, seen[z - a], part), strict=False):
+                        held.append(v)
+                    seen[z - a] += 1
+                first = stop
+            done += len(stops)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, types, strict=True)], names=names)
+    give_back()
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,7 +131,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     once, with each task's own numbering of a length; what a length has in earlier tasks makes the numbering global.
     """
     spark = docs.sparkSession
-    arrow_rows(spark, 1000)
+    arrow_rows(spark, 1600)
     slim = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long" + (", ids binary" if keep_ids else "")
     job = partial(_pieces, path=tokenizer_path(tokenizer), capacity=capacity, end_id=end_id, keep_ids=keep_ids)

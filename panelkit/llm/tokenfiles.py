@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from panelkit.llm.common import arrow_rows, col, pyfs, shared_folder, tokenizer_path
-from panelkit.llm.encode import encoder
+from panelkit.llm.encode import encoder, with_end
 
 SEQ_LEN = 1024
 BATCH_ROWS = 256
@@ -113,11 +113,7 @@ def _write_shard(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_
             writer, docs = _ShardWriter(sinks[0], seq_len, batch_rows, largest), pa.ipc.new_file(sinks[1], docs_schema)
         sizes = []
         for ids, each in enc.lots(batch.column(1)):
-            stops = np.cumsum(each + 1)
-            ended = np.full(int(stops[-1]), end_id, "<u4")
-            inside = np.ones(len(ended), bool)
-            inside[stops - 1] = False
-            ended[inside] = ids
+            ended, stops = with_end(ids, each, end_id)
             for n, z in zip((each + 1).tolist(), stops.tolist(), strict=True):
                 writer.add(ended[z - n : z])
                 sizes.append(n)

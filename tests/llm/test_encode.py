@@ -80,3 +80,29 @@ def test_units_are_merged_once_for_all_tasks_of_a_process(monkeypatch):
     for _ in range(2):
         list(encoder(tokenizer_path(NAMES[1])).lots(texts))
     assert sorted(merged) == ["qponm", "zyxwv"]
+
+
+def test_words_behind_a_space_are_encoded_once_for_all_lots(monkeypatch):
+    enc = UnitEncoder(tokenizer_path(NAMES[0]))
+    coded, together = [], enc._together
+    monkeypatch.setattr(enc, "_together", lambda units: coded.extend(units) or together(units))
+    for _ in range(2):
+        list(enc.lots(pa.array(["a zyxwv qponm, zyxwv", "b qponm, été"])))
+    assert sorted(coded) == [" qponm,", " zyxwv", " été"]
+    assert not any(u[:1] == " " for u in enc.memo)
+
+
+@pytest.mark.parametrize("room", [0, 150, 1 << 20])
+def test_remembered_words_are_bounded_and_right(room, monkeypatch):
+    monkeypatch.setattr(encode, "KNOWN_BYTES", room)
+    monkeypatch.setattr(encode, "TOGETHER", 3)
+    monkeypatch.setattr(encode, "MEMO_CHARS", 4)
+    enc = UnitEncoder(tokenizer_path(NAMES[0]))
+    rng = random.Random(6)
+    for _ in range(12):
+        texts = [*ODD, *(" ".join(rng.choice(["w%d" % rng.randrange(90), "été", "x,y", "日本", "<|endoftext|>"]) for _ in range(9)) for _ in range(10))]
+        got = [x.tobytes() for ids, sizes in enc.lots(pa.array(texts)) for x in np.split(ids, np.cumsum(sizes)[:-1])]
+        assert got == [expected(enc, t) for t in texts]
+        words = {u for u in " ".join(texts).split(" ")}
+        assert sum(k.nbytes for k in enc.known) <= room + 60 * len(words)
+    assert all(len(u) <= 4 for u in enc.memo)
