@@ -109,3 +109,21 @@ def test_pack_table(spark):
     got = packing.pack(spark.read.parquet(f"{d}/documents.parquet"), "byte_bpe_50k.json").collect()
     n = check(got, rows, 1024)
     assert n <= sum(r.length for r in got) / 1024 + 2
+
+
+def test_tasks_share_an_encoder_and_give_memory_back(monkeypatch):
+    import pyarrow as pa
+
+    class Task:
+        get = partitionId = staticmethod(lambda: Task)
+
+    Task.partitionId = staticmethod(lambda: 3)
+    freed, path = [], tokenizer_path("byte_bpe_50k.json")
+    monkeypatch.setattr("pyspark.TaskContext", Task)
+    monkeypatch.setattr(packing, "give_back", lambda: freed.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, None]), pa.array(["a b " * 9, None])], names=["doc_id", "text"])
+    for n in (1, 2):
+        got = [r for b in packing._pieces(iter([batch]), path, 8, 2, False) for r in b.to_pylist()]
+        assert [(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got] == sorted(brute([(1, "a b " * 9), (None, None)], 8), key=lambda r: (r[0] is None, r[1]))
+        assert len(freed) == 2 * n  # before the first text, of what other stages left, and after the last
+    assert packing.encoder(path) is packing.encoder(path)
