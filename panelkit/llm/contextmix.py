@@ -249,6 +249,7 @@ class Tally:
                 yield from together.to_batches(50_000)
                 together = together.slice(0, 0)
             self.held, self.rows, self.size = [together], len(together), together.nbytes
+            give_back()
 
     def together(self) -> pa.Table:
         got = pa.concat_tables(self.held).group_by(self.keys, use_threads=False).aggregate([(c, "sum") for c in self.sums])
@@ -894,7 +895,7 @@ def _score(batches: Iterator[pa.RecordBatch], head) -> Iterator[pa.RecordBatch]:
                 if rows.num_rows:
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(task + nth, task + nth + rows.num_rows)), rows.column(0), rows.column(1), *found], names=names)
                     nth += rows.num_rows
-    give_back()
+        give_back()
 
 
 def head_of(units: DataFrame, most: int, room: int, kinds: Kinds) -> Head:

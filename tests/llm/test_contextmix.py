@@ -269,3 +269,13 @@ def test_repeated_equals_the_run():
     rng = np.random.default_rng(3)
     p, times = rng.dirichlet(np.ones(6)), np.array([1, 2, 5, 1, 40, 3])
     assert cm.repeated(np.log10(p), times).sum() == pytest.approx(cm.repeats(np.repeat(np.arange(6), times), np.repeat(np.log10(p), times)))
+
+
+def test_a_tally_gives_memory_back_whenever_it_adds_up(monkeypatch):
+    freed = []
+    monkeypatch.setattr(cm, "FLUSH", 10)
+    monkeypatch.setattr(cm, "give_back", lambda: freed.append(1))
+    tally = cm.Tally(["k"], ["n"])
+    got = [b for i in range(6) for b in tally.add(pa.table({"k": np.arange(15) + i, "n": np.ones(15, np.int64)}))]
+    assert len(freed) == 3
+    assert sum(sum(b.column(1).to_pylist()) for b in [*got, *tally.rest()]) == 90
