@@ -8,8 +8,9 @@ order as long as units are cut where a pre-token always ends:
   to the unit after it. Texts that hold one of the tokenizer's special strings are encoded whole instead, since a special string also
   ends the white-space run before it.
 
-Units repeat, so a memo (two halves of ``MEMO_UNITS`` entries; a full younger half replaces the elder) saves most merges. Results are those of
-encoding each text at once; ``tests/llm/test_encode.py`` holds both against each other.
+Units repeat, so a memo (two halves of ``MEMO_UNITS`` entries; a full younger half replaces the elder) saves most merges. Of a lot
+of texts, the distinct byte-level units that are a word behind a space are encoded as one text and remembered as Arrow columns
+of ``KNOWN_BYTES``. Results are those of encoding each text at once; ``tests/llm/test_encode.py`` holds both against each other.
 """
 
 from __future__ import annotations
