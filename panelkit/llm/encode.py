@@ -9,8 +9,8 @@ order as long as units are cut where a pre-token always ends:
   ends the white-space run before it.
 
 Units repeat, so a memo (two halves of ``MEMO_UNITS`` entries; a full younger half replaces the elder) saves most merges. Of a lot
-of texts, the distinct byte-level units that are a word behind a space are encoded as one text and remembered as Arrow columns
-of ``KNOWN_BYTES``. Results are those of encoding each text at once; ``tests/llm/test_encode.py`` holds both against each other.
+of texts, the distinct units of a word-ending tokenizer, and the distinct byte-level units that are a word behind a space (these
+are encoded as one text), are remembered as Arrow columns of ``KNOWN_BYTES``: a tenth of the memory that a memo takes for them. Results are those of encoding each text at once; ``tests/llm/test_encode.py`` holds both against each other.
 """
 
 from __future__ import annotations
@@ -33,6 +33,9 @@ BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 #: Units of the memo's younger half; with the elder half at most about 250 MB in a worker.
 MEMO_UNITS = 500_000
 
+#: The same for pre-tokens of a word-ending tokenizer's units, of which Arrow columns hold the whole ones.
+MEMO_PARTS = 50_000
+
 #: Bytes of texts whose units are looked up together; a longer text is encoded by itself.
 LOT_BYTES = 8 << 20
 
@@ -43,8 +46,8 @@ _WHITE = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202
 _SPACED = rf"[ \n](?:[{_WHITE}]|\z)|[\t\r\x0b\x0c]"
 _BEFORE_WORD = rf" ([^{_WHITE}])"
 _ONE_WORD = rf"\A [^{_WHITE}]+\z"
-#: Units that the library encodes in one call, and bytes of the words behind a space, with their ids, that an encoder
-#: remembers, besides those of a lot. Longer units than ``MEMO_CHARS`` are not remembered in the memo.
+#: Units that are encoded in one call, and bytes of the units in Arrow columns, with their ids, that an encoder remembers,
+#: besides those of a lot. Longer units than ``MEMO_CHARS`` are not remembered in the memo.
 TOGETHER, KNOWN_BYTES, MEMO_CHARS = 10_000, 32 << 20, 64
 #: Characters whose classes and case no Unicode version changes and that have one normal form.
 _PLAIN = re.compile("[\n\x20-\x7e\u00a1-\u012f\u0131-\u024f]*")
@@ -89,8 +92,8 @@ class UnitEncoder:
         self.merge = self.tok.model.tokenize
         self.memo: dict[str, bytes] = {}
         self.elder: dict[str, bytes] = {}
-        self.limit = memo
-        self.known = pa.array([], pa.string()), pa.array([], pa.binary())  # words behind a space and their ids
+        self.limit = min(memo, MEMO_PARTS) if self.lowers else memo
+        self.known = pa.array([], pa.string()), pa.array([], pa.binary())  # units in Arrow columns and their ids
 
     def units(self, text: str) -> list[str] | None:
         """The units of a text, or None if it must be encoded whole."""
@@ -121,6 +124,8 @@ class UnitEncoder:
         parts = self.pretokens(unit)
         if parts is None:
             return np.array(self.tok.encode(unit, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if self.lowers and len(parts) == 1:
+            return self._merged(byte_level(parts[0]))  # remembered as a unit
         out = []
         for p in parts:
             got = self.memo.get(p) or self.elder.get(p)
@@ -131,11 +136,15 @@ class UnitEncoder:
             out.append(got)
         return b"".join(out)
 
-    def learn(self, units: Iterable[str]) -> list[bytes]:
-        """Ids of ``units``, which the memo then holds; when the younger half is full it becomes the elder half."""
+    def _make_room(self) -> None:
+        """When the memo's younger half is full it becomes the elder half."""
         if len(self.memo) >= self.limit:
             self.memo, self.elder = {}, self.memo
             give_back()
+
+    def learn(self, units: Iterable[str]) -> list[bytes]:
+        """Ids of ``units``, which the memo then holds."""
+        self._make_room()
         memo, elder = self.memo, self.elder
         one, out = self._one, []
         for u in units:
@@ -182,8 +191,12 @@ class UnitEncoder:
         return pc.split_pattern(marked, "\0"), np.flatnonzero(whole.to_numpy(zero_copy_only=False))
 
     def _looked_up(self, units: pa.Array) -> pa.Array:
-        """Ids of each of these distinct units. Words behind a space are encoded many at once and remembered as Arrow columns."""
-        words = pc.match_substring_regex(units, _ONE_WORD) if self.begins is not None else pa.array(np.zeros(len(units), bool))
+        """Ids of each of these distinct units. Units of a word-ending tokenizer and words behind a space are encoded many at
+        once and remembered as Arrow columns."""
+        if self.lowers:
+            words = pc.less_equal(pc.utf8_length(units), MEMO_CHARS)
+        else:
+            words = pc.match_substring_regex(units, _ONE_WORD) if self.begins is not None else pa.array(np.zeros(len(units), bool))
         others, found = units.filter(pc.invert(words)).to_pylist(), []
         for i in range(0, len(others), self.limit):
             found += self.learn(others[i : i + self.limit])
@@ -204,7 +217,11 @@ class UnitEncoder:
         return pa.concat_arrays([coded, pa.array(found, pa.binary())]).take(pa.array(place))
 
     def _together(self, units: list[str]) -> pa.Array:
-        """Ids of words behind a space, from one text of them all: of a unit's tokens the first alone has the space."""
+        """Ids of units of a word-ending tokenizer, or of words behind a space, from one text of them all: of a unit's tokens
+        the first alone has the space."""
+        if self.lowers:
+            self._make_room()
+            return pa.array(map(self._one, units), pa.binary())
         ids = np.array(self.tok.encode_batch_fast(["".join(units)], add_special_tokens=False)[0].ids, "<u4")
         starts = np.flatnonzero(self.begins[ids])
         if len(starts) != len(units):  # a vocabulary without some bytes

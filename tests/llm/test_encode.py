@@ -106,3 +106,18 @@ def test_remembered_words_are_bounded_and_right(room, monkeypatch):
         words = {u for u in " ".join(texts).split(" ")}
         assert sum(k.nbytes for k in enc.known) <= room + 60 * len(words)
     assert all(len(u) <= 4 for u in enc.memo)
+
+
+def test_units_of_a_word_ending_tokenizer_are_remembered_as_columns(monkeypatch):
+    monkeypatch.setattr(encode, "MEMO_PARTS", 40)
+    enc = UnitEncoder(tokenizer_path(NAMES[1]))
+    words = [f"{a}{b}{end}" for a in ("Zyx", "qpo", "été") for b in "abcdefghij" for end in ("", ".", ",7")]
+    texts = [" ".join(words[i : i + 9]) for i in range(0, len(words), 9)]
+    one, merged = enc._one, []
+    monkeypatch.setattr(enc, "_one", lambda unit: merged.append(unit) or one(unit))
+    for _ in range(2):
+        got = [x.tobytes() for ids, sizes in enc.lots(pa.array(texts)) for x in np.split(ids, np.cumsum(sizes)[:-1])]
+        assert got == [expected(enc, t) for t in texts]
+    assert sorted(merged) == sorted(words)  # once for both
+    assert set(words) == set(enc.known[0].to_pylist())
+    assert not {w for w in words if not w.isalpha()} & {*enc.memo, *enc.elder}  # parts of units alone
