@@ -327,14 +327,12 @@ def _frequent(batches: Iterator[pa.RecordBatch], frequent: list[bytes]) -> Itera
     give_back()
 
 
-def _matrices(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Word counts (document, word) and drawn numbers, a batch of texts at a time."""
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For a lot of texts, each with a frequent word: which words, how often, where each text starts and the drawn numbers."""
     for batch in batches:
         for size, at, n, draw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            size = np.frombuffer(size, np.int32)
-            counts = np.zeros((len(size), words))
-            counts[np.repeat(np.arange(len(size)), size), np.frombuffer(at, np.int32)] = np.frombuffer(n, np.int64)
-            yield counts, np.frombuffer(draw, np.uint64)
+            size = np.frombuffer(size, np.int32).astype(np.int64)
+            yield np.frombuffer(at, np.int32), np.frombuffer(n, np.int64), np.cumsum(size) - size, np.frombuffer(draw, np.uint64)
 
 
 def _shape(counts: np.ndarray) -> np.ndarray:
@@ -342,6 +340,14 @@ def _shape(counts: np.ndarray) -> np.ndarray:
     return shape / np.linalg.norm(shape, axis=1, keepdims=True)
 
 
+def _fits(at: np.ndarray, n: np.ndarray, start: np.ndarray, table: np.ndarray, shaped: bool) -> np.ndarray:
+    """What the words of each text make with each row of the table, by their counts or the shape of these."""
+    of = table[:, at]
+    of *= np.sqrt(n) if shaped else n
+    fits = np.add.reduceat(of, start, axis=1)
+    return fits / np.sqrt(np.add.reduceat(n, start)) if shaped else fits
+
+
 _SEED = "rank double, draw binary, counts binary, far double"
 
 
@@ -349,18 +355,19 @@ def _seed(batches: Iterator[pa.RecordBatch], words: int, seeds: np.ndarray) -> I
     """This task's candidate for the next seed, and how far its texts are from the ``seeds``: the text with the most
     frequent words at first, then one drawn in proportion to its squared distance."""
     best, total = None, 0.0
-    for counts, draw in _matrices(batches, words):
+    for at, n, start, draw in _lists(batches):
         if len(seeds):
-            far = np.maximum(1 - (_shape(counts) @ seeds.T).max(axis=1), 0) ** 2
+            far = np.maximum(1 - _fits(at, n, start, seeds, True).max(axis=0), 0) ** 2
             chance = ((_stir(draw + _U(len(seeds)) * _K1) >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53
             rank = np.log(chance) / np.maximum(far, 1e-30)
             total += float(far.sum())
         else:
-            rank = counts.sum(axis=1)
-            total += float(len(counts))
-        at = np.lexsort((draw, rank))[-1]
-        if best is None or (rank[at], draw[at]) > best[:2]:
-            best = rank[at], draw[at], counts[at]
+            rank = np.add.reduceat(n, start).astype(np.float64)
+            total += float(len(start))
+        i = np.lexsort((draw, rank))[-1]
+        if best is None or (rank[i], draw[i]) > best[:2]:
+            own = slice(start[i], start[i + 1] if i + 1 < len(start) else None)
+            best = rank[i], draw[i], np.bincount(at[own], n[own], minlength=words)
     if best is not None:
         yield pa.RecordBatch.from_pydict({"rank": [float(best[0])], "draw": [int(best[1]).to_bytes(8)], "counts": [_squeezed(best[2])], "far": [total]})
 
@@ -369,10 +376,10 @@ def _tally(batches: Iterator[pa.RecordBatch], words: int, table: np.ndarray, pri
     """Texts and word counts of each kind, a cell each, when every text goes to the kind it fits best."""
     kinds = len(prior)
     sums = np.zeros((kinds, words + 1), np.int64)
-    for counts, _ in _matrices(batches, words):
-        label = ((_shape(counts) if shaped else counts) @ table.T + prior).argmax(axis=1)
-        one = (label == np.arange(kinds)[:, None]).astype(np.float64)
-        sums[:, :words] += (one @ counts).astype(np.int64)
+    for at, n, start, _ in _lists(batches):
+        label = (_fits(at, n, start, table, shaped) + prior[:, None]).argmax(axis=0)
+        cell = np.repeat(label, np.diff(np.append(start, len(at)))) * words + at
+        sums[:, :words] += np.bincount(cell, n, minlength=kinds * words).astype(np.int64).reshape(kinds, words)
         sums[:, words] += np.bincount(label, minlength=kinds)
     cell = np.flatnonzero(sums.ravel())
     yield pa.RecordBatch.from_pydict({"cell": cell.astype(np.int32), "n": sums.ravel()[cell]})
@@ -465,8 +472,11 @@ def contexts(units: list[bytes], chosen: np.ndarray | None = None, predictors: i
     kind = (flat[first] // BEFORE).astype(_U) * (_K1 ^ _K3)
     value, last = np.zeros(len(pick), _U), []
     for k in range(4):
-        back = wide[np.maximum(pick - k - 1, 0)] * (_K2 ** _U(k + 1) | _U(1))
-        value = value + np.where(at > k + 1, back, _U(0))
+        back = wide[np.maximum(pick - k - 1, 0)]
+        back *= _K2 ** _U(k + 1) | _U(1)
+        back *= at > k + 1
+        back += value
+        value = back
         last.append(value)
     out = [last[1] + kind, last[3] + kind, last[1] + mark]
     if predictors > SHARED:
@@ -505,7 +515,15 @@ def _stir(x: np.ndarray) -> np.ndarray:
 
 
 def _slots(bits: int, context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    return (((context ^ (node.astype(_U) * _K1)) * _K2) >> _U(64 - bits)).astype(np.int64)
+    return _slots_of(bits, context, node.astype(_U) * _K1)
+
+
+def _slots_of(bits: int, context: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """Slots of contexts with their nodes' numbers times ``_K1``."""
+    at = context ^ turn
+    at *= _K2
+    at >>= _U(64 - bits)
+    return at.view(np.int64)
 
 
 def _batched(units: list[bytes]) -> Iterator[slice]:
@@ -518,14 +536,40 @@ def _batched(units: list[bytes]) -> Iterator[slice]:
         at = to
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """The bytes of numbers, all first bytes before all second ones."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _of_planes(data: bytes, kind: np.dtype) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
 def _squeezed(counts: np.ndarray) -> bytes:
-    """Mostly empty or small counts of any type, deflated byte plane by byte plane behind the type's letter."""
-    return counts.dtype.char.encode() + zlib.compress(counts.view(np.uint8).reshape(-1, counts.itemsize).T.tobytes(), 1)
+    """Mostly empty or small counts of any type, deflated byte plane by byte plane behind the type's letter; of few counts
+    among zeros only these, behind a star, with the steps from one to the next and the size."""
+    kind, at = counts.dtype.char.encode(), np.flatnonzero(counts)
+    if 4 * len(at) > len(counts):
+        return kind + zlib.compress(_planes(counts), 1)
+    steps = np.diff(at, prepend=0).astype(np.uint32)
+    return b"*" + kind + len(counts).to_bytes(8) + len(at).to_bytes(8) + zlib.compress(_planes(steps) + _planes(counts[at]), 1)
 
 
 def _unsqueezed(data: bytes) -> np.ndarray:
-    kind = np.dtype(data[:1].decode())
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+    if data[:1] != b"*":
+        return _of_planes(zlib.decompress(data[1:]), np.dtype(data[:1].decode()))
+    kind, size, n, found = np.dtype(data[1:2].decode()), int.from_bytes(data[2:10]), int.from_bytes(data[10:18]), zlib.decompress(data[18:])
+    out = np.zeros(size, kind)
+    out[np.cumsum(_of_planes(found[: 4 * n], np.dtype(np.uint32)), dtype=np.int64)] = _of_planes(found[4 * n :], kind)
+    return out
+
+
+def _distinct(context: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of a context and its byte: context, which pair stands at each place, and byte."""
+    coded = pa.array(context).dictionary_encode()
+    pairs = pa.array(coded.indices.to_numpy().astype(np.int64) << 8 | byte).dictionary_encode()
+    pair = pairs.dictionary.to_numpy()
+    return coded.dictionary.to_numpy()[pair >> 8], pairs.indices.to_numpy(), pair & 255
 
 
 def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -546,21 +590,24 @@ def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, counts = batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(np.int64)
         for part in _batched(units):
             row, _, byte, ctx = contexts(units[part], predictors=SHARED)
+            seen = [_distinct(c, byte) for c in ctx]
             left = counts[part].copy()
             most = _FULL // len(row)
             while left.any():
                 now = np.minimum(left, most)  # a count that fills a slot by itself takes several rounds
                 left -= now
-                weight = now[row].astype(np.uint32)
-                size = int(now[row].sum())
+                weight = now[row]
+                size = int(weight.sum())
                 if held + size > _FULL:
                     yield from flush()
                     held = 0
                 held += size
-                for b in range(8):
-                    node, bit = (1 << b) | (byte.astype(np.int64) >> (8 - b)), (byte >> (7 - b)) & 1
-                    for k, bits in enumerate(SHARED_BITS):
-                        np.add.at(tables[k], 2 * _slots(bits, ctx[k], node) + bit, weight)
+                for k, bits in enumerate(SHARED_BITS):
+                    at, of, byte = seen[k]
+                    total = np.bincount(of, weight, minlength=len(at)).astype(np.uint32)
+                    for b in range(8):
+                        node, bit = (1 << b) | (byte >> (8 - b)), (byte >> (7 - b)) & 1
+                        np.add.at(tables[k], 2 * _slots(bits, at, node) + bit, total)
     yield from flush()
     tables.clear()
     give_back()
@@ -644,21 +691,23 @@ class Bin:
         (with a constant). Each place has tables of its own, with two slots for each byte of the bin."""
         counting = np.flatnonzero(self.deep & (self.weight > 0))
         deep = np.flatnonzero(self.deep[pick])
-        weight, counted, asked = self.weight[counting], [c[counting] for c in self.ctx], [c[pick] for c in self.ctx]
+        weight, asked = self.weight[counting], [c[pick] for c in self.ctx[:SHARED]]
+        among = np.arange(len(self.byte))[pick][deep]
         for b in range(8):
             node, bit = (1 << b) | (self.byte >> (8 - b)), (self.byte >> (7 - b)) & 1
-            some, counting_node = bit[counting], node[counting]
-            at_node = node[pick]
-            deep_node = at_node[deep]
+            turn = node.astype(_U) * _K1
+            some, at_node, at_turn = bit[counting], node[pick], turn[pick]
             inputs = np.ones((PREDICTORS + 1, len(at_node)), np.float32)
             for k, bits in enumerate(SHARED_BITS):
-                at = _slots(bits, asked[k], at_node)
+                at = _slots_of(bits, asked[k], at_turn)
                 inputs[k] = self.model.stretch[k][at]
             gate = (SURE + 1) * self.model.sure[at]
             inputs[SHARED], inputs[SHARED + 1], inputs[SHARED + 2] = inputs[1], inputs[1], inputs[2]
             for k in range(SHARED, PREDICTORS):
-                table = np.bincount(2 * _slots(self.bits, counted[k], counting_node) + some, weight, minlength=2 << self.bits)
-                at = 2 * _slots(self.bits, asked[k][deep], deep_node)
+                slot = _slots_of(self.bits, self.ctx[k], turn)
+                slot <<= 1
+                table = np.bincount(slot[counting] + some, weight, minlength=2 << self.bits)
+                at = slot[among]
                 inputs[k][deep], sure = _stretched(table[at], table[at + 1])
                 gate[deep] = sure + (SURE * gate[deep] if k > SHARED + 1 else 0)
             yield b, at_node, bit[pick], gate, inputs
@@ -689,10 +738,10 @@ class Bin:
             for s in step_of:
                 g, mass = gate[s].astype(np.int64), weight[s]
                 scale = (np.sqrt(np.bincount(g, minlength=GATES)) / np.maximum(np.bincount(g, mass, minlength=GATES), 1))
-                steps.append((g, (g + GATES * cells[:, None]).ravel(), inputs[:, s].astype(np.float64), bit[s], mass, scale))
+                steps.append(((g + GATES * cells[:, None]).ravel(), inputs[:, s].astype(np.float64), bit[s], mass, scale))
             now = np.ascontiguousarray(own[b].T)
-            for g, cell, x, one, mass, scale in steps * rounds:
-                mixed = np.minimum(np.maximum((x * now.take(g, axis=1)).sum(axis=0), -_REACH), _REACH)
+            for cell, x, one, mass, scale in steps * rounds:
+                mixed = np.minimum(np.maximum((x * now.take(cell).reshape(x.shape)).sum(axis=0), -_REACH), _REACH)
                 err = (one - 1 / (1 + np.exp(-mixed))) * mass
                 now += _RATE * np.bincount(cell, (err * x).ravel(), minlength=now.size).reshape(now.shape) * scale
             own[b] = now.T
@@ -730,10 +779,13 @@ def finished(blocks: DataFrame) -> Model:
 
 def _of_bin(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     """Units of a bin in an order of their own, with lead, n and m."""
-    units = table.column("unit").to_pylist()
-    order = sorted(range(len(units)), key=lambda i: (zlib.crc32(units[i]), units[i]))
+    names = table.column("unit").combine_chunks()
+    names_order = pc.array_sort_indices(names).to_numpy()
+    units = names.to_pylist()
+    crc = np.fromiter(map(zlib.crc32, units), np.uint32, len(units))
+    order = names_order[np.argsort(crc[names_order], kind="stable")]
     lead, n, m = (table.column(c).to_numpy()[order] for c in ("lead", "n", "m"))
-    return [units[i] for i in order], lead, n, m
+    return [units[i] for i in order.tolist()], lead, n, m
 
 
 def _learn_bin(table: pa.Table, model) -> pa.Table:
@@ -928,14 +980,16 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head
     arrow_rows(spark, 20_000)
     model = spark.sparkContext.broadcast(fit(units, bins))
     words = evaluated(units, bins, model)
+    model.destroy()
     sums = words.agg(F.coalesce(F.sum(F.when(F.col("first"), F.col("c"))), F.lit(0)).alias("total"), F.coalesce(F.sum(F.col("first").cast("long")), F.lit(0)).alias("distinct")).first()
     total, room = int(sums.total), int(sums.total) + int(sums.distinct)
     frequent = spark.sparkContext.broadcast(head_of(words, head, room, kinds))
     arrow_rows(spark, 1000)
     schema = "row long, doc_id long, held_out boolean, n_bytes long, n_tokens long, known long, base double, score double, others array<struct<kind int, unit binary, in_text long>>"
     texts = written(slim.mapInArrow(partial(_score, head=frequent), schema), "scored")
+    frequent.destroy()
 
-    met = texts.select("row", F.explode("others").alias("o")).select("row", "o.*").join(words.select("kind", "unit", "logp", "c"), ["kind", "unit"])
+    met = texts.select("row", F.explode("others").alias("o")).select("row", "o.*").join(words.select("kind", "unit", "logp", "c").hint("shuffle_hash"), ["unit", "kind"])
     again = F.expr(f"aggregate(sequence(1L, in_text - 1), 0D, (s, r) -> s + log10(r + {ADAPT}D * pow(10D, logp)))")
     model_share = F.when(F.col("kind") == 0, F.col("logp") + F.lit(math.log10(ADAPT)) + F.when(F.col("in_text") > 1, again).otherwise(0.0)).otherwise(0.0)
     base_share = F.col("in_text") * F.log10((F.col("c") + 1) / F.lit(float(max(1, room))))

@@ -279,3 +279,44 @@ def test_a_tally_gives_memory_back_whenever_it_adds_up(monkeypatch):
     got = [b for i in range(6) for b in tally.add(pa.table({"k": np.arange(15) + i, "n": np.ones(15, np.int64)}))]
     assert len(freed) == 3
     assert sum(sum(b.column(1).to_pylist()) for b in [*got, *tally.rest()]) == 90
+
+
+def test_few_counts_of_a_block_take_few_bytes():
+    for kind in (np.uint32, np.int64, np.float64):
+        for at in ([], [0], [65535], [0, 7, 300, 65535]):
+            counts = np.zeros(1 << 16, kind)
+            counts[at] = np.arange(len(at)) + 1000
+            got = cm._unsqueezed(cm._squeezed(counts))
+            assert got.dtype == kind and (got == counts).all()
+            assert len(cm._squeezed(counts)) < 150
+
+
+def test_shared_tables_take_a_context_once_for_all_its_units(monkeypatch):
+    monkeypatch.setattr(cm, "SHARED_BITS", (15, 15, 15))
+    units = [bytes([0]) + bytes([x, y]) + b"stitute " for x in b"abcdefgh" for y in b"abcdefgh"]
+    counts = np.arange(len(units)) + 1
+    expected = [np.zeros(2 << 15, np.int64) for _ in range(cm.SHARED)]
+    row, _, byte, ctx = cm.contexts(units, predictors=cm.SHARED)
+    for b in range(8):
+        node, bit = (1 << b) | (byte.astype(np.int64) >> (8 - b)), (byte >> (7 - b)) & 1
+        for k in range(cm.SHARED):
+            np.add.at(expected[k], 2 * cm._slots(15, ctx[k], node) + bit, counts[row])
+    looked_up, slots = [], cm._slots
+    monkeypatch.setattr(cm, "_slots", lambda bits, context, node: looked_up.append(len(context)) or slots(bits, context, node))
+    found = pa.Table.from_batches(cm._fill(iter([pa.RecordBatch.from_pydict({"unit": pa.array(units, pa.binary()), "c": pa.array(counts)})]))).to_pylist()
+    for k in range(cm.SHARED):
+        blocks = {r["block"]: cm._unsqueezed(r["data"]) for r in found if r["predictor"] == k}
+        assert (np.concatenate([blocks[b] for b in sorted(blocks)]) == expected[k]).all()
+    assert max(looked_up) < len(byte) / 2
+
+
+def test_fits_of_lists_equal_those_of_whole_rows():
+    rng = np.random.default_rng(2)
+    counts = rng.poisson(0.3, (40, 30)).astype(np.float64)
+    counts[:, 0] += 1
+    table = rng.normal(size=(5, 30))
+    text, at = np.nonzero(counts)
+    start = np.flatnonzero(np.diff(text, prepend=-1))
+    n = counts[text, at].astype(np.int64)
+    assert np.allclose(cm._fits(at, n, start, table, False), table @ counts.T)
+    assert np.allclose(cm._fits(at, n, start, table, True), table @ cm._shape(counts).T)
