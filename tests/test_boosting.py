@@ -1,5 +1,7 @@
 """Forest walks, boosting with patience, fold calibration and importance on the smallest tables."""
 
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
@@ -95,6 +97,25 @@ def test_fit_boosted_doubles_and_cuts(sets):
     assert info["stopped_by_patience"] or info["fitted_rounds"] == 8
 
 
+def sizes_asked(spark, monkeypatch, query):
+    """Rounds, depth and patience that ``query`` asks for; what is fitted here is small."""
+    asked = []
+
+    def record(*args, **sizes):
+        call = inspect.signature(fit_boosted).bind(*args, **sizes)
+        call.apply_defaults()
+        asked.append(tuple(call.arguments[k] for k in ("max_iter", "depth", "patience")))
+        return fit_boosted(*args, max_iter=2, depth=2, patience=1)
+
+    monkeypatch.setattr(q_ml, "fit_boosted", record)
+    assert query(spark, SF).count() > 0
+    return asked
+
+
+def test_scores_come_from_a_model_of_full_size(spark, monkeypatch):
+    assert sizes_asked(spark, monkeypatch, q_ml.gbt_valid_scores) == [(2500, 8, 200)]
+
+
 def test_importance_equals_scoring_swapped_rows(spark, sets, model):
     """Against the plain way: build each swapped matrix and walk the whole forest."""
     _, va, num, cat = sets
