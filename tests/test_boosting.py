@@ -116,6 +116,10 @@ def test_scores_come_from_a_model_of_full_size(spark, monkeypatch):
     assert sizes_asked(spark, monkeypatch, q_ml.gbt_valid_scores) == [(2500, 8, 200)]
 
 
+def test_policy_comes_from_a_model_of_full_size(spark, monkeypatch):
+    assert sizes_asked(spark, monkeypatch, q_ml.gbt_valid_policy) == [(2500, 8, 200)]
+
+
 def test_importance_equals_scoring_swapped_rows(spark, sets, model):
     """Against the plain way: build each swapped matrix and walk the whole forest."""
     _, va, num, cat = sets
