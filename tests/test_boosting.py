@@ -1,9 +1,12 @@
 """Forest walks, boosting with patience, fold calibration and importance on the smallest tables."""
 
 import inspect
+from functools import partialmethod
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import Imputer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import functions as F
@@ -97,7 +100,7 @@ def test_fit_boosted_doubles_and_cuts(sets):
     assert info["stopped_by_patience"] or info["fitted_rounds"] == 8
 
 
-def sizes_asked(spark, monkeypatch, query):
+def sizes_asked(spark, sets, monkeypatch, query):
     """Rounds, depth and patience that ``query`` asks for; what is fitted here is small."""
     asked = []
 
@@ -107,17 +110,49 @@ def sizes_asked(spark, monkeypatch, query):
         asked.append(tuple(call.arguments[k] for k in ("max_iter", "depth", "patience")))
         return fit_boosted(*args, max_iter=2, depth=2, patience=1)
 
+    monkeypatch.setattr(q_ml, "_feature_sets", lambda spark, sf_dir: sets)
     monkeypatch.setattr(q_ml, "fit_boosted", record)
     assert query(spark, SF).count() > 0
     return asked
 
 
-def test_scores_come_from_a_model_of_full_size(spark, monkeypatch):
-    assert sizes_asked(spark, monkeypatch, q_ml.gbt_valid_scores) == [(2500, 8, 200)]
+def test_scores_come_from_a_model_of_full_size(spark, sets, monkeypatch):
+    assert sizes_asked(spark, sets, monkeypatch, q_ml.gbt_valid_scores) == [(2500, 8, 200)]
 
 
-def test_policy_comes_from_a_model_of_full_size(spark, monkeypatch):
-    assert sizes_asked(spark, monkeypatch, q_ml.gbt_valid_policy) == [(2500, 8, 200)]
+def test_policy_comes_from_a_model_of_full_size(spark, sets, monkeypatch):
+    assert sizes_asked(spark, sets, monkeypatch, q_ml.gbt_valid_policy) == [(2500, 8, 200)]
+
+
+def test_comparison_fits_every_median_and_reads_encoded_rows_once(spark, sets, monkeypatch):
+    """The medians are shared by the models, and no model reads rows that are still to be encoded."""
+    medians, plans = [], []
+
+    def count_columns(imputer, df, fit=Imputer._fit):
+        medians.extend(imputer.getInputCols())
+        return fit(imputer, df)
+
+    def note_plan(model, df, fit=RandomForestClassifier._fit):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return fit(model, df)
+
+    monkeypatch.setattr(Imputer, "_fit", count_columns)
+    for kind in (GBTClassifier, RandomForestClassifier, LogisticRegression):
+        monkeypatch.setattr(kind, "_fit", partialmethod(note_plan, fit=kind._fit))
+    monkeypatch.setattr(q_ml, "_feature_sets", lambda spark, sf_dir: sets)
+    monkeypatch.setattr(q_ml, "GBT", {"max_iter": 2, "depth": 2, "patience": 2, "first": 2})
+    monkeypatch.setattr(q_ml, "RF", {"trees": 2, "depth": 2})
+    assert q_ml.model_comparison(spark, SF).count() == 4
+    assert len(medians) == len(set(medians)) >= len(sets[2])
+    assert len(plans) == 4 and all("LogicalRDD" in p and "Join" not in p and "UDF" not in p for p in plans)
+
+
+def test_a_fitted_imputer_gives_the_same_forest(sets):
+    tr, va, num, cat = sets
+    fitted = ML.imputer_of(num).fit(ML.prepare(tr, num, cat))
+    probs = [sorted(r.prob for r in ML.score(ML.fit(ML.rf_estimator(num, cat, trees=3, depth=3, imputer=i), tr, num, cat), va, num, cat, keep=["ra"]).collect())
+             for i in (None, fitted)]
+    assert probs[0] == probs[1]
 
 
 def test_importance_equals_scoring_swapped_rows(spark, sets, model):
