@@ -105,6 +105,39 @@ def test_dense_clouds_are_exact():
             assert (label[i] == label[j]).all()
 
 
+def test_only_audited_queries_are_searched_where_blocks_are_cheaper(monkeypatch):
+    """Vectors without near neighbours need wide beams; the beams are tried on the audit, then blocks compare all."""
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(4000, 200))
+    v[1::40] = v[0::40] + rng.normal(size=v[1::40].shape) * 0.1
+    v = v[rng.permutation(4000)]
+    s, t = shard(v[:2500]), shard(v[2500:], 1)
+    searched, search = [], Graph.search
+    monkeypatch.setattr(Graph, "search", lambda graph, queries, beam: searched.append(len(queries)) or search(graph, queries, beam))
+    for a, b in ((s, None), (s, t)):
+        searched.clear()
+        both = a["unit"] if b is None else np.concatenate([a["unit"], b["unit"]])
+        copies = a["copies"] if b is None else np.concatenate([a["copies"], b["copies"]])
+        adj = both @ both.T >= 0.98
+        if b is None:
+            np.fill_diagonal(adj, False)
+        else:
+            adj[:2500, :2500] = adj[2500:, 2500:] = False
+        links, _, label, seen = embeddings.link_shards(a, b)
+        assert adj.any() and links.tolist() == (adj * copies).sum(axis=1).tolist()
+        assert (label[np.nonzero(adj)[0]] == label[np.nonzero(adj)[1]]).all()
+        assert seen["recall"] == 1 and sum(searched) == embeddings.AUDIT
+
+
+def test_pairs_near_the_threshold_are_settled_in_double_precision():
+    """Cosines a hair above and below the threshold, far closer than single precision can tell."""
+    cosines = 0.98 + np.array([-1e-3, -1e-10, 1e-10, 1e-3])
+    a = np.stack([cosines, np.sqrt(1 - cosines**2)], axis=1)
+    b = np.array([[1.0, 0.0]])
+    found = [(i, j) for r, c in embeddings._true_links(a, b, 0.98, False) for i, j in zip(r.tolist(), c.tolist(), strict=True)]
+    assert found == [(2, 0), (3, 0)]
+
+
 def test_graph_recall():
     rng = np.random.default_rng(5)
     v = rng.normal(size=(3000, 24)).astype(np.float32)
